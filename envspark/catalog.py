@@ -57,3 +57,124 @@ def q_daily_summary_strict(spark, sf_dir):
 
     b = Bound(spark, sf_dir)
     return canon(daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date(), strict=True))
+
+
+SCAN_HOURS = 24  # FIXTURES: a 24-hour anomaly scan gives enough candidates at sf0.01
+
+
+def _round_value(df, col="value", digits=4):
+    return df.withColumn(col, F.round(F.col(col), digits))
+
+
+# --- I2 -------------------------------------------------------------------
+@register("anomaly_candidates")
+def q_anomaly_candidates(spark, sf_dir):
+    from .plans.anomaly import detect_anomalies
+
+    b = Bound(spark, sf_dir)
+    return canon(_round_value(detect_anomalies(b.aq, b.stations, AS_OF, scan_hours=SCAN_HOURS).drop("description")))
+
+
+@register("anomaly_suppressed")
+def q_anomaly_suppressed(spark, sf_dir):
+    """Re-run 12 h later: candidates already reported (or near a reported one) are suppressed."""
+    from .plans.anomaly import detect_anomalies
+
+    b = Bound(spark, sf_dir)
+    prior = detect_anomalies(b.aq, b.stations, AS_OF - timedelta(hours=12), scan_hours=SCAN_HOURS)
+    cur = detect_anomalies(b.aq, b.stations, AS_OF, scan_hours=SCAN_HOURS, prior=prior)
+    return canon(_round_value(cur.drop("description")))
+
+
+# --- I3 -------------------------------------------------------------------
+@register("seasonal_hourly")
+def q_seasonal_hourly(spark, sf_dir):
+    from .plans.seasonal import hourly_profile
+
+    b = Bound(spark, sf_dir)
+    return canon(hourly_profile(b.aq, b.stations, AS_OF, "aqi"))
+
+
+@register("seasonal_dow")
+def q_seasonal_dow(spark, sf_dir):
+    from .plans.seasonal import dow_profile
+
+    b = Bound(spark, sf_dir)
+    return canon(dow_profile(b.aq, b.stations, AS_OF, "pm25"))
+
+
+@register("seasonal_peaks")
+def q_seasonal_peaks(spark, sf_dir):
+    from .plans.seasonal import seasonal_summary
+
+    b = Bound(spark, sf_dir)
+    s = seasonal_summary(b.aq, b.stations, AS_OF, "aqi")
+    return canon(s.select(
+        "station_id", "metric",
+        F.array_join(F.transform("peak_hours", lambda h: h.cast("string")), ",").alias("peak_hours"),
+        F.array_join(F.transform("off_peak_hours", lambda h: h.cast("string")), ",").alias("off_peak_hours"),
+        "best_dow", "worst_dow", "overall_avg", "hourly_variation",
+    ))
+
+
+# --- I5 -------------------------------------------------------------------
+@register("trend")
+def q_trend(spark, sf_dir):
+    from .plans.trend import trend_analysis
+
+    b = Bound(spark, sf_dir)
+    return canon(trend_analysis(b.aq, b.stations, AS_OF))
+
+
+# --- I6 -------------------------------------------------------------------
+def _health(spark, sf_dir, strict=False):
+    from .plans.health import health_impact
+
+    b = Bound(spark, sf_dir)
+    return health_impact(b.aq, b.stations, AS_OF, strict=strict)
+
+
+@register("health_impact")
+def q_health_impact(spark, sf_dir):
+    return canon(_health(spark, sf_dir).drop("time_in_levels", "pollutant_averages"))
+
+
+@register("health_impact_strict")
+def q_health_impact_strict(spark, sf_dir):
+    return canon(_health(spark, sf_dir, strict=True).drop("time_in_levels", "pollutant_averages"))
+
+
+@register("health_time_in_levels")
+def q_health_time_in_levels(spark, sf_dir):
+    h = _health(spark, sf_dir)
+    return canon(h.select("station_id", F.explode("time_in_levels").alias("level", "hours")))
+
+
+@register("health_pollutant_averages")
+def q_health_pollutant_averages(spark, sf_dir):
+    h = _health(spark, sf_dir)
+    e = h.select("station_id", "dominant_pollutant", F.explode("pollutant_averages").alias("pollutant", "avg_value"))
+    return canon(e.withColumn("avg_value", F.round("avg_value", 4)))
+
+
+# --- I4 -------------------------------------------------------------------
+def _corr(spark, sf_dir, positional):
+    from .plans.correlation import correlation_matrix
+
+    b = Bound(spark, sf_dir)
+    return correlation_matrix(b.aq, b.wx, b.stations, AS_OF, positional=positional)
+
+
+@register("correlation_aq_aq")
+def q_correlation_aq_aq(spark, sf_dir):
+    return canon(_corr(spark, sf_dir, False).filter("category = 'aq_aq'"))
+
+
+@register("correlation_weather_zip")
+def q_correlation_weather_zip(spark, sf_dir):
+    return canon(_corr(spark, sf_dir, True).filter("category = 'aq_weather'"))
+
+
+@register("correlation_weather_hourly")
+def q_correlation_weather_hourly(spark, sf_dir):
+    return canon(_corr(spark, sf_dir, False).filter("category = 'aq_weather'"))

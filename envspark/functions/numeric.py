@@ -15,3 +15,27 @@ def confidence_from_mae(mae: Column) -> Column:
     """H8: round(clamp(1 - mae/100, 0.3, 0.95), 2); NULL -> 0.5."""
     raw = F.greatest(F.lit(0.3), F.least(F.lit(0.95), F.lit(1.0) - mae / 100.0))
     return F.when(mae.isNull(), F.lit(0.5)).otherwise(F.bround(raw, 2))
+
+
+def ratio_half_even(num: Column, den: Column) -> Column:
+    """Integer ``num / den`` rounded half-to-even, exactly (no floating point)."""
+    r = F.pmod(num, den)
+    q = (num - r).cast("long") / den
+    q = q.cast("long")
+    twice = r * 2
+    return (
+        F.when(twice > den, q + 1)
+        .when(twice == den, q + F.pmod(q, F.lit(2)))
+        .otherwise(q)
+    )
+
+
+def mean_half_even(x: Column, digits: int, scale_in: int | None = None) -> Column:
+    """Aggregate: mean of ``x`` (values with at most ``scale_in`` decimals, default
+    ``digits``) rounded half-even to ``digits`` places, computed on exact integers so
+    that ties (x.xx5) round the same way in every engine."""
+    s_in = digits if scale_in is None else scale_in
+    units = F.round(x * (10 ** s_in)).cast("long")
+    num = F.sum(units) * (10 ** digits)
+    den = F.count(units) * (10 ** s_in)
+    return ratio_half_even(num, den) / (10 ** digits)

@@ -102,3 +102,297 @@ SELECT CAST(station_id AS BIGINT) AS station_id, CAST(summary_date AS VARCHAR) A
        {aqi_category_sql('round(aqi_avg, 2)')} AS category
 FROM j
 """)
+
+METRICS = ["aqi", "pm25", "pm10", "o3", "no2", "so2", "co"]
+POLLUTANTS = METRICS[1:]
+WEATHER = [("temperature_c", "temperature"), ("humidity_pct", "humidity"), ("wind_speed_mps", "wind_speed")]
+
+
+def ts_sql(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%d %H:%M:%S')"
+
+
+def ratio_he_sql(num: str, den: str) -> str:
+    r = f"((({num}) % ({den}) + ({den})) % ({den}))"
+    q = f"((({num}) - {r}) // ({den}))"
+    return f"(CASE WHEN 2 * {r} > ({den}) THEN {q} + 1 WHEN 2 * {r} = ({den}) THEN {q} + ((({q}) % 2 + 2) % 2) ELSE {q} END)"
+
+
+def mean_he_sql(x: str, digits: int = 2, scale_in: int | None = None) -> str:
+    s_in = digits if scale_in is None else scale_in
+    units = f"CAST(round(({x}) * {10 ** s_in}) AS BIGINT)"
+    return f"({ratio_he_sql(f'sum({units}) * {10 ** digits}', f'count({units}) * {10 ** s_in}')} / {10 ** digits})"
+
+
+def window_sql(as_of: str, span: str) -> str:
+    return f"observed_at > {as_of} - INTERVAL {span} AND observed_at <= {as_of}"
+
+
+ACTIVE = "station_id IN (SELECT station_id FROM stations WHERE is_active)"
+
+LONG_AQ = " UNION ALL ".join(
+    f"SELECT station_id, observed_at, obs_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM aq WHERE {m} IS NOT NULL"
+    for m in METRICS
+)
+
+
+def anomaly_body(as_of: str, scan_hours: int, p: str) -> str:
+    """CTEs ``{p}c`` = anomaly candidates at ``as_of``."""
+    return f"""
+{p}st AS (
+  SELECT station_id, metric, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std,
+         quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+  FROM long_aq WHERE {window_sql(as_of, "7 DAY")} AND {ACTIVE}
+  GROUP BY 1, 2 HAVING count(*) >= 10),
+{p}r AS (
+  SELECT l.station_id, l.metric, l.obs_id, l.observed_at AS detected_at, l.value, s.mean, s.std,
+         s.q3 - s.q1 AS iqr, s.q1 - 1.5 * (s.q3 - s.q1) AS lo, s.q3 + 1.5 * (s.q3 - s.q1) AS hi,
+         CASE WHEN s.std > 0 THEN (l.value - s.mean) / s.std ELSE 0 END AS z
+  FROM long_aq l JOIN {p}st s ON s.station_id = l.station_id AND s.metric = l.metric
+  WHERE {window_sql(as_of, f"{scan_hours} HOUR")}),
+{p}c AS (
+  SELECT *, greatest(CASE WHEN iqr > 0 AND value > hi THEN (value - hi) / iqr ELSE 0 END,
+                     CASE WHEN iqr > 0 AND value < lo THEN (lo - value) / iqr ELSE 0 END) AS f
+  FROM {p}r WHERE abs(z) >= 3 OR value < lo OR value > hi)"""
+
+
+ANOMALY_SELECT = f"""
+SELECT CAST(station_id AS BIGINT) AS station_id, metric, CAST(obs_id AS BIGINT) AS obs_id,
+       {ts_sql('detected_at')} AS detected_at, round(value, 4) AS value,
+       round_even(z, 3) + 0.0 AS z_score, round_even(f, 3) AS iqr_factor,
+       CASE WHEN abs(z) >= 3 THEN 'zscore' ELSE 'iqr' END AS method,
+       CASE WHEN abs(z) >= 4 OR f >= 3 THEN 'critical' WHEN abs(z) >= 3 OR f >= 1.5 THEN 'warning' ELSE 'info' END AS severity
+"""
+
+SQL["anomaly_candidates"] = with_binding(f"""
+long_aq AS ({LONG_AQ}),
+{anomaly_body(AS_OF, 24, "a_")}
+{ANOMALY_SELECT} FROM a_c
+""")
+
+SQL["anomaly_suppressed"] = with_binding(f"""
+long_aq AS ({LONG_AQ}),
+{anomaly_body(AS_OF + " - INTERVAL 12 HOUR", 24, "p_")},
+{anomaly_body(AS_OF, 24, "a_")},
+last_p AS (SELECT station_id, metric, max(detected_at) AS last_at FROM p_c GROUP BY 1, 2),
+kept AS (
+  SELECT a.* FROM a_c a LEFT JOIN last_p l ON l.station_id = a.station_id AND l.metric = a.metric
+  WHERE l.last_at IS NULL OR NOT (l.last_at > a.detected_at - INTERVAL 1 HOUR))
+{ANOMALY_SELECT} FROM kept
+""")
+
+
+def seasonal_base(metric: str) -> str:
+    return (f"SELECT station_id, observed_at, CAST({metric} AS DOUBLE) AS v FROM aq "
+            f"WHERE {window_sql(AS_OF, '30 DAY')} AND {ACTIVE} AND {metric} IS NOT NULL")
+
+
+def hourly_cte(metric: str) -> str:
+    return f"""
+base AS ({seasonal_base(metric)}),
+hp0 AS (
+  SELECT station_id, hour(observed_at) AS hour, round(avg(v), 2) AS avg_val, round(stddev_samp(v), 2) AS std_val,
+         round(min(v), 2) AS min_val, round(max(v), 2) AS max_val, count(*) AS samples
+  FROM base GROUP BY 1, 2),
+hp AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY station_id) AS nh FROM hp0) WHERE nh >= 12)"""
+
+
+SQL["seasonal_hourly"] = with_binding(f"""
+{hourly_cte('aqi')}
+SELECT CAST(station_id AS BIGINT) AS station_id, CAST(hour AS BIGINT) AS hour, avg_val, std_val, min_val, max_val,
+       CAST(samples AS BIGINT) AS samples, 'aqi' AS metric
+FROM hp
+""")
+
+SQL["seasonal_dow"] = with_binding(f"""
+{hourly_cte('pm25')},
+dp AS (
+  SELECT station_id, dayofweek(observed_at) AS dow, round(avg(v), 2) AS avg_val, round(stddev_samp(v), 2) AS std_val,
+         count(*) AS samples
+  FROM base WHERE station_id IN (SELECT station_id FROM hp) GROUP BY 1, 2)
+SELECT CAST(station_id AS BIGINT) AS station_id, CAST(dow AS BIGINT) AS dow, avg_val, std_val,
+       CAST(samples AS BIGINT) AS samples, 'pm25' AS metric
+FROM dp
+""")
+
+SQL["seasonal_peaks"] = with_binding(f"""
+{hourly_cte('aqi')},
+rk AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY avg_val DESC, hour ASC) AS r FROM hp),
+h AS (
+  SELECT station_id,
+         string_agg(CAST(hour AS VARCHAR), ',' ORDER BY r) FILTER (WHERE r <= 3) AS peak_hours,
+         string_agg(CAST(hour AS VARCHAR), ',' ORDER BY r) FILTER (WHERE r > nh - 3) AS off_peak_hours,
+         {mean_he_sql('avg_val', 2)} AS overall_avg,
+         round_even(stddev_pop(avg_val), 2) AS hourly_variation
+  FROM rk GROUP BY station_id),
+dp AS (
+  SELECT station_id, dayofweek(observed_at) AS dow, round(avg(v), 2) AS avg_val
+  FROM base WHERE station_id IN (SELECT station_id FROM hp) GROUP BY 1, 2),
+bw AS (
+  SELECT station_id,
+         max(CASE WHEN rb = 1 THEN dow END) AS best_dow, max(CASE WHEN rw = 1 THEN dow END) AS worst_dow
+  FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY avg_val ASC, dow ASC) AS rb,
+               row_number() OVER (PARTITION BY station_id ORDER BY avg_val DESC, dow DESC) AS rw FROM dp)
+  GROUP BY station_id)
+SELECT CAST(h.station_id AS BIGINT) AS station_id, 'aqi' AS metric, peak_hours, off_peak_hours,
+       CAST(best_dow AS BIGINT) AS best_dow, CAST(worst_dow AS BIGINT) AS worst_dow, overall_avg, hourly_variation
+FROM h LEFT JOIN bw ON bw.station_id = h.station_id
+""")
+
+_TREND_LONG = " UNION ALL ".join(f"SELECT station_id, day, '{m}' AS metric, {m} AS y FROM daily WHERE {m} IS NOT NULL" for m in METRICS)
+
+SQL["trend"] = with_binding(f"""
+daily0 AS (
+  SELECT station_id, CAST(observed_at AS DATE) AS day, {', '.join(f'round(avg({m}), 2) AS {m}' for m in METRICS)}
+  FROM aq WHERE {window_sql(AS_OF, '30 DAY')} AND {ACTIVE} GROUP BY 1, 2),
+daily AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY station_id) AS nd FROM daily0) WHERE nd >= 7),
+lng AS ({_TREND_LONG}),
+ix AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY station_id, metric ORDER BY day) - 1 AS DOUBLE) AS x,
+         row_number() OVER (PARTITION BY station_id, metric ORDER BY day DESC) AS rd
+  FROM lng),
+g AS (
+  SELECT station_id, metric, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+         regr_r2(y, x) AS r2, var_pop(y) AS vy,
+         {mean_he_sql('CASE WHEN x < 3 THEN y END', 2)} AS start_avg,
+         {mean_he_sql('CASE WHEN rd <= 3 THEN y END', 2)} AS end_avg,
+         {mean_he_sql('y', 2)} AS overall_avg
+  FROM ix GROUP BY 1, 2 HAVING count(*) >= 7),
+p AS (
+  SELECT *, CASE WHEN intercept <> 0 THEN ((slope * (n - 1) + intercept) - intercept) / intercept * 100 ELSE 0 END AS pct
+  FROM g),
+o AS (
+  SELECT station_id, metric, round_even(slope, 4) + 0.0 AS slope, round_even(intercept, 2) + 0.0 AS intercept,
+         round_even(CASE WHEN vy > 0 THEN r2 ELSE 0 END, 4) AS r_squared, round_even(pct, 2) + 0.0 AS pct_change,
+         CASE WHEN abs(pct) < 5 THEN 'stable' WHEN pct > 0 THEN 'worsening' ELSE 'improving' END AS direction,
+         start_avg, end_avg, overall_avg, CAST(n AS BIGINT) AS data_points
+  FROM p)
+SELECT CAST(o.station_id AS BIGINT) AS station_id, o.metric, slope, intercept, r_squared, pct_change, direction,
+       start_avg, end_avg, overall_avg, data_points,
+       coalesce(max(CASE WHEN metric = 'aqi' THEN direction END) OVER (PARTITION BY station_id), 'unknown') AS overall_direction
+FROM o
+""")
+
+
+def _level_sql(x: str, field: int, strict: bool) -> str:
+    from .config import AQI_LEVELS
+
+    parts = []
+    for band in AQI_LEVELS:
+        lo, hi, val = band[0], band[1], band[field]
+        cond = f"{x} >= {lo} AND {x} <= {hi}" if strict else f"{x} <= {hi}"
+        parts.append(f"WHEN {cond} THEN '{val}'")
+    return f"CASE {' '.join(parts)} ELSE '{AQI_LEVELS[-1][field]}' END"
+
+
+def _weight_sql(x: str) -> str:
+    from .config import AQI_LEVELS
+
+    return "CASE " + " ".join(f"WHEN {x} <= {b[1]} THEN {b[4]}" for b in AQI_LEVELS) + " ELSE 16 END"
+
+
+def _health_cte() -> str:
+    from .config import AQI_LEVELS
+
+    lvl = ", ".join(f"sum(CASE WHEN v >= {b[0]} AND v <= {b[1]} THEN 1 ELSE 0 END) AS lvl{i}" for i, b in enumerate(AQI_LEVELS))
+    return f"""
+hb AS (SELECT *, CAST(aqi AS DOUBLE) AS v FROM aq WHERE {window_sql(AS_OF, '48 HOUR')} AND {ACTIVE} AND aqi IS NOT NULL),
+hg AS (
+  SELECT station_id, count(*) AS samples, arg_max(v, (observed_at, obs_id)) AS cur, avg(v) AS av,
+         {mean_he_sql('v', 2, 0)} AS avg2, max(v) AS mx, sum({_weight_sql('v')}) AS w,
+         {', '.join(f'avg({p}) AS {p}_avg' for p in POLLUTANTS)}, {lvl}
+  FROM hb GROUP BY station_id HAVING count(*) >= 6),
+hd AS (
+  SELECT *, greatest({', '.join(f'{p}_avg' for p in POLLUTANTS)}) AS top FROM hg),
+hx AS (
+  SELECT *, CASE WHEN top IS NULL THEN 'pm25' {' '.join(f"WHEN {p}_avg = top THEN '{p}'" for p in POLLUTANTS)} ELSE 'pm25' END AS dominant
+  FROM hd)"""
+
+
+def _health_select(strict: bool) -> str:
+    return f"""
+SELECT CAST(station_id AS BIGINT) AS station_id, CAST(48 AS BIGINT) AS period_hours, CAST(samples AS BIGINT) AS samples,
+       round_even(cur, 2) AS current_aqi, avg2 AS avg_aqi, round_even(mx, 2) AS max_aqi,
+       {_level_sql('cur', 2, strict)} AS current_level, {_level_sql('av', 2, strict)} AS avg_level,
+       {_level_sql('cur', 3, strict)} AS risk_level,
+       {ratio_he_sql('CAST(w AS BIGINT) * 1000', 'samples * 16')} / 10 AS exposure_score,
+       dominant AS dominant_pollutant,
+       {_level_sql('cur', 5, strict)} AS advice_vi, {_level_sql('cur', 6, strict)} AS advice_en
+FROM hx"""
+
+
+SQL["health_impact"] = with_binding(_health_cte() + _health_select(False))
+SQL["health_impact_strict"] = with_binding(_health_cte() + _health_select(True))
+
+
+def _til_sql() -> str:
+    from .config import AQI_LEVELS
+
+    return " UNION ALL ".join(
+        f"SELECT CAST(station_id AS BIGINT) AS station_id, '{b[2]}' AS level, CAST(lvl{i} AS BIGINT) AS hours FROM hx WHERE lvl{i} > 0"
+        for i, b in enumerate(AQI_LEVELS)
+    )
+
+
+SQL["health_time_in_levels"] = with_binding(_health_cte() + "\n" + _til_sql())
+SQL["health_pollutant_averages"] = with_binding(_health_cte() + "\n" + " UNION ALL ".join(
+    f"SELECT CAST(station_id AS BIGINT) AS station_id, dominant AS dominant_pollutant, '{p}' AS pollutant, "
+    f"round({p}_avg, 4) AS avg_value FROM hx WHERE {p}_avg IS NOT NULL" for p in POLLUTANTS
+))
+
+
+def _pairs_union(src: str, pairs: list[tuple[str, str, str, str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT station_id, '{la}' AS metric_a, '{lb}' AS metric_b, '{cat}' AS category, "
+        f"CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for a, b, la, lb, cat in pairs
+    )
+
+
+def _pearson_select(src: str) -> str:
+    return f"""
+SELECT CAST(station_id AS BIGINT) AS station_id, metric_a, metric_b, category,
+       round_even(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 4) + 0.0 AS correlation, CAST(count(*) AS BIGINT) AS pairs
+FROM {src} GROUP BY station_id, metric_a, metric_b, category
+HAVING count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0"""
+
+
+_AA_PAIRS = [(a, b, a, b, "aq_aq") for i, a in enumerate(METRICS) for b in METRICS[i + 1:]]
+_AW_PAIRS = [(a, w, a, lbl, "aq_weather") for a in METRICS for w, lbl in WEATHER]
+
+_CORR_BASE = f"""
+aqw AS (SELECT * FROM aq WHERE {window_sql(AS_OF, '30 DAY')} AND {ACTIVE}),
+wxw AS (SELECT * FROM wx WHERE {window_sql(AS_OF, '30 DAY')} AND {ACTIVE}),
+aq_n AS (SELECT station_id, count(*) AS sample_size FROM aqw GROUP BY 1 HAVING count(*) >= 24),
+wx_n AS (SELECT station_id FROM wxw GROUP BY 1 HAVING count(*) >= 24)"""
+
+SQL["correlation_aq_aq"] = with_binding(f"""
+{_CORR_BASE},
+pl AS ({_pairs_union('aqw', _AA_PAIRS)}),
+pr AS ({_pearson_select('pl')})
+SELECT pr.*, CAST(aq_n.sample_size AS BIGINT) AS sample_size FROM pr JOIN aq_n ON aq_n.station_id = pr.station_id
+""")
+
+SQL["correlation_weather_zip"] = with_binding(f"""
+{_CORR_BASE},
+ai AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at, obs_id) AS pos FROM aqw),
+wi AS (SELECT station_id AS w_station, temperature_c, humidity_pct, wind_speed_mps,
+              row_number() OVER (PARTITION BY station_id ORDER BY observed_at, obs_id) AS w_pos FROM wxw),
+z AS (SELECT ai.*, wi.temperature_c, wi.humidity_pct, wi.wind_speed_mps FROM ai JOIN wi ON wi.w_station = ai.station_id AND wi.w_pos = ai.pos
+      WHERE ai.station_id IN (SELECT station_id FROM wx_n)),
+pl AS ({_pairs_union('z', _AW_PAIRS)}),
+pr AS ({_pearson_select('pl')})
+SELECT pr.*, CAST(aq_n.sample_size AS BIGINT) AS sample_size FROM pr JOIN aq_n ON aq_n.station_id = pr.station_id
+""")
+
+SQL["correlation_weather_hourly"] = with_binding(f"""
+{_CORR_BASE},
+ah AS (SELECT station_id, date_trunc('hour', observed_at) AS hr, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM aqw GROUP BY 1, 2),
+wh AS (SELECT station_id AS w_station, date_trunc('hour', observed_at) AS w_hr, avg(temperature_c) AS temperature_c,
+              avg(humidity_pct) AS humidity_pct, avg(wind_speed_mps) AS wind_speed_mps FROM wxw GROUP BY 1, 2),
+z AS (SELECT ah.*, wh.temperature_c, wh.humidity_pct, wh.wind_speed_mps FROM ah JOIN wh ON wh.w_station = ah.station_id AND wh.w_hr = ah.hr
+      WHERE ah.station_id IN (SELECT station_id FROM wx_n)),
+pl AS ({_pairs_union('z', _AW_PAIRS)}),
+pr AS ({_pearson_select('pl')})
+SELECT pr.*, CAST(aq_n.sample_size AS BIGINT) AS sample_size FROM pr JOIN aq_n ON aq_n.station_id = pr.station_id
+""")
