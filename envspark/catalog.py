@@ -178,3 +178,83 @@ def q_correlation_weather_zip(spark, sf_dir):
 @register("correlation_weather_hourly")
 def q_correlation_weather_hourly(spark, sf_dir):
     return canon(_corr(spark, sf_dir, False).filter("category = 'aq_weather'"))
+
+
+# --- L1, L3, L11-L16 ------------------------------------------------------
+@register("station_latest")
+def q_station_latest(spark, sf_dir):
+    from .plans.views import station_latest_air_quality
+
+    b = Bound(spark, sf_dir)
+    return canon(station_latest_air_quality(b.aq, b.wx, b.stations, AS_OF).withColumn("pm25", F.round("pm25", 4))
+                 .withColumn("pm10", F.round("pm10", 4)).withColumn("no2", F.round("no2", 4))
+                 .withColumn("temperature_c", F.round("temperature_c", 4)).withColumn("wind_speed_mps", F.round("wind_speed_mps", 4)))
+
+
+@register("station_source_latest")
+def q_station_source_latest(spark, sf_dir):
+    from .plans.views import station_source_latest
+
+    b = Bound(spark, sf_dir)
+    return canon(station_source_latest(b.aq, b.stations, AS_OF))
+
+
+@register("station_24h")
+def q_station_24h(spark, sf_dir):
+    from .plans.views import station_24h_summary
+
+    b = Bound(spark, sf_dir)
+    return canon(station_24h_summary(b.aq, b.stations, AS_OF))
+
+
+@register("simple_forecast")
+def q_simple_forecast(spark, sf_dir):
+    from .plans.views import simple_forecast
+
+    b = Bound(spark, sf_dir)
+    return canon(simple_forecast(b.aq, AS_OF))
+
+
+@register("station_analytics")
+def q_station_analytics(spark, sf_dir):
+    from .plans.views import station_analytics
+
+    b = Bound(spark, sf_dir)
+    df = station_analytics(b.aq, b.wx, b.stations, AS_OF)
+    for c in ["pm25", "pm10", "no2", "temperature_c", "wind_speed_mps"]:
+        df = df.withColumn(c, F.round(c, 4))
+    return canon(df)
+
+
+@register("fused_observations")
+def q_fused_observations(spark, sf_dir):
+    from .plans.views import fused_observations
+
+    b = Bound(spark, sf_dir)
+    df = fused_observations(b.aq)
+    for c in ["pm25", "pm10", "no2"]:
+        df = df.withColumn(c, F.round(c, 4))
+    return canon(df)
+
+
+@register("source_compare")
+def q_source_compare(spark, sf_dir):
+    from .plans.views import source_compare
+
+    b = Bound(spark, sf_dir)
+    df = source_compare(b.aq, b.stations)
+    for c in ["pm25", "pm10", "no2"]:
+        df = df.withColumn(c, F.round(c, 4))
+    return canon(df)
+
+
+@register("source_bindings")
+def q_source_bindings(spark, sf_dir):
+    """Bind the waqi endpoint to every active station, skipping stations whose binding
+    is live (existing = (station, endpoint) pairs that delivered rows in the last 2 hours)."""
+    from .plans.common import window
+    from .plans.views import generate_bindings
+
+    b = Bound(spark, sf_dir)
+    existing = window(b.aq, AS_OF, hours=2).select("station_id", "endpoint_code").distinct()
+    return canon(generate_bindings(b.stations, existing, AS_OF, endpoint="waqi_hourly"))

@@ -22,13 +22,19 @@ aq AS (
          CAST(floor(value) AS INT) AS aqi, value * 0.4 + k * 0.1 AS pm25, value * 0.8 + k * 0.2 AS pm10,
          CASE WHEN obs_id % 7 = 0 THEN NULL ELSE k END AS o3,
          CASE WHEN obs_id % 5 = 0 THEN NULL ELSE 100.0 - k + value * 0.05 END AS no2,
-         CAST(obs_id % 23 AS DOUBLE) AS so2, CAST(3.5 AS DOUBLE) AS co
+         CAST(obs_id % 23 AS DOUBLE) AS so2, CAST(3.5 AS DOUBLE) AS co,
+         observed_at + to_seconds(obs_id % 600) AS fetched_at,
+         (CASE WHEN event_type = 'click' THEN 'waqi' ELSE 'openmeteo' END) || '_hourly' AS endpoint_code,
+         (CASE WHEN event_type = 'click' THEN 'waqi' ELSE 'openmeteo' END) || '-' || strftime(date_trunc('hour', observed_at), '%Y%m%d%H') AS pipeline_run_id,
+         (CASE WHEN event_type = 'click' THEN 'waqi' ELSE 'openmeteo' END) || '-' || strftime(date_trunc('hour', observed_at), '%Y%m%d%H') || '-' || CAST(station_id AS VARCHAR) AS raw_payload_id,
+         (CASE WHEN event_type = 'click' THEN 'waqi' ELSE 'openmeteo' END) || '-' || strftime(date_trunc('hour', observed_at), '%Y%m%d%H') || '-n' AS normalize_run_id
   FROM obs_base WHERE event_type IN ('click', 'error', 'purchase')),
 wx AS (
   SELECT obs_id, station_id, observed_at, 20.0 + k * 0.1 AS temperature_c, CAST(obs_id % 101 AS DOUBLE) AS humidity_pct,
          value * 0.02 AS wind_speed_mps, CAST(1000 + obs_id % 30 AS DOUBLE) AS pressure_hpa,
          CASE WHEN obs_id % 3 <> 0 THEN NULL ELSE k * 0.1 END AS precipitation_mm,
-         CAST((obs_id * 7) % 101 AS DOUBLE) AS cloud_cover_pct
+         CAST((obs_id * 7) % 101 AS DOUBLE) AS cloud_cover_pct,
+         observed_at + to_seconds(obs_id % 900) AS fetched_at
   FROM obs_base WHERE event_type IN ('view', 'signup')),
 stations AS (
   SELECT DISTINCT CAST(user_id % 12 AS INT) AS station_id, concat('ST-', CAST(CAST(user_id % 12 AS INT) AS VARCHAR)) AS code,
@@ -396,3 +402,118 @@ pl AS ({_pairs_union('z', _AW_PAIRS)}),
 pr AS ({_pearson_select('pl')})
 SELECT pr.*, CAST(aq_n.sample_size AS BIGINT) AS sample_size FROM pr JOIN aq_n ON aq_n.station_id = pr.station_id
 """)
+
+_R4 = {"pm25", "pm10", "no2", "temperature_c", "wind_speed_mps"}
+
+
+def r4(c: str, alias: str | None = None) -> str:
+    return f"round({c}, 4) AS {alias or c.split('.')[-1]}"
+
+
+SQL["station_latest"] = with_binding(f"""
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM aq WHERE observed_at <= {AS_OF}) WHERE rn = 1),
+lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM wx WHERE observed_at <= {AS_OF}) WHERE rn = 1)
+SELECT CAST(s.station_id AS BIGINT) AS station_id, s.code AS station_code, s.lat, s.lng, s.is_active,
+       {ts_sql('la.observed_at')} AS observed_at, {ts_sql('coalesce(la.fetched_at, lw.fetched_at)')} AS fetched_at,
+       CAST(la.aqi AS BIGINT) AS aqi, {r4('la.pm25')}, {r4('la.pm10')}, la.o3, {r4('la.no2')}, la.so2, la.co,
+       {r4('lw.temperature_c')}, lw.humidity_pct, {r4('lw.wind_speed_mps')},
+       la.provider_code AS source_provider_code, la.endpoint_code AS source_endpoint_code
+FROM stations s LEFT JOIN la ON la.station_id = s.station_id LEFT JOIN lw ON lw.station_id = s.station_id
+WHERE s.is_active
+""")
+
+SQL["station_source_latest"] = with_binding(f"""
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM aq WHERE observed_at <= {AS_OF}) WHERE rn = 1)
+SELECT CAST(s.station_id AS BIGINT) AS station_id, s.code AS station_code, {ts_sql('la.observed_at')} AS observed_at,
+       {ts_sql('la.fetched_at')} AS fetched_at, CAST(la.aqi AS BIGINT) AS aqi,
+       la.provider_code AS source_provider_code, la.endpoint_code AS source_endpoint_code,
+       la.pipeline_run_id, la.raw_payload_id, la.normalize_run_id
+FROM stations s LEFT JOIN la ON la.station_id = s.station_id
+""")
+
+_S24 = f"""
+g AS (SELECT station_id, count(*) AS samples, round(avg(aqi), 2) AS aqi_avg, min(aqi) AS aqi_min, max(aqi) AS aqi_max,
+             {', '.join(f'round(avg({p}), 2) AS {p}_avg' for p in POLLUTANTS)}, max(observed_at) AS last_observed_at
+      FROM aq WHERE observed_at >= {AS_OF} - INTERVAL 24 HOUR AND observed_at <= {AS_OF} GROUP BY station_id),
+s24 AS (SELECT s.station_id, s.code AS station_code, coalesce(g.samples, 0) AS samples, g.aqi_avg, g.aqi_min, g.aqi_max,
+               {', '.join(f'g.{p}_avg' for p in POLLUTANTS)}, g.last_observed_at
+        FROM stations s LEFT JOIN g ON g.station_id = s.station_id WHERE s.is_active)"""
+
+SQL["station_24h"] = with_binding(f"""{_S24}
+SELECT CAST(station_id AS BIGINT) AS station_id, station_code, CAST(samples AS BIGINT) AS samples, aqi_avg,
+       CAST(aqi_min AS BIGINT) AS aqi_min, CAST(aqi_max AS BIGINT) AS aqi_max,
+       {', '.join(f'{p}_avg' for p in POLLUTANTS)}, {ts_sql('last_observed_at')} AS last_observed_at
+FROM s24
+""")
+
+_SF = f"""
+rc AS (SELECT station_id, observed_at, obs_id, aqi,
+              row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+       FROM aq WHERE observed_at >= {AS_OF} - INTERVAL 12 HOUR AND observed_at <= {AS_OF}),
+sg AS (SELECT station_id, max(aqi) FILTER (WHERE rn = 1) AS last_aqi, max(observed_at) FILTER (WHERE rn = 1) AS last_at,
+              max(aqi) FILTER (WHERE rn = 6) AS aqi6, max(observed_at) FILTER (WHERE rn = 6) AS t6
+       FROM rc GROUP BY station_id),
+sf AS (SELECT *, round(coalesce(CAST(last_aqi - aqi6 AS DOUBLE) / nullif(date_diff('microsecond', t6, last_at) / 3.6e9, 0), 0), 3) AS aqi_per_hour
+       FROM sg),
+sff AS (SELECT station_id, last_at, last_aqi, aqi_per_hour,
+               CAST(greatest(0, round(last_aqi + aqi_per_hour * 1)) AS INT) AS aqi_next_1h,
+               CAST(greatest(0, round(last_aqi + aqi_per_hour * 3)) AS INT) AS aqi_next_3h,
+               CAST(greatest(0, round(last_aqi + aqi_per_hour * 6)) AS INT) AS aqi_next_6h FROM sf)"""
+
+SQL["simple_forecast"] = with_binding(f"""{_SF}
+SELECT CAST(station_id AS BIGINT) AS station_id, {ts_sql('last_at')} AS last_at, CAST(last_aqi AS BIGINT) AS last_aqi,
+       aqi_per_hour + 0.0 AS aqi_per_hour, CAST(aqi_next_1h AS BIGINT) AS aqi_next_1h, CAST(aqi_next_3h AS BIGINT) AS aqi_next_3h,
+       CAST(aqi_next_6h AS BIGINT) AS aqi_next_6h
+FROM sff
+""")
+
+SQL["station_analytics"] = with_binding(f"""
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM aq WHERE observed_at <= {AS_OF}) WHERE rn = 1),
+lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM wx WHERE observed_at <= {AS_OF}) WHERE rn = 1),
+{_S24.strip()},
+{_SF.strip()}
+SELECT CAST(s.station_id AS BIGINT) AS station_id, s.code AS station_code, s.lat, s.lng, CAST(la.aqi AS BIGINT) AS current_aqi,
+       {aqi_category_sql('la.aqi')} AS current_category,
+       {r4('la.pm25')}, {r4('la.pm10')}, la.o3, {r4('la.no2')}, la.so2, la.co,
+       {r4('lw.temperature_c')}, lw.humidity_pct, {r4('lw.wind_speed_mps')}, {ts_sql('la.observed_at')} AS observed_at,
+       CAST(s24.samples AS BIGINT) AS samples_24h, s24.aqi_avg, CAST(s24.aqi_min AS BIGINT) AS aqi_min,
+       CAST(s24.aqi_max AS BIGINT) AS aqi_max, s24.pm25_avg, s24.pm10_avg,
+       {aqi_category_sql('s24.aqi_avg')} AS avg_category_24h,
+       CAST(sff.aqi_next_1h AS BIGINT) AS aqi_next_1h, CAST(sff.aqi_next_3h AS BIGINT) AS aqi_next_3h,
+       CAST(sff.aqi_next_6h AS BIGINT) AS aqi_next_6h, sff.aqi_per_hour + 0.0 AS forecast_slope_per_hour,
+       {aqi_category_sql('sff.aqi_next_6h')} AS forecast_category_6h
+FROM stations s LEFT JOIN la ON la.station_id = s.station_id LEFT JOIN lw ON lw.station_id = s.station_id
+LEFT JOIN s24 ON s24.station_id = s.station_id LEFT JOIN sff ON sff.station_id = s.station_id
+WHERE s.is_active
+""")
+
+SQL["fused_observations"] = with_binding(f"""
+rk AS (SELECT *, date_trunc('hour', observed_at) AS hour,
+              row_number() OVER (PARTITION BY station_id, date_trunc('hour', observed_at)
+                                 ORDER BY CASE provider_code WHEN 'waqi' THEN 1 ELSE 2 END, fetched_at DESC NULLS LAST, obs_id DESC) AS rn
+       FROM aq)
+SELECT CAST(station_id AS BIGINT) AS station_id, {ts_sql('hour')} AS hour, CAST(obs_id AS BIGINT) AS obs_id,
+       {ts_sql('observed_at')} AS observed_at, CAST(aqi AS BIGINT) AS aqi, {r4('pm25')}, {r4('pm10')}, o3, {r4('no2')}, so2, co,
+       provider_code, {ts_sql('fetched_at')} AS fetched_at
+FROM rk WHERE rn = 1
+""")
+
+SQL["source_compare"] = with_binding(f"""
+SELECT CAST(a.station_id AS BIGINT) AS station_id, s.code AS station_code, {ts_sql("date_trunc('hour', a.observed_at)")} AS hour,
+       a.provider_code, CAST(a.obs_id AS BIGINT) AS obs_id, CAST(a.aqi AS BIGINT) AS aqi, {r4('a.pm25')}, {r4('a.pm10')}, a.o3,
+       {r4('a.no2')}, a.so2, a.co, {ts_sql('a.fetched_at')} AS fetched_at
+FROM aq a JOIN stations s ON s.station_id = a.station_id
+""")
+
+SQL["source_bindings"] = with_binding(f"""
+ex AS (SELECT DISTINCT station_id, endpoint_code FROM aq WHERE {window_sql(AS_OF, "2 HOUR")})
+SELECT CAST(s.station_id AS BIGINT) AS station_id, 'waqi' AS provider_code, 'waqi_hourly' AS endpoint_code, TRUE AS is_enabled,
+       CAST(200 AS BIGINT) AS priority, {ts_sql(AS_OF)} AS valid_from
+FROM stations s WHERE s.is_active
+  AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.station_id = s.station_id AND ex.endpoint_code = 'waqi_hourly')
+""")

@@ -18,6 +18,11 @@ def window(df: DataFrame, as_of: datetime, *, days: float = 0, hours: float = 0,
     return df.filter(lo & (F.col("observed_at") <= ts_lit(as_of)))
 
 
+def until(df: DataFrame, as_of: datetime) -> DataFrame:
+    """Rows observed at or before ``as_of``."""
+    return df.filter(F.col("observed_at") <= ts_lit(as_of))
+
+
 def active_only(df: DataFrame, stations: DataFrame) -> DataFrame:
     return df.join(stations.filter("is_active").select("station_id"), "station_id", "left_semi")
 

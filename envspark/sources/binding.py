@@ -42,6 +42,20 @@ def obs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineage_columns(provider: Column) -> list[Column]:
+    """Ingest lineage derived from each row: fetched_at lags observed_at by up to 10 min;
+    one pipeline run per provider-hour; one raw payload per run and station."""
+    hour = F.date_format(F.date_trunc("hour", F.col("observed_at")), "yyyyMMddHH")
+    run = F.concat(provider, F.lit("-"), hour)
+    return [
+        F.expr("timestampadd(SECOND, obs_id % 600, observed_at)").alias("fetched_at"),
+        F.concat(provider, F.lit("_hourly")).alias("endpoint_code"),
+        run.alias("pipeline_run_id"),
+        F.concat(run, F.lit("-"), F.col("station_id").cast("string")).alias("raw_payload_id"),
+        F.concat(run, F.lit("-n")).alias("normalize_run_id"),
+    ]
+
+
 def aq_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Air-quality observations: obs_id, station_id, observed_at, provider_code, aqi, pm25..co."""
     b = obs_base(spark, sf_dir).filter(F.col("event_type").isin(AQ_EVENT_TYPES))
@@ -56,6 +70,7 @@ def aq_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(oid % 5 == 0, F.lit(None).cast("double")).otherwise(F.lit(100.0) - k + v * 0.05).alias("no2"),
         (oid % 23).cast("double").alias("so2"),
         F.lit(3.5).cast("double").alias("co"),
+        *lineage_columns(F.when(F.col("event_type") == "click", "waqi").otherwise("openmeteo")),
     )
 
 
@@ -71,6 +86,7 @@ def wx_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1000) + oid % 30).cast("double").alias("pressure_hpa"),
         F.when(oid % 3 != 0, F.lit(None).cast("double")).otherwise(k * 0.1).alias("precipitation_mm"),
         ((oid * 7) % 101).cast("double").alias("cloud_cover_pct"),
+        F.expr("timestampadd(SECOND, obs_id % 900, observed_at)").alias("fetched_at"),
     )
 
 
