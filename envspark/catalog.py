@@ -258,3 +258,72 @@ def q_source_bindings(spark, sf_dir):
     b = Bound(spark, sf_dir)
     existing = window(b.aq, AS_OF, hours=2).select("station_id", "endpoint_code").distinct()
     return canon(generate_bindings(b.stations, existing, AS_OF, endpoint="waqi_hourly"))
+
+
+# --- spatial grid (A11, C13, C17, K1-K7) -------------------------------------
+def _grid(spark, sf_dir):
+    from .sources.grid import grid_observations, lattice
+
+    return lattice(spark), grid_observations(spark, sf_dir)
+
+
+@register("grid_lattice")
+def q_grid_lattice(spark, sf_dir):
+    """A11 lattice with the number of observations each point received."""
+    pts, obs = _grid(spark, sf_dir)
+    n = obs.groupBy("grid_point_id").agg(F.count(F.lit(1)).alias("n_obs"))
+    return canon(pts.join(n, "grid_point_id", "left").select(
+        "grid_point_id", "lat", "lng", "province_code", F.coalesce("n_obs", F.lit(0)).alias("n_obs")))
+
+
+@register("grid_provinces")
+def q_grid_provinces(spark, sf_dir):
+    """K3 seeding: observed lattice points -> first containing nation polygon (C17) -> slug."""
+    from .functions import slugify_vi
+    from .plans.grid import point_in_polygon, polygon_edges
+    from .sources.polygons import nation_polygons
+
+    pts, obs = _grid(spark, sf_dir)
+    seen = pts.join(obs.select("grid_point_id").distinct(), "grid_point_id", "left_semi").select("grid_point_id", "lat", "lng")
+    polys, rings = nation_polygons(spark, sf_dir)
+    got = point_in_polygon(seen, polys, polygon_edges(rings))
+    return canon(got.withColumn("province_code", slugify_vi(F.col("province_name"))))
+
+
+def _fusion(spark, sf_dir):
+    from .plans.grid import run_grid_fusion
+
+    pts, obs = _grid(spark, sf_dir)
+    b = Bound(spark, sf_dir)
+    return pts, obs, run_grid_fusion(obs, pts, b.aq, b.stations, AS_OF)
+
+
+@register("grid_fusion")
+def q_grid_fusion(spark, sf_dir):
+    _, _, (fused, _) = _fusion(spark, sf_dir)
+    return canon(fused)
+
+
+@register("grid_latest")
+def q_grid_latest(spark, sf_dir):
+    from .plans.grid import grid_latest
+
+    pts, _, (_, applied) = _fusion(spark, sf_dir)
+    df = grid_latest(applied, pts, AS_OF, bounds="10.0,103.0,20.0,108.0", max_age_hours=12)
+    return canon(df.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+
+
+@register("grid_stats")
+def q_grid_stats(spark, sf_dir):
+    from .plans.grid import grid_stats
+
+    pts, _, (_, applied) = _fusion(spark, sf_dir)
+    return canon(grid_stats(applied, pts, AS_OF))
+
+
+@register("grid_health")
+def q_grid_health(spark, sf_dir):
+    from .plans.grid import grid_health
+
+    pts, _, (_, applied) = _fusion(spark, sf_dir)
+    return canon(grid_health(applied, pts, AS_OF))

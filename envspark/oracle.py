@@ -517,3 +517,120 @@ SELECT CAST(s.station_id AS BIGINT) AS station_id, 'waqi' AS provider_code, 'waq
 FROM stations s WHERE s.is_active
   AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.station_id = s.station_id AND ex.endpoint_code = 'waqi_hourly')
 """)
+
+
+def hav_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    return (f"(2 * 6371.0 * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + "
+            f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2))))")
+
+
+GRID = f"""
+pts AS (SELECT CAST(i * 41 + j AS INT) AS grid_point_id, round(8.4::DOUBLE + 0.2::DOUBLE * i, 5) AS lat,
+               round(102::DOUBLE + 0.2::DOUBLE * j, 5) AS lng, concat('p', CAST(i // 20 AS VARCHAR)) AS province_code,
+               concat('Province ', CAST(i // 20 AS VARCHAR)) AS province_name
+        FROM range(0, 77) a(i), range(0, 41) b(j)),
+rd AS (SELECT event_id AS reading_id, CAST(((event_id * 7919) % 3157 + 3157) % 3157 AS INT) AS grid_point_id,
+              date_trunc('hour', ts) AS observed_at, CAST(floor(value) AS INT) AS aqi, value * 0.4 AS pm25, value * 0.8 AS pm10,
+              CASE WHEN event_type = 'view' THEN 'berkeley_earth' ELSE 'openmeteo' END AS source_code,
+              CASE WHEN event_type = 'view' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence_score, ts AS fetched_at
+       FROM events),
+gobs AS (SELECT reading_id, grid_point_id, observed_at, aqi, pm25, pm10, source_code, confidence_score, fetched_at FROM
+           (SELECT *, row_number() OVER (PARTITION BY grid_point_id, observed_at ORDER BY fetched_at DESC, reading_id DESC) AS rn FROM rd)
+         WHERE rn = 1),
+gl AS (SELECT g.grid_point_id, g.observed_at, g.aqi, g.source_code, p.lat, p.lng FROM
+         (SELECT *, row_number() OVER (PARTITION BY grid_point_id ORDER BY observed_at DESC) AS rn FROM gobs
+          WHERE {window_sql(AS_OF, '24 HOUR')} AND aqi IS NOT NULL AND source_code IN ('openmeteo', 'berkeley_earth')) g
+         JOIN pts p ON p.grid_point_id = g.grid_point_id WHERE rn = 1),
+sl AS (SELECT a.station_id, a.aqi, s.lat, s.lng FROM
+         (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn FROM aq
+          WHERE {window_sql(AS_OF, '6 HOUR')} AND aqi IS NOT NULL AND {ACTIVE}) a
+         JOIN stations s ON s.station_id = a.station_id WHERE rn = 1),
+pr AS (SELECT g.grid_point_id, sl.aqi AS s_aqi, {hav_sql('g.lat', 'g.lng', 'sl.lat', 'sl.lng')} AS d FROM gl g, sl),
+ct AS (SELECT grid_point_id, sum(s_aqi * w) AS ws, sum(w) AS tw, count(*) AS n FROM
+         (SELECT *, CASE WHEN d < 0.1 THEN 100.0 ELSE 3.0 / (d * d) END AS w FROM pr WHERE d < 30) GROUP BY 1),
+fz AS (SELECT gl.grid_point_id, gl.observed_at, gl.aqi AS base_aqi,
+              CAST(round_even((gl.aqi * 1.0 + coalesce(ct.ws, 0)) / (1.0 + coalesce(ct.tw, 0)), 0) AS INT) AS aqi,
+              round_even(least(1.0, (1.0 + coalesce(ct.tw, 0)) / 3.0), 2) AS confidence_score,
+              CASE WHEN coalesce(ct.n, 0) > 0 THEN 'fused' ELSE gl.source_code END AS source_code,
+              coalesce(ct.n, 0) + 1 AS source_count
+       FROM gl LEFT JOIN ct ON ct.grid_point_id = gl.grid_point_id),
+applied AS (SELECT o.grid_point_id, o.observed_at, CASE WHEN f.grid_point_id IS NULL THEN o.aqi ELSE f.aqi END AS aqi,
+                   o.pm25, o.pm10, CASE WHEN f.grid_point_id IS NULL THEN o.source_code ELSE f.source_code END AS source_code,
+                   CASE WHEN f.grid_point_id IS NULL THEN o.confidence_score ELSE f.confidence_score END AS confidence_score
+            FROM gobs o LEFT JOIN fz f ON f.grid_point_id = o.grid_point_id AND f.observed_at = o.observed_at)"""
+
+SQL["grid_lattice"] = with_binding(f"""{GRID.strip()}
+SELECT CAST(p.grid_point_id AS BIGINT) AS grid_point_id, p.lat, p.lng, p.province_code,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_obs
+FROM pts p LEFT JOIN (SELECT grid_point_id, count(*) AS n FROM gobs GROUP BY 1) c ON c.grid_point_id = p.grid_point_id
+""")
+
+SQL["grid_fusion"] = with_binding(f"""{GRID.strip()}
+SELECT CAST(grid_point_id AS BIGINT) AS grid_point_id, {ts_sql('observed_at')} AS observed_at, CAST(base_aqi AS BIGINT) AS base_aqi,
+       CAST(aqi AS BIGINT) AS aqi, confidence_score, source_code, CAST(source_count AS BIGINT) AS source_count
+FROM fz
+""")
+
+SQL["grid_latest"] = with_binding(f"""{GRID.strip()},
+pin AS (SELECT * FROM pts WHERE lat BETWEEN 10.0 AND 20.0 AND lng BETWEEN 103.0 AND 108.0),
+lt AS (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY grid_point_id ORDER BY observed_at DESC) AS rn
+                      FROM applied a WHERE {window_sql(AS_OF, '12 HOUR')}) WHERE rn = 1)
+SELECT CAST(p.grid_point_id AS BIGINT) AS grid_point_id, p.lat, p.lng, p.province_code, p.province_name,
+       {ts_sql('lt.observed_at')} AS observed_at, CAST(lt.aqi AS BIGINT) AS aqi, round(lt.pm25, 4) AS pm25, round(lt.pm10, 4) AS pm10,
+       lt.source_code, lt.confidence_score
+FROM pin p JOIN lt ON lt.grid_point_id = p.grid_point_id WHERE lt.aqi IS NOT NULL
+""")
+
+SQL["grid_stats"] = with_binding(f"""{GRID.strip()}
+SELECT source_code, CAST(count(*) AS BIGINT) AS n, {ts_sql('min(observed_at)')} AS first_at, {ts_sql('max(observed_at)')} AS last_at,
+       CAST((SELECT count(*) FROM pts) AS BIGINT) AS total_grid_points,
+       CAST((SELECT count(DISTINCT grid_point_id) FROM applied WHERE {window_sql(AS_OF, '6 HOUR')}) AS BIGINT) AS fresh_within_6h
+FROM applied WHERE observed_at <= {AS_OF} GROUP BY source_code
+""")
+
+SQL["grid_health"] = with_binding(f"""{GRID.strip()},
+lt AS (SELECT grid_point_id, max(observed_at) AS last_at FROM applied WHERE observed_at <= {AS_OF} GROUP BY 1),
+st AS (SELECT CASE WHEN lt.last_at IS NULL THEN 'no_data'
+                   WHEN date_diff('microsecond', lt.last_at, {AS_OF}) / 3.6e9 < 6 THEN 'fresh'
+                   WHEN date_diff('microsecond', lt.last_at, {AS_OF}) / 3.6e9 < 24 THEN 'stale' ELSE 'expired' END AS status
+       FROM pts p LEFT JOIN lt ON lt.grid_point_id = p.grid_point_id)
+SELECT CAST(count(*) FILTER (WHERE status = 'fresh') AS BIGINT) AS fresh, CAST(count(*) FILTER (WHERE status = 'stale') AS BIGINT) AS stale,
+       CAST(count(*) FILTER (WHERE status = 'expired') AS BIGINT) AS expired, CAST(count(*) FILTER (WHERE status = 'no_data') AS BIGINT) AS no_data,
+       CAST(count(*) AS BIGINT) AS total
+FROM st
+""")
+
+_VI_FROM = ("àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ")
+_VI_TO = ("aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd")
+
+SQL["grid_provinces"] = with_binding(f"""{GRID.strip()},
+nat AS (SELECT n_nationkey, n_name, n_regionkey,
+               row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation),
+base AS (SELECT CAST(n_nationkey AS INT) AS polygon_id, n_name AS name, CAST(n_nationkey AS INT) AS sort_order,
+                8.5::DOUBLE + n_regionkey * 3.2::DOUBLE AS y0, 8.5::DOUBLE + (n_regionkey + 1) * 3.2::DOUBLE AS y1,
+                102.1::DOUBLE + k * 1.6::DOUBLE AS x0, 103.7::DOUBLE + k * 1.6::DOUBLE AS x1
+         FROM nat),
+verts AS (
+  SELECT polygon_id, 0 AS ring, 0 AS seq, x0 AS lng, y0 AS lat FROM base UNION ALL
+  SELECT polygon_id, 0, 1, x1, y0 FROM base UNION ALL
+  SELECT polygon_id, 0, 2, x1 + 0.3::DOUBLE, y1 FROM base UNION ALL
+  SELECT polygon_id, 0, 3, x0 + 0.3::DOUBLE, y1 FROM base UNION ALL
+  SELECT polygon_id, 1, 0, x0 + 0.4::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE polygon_id % 5 = 0 UNION ALL
+  SELECT polygon_id, 1, 1, x0 + 1.1::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE polygon_id % 5 = 0 UNION ALL
+  SELECT polygon_id, 1, 2, x0 + 1.1::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE polygon_id % 5 = 0 UNION ALL
+  SELECT polygon_id, 1, 3, x0 + 0.4::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE polygon_id % 5 = 0),
+edges AS (SELECT polygon_id, lng AS x1, lat AS y1,
+                 coalesce(lead(lng) OVER w, first_value(lng) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2
+          FROM verts WINDOW w AS (PARTITION BY polygon_id, ring ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+seen AS (SELECT p.* FROM pts p WHERE p.grid_point_id IN (SELECT grid_point_id FROM gobs)),
+par AS (SELECT s.grid_point_id, e.polygon_id,
+               sum(CASE WHEN ((e.y1 > s.lat) <> (e.y2 > s.lat)) AND s.lng < (e.x2 - e.x1) * (s.lat - e.y1) / (e.y2 - e.y1) + e.x1
+                        THEN 1 ELSE 0 END) AS c
+        FROM seen s, edges e GROUP BY 1, 2),
+ins AS (SELECT par.grid_point_id, b.polygon_id, b.name,
+               row_number() OVER (PARTITION BY par.grid_point_id ORDER BY b.sort_order, b.polygon_id) AS r
+        FROM par JOIN base b ON b.polygon_id = par.polygon_id WHERE par.c % 2 = 1)
+SELECT CAST(grid_point_id AS BIGINT) AS grid_point_id, CAST(polygon_id AS BIGINT) AS polygon_id, name AS province_name,
+       regexp_replace(translate(lower(name), '{_VI_FROM}', '{_VI_TO}'), '[^a-z0-9]', '', 'g') AS province_code
+FROM ins WHERE r = 1
+""")
