@@ -327,3 +327,68 @@ def q_grid_health(spark, sf_dir):
 
     pts, _, (_, applied) = _fusion(spark, sf_dir)
     return canon(grid_health(applied, pts, AS_OF))
+
+
+# --- forecasting (D18, E4-E6, H9, I7, J1-J7) ----------------------------------
+@register("hourly_resample")
+def q_hourly_resample(spark, sf_dir):
+    from .plans.forecast import hourly_series
+
+    b = Bound(spark, sf_dir)
+    return canon(hourly_series(b.aq, b.stations, AS_OF, "pm25", 14).withColumn("y", F.round("y", 4)))
+
+
+@register("forecast_features")
+def q_forecast_features(spark, sf_dir):
+    from .plans.forecast import FEATURES, forecast_features, hourly_series
+
+    b = Bound(spark, sf_dir)
+    df = forecast_features(hourly_series(b.aq, b.stations, AS_OF, "aqi", 14))
+    return canon(df.select("station_id", "ts", F.round("y", 4).alias("y"),
+                           *[F.round(c, 4).alias(c) if c not in ("hour", "day_of_week") else F.col(c) for c in FEATURES]))
+
+
+@register("forecast_evaluation")
+def q_forecast_evaluation(spark, sf_dir):
+    from .plans.forecast import hourly_series, seasonal_naive_evaluation
+
+    b = Bound(spark, sf_dir)
+    return canon(seasonal_naive_evaluation(hourly_series(b.aq, b.stations, AS_OF, "aqi", 14)))
+
+
+def _fc(spark, sf_dir, model):
+    from .plans.forecast import run_forecast
+
+    b = Bound(spark, sf_dir)
+    return run_forecast(b.aq, b.stations, AS_OF, model, "aqi")
+
+
+@register("forecast_linear")
+def q_forecast_linear(spark, sf_dir):
+    return canon(_fc(spark, sf_dir, "linear"))
+
+
+@register("forecast_arima")
+def q_forecast_arima(spark, sf_dir):
+    return canon(_fc(spark, sf_dir, "arima"))
+
+
+@register("forecast_seasonal")
+def q_forecast_seasonal(spark, sf_dir):
+    return canon(_fc(spark, sf_dir, "prophet"))
+
+
+@register("forecast_runs")
+def q_forecast_runs(spark, sf_dir):
+    from .plans.forecast import forecast_runs
+
+    pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
+    return canon(forecast_runs(pts))
+
+
+@register("forecast_compare")
+def q_forecast_compare(spark, sf_dir):
+    from .plans.forecast import compare_models
+
+    pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
+    return canon(compare_models(pts).drop("points"))

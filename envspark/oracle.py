@@ -634,3 +634,43 @@ SELECT CAST(grid_point_id AS BIGINT) AS grid_point_id, CAST(polygon_id AS BIGINT
        regexp_replace(translate(lower(name), '{_VI_FROM}', '{_VI_TO}'), '[^a-z0-9]', '', 'g') AS province_code
 FROM ins WHERE r = 1
 """)
+
+
+def hourly_sql(metric: str, days: int) -> str:
+    return (f"SELECT station_id, date_trunc('hour', observed_at) AS ts, avg(CAST({metric} AS DOUBLE)) AS y FROM aq "
+            f"WHERE {window_sql(AS_OF, f'{days} DAY')} AND {ACTIVE} AND {metric} IS NOT NULL GROUP BY 1, 2")
+
+
+SQL["hourly_resample"] = with_binding(f"""
+h AS ({hourly_sql('pm25', 14)})
+SELECT CAST(station_id AS BIGINT) AS station_id, {ts_sql('ts')} AS ts, round(y, 4) AS y FROM h
+""")
+
+SQL["forecast_features"] = with_binding(f"""
+h AS ({hourly_sql('aqi', 14)}),
+f AS (
+  SELECT station_id, ts, y, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week,
+         avg(y) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS rm6,
+         coalesce(stddev_samp(y) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 0) AS rs6,
+         avg(y) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rm24,
+         lag(y, 1) OVER (PARTITION BY station_id ORDER BY ts) AS l1, lag(y, 24) OVER (PARTITION BY station_id ORDER BY ts) AS l24,
+         first_value(y) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fy,
+         count(*) OVER (PARTITION BY station_id) AS n
+  FROM h)
+SELECT CAST(station_id AS BIGINT) AS station_id, {ts_sql('ts')} AS ts, round(y, 4) AS y, CAST(hour AS BIGINT) AS hour,
+       CAST(day_of_week AS BIGINT) AS day_of_week,
+       round(sin(2 * pi() * hour / 24), 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour / 24), 4) + 0.0 AS hour_cos,
+       round(sin(2 * pi() * day_of_week / 7), 4) + 0.0 AS dow_sin, round(cos(2 * pi() * day_of_week / 7), 4) + 0.0 AS dow_cos,
+       round(rm6, 4) AS rolling_mean_6h, round(rs6, 4) AS rolling_std_6h, round(rm24, 4) AS rolling_mean_24h,
+       round(coalesce(l1, CASE WHEN n > 1 THEN fy END, 0), 4) AS lag_1h, round(coalesce(l24, CASE WHEN n > 24 THEN fy END, 0), 4) AS lag_24h
+FROM f
+""")
+
+SQL["forecast_evaluation"] = with_binding(f"""
+h AS ({hourly_sql('aqi', 14)}),
+p AS (SELECT a.station_id, a.y AS actual, b.y AS predicted FROM h a JOIN h b ON b.station_id = a.station_id AND b.ts + INTERVAL 24 HOUR = a.ts)
+SELECT CAST(station_id AS BIGINT) AS station_id, CAST(count(*) AS BIGINT) AS n, round_even(avg(abs(actual - predicted)), 3) AS mae,
+       round_even(sqrt(avg((actual - predicted) * (actual - predicted))), 3) AS rmse,
+       round_even(avg(CASE WHEN actual <> 0 THEN abs((actual - predicted) / actual) END) * 100, 3) AS mape
+FROM p GROUP BY station_id
+""")
