@@ -392,3 +392,28 @@ def q_forecast_compare(spark, sf_dir):
 
     pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
     return canon(compare_models(pts).drop("points"))
+
+
+# --- grid ML (C14-C16, J8-J14) -------------------------------------------------
+def _r4tie(c):
+    """Presentation rounding to 4 places; the 1e-9 nudge makes exact decimal ties (means of
+    4-decimal values) round the same way whatever the summation order."""
+    return F.round(F.col(c) + F.lit(1e-9), 4).alias(c)
+
+@register("knn_training_features")
+def q_knn_training_features(spark, sf_dir):
+    from .plans.grid_ml import training_frame
+
+    b = Bound(spark, sf_dir)
+    df = training_frame(b.aq, b.wx, b.stations, AS_OF)
+    return canon(df.select(*[_r4tie(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
+
+
+@register("knn_inference_features")
+def q_knn_inference_features(spark, sf_dir):
+    from .plans.grid_ml import inference_frame
+    from .sources.grid import lattice
+
+    b = Bound(spark, sf_dir)
+    df = inference_frame(b.aq, b.wx, b.stations, lattice(spark), AS_OF)
+    return canon(df.select(*[_r4tie(c) if t == "double" else F.col(c) for c, t in df.dtypes]))

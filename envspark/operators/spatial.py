@@ -61,12 +61,27 @@ def within_km_join(
     return j.filter(F.col(dist_col) < km) if strict else j.filter(F.col(dist_col) <= km)
 
 
+def auto_cell_deg(right: DataFrame, k: int, keys: Sequence[str]) -> float:
+    """Starting probe cell from the data: twice the side of the square that holds k points
+    at the average density of one partition key (one single-row aggregate)."""
+    aggs = [F.min("lat"), F.max("lat"), F.min("lng"), F.max("lng"), F.count(F.lit(1))]
+    if keys:
+        aggs.append(F.approx_count_distinct(F.struct(*keys)))
+    row = right.agg(*aggs).first()
+    if not row or not row[4]:
+        return 1.0
+    n_keys = row[5] if keys else 1
+    per_key = max(row[4] / max(n_keys or 1, 1), 1.0)
+    area = max((row[1] - row[0]) * (row[3] - row[2]), 1e-4)
+    return float(min(max(2.0 * math.sqrt(k * area / per_key), 0.01), 90.0))
+
+
 def knn_join(
     left: DataFrame, right: DataFrame, k: int, *,
     left_id: str, right_id: str,
     partition_keys: Sequence[str] = (),
     exclude_self: bool = False,
-    cell_deg: float = 0.5,
+    cell_deg: float | None = None,
     max_km: float | None = None,
     dist_col: str = "dist_km",
 ) -> DataFrame:
@@ -78,10 +93,15 @@ def knn_join(
     its k-th candidate lies inside the block's guaranteed radius (or the block spans
     the globe).  ``exclude_self`` drops pairs with equal ids.  Returns left columns,
     right columns prefixed ``r_``, ``dist_km`` and ``rank``."""
+    from pyspark import StorageLevel
+
     from ..session import cut_lineage
 
     keys = list(partition_keys)
     lcols = list(left.columns)
+    keep = []
+    if cell_deg is None:
+        cell_deg = auto_cell_deg(right, k, keys)
     rbase = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
     pending = left
     results = []
@@ -101,7 +121,8 @@ def knn_join(
         if max_km is not None:
             cand = cand.filter(F.col(dist_col) <= max_km)
         w = Window.partitionBy(*keys, left_id).orderBy(F.col(dist_col), F.col(f"r_{right_id}"))
-        top = cut_lineage(cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+        top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).persist(StorageLevel.MEMORY_AND_DISK)
+        keep.append(top)
         # radius that the 3 x 3 block is guaranteed to cover around the point
         g_km = F.lit(cell * KM_PER_DEG) * F.cos(F.radians(F.least(F.abs(F.col("lat")) + cell, F.lit(89.9))))
         stat = top.groupBy(*keys, left_id).agg(F.count(F.lit(1)).alias("_n"), F.max(dist_col).alias("_kth"))
@@ -109,11 +130,16 @@ def knn_join(
         done = F.lit(last) | ((F.col("_n") >= k) & (F.col("_kth") <= g_km))
         if max_km is not None:
             done = done | (g_km >= max_km)
-        final_ids = cut_lineage(st.filter(done).select(*keys, left_id))
+        final_ids = st.filter(done).select(*keys, left_id).persist(StorageLevel.MEMORY_AND_DISK)
+        keep.append(final_ids)
         results.append(top.join(final_ids, [*keys, left_id], "left_semi"))
-        pending = cut_lineage(pending.join(final_ids, [*keys, left_id], "left_anti"))
+        pending = pending.join(final_ids, [*keys, left_id], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        keep.append(pending)
         if last or pending.isEmpty():
             break
+        # lineage grows by one round per loop (<= log2(360 / cell_deg) rounds); cut it every third
+        if len(results) % 3 == 0:
+            pending = cut_lineage(pending)
         cell *= 2
     out = results[0]
     for extra in results[1:]:

@@ -674,3 +674,55 @@ SELECT CAST(station_id AS BIGINT) AS station_id, CAST(count(*) AS BIGINT) AS n,
        round_even(avg(CASE WHEN actual <> 0 THEN abs((actual - predicted) / actual) END) * 100, 3) AS mape
 FROM p GROUP BY station_id
 """)
+
+
+def _r4_all(cols):
+    return ", ".join(f"round({c} + 1e-9, 4) + 0.0 AS {c.split('.')[-1]}" for c in cols)
+
+
+_WXF = ["temperature_c", "humidity_pct", "wind_speed_mps", "pressure_hpa", "precipitation_mm", "cloud_cover_pct"]
+
+SQL["knn_training_features"] = with_binding(f"""
+ah AS (SELECT a.station_id, date_trunc('hour', a.observed_at) AS ts, avg(CAST(a.aqi AS DOUBLE)) AS aqi
+       FROM aq a WHERE {window_sql(AS_OF, '30 DAY')} AND {ACTIVE} AND aqi IS NOT NULL GROUP BY 1, 2),
+ahs AS (SELECT ah.*, s.lat, s.lng FROM ah JOIN stations s ON s.station_id = ah.station_id),
+wh AS (SELECT station_id, date_trunc('hour', observed_at) AS ts, {', '.join(f'avg({c}) AS {c}' for c in _WXF)}
+       FROM wx WHERE {window_sql(AS_OF, '30 DAY')} GROUP BY 1, 2),
+pr AS (SELECT a.station_id, a.ts, b.aqi AS r_aqi, {hav_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS d, b.station_id AS rid
+       FROM ahs a JOIN ahs b ON a.ts = b.ts AND a.station_id <> b.station_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY station_id, ts ORDER BY d, rid) AS r FROM pr),
+nb AS (SELECT station_id, ts, avg(r_aqi) AS neighbor_aqi_mean, avg(d) AS neighbor_dist_mean, CAST(count(*) AS DOUBLE) AS neighbor_count
+       FROM rk WHERE r <= 3 GROUP BY 1, 2)
+SELECT CAST(a.station_id AS BIGINT) AS station_id, {ts_sql('a.ts')} AS ts, round(a.lat + 1e-9, 4) AS lat, round(a.lng + 1e-9, 4) AS lng,
+       round(sin(2 * pi() * hour(a.ts) / 24) + 1e-9, 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(a.ts) / 24) + 1e-9, 4) + 0.0 AS hour_cos,
+       round(CAST(isodow(a.ts) - 1 AS DOUBLE) + 1e-9, 4) AS dow, round(CAST(month(a.ts) AS DOUBLE) + 1e-9, 4) AS month,
+       {_r4_all([f'w.{c}' for c in _WXF])}, round(nb.neighbor_aqi_mean + 1e-9, 4) AS neighbor_aqi_mean,
+       round(nb.neighbor_dist_mean + 1e-9, 4) AS neighbor_dist_mean, round(coalesce(nb.neighbor_count, 0.0) + 1e-9, 4) AS neighbor_count, round(a.aqi + 1e-9, 4) AS aqi
+FROM ahs a LEFT JOIN wh w ON w.station_id = a.station_id AND w.ts = a.ts
+LEFT JOIN nb ON nb.station_id = a.station_id AND nb.ts = a.ts
+""")
+
+SQL["knn_inference_features"] = with_binding(f"""
+pts AS (SELECT CAST(i * 41 + j AS INT) AS grid_point_id, round(8.4::DOUBLE + 0.2::DOUBLE * i, 5) AS lat,
+               round(102::DOUBLE + 0.2::DOUBLE * j, 5) AS lng FROM range(0, 77) a(i), range(0, 41) b(j)),
+sa AS (SELECT a.station_id, CAST(a.aqi AS DOUBLE) AS aqi, s.lat, s.lng FROM
+         (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn FROM aq
+          WHERE {window_sql(AS_OF, '6 HOUR')} AND aqi IS NOT NULL AND {ACTIVE}) a
+         JOIN stations s ON s.station_id = a.station_id WHERE rn = 1),
+sw AS (SELECT w.*, s.lat, s.lng FROM
+         (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn FROM wx
+          WHERE {window_sql(AS_OF, '6 HOUR')}) w
+         JOIN stations s ON s.station_id = w.station_id WHERE rn = 1),
+pa AS (SELECT p.grid_point_id, sa.aqi, {hav_sql('p.lat', 'p.lng', 'sa.lat', 'sa.lng')} AS d, sa.station_id AS rid FROM pts p, sa),
+na AS (SELECT grid_point_id, avg(aqi) AS neighbor_aqi_mean, avg(d) AS neighbor_dist_mean, CAST(count(*) AS DOUBLE) AS neighbor_count
+       FROM (SELECT *, row_number() OVER (PARTITION BY grid_point_id ORDER BY d, rid) AS r FROM pa) WHERE r <= 3 GROUP BY 1),
+pw AS (SELECT p.grid_point_id, {', '.join(f'sw.{c}' for c in _WXF)}, {hav_sql('p.lat', 'p.lng', 'sw.lat', 'sw.lng')} AS d, sw.station_id AS rid
+       FROM pts p, sw),
+nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid_point_id ORDER BY d, rid) AS r FROM pw) WHERE r = 1)
+SELECT CAST(p.grid_point_id AS BIGINT) AS grid_point_id, round(p.lat + 1e-9, 4) AS lat, round(p.lng + 1e-9, 4) AS lng,
+       round(sin(2 * pi() * hour({AS_OF}) / 24) + 1e-9, 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour({AS_OF}) / 24) + 1e-9, 4) + 0.0 AS hour_cos,
+       round(CAST(isodow({AS_OF}) - 1 AS DOUBLE) + 1e-9, 4) AS dow, round(CAST(month({AS_OF}) AS DOUBLE) + 1e-9, 4) AS month,
+       {_r4_all([f'nw.{c}' for c in _WXF])}, round(na.neighbor_aqi_mean + 1e-9, 4) AS neighbor_aqi_mean,
+       round(na.neighbor_dist_mean + 1e-9, 4) AS neighbor_dist_mean, round(coalesce(na.neighbor_count, 0.0) + 1e-9, 4) AS neighbor_count
+FROM pts p LEFT JOIN na ON na.grid_point_id = p.grid_point_id LEFT JOIN nw ON nw.grid_point_id = p.grid_point_id
+""")
