@@ -460,3 +460,74 @@ def q_grid_ml_predict(spark, sf_dir):
     obs = grid_observations(spark, sf_dir).select("grid_point_id", "observed_at", "aqi", "source_code", "confidence_score")
     merged = keyed_merge(obs, pred, ["grid_point_id", "observed_at"])
     return canon(merged.join(pred.select("grid_point_id", "observed_at"), ["grid_point_id", "observed_at"], "left_semi"))
+
+
+# --- ingest and sinks (A7-A9, H4, N1-N3, B8) -------------------------------------
+SPLIT_AT = "2024-01-15 00:00:00"  # existing table = readings fetched before, new batch = after
+
+
+@register("payload_normalise")
+def q_payload_normalise(spark, sf_dir):
+    from .sources.payload import landed_payloads, normalise_payloads
+
+    df = normalise_payloads(landed_payloads(spark, sf_dir))
+    for c in ["pm25", "pm10", "no2", "o3", "so2", "co"]:
+        df = df.withColumn(c, F.round(c, 4))
+    return canon(df)
+
+
+@register("pm25_to_aqi")
+def q_pm25_to_aqi(spark, sf_dir):
+    from .functions import pm25_to_aqi
+
+    b = Bound(spark, sf_dir)
+    return canon(b.aq.select("obs_id", F.round("pm25", 4).alias("pm25"), pm25_to_aqi(F.col("pm25")).alias("aqi_epa"),
+                             pm25_to_aqi(F.col("pm25"), strict=True).alias("aqi_strict")))
+
+
+@register("raster_nearest")
+def q_raster_nearest(spark, sf_dir):
+    from .sources.grid import grid_readings, lattice
+    from .sources.payload import raster_from_readings, raster_to_points
+
+    pts = lattice(spark)
+    raster = raster_from_readings(grid_readings(spark, sf_dir), pts)
+    return canon(raster_to_points(raster, pts, AS_OF).withColumn("pm25", F.round("pm25", 4)))
+
+
+def _split_readings(spark, sf_dir):
+    from .sources.binding import ts_lit
+    from .sources.grid import grid_readings
+
+    r = grid_readings(spark, sf_dir)
+    return r.filter(F.col("fetched_at") < ts_lit(SPLIT_AT)), r.filter(F.col("fetched_at") >= ts_lit(SPLIT_AT))
+
+
+@register("keyed_merge")
+def q_keyed_merge(spark, sf_dir):
+    """Grid table as of the split, upserted with the later batch (later reading wins)."""
+    from .operators.merge import keyed_merge, latest_version
+
+    old, new = _split_readings(spark, sf_dir)
+    existing = latest_version(old, ["grid_point_id", "observed_at"], ["fetched_at", "reading_id"])
+    merged = keyed_merge(existing, new.withColumn("_seq", F.col("reading_id")), ["grid_point_id", "observed_at"])
+    return canon(merged.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+
+
+@register("insert_ignore")
+def q_insert_ignore(spark, sf_dir):
+    """Rows of the later batch whose key is new (first reading per key wins)."""
+    from .operators.merge import insert_ignore_ordered, latest_version
+
+    old, new = _split_readings(spark, sf_dir)
+    existing = latest_version(old, ["grid_point_id", "observed_at"], ["fetched_at", "reading_id"])
+    ins = insert_ignore_ordered(existing, new, ["grid_point_id", "observed_at"], ["reading_id"])
+    return canon(ins.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+
+
+@register("quality_filter")
+def q_quality_filter(spark, sf_dir):
+    from .operators.quality import quality_report
+
+    b = Bound(spark, sf_dir)
+    return canon(quality_report(b.aq, "air_quality").unionByName(quality_report(b.wx, "weather")))

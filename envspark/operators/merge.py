@@ -59,3 +59,10 @@ def write_partitioned_upsert(df: DataFrame, path: str, partition_cols: Sequence[
         df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def insert_ignore_ordered(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """N3 with a deterministic winner inside ``new``: the first row by ``order`` per absent key."""
+    fresh = new.join(existing.select(*keys), list(keys), "left_anti")
+    first = F.min_by(F.struct(*[F.col(c) for c in fresh.columns if c not in keys]), F.struct(*[F.col(c) for c in order]))
+    return fresh.groupBy(*keys).agg(first.alias("_f")).select(*keys, "_f.*").select(*fresh.columns)

@@ -726,3 +726,92 @@ SELECT CAST(p.grid_point_id AS BIGINT) AS grid_point_id, round(p.lat + 1e-9, 4)
        round(na.neighbor_dist_mean + 1e-9, 4) AS neighbor_dist_mean, round(coalesce(na.neighbor_count, 0.0) + 1e-9, 4) AS neighbor_count
 FROM pts p LEFT JOIN na ON na.grid_point_id = p.grid_point_id LEFT JOIN nw ON nw.grid_point_id = p.grid_point_id
 """)
+
+
+SQL["payload_normalise"] = with_binding(f"""
+SELECT CAST(event_id AS BIGINT) AS payload_id, CAST(((event_id * 7919) % 3157 + 3157) % 3157 AS BIGINT) AS grid_point_id,
+       {ts_sql("date_trunc('hour', ts)")} AS observed_at, CAST(round_even(value, 0) AS BIGINT) AS aqi,
+       round(value * 0.4, 4) AS pm25, CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value * 0.8, 4) END AS pm10,
+       round(k * 0.5, 4) AS no2, CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(k, 4) END AS o3,
+       round(value * 0.1, 4) AS so2, 250.0::DOUBLE AS co, 'openmeteo' AS source_code, 0.6::DOUBLE AS confidence_score,
+       {ts_sql('ts')} AS fetched_at
+FROM (SELECT *, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events) e
+WHERE event_type <> 'error' AND value IS NOT NULL
+""")
+
+
+def pm25_aqi_sql(x: str, strict: bool) -> str:
+    from .config import PM25_BREAKPOINTS
+
+    c = x if strict else f"(floor({x} * 10) / 10)"
+    parts = [f"WHEN {x} IS NULL OR isnan({x}) OR {x} < 0 THEN NULL"]
+    for c_lo, c_hi, i_lo, i_hi in PM25_BREAKPOINTS:
+        slope = repr((i_hi - i_lo) / (c_hi - c_lo))
+        parts.append(f"WHEN {c} >= {c_lo!r}::DOUBLE AND {c} <= {c_hi!r}::DOUBLE THEN "
+                     f"CAST(round_even({slope}::DOUBLE * ({c} - {c_lo!r}::DOUBLE) + {i_lo}, 0) AS INT)")
+    parts.append(f"WHEN {x} > 500.4::DOUBLE THEN 500")
+    return "CASE " + " ".join(parts) + " ELSE NULL END"
+
+
+SQL["pm25_to_aqi"] = with_binding(f"""
+SELECT CAST(obs_id AS BIGINT) AS obs_id, round(pm25, 4) AS pm25, CAST({pm25_aqi_sql('pm25', False)} AS BIGINT) AS aqi_epa,
+       CAST({pm25_aqi_sql('pm25', True)} AS BIGINT) AS aqi_strict
+FROM aq
+""")
+
+SQL["raster_nearest"] = with_binding(f"""{GRID.strip()},
+ras AS (SELECT round(8.3::DOUBLE + ci * 0.5::DOUBLE, 5) AS r_lat, round(101.3::DOUBLE + cj * 0.5::DOUBLE, 5) AS r_lon, avg(pm25) AS pm25
+        FROM (SELECT rd.pm25, CAST(floor((p.lat - {repr(8.3 - 0.25)}::DOUBLE) / 0.5::DOUBLE) AS INT) AS ci,
+                     CAST(floor((p.lng - {repr(101.3 - 0.25)}::DOUBLE) / 0.5::DOUBLE) AS INT) AS cj
+              FROM rd JOIN pts p ON p.grid_point_id = rd.grid_point_id) GROUP BY ci, cj),
+la AS (SELECT DISTINCT r_lat FROM ras), lo AS (SELECT DISTINCT r_lon FROM ras),
+nla AS (SELECT * FROM (SELECT p.grid_point_id, la.r_lat, row_number() OVER (PARTITION BY p.grid_point_id ORDER BY abs(p.lat - la.r_lat), la.r_lat DESC) AS r
+                       FROM pts p, la) WHERE r = 1),
+nlo AS (SELECT * FROM (SELECT p.grid_point_id, lo.r_lon, row_number() OVER (PARTITION BY p.grid_point_id ORDER BY abs(p.lng - lo.r_lon), lo.r_lon DESC) AS r
+                       FROM pts p, lo) WHERE r = 1),
+j AS (SELECT nla.grid_point_id, ras.pm25 FROM nla JOIN nlo ON nlo.grid_point_id = nla.grid_point_id
+      JOIN ras ON ras.r_lat = nla.r_lat AND ras.r_lon = nlo.r_lon),
+a AS (SELECT *, {pm25_aqi_sql('pm25', False)} AS aqi FROM j)
+SELECT CAST(grid_point_id AS BIGINT) AS grid_point_id, {ts_sql(f"date_trunc('hour', {AS_OF})")} AS observed_at, CAST(aqi AS BIGINT) AS aqi,
+       round(pm25, 4) AS pm25, 'berkeley_earth' AS source_code, 0.7::DOUBLE AS confidence_score
+FROM a WHERE aqi IS NOT NULL
+""")
+
+_SPLIT = "TIMESTAMP '2024-01-15 00:00:00'"
+_READ_COLS = "reading_id, grid_point_id, observed_at, aqi, pm25, pm10, source_code, confidence_score, fetched_at"
+
+SQL["keyed_merge"] = with_binding(f"""{GRID.strip()},
+ex AS (SELECT {_READ_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY grid_point_id, observed_at ORDER BY fetched_at DESC, reading_id DESC) AS rn
+                                 FROM rd WHERE fetched_at < {_SPLIT}) WHERE rn = 1),
+u AS (SELECT {_READ_COLS}, 0 AS src, 0 AS seq FROM ex UNION ALL SELECT {_READ_COLS}, 1 AS src, reading_id AS seq FROM rd WHERE fetched_at >= {_SPLIT}),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid_point_id, observed_at ORDER BY src DESC, seq DESC) AS rn FROM u) WHERE rn = 1)
+SELECT CAST(reading_id AS BIGINT) AS reading_id, CAST(grid_point_id AS BIGINT) AS grid_point_id, {ts_sql('observed_at')} AS observed_at,
+       CAST(aqi AS BIGINT) AS aqi, round(pm25, 4) AS pm25, round(pm10, 4) AS pm10, source_code, confidence_score, {ts_sql('fetched_at')} AS fetched_at
+FROM m
+""")
+
+SQL["insert_ignore"] = with_binding(f"""{GRID.strip()},
+ex AS (SELECT DISTINCT grid_point_id, observed_at FROM rd WHERE fetched_at < {_SPLIT}),
+nw AS (SELECT * FROM rd WHERE fetched_at >= {_SPLIT} AND NOT EXISTS
+         (SELECT 1 FROM ex WHERE ex.grid_point_id = rd.grid_point_id AND ex.observed_at = rd.observed_at)),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid_point_id, observed_at ORDER BY reading_id) AS rn FROM nw) WHERE rn = 1)
+SELECT CAST(reading_id AS BIGINT) AS reading_id, CAST(grid_point_id AS BIGINT) AS grid_point_id, {ts_sql('observed_at')} AS observed_at,
+       CAST(aqi AS BIGINT) AS aqi, round(pm25, 4) AS pm25, round(pm10, 4) AS pm10, source_code, confidence_score, {ts_sql('fetched_at')} AS fetched_at
+FROM m
+""")
+
+
+def _quality_sql() -> str:
+    from .operators.quality import RULES
+
+    parts = []
+    for t, rule, col, lo, hi in RULES:
+        src = "aq" if t == "air_quality" else "wx"
+        bad = f"CAST({col} AS DOUBLE) < {lo}" if hi is None else f"(CAST({col} AS DOUBLE) < {lo} OR CAST({col} AS DOUBLE) > {hi})"
+        parts.append(f"SELECT '{t}' AS table_name, '{rule}' AS rule, CAST(count({col}) AS BIGINT) AS checked, "
+                     f"CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS failed, "
+                     f"CAST(count({col}) - count(*) FILTER (WHERE {bad}) AS BIGINT) AS passed FROM {src}")
+    return "\nUNION ALL ".join(parts)
+
+
+SQL["quality_filter"] = with_binding("q AS (" + _quality_sql() + ")\nSELECT * FROM q")
