@@ -531,3 +531,34 @@ def q_quality_filter(spark, sf_dir):
 
     b = Bound(spark, sf_dir)
     return canon(quality_report(b.aq, "air_quality").unionByName(quality_report(b.wx, "weather")))
+
+
+# --- lineage views (L2, L4, L7, L8) -------------------------------------------------
+@register("pipeline_run_overview")
+def q_pipeline_run_overview(spark, sf_dir):
+    from .plans.lineage import pipeline_run_overview
+
+    return canon(pipeline_run_overview(Bound(spark, sf_dir).aq))
+
+
+@register("lineage_observation")
+def q_lineage_observation(spark, sf_dir):
+    from .plans.lineage import observation_full_lineage
+
+    b = Bound(spark, sf_dir)
+    return canon(observation_full_lineage(b.aq, b.stations))
+
+
+@register("bindings_overview")
+def q_bindings_overview(spark, sf_dir):
+    from .plans.lineage import station_bindings_overview
+
+    b = Bound(spark, sf_dir)
+    return canon(station_bindings_overview(b.aq, b.stations, AS_OF))
+
+
+@register("provider_health")
+def q_provider_health(spark, sf_dir):
+    from .plans.lineage import provider_health
+
+    return canon(provider_health(Bound(spark, sf_dir).aq, AS_OF))

@@ -815,3 +815,67 @@ def _quality_sql() -> str:
 
 
 SQL["quality_filter"] = with_binding("q AS (" + _quality_sql() + ")\nSELECT * FROM q")
+
+
+LINEAGE = """
+req AS (SELECT raw_payload_id AS request_id, pipeline_run_id, provider_code, endpoint_code,
+               CASE WHEN min(obs_id) % 17 = 0 THEN 'failed' WHEN min(obs_id) % 29 = 0 THEN 'timeout' ELSE 'success' END AS status,
+               min(fetched_at) AS request_started_at, count(*) AS records, CAST(((sum(obs_id) % 997) + 997) % 997 + 20 AS INT) AS latency_ms,
+               CAST(count(*) * 512 AS INT) AS response_size_bytes
+        FROM aq GROUP BY raw_payload_id, pipeline_run_id, provider_code, endpoint_code),
+runs AS (SELECT pipeline_run_id, provider_code || '_ingest' AS pipeline_code, provider_code, endpoint_code,
+                CASE WHEN sum(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) = 0 THEN 'success'
+                     WHEN sum(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) < count(*) THEN 'partial' ELSE 'failed' END AS status,
+                min(request_started_at) AS started_at, max(request_started_at) AS finished_at, sum(records) AS records
+         FROM req GROUP BY pipeline_run_id, provider_code, endpoint_code),
+eps AS (SELECT DISTINCT endpoint_code, provider_code, upper(provider_code) || ' hourly' AS endpoint_name, 'api' AS endpoint_kind FROM aq),
+bnd AS (SELECT station_id, endpoint_code, provider_code, min(observed_at) AS valid_from FROM aq GROUP BY 1, 2, 3)"""
+
+SQL["pipeline_run_overview"] = with_binding(f"""{LINEAGE.strip()}
+SELECT r.pipeline_run_id AS id, r.pipeline_code, upper(r.provider_code) || ' ingest' AS pipeline_name, 'ingest' AS pipeline_type,
+       r.status, 'schedule' AS trigger_type, {ts_sql('r.started_at')} AS started_at, {ts_sql('r.finished_at')} AS finished_at,
+       r.endpoint_code, e.endpoint_name, CAST(r.records AS BIGINT) AS records
+FROM runs r LEFT JOIN eps e ON e.endpoint_code = r.endpoint_code
+""")
+
+SQL["lineage_observation"] = with_binding(f"""{LINEAGE.strip()}
+SELECT a.raw_payload_id, a.normalize_run_id, a.pipeline_run_id, a.endpoint_code, a.provider_code, CAST(a.obs_id AS BIGINT) AS obs_id,
+       CAST(a.station_id AS BIGINT) AS station_id, {ts_sql('a.observed_at')} AS observed_at, {ts_sql('a.fetched_at')} AS fetched_at,
+       CAST(a.aqi AS BIGINT) AS aqi, s.code AS station_code, upper(a.provider_code) AS provider_name, e.endpoint_name,
+       r.status AS run_status, {ts_sql('r.started_at')} AS run_started_at, q.status AS request_status,
+       CAST(CASE WHEN q.status = 'success' THEN 200 ELSE 500 END AS BIGINT) AS http_status, CAST(q.latency_ms AS BIGINT) AS latency_ms,
+       'aq_v1' AS parser_key, '1.0' AS parser_version
+FROM aq a LEFT JOIN stations s ON s.station_id = a.station_id LEFT JOIN eps e ON e.endpoint_code = a.endpoint_code
+LEFT JOIN runs r ON r.pipeline_run_id = a.pipeline_run_id LEFT JOIN req q ON q.request_id = a.raw_payload_id
+""")
+
+SQL["bindings_overview"] = with_binding(f"""{LINEAGE.strip()},
+lt AS (SELECT * FROM (SELECT station_id, endpoint_code, observed_at, aqi,
+                             row_number() OVER (PARTITION BY station_id, endpoint_code ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM aq WHERE observed_at <= {AS_OF}) WHERE rn = 1)
+SELECT CAST(s.station_id AS BIGINT) AS station_id, s.code AS station_code, s.is_active AS station_active,
+       CAST(b.station_id AS VARCHAR) || ':' || b.endpoint_code AS binding_id, 'ext-' || CAST(b.station_id AS VARCHAR) AS external_object_id,
+       CAST(CASE WHEN b.provider_code = 'waqi' THEN 200 ELSE 100 END AS BIGINT) AS priority, TRUE AS binding_enabled,
+       {ts_sql('b.valid_from')} AS valid_from, e.provider_code, b.endpoint_code, e.endpoint_name, e.endpoint_kind,
+       {ts_sql('lt.observed_at')} AS latest_observation_at, CAST(lt.aqi AS BIGINT) AS latest_aqi
+FROM stations s LEFT JOIN bnd b ON b.station_id = s.station_id LEFT JOIN eps e ON e.endpoint_code = b.endpoint_code
+LEFT JOIN lt ON lt.station_id = b.station_id AND lt.endpoint_code = b.endpoint_code
+""")
+
+SQL["provider_health"] = with_binding(f"""{LINEAGE.strip()},
+st AS (SELECT provider_code, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS ok,
+              count(*) FILTER (WHERE status IN ('failed', 'timeout')) AS bad, CAST(round(avg(latency_ms)) AS INT) AS avg_latency_ms,
+              CAST(round(quantile_cont(latency_ms, 0.95)) AS INT) AS p95_latency_ms, sum(response_size_bytes) AS total_bytes_24h
+       FROM req WHERE request_started_at > {AS_OF} - INTERVAL 24 HOUR AND request_started_at <= {AS_OF} GROUP BY 1),
+act AS (SELECT provider_code, count(*) AS active_bindings FROM bnd GROUP BY 1),
+lok AS (SELECT provider_code, max(request_started_at) AS last_success_at FROM req WHERE status = 'success' AND request_started_at <= {AS_OF} GROUP BY 1),
+pv AS (SELECT DISTINCT provider_code FROM aq)
+SELECT pv.provider_code, upper(pv.provider_code) AS provider_name, TRUE AS is_active, CAST(coalesce(st.total, 0) AS BIGINT) AS requests_24h,
+       CAST(coalesce(st.ok, 0) AS BIGINT) AS success_24h, CAST(coalesce(st.bad, 0) AS BIGINT) AS failed_24h,
+       CASE WHEN coalesce(st.total, 0) > 0 THEN round(st.ok / st.total * 100, 1) ELSE 0.0 END AS success_rate_pct,
+       CAST(st.avg_latency_ms AS BIGINT) AS avg_latency_ms, CAST(st.p95_latency_ms AS BIGINT) AS p95_latency_ms,
+       CAST(st.total_bytes_24h AS BIGINT) AS total_bytes_24h, CAST(coalesce(act.active_bindings, 0) AS BIGINT) AS active_bindings,
+       {ts_sql('lok.last_success_at')} AS last_success_at
+FROM pv LEFT JOIN st ON st.provider_code = pv.provider_code LEFT JOIN act ON act.provider_code = pv.provider_code
+LEFT JOIN lok ON lok.provider_code = pv.provider_code
+""")
