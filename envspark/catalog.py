@@ -562,3 +562,44 @@ def q_provider_health(spark, sf_dir):
     from .plans.lineage import provider_health
 
     return canon(provider_health(Bound(spark, sf_dir).aq, AS_OF))
+
+
+# --- API read queries (M1, M2, M10, M15) -----------------------------------------------
+@register("api_daily_summaries")
+def q_api_daily_summaries(spark, sf_dir):
+    from .plans.api import daily_summaries
+    from .plans.daily_summary import daily_summary
+
+    b = Bound(spark, sf_dir)
+    ds = daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date())
+    return canon(daily_summaries(ds, b.stations, AS_OF, days=30))
+
+
+@register("api_anomalies")
+def q_api_anomalies(spark, sf_dir):
+    from .plans.anomaly import detect_anomalies
+    from .plans.api import anomalies
+
+    b = Bound(spark, sf_dir)
+    found = detect_anomalies(b.aq, b.stations, AS_OF, scan_hours=SCAN_HOURS).drop("description")
+    return canon(_round_value(anomalies(found, b.stations, AS_OF, days=7, severity="warning")))
+
+
+@register("api_health_all")
+def q_api_health_all(spark, sf_dir):
+    from .plans.api import health_all
+
+    b = Bound(spark, sf_dir)
+    h = _health(spark, sf_dir).drop("time_in_levels", "pollutant_averages")
+    return canon(health_all(h, b.stations))
+
+
+@register("station_lineage")
+def q_station_lineage(spark, sf_dir):
+    from .plans.api import station_lineage
+    from .plans.daily_summary import daily_summary
+    from .plans.views import station_source_latest
+
+    b = Bound(spark, sf_dir)
+    ds = daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date())
+    return canon(station_lineage(station_source_latest(b.aq, b.stations, AS_OF), ds, _fc(spark, sf_dir, "linear")))

@@ -879,3 +879,27 @@ SELECT pv.provider_code, upper(pv.provider_code) AS provider_name, TRUE AS is_ac
 FROM pv LEFT JOIN st ON st.provider_code = pv.provider_code LEFT JOIN act ON act.provider_code = pv.provider_code
 LEFT JOIN lok ON lok.provider_code = pv.provider_code
 """)
+
+
+def _sub(name: str) -> str:
+    return "(" + SQL[name].strip() + ")"
+
+
+SQL["api_daily_summaries"] = f"""
+SELECT ds.*, s.code AS station_code FROM {_sub('daily_summary')} ds
+JOIN (WITH {BINDING.strip()} SELECT * FROM stations) s ON s.station_id = ds.station_id
+WHERE CAST(ds.summary_date AS DATE) > DATE '2024-01-01'
+ORDER BY ds.summary_date DESC, s.code LIMIT 500
+"""
+
+SQL["api_anomalies"] = f"""
+SELECT a.*, s.code AS station_code FROM {_sub('anomaly_candidates')} a
+JOIN (WITH {BINDING.strip()} SELECT * FROM stations) s ON s.station_id = a.station_id
+WHERE CAST(a.detected_at AS TIMESTAMP) > {AS_OF} - INTERVAL 7 DAY AND a.severity = 'warning'
+ORDER BY a.detected_at DESC, a.station_id, a.metric, a.obs_id LIMIT 200
+"""
+
+SQL["api_health_all"] = f"""
+SELECT h.*, s.code AS station_code FROM {_sub('health_impact')} h
+JOIN (WITH {BINDING.strip()} SELECT * FROM stations) s ON s.station_id = h.station_id AND s.is_active
+"""
