@@ -603,3 +603,30 @@ def q_station_lineage(spark, sf_dir):
     b = Bound(spark, sf_dir)
     ds = daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date())
     return canon(station_lineage(station_source_latest(b.aq, b.stations, AS_OF), ds, _fc(spark, sf_dir, "linear")))
+
+
+# --- streaming (O1-O3) ------------------------------------------------------------------
+@register("stream_grid_ingest")
+def q_stream_grid_ingest(spark, sf_dir):
+    """O1: the grid table built by the streaming upsert equals the batch dedupe."""
+    from .streaming.jobs import stream_grid_ingest
+
+    t = stream_grid_ingest(spark, sf_dir)
+    df = spark.read.parquet(t).drop("obs_date")
+    return canon(df.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+
+
+@register("stream_hourly")
+def q_stream_hourly(spark, sf_dir):
+    from .streaming.jobs import stream_hourly
+
+    t = stream_hourly(spark, sf_dir)
+    return canon(spark.read.parquet(t).drop("obs_date").withColumn("aqi_avg", F.round("aqi_avg", 4)))
+
+
+@register("stream_anomalies")
+def q_stream_anomalies(spark, sf_dir):
+    from .streaming.jobs import stream_anomalies
+
+    t = stream_anomalies(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS)
+    return canon(_round_value(spark.read.parquet(t).drop("description")))

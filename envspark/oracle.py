@@ -903,3 +903,17 @@ SQL["api_health_all"] = f"""
 SELECT h.*, s.code AS station_code FROM {_sub('health_impact')} h
 JOIN (WITH {BINDING.strip()} SELECT * FROM stations) s ON s.station_id = h.station_id AND s.is_active
 """
+
+SQL["stream_grid_ingest"] = with_binding(f"""{GRID.strip()}
+SELECT CAST(reading_id AS BIGINT) AS reading_id, CAST(grid_point_id AS BIGINT) AS grid_point_id, {ts_sql('observed_at')} AS observed_at,
+       CAST(aqi AS BIGINT) AS aqi, round(pm25, 4) AS pm25, round(pm10, 4) AS pm10, source_code, confidence_score, {ts_sql('fetched_at')} AS fetched_at
+FROM gobs
+""")
+
+SQL["stream_hourly"] = with_binding(f"""
+SELECT CAST(station_id AS BIGINT) AS station_id, {ts_sql("date_trunc('hour', observed_at)")} AS hour, round(avg(aqi), 4) AS aqi_avg,
+       CAST(count(*) AS BIGINT) AS samples
+FROM aq GROUP BY station_id, date_trunc('hour', observed_at)
+""")
+
+SQL["stream_anomalies"] = SQL["anomaly_candidates"]
