@@ -43,7 +43,12 @@ def test_entry_smoke(spark):
     assert "category" in df.columns
 
 
-def test_every_query_has_a_plan(spark):
-    # schema analysis only (no execution) for the whole registry
+HEAVY = {"grid_ml_cv", "grid_ml_predict", "stream_grid_ingest", "stream_hourly", "stream_anomalies",
+         "knn_training_features", "knn_inference_features"}
+
+
+def test_every_light_query_has_a_plan(spark):
+    # analysis only for the whole registry (model fits and streams are exercised elsewhere)
     for name, fn in E.queries().items():
-        assert fn(spark, SF_SMALL).schema is not None, name
+        if name not in HEAVY:
+            assert fn(spark, SF_SMALL).schema is not None, name
