@@ -12,6 +12,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from .functions.numeric import round_half_up
 from pyspark.sql import types as T
 
 from .config import GBT_PARAMS
@@ -64,7 +65,7 @@ SCAN_HOURS = 24  # FIXTURES: a 24-hour anomaly scan gives enough candidates at s
 
 
 def _round_value(df, col="value", digits=4):
-    return df.withColumn(col, F.round(F.col(col), digits))
+    return df.withColumn(col, round_half_up(F.col(col), digits))
 
 
 # --- I2 -------------------------------------------------------------------
@@ -155,7 +156,7 @@ def q_health_time_in_levels(spark, sf_dir):
 def q_health_pollutant_averages(spark, sf_dir):
     h = _health(spark, sf_dir)
     e = h.select("station_id", "dominant_pollutant", F.explode("pollutant_averages").alias("pollutant", "avg_value"))
-    return canon(e.withColumn("avg_value", F.round("avg_value", 4)))
+    return canon(e.withColumn("avg_value", round_half_up("avg_value", 4)))
 
 
 # --- I4 -------------------------------------------------------------------
@@ -187,9 +188,9 @@ def q_station_latest(spark, sf_dir):
     from .plans.views import station_latest_air_quality
 
     b = Bound(spark, sf_dir)
-    return canon(station_latest_air_quality(b.aq, b.wx, b.stations, AS_OF).withColumn("pm25", F.round("pm25", 4))
-                 .withColumn("pm10", F.round("pm10", 4)).withColumn("no2", F.round("no2", 4))
-                 .withColumn("temperature_c", F.round("temperature_c", 4)).withColumn("wind_speed_mps", F.round("wind_speed_mps", 4)))
+    return canon(station_latest_air_quality(b.aq, b.wx, b.stations, AS_OF).withColumn("pm25", round_half_up("pm25", 4))
+                 .withColumn("pm10", round_half_up("pm10", 4)).withColumn("no2", round_half_up("no2", 4))
+                 .withColumn("temperature_c", round_half_up("temperature_c", 4)).withColumn("wind_speed_mps", round_half_up("wind_speed_mps", 4)))
 
 
 @register("station_source_latest")
@@ -223,7 +224,7 @@ def q_station_analytics(spark, sf_dir):
     b = Bound(spark, sf_dir)
     df = station_analytics(b.aq, b.wx, b.stations, AS_OF)
     for c in ["pm25", "pm10", "no2", "temperature_c", "wind_speed_mps"]:
-        df = df.withColumn(c, F.round(c, 4))
+        df = df.withColumn(c, round_half_up(c, 4))
     return canon(df)
 
 
@@ -234,7 +235,7 @@ def q_fused_observations(spark, sf_dir):
     b = Bound(spark, sf_dir)
     df = fused_observations(b.aq)
     for c in ["pm25", "pm10", "no2"]:
-        df = df.withColumn(c, F.round(c, 4))
+        df = df.withColumn(c, round_half_up(c, 4))
     return canon(df)
 
 
@@ -245,7 +246,7 @@ def q_source_compare(spark, sf_dir):
     b = Bound(spark, sf_dir)
     df = source_compare(b.aq, b.stations)
     for c in ["pm25", "pm10", "no2"]:
-        df = df.withColumn(c, F.round(c, 4))
+        df = df.withColumn(c, round_half_up(c, 4))
     return canon(df)
 
 
@@ -311,7 +312,7 @@ def q_grid_latest(spark, sf_dir):
 
     pts, _, (_, applied) = _fusion(spark, sf_dir)
     df = grid_latest(applied, pts, AS_OF, bounds="10.0,103.0,20.0,108.0", max_age_hours=12)
-    return canon(df.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+    return canon(df.withColumn("pm25", round_half_up("pm25", 4)).withColumn("pm10", round_half_up("pm10", 4)))
 
 
 @register("grid_stats")
@@ -336,7 +337,7 @@ def q_hourly_resample(spark, sf_dir):
     from .plans.forecast import hourly_series
 
     b = Bound(spark, sf_dir)
-    return canon(hourly_series(b.aq, b.stations, AS_OF, "pm25", 14).withColumn("y", F.round("y", 4)))
+    return canon(hourly_series(b.aq, b.stations, AS_OF, "pm25", 14).withColumn("y", round_half_up("y", 4)))
 
 
 @register("forecast_features")
@@ -345,8 +346,8 @@ def q_forecast_features(spark, sf_dir):
 
     b = Bound(spark, sf_dir)
     df = forecast_features(hourly_series(b.aq, b.stations, AS_OF, "aqi", 14))
-    return canon(df.select("station_id", "ts", F.round("y", 4).alias("y"),
-                           *[F.round(c, 4).alias(c) if c not in ("hour", "day_of_week") else F.col(c) for c in FEATURES]))
+    return canon(df.select("station_id", "ts", round_half_up("y", 4).alias("y"),
+                           *[round_half_up(c, 4).alias(c) if c not in ("hour", "day_of_week") else F.col(c) for c in FEATURES]))
 
 
 @register("forecast_evaluation")
@@ -397,9 +398,8 @@ def q_forecast_compare(spark, sf_dir):
 
 # --- grid ML (C14-C16, J8-J14) -------------------------------------------------
 def _r4tie(c):
-    """Presentation rounding to 4 places; the 1e-9 nudge makes exact decimal ties (means of
-    4-decimal values) round the same way whatever the summation order."""
-    return F.round(F.col(c) + F.lit(1e-9), 4).alias(c)
+    """Presentation rounding to 4 places (exact decimal ties round away from zero)."""
+    return round_half_up(F.col(c), 4).alias(c)
 
 @register("knn_training_features")
 def q_knn_training_features(spark, sf_dir):
@@ -472,7 +472,7 @@ def q_payload_normalise(spark, sf_dir):
 
     df = normalise_payloads(landed_payloads(spark, sf_dir))
     for c in ["pm25", "pm10", "no2", "o3", "so2", "co"]:
-        df = df.withColumn(c, F.round(c, 4))
+        df = df.withColumn(c, round_half_up(c, 4))
     return canon(df)
 
 
@@ -481,7 +481,7 @@ def q_pm25_to_aqi(spark, sf_dir):
     from .functions import pm25_to_aqi
 
     b = Bound(spark, sf_dir)
-    return canon(b.aq.select("obs_id", F.round("pm25", 4).alias("pm25"), pm25_to_aqi(F.col("pm25")).alias("aqi_epa"),
+    return canon(b.aq.select("obs_id", round_half_up("pm25", 4).alias("pm25"), pm25_to_aqi(F.col("pm25")).alias("aqi_epa"),
                              pm25_to_aqi(F.col("pm25"), strict=True).alias("aqi_strict")))
 
 
@@ -492,7 +492,7 @@ def q_raster_nearest(spark, sf_dir):
 
     pts = lattice(spark)
     raster = raster_from_readings(grid_readings(spark, sf_dir), pts)
-    return canon(raster_to_points(raster, pts, AS_OF).withColumn("pm25", F.round("pm25", 4)))
+    return canon(raster_to_points(raster, pts, AS_OF).withColumn("pm25", round_half_up("pm25", 4)))
 
 
 def _split_readings(spark, sf_dir):
@@ -511,7 +511,7 @@ def q_keyed_merge(spark, sf_dir):
     old, new = _split_readings(spark, sf_dir)
     existing = latest_version(old, ["grid_point_id", "observed_at"], ["fetched_at", "reading_id"])
     merged = keyed_merge(existing, new.withColumn("_seq", F.col("reading_id")), ["grid_point_id", "observed_at"])
-    return canon(merged.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+    return canon(merged.withColumn("pm25", round_half_up("pm25", 4)).withColumn("pm10", round_half_up("pm10", 4)))
 
 
 @register("insert_ignore")
@@ -522,7 +522,7 @@ def q_insert_ignore(spark, sf_dir):
     old, new = _split_readings(spark, sf_dir)
     existing = latest_version(old, ["grid_point_id", "observed_at"], ["fetched_at", "reading_id"])
     ins = insert_ignore_ordered(existing, new, ["grid_point_id", "observed_at"], ["reading_id"])
-    return canon(ins.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+    return canon(ins.withColumn("pm25", round_half_up("pm25", 4)).withColumn("pm10", round_half_up("pm10", 4)))
 
 
 @register("quality_filter")
@@ -613,7 +613,7 @@ def q_stream_grid_ingest(spark, sf_dir):
 
     t = stream_grid_ingest(spark, sf_dir)
     df = spark.read.parquet(t).drop("obs_date")
-    return canon(df.withColumn("pm25", F.round("pm25", 4)).withColumn("pm10", F.round("pm10", 4)))
+    return canon(df.withColumn("pm25", round_half_up("pm25", 4)).withColumn("pm10", round_half_up("pm10", 4)))
 
 
 @register("stream_hourly")
@@ -621,7 +621,7 @@ def q_stream_hourly(spark, sf_dir):
     from .streaming.jobs import stream_hourly
 
     t = stream_hourly(spark, sf_dir)
-    return canon(spark.read.parquet(t).drop("obs_date").withColumn("aqi_avg", F.round("aqi_avg", 4)))
+    return canon(spark.read.parquet(t).drop("obs_date").withColumn("aqi_avg", round_half_up("aqi_avg", 4)))
 
 
 @register("stream_anomalies")

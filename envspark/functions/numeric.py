@@ -39,3 +39,17 @@ def mean_half_even(x: Column, digits: int, scale_in: int | None = None) -> Colum
     num = F.sum(units) * (10 ** digits)
     den = F.count(units) * (10 ** s_in)
     return ratio_half_even(num, den) / (10 ** digits)
+
+
+TIE_NUDGE = 1e-9
+
+
+def round_half_up(x, digits: int = 0) -> Column:
+    """SQL ``ROUND`` / ``NUMERIC(p,s)`` cast: half away from zero on the *decimal* value.
+
+    A mean of decimals that lands exactly on a tie (70.195) is stored as a double a
+    hair above or below it depending on summation order; the signed 1e-9 nudge makes
+    such ties round away from zero whatever the engine or order.  Values in this
+    domain carry <= 4 decimals, so no non-tie value is within 1e-9 of a boundary."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.round(c + F.signum(c) * F.lit(TIE_NUDGE), digits)

@@ -677,7 +677,7 @@ FROM p GROUP BY station_id
 
 
 def _r4_all(cols):
-    return ", ".join(f"round({c} + 1e-9, 4) + 0.0 AS {c.split('.')[-1]}" for c in cols)
+    return ", ".join(f"round({c}, 4) + 0.0 AS {c.split('.')[-1]}" for c in cols)
 
 
 _WXF = ["temperature_c", "humidity_pct", "wind_speed_mps", "pressure_hpa", "precipitation_mm", "cloud_cover_pct"]
@@ -693,11 +693,11 @@ pr AS (SELECT a.station_id, a.ts, b.aqi AS r_aqi, {hav_sql('a.lat', 'a.lng', 'b.
 rk AS (SELECT *, row_number() OVER (PARTITION BY station_id, ts ORDER BY d, rid) AS r FROM pr),
 nb AS (SELECT station_id, ts, avg(r_aqi) AS neighbor_aqi_mean, avg(d) AS neighbor_dist_mean, CAST(count(*) AS DOUBLE) AS neighbor_count
        FROM rk WHERE r <= 3 GROUP BY 1, 2)
-SELECT CAST(a.station_id AS BIGINT) AS station_id, {ts_sql('a.ts')} AS ts, round(a.lat + 1e-9, 4) AS lat, round(a.lng + 1e-9, 4) AS lng,
-       round(sin(2 * pi() * hour(a.ts) / 24) + 1e-9, 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(a.ts) / 24) + 1e-9, 4) + 0.0 AS hour_cos,
-       round(CAST(isodow(a.ts) - 1 AS DOUBLE) + 1e-9, 4) AS dow, round(CAST(month(a.ts) AS DOUBLE) + 1e-9, 4) AS month,
-       {_r4_all([f'w.{c}' for c in _WXF])}, round(nb.neighbor_aqi_mean + 1e-9, 4) AS neighbor_aqi_mean,
-       round(nb.neighbor_dist_mean + 1e-9, 4) AS neighbor_dist_mean, round(coalesce(nb.neighbor_count, 0.0) + 1e-9, 4) AS neighbor_count, round(a.aqi + 1e-9, 4) AS aqi
+SELECT CAST(a.station_id AS BIGINT) AS station_id, {ts_sql('a.ts')} AS ts, round(a.lat, 4) AS lat, round(a.lng, 4) AS lng,
+       round(sin(2 * pi() * hour(a.ts) / 24), 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(a.ts) / 24), 4) + 0.0 AS hour_cos,
+       round(CAST(isodow(a.ts) - 1 AS DOUBLE), 4) AS dow, round(CAST(month(a.ts) AS DOUBLE), 4) AS month,
+       {_r4_all([f'w.{c}' for c in _WXF])}, round(nb.neighbor_aqi_mean, 4) AS neighbor_aqi_mean,
+       round(nb.neighbor_dist_mean, 4) AS neighbor_dist_mean, round(coalesce(nb.neighbor_count, 0.0), 4) AS neighbor_count, round(a.aqi, 4) AS aqi
 FROM ahs a LEFT JOIN wh w ON w.station_id = a.station_id AND w.ts = a.ts
 LEFT JOIN nb ON nb.station_id = a.station_id AND nb.ts = a.ts
 """)
@@ -719,11 +719,11 @@ na AS (SELECT grid_point_id, avg(aqi) AS neighbor_aqi_mean, avg(d) AS neighbor_d
 pw AS (SELECT p.grid_point_id, {', '.join(f'sw.{c}' for c in _WXF)}, {hav_sql('p.lat', 'p.lng', 'sw.lat', 'sw.lng')} AS d, sw.station_id AS rid
        FROM pts p, sw),
 nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid_point_id ORDER BY d, rid) AS r FROM pw) WHERE r = 1)
-SELECT CAST(p.grid_point_id AS BIGINT) AS grid_point_id, round(p.lat + 1e-9, 4) AS lat, round(p.lng + 1e-9, 4) AS lng,
-       round(sin(2 * pi() * hour({AS_OF}) / 24) + 1e-9, 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour({AS_OF}) / 24) + 1e-9, 4) + 0.0 AS hour_cos,
-       round(CAST(isodow({AS_OF}) - 1 AS DOUBLE) + 1e-9, 4) AS dow, round(CAST(month({AS_OF}) AS DOUBLE) + 1e-9, 4) AS month,
-       {_r4_all([f'nw.{c}' for c in _WXF])}, round(na.neighbor_aqi_mean + 1e-9, 4) AS neighbor_aqi_mean,
-       round(na.neighbor_dist_mean + 1e-9, 4) AS neighbor_dist_mean, round(coalesce(na.neighbor_count, 0.0) + 1e-9, 4) AS neighbor_count
+SELECT CAST(p.grid_point_id AS BIGINT) AS grid_point_id, round(p.lat, 4) AS lat, round(p.lng, 4) AS lng,
+       round(sin(2 * pi() * hour({AS_OF}) / 24), 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour({AS_OF}) / 24), 4) + 0.0 AS hour_cos,
+       round(CAST(isodow({AS_OF}) - 1 AS DOUBLE), 4) AS dow, round(CAST(month({AS_OF}) AS DOUBLE), 4) AS month,
+       {_r4_all([f'nw.{c}' for c in _WXF])}, round(na.neighbor_aqi_mean, 4) AS neighbor_aqi_mean,
+       round(na.neighbor_dist_mean, 4) AS neighbor_dist_mean, round(coalesce(na.neighbor_count, 0.0), 4) AS neighbor_count
 FROM pts p LEFT JOIN na ON na.grid_point_id = p.grid_point_id LEFT JOIN nw ON nw.grid_point_id = p.grid_point_id
 """)
 
@@ -917,3 +917,37 @@ FROM aq GROUP BY station_id, date_trunc('hour', observed_at)
 """)
 
 SQL["stream_anomalies"] = SQL["anomaly_candidates"]
+
+
+
+def _nudge_rounds(sql: str) -> str:
+    """Twin of ``functions.numeric.round_half_up``: every ``round(x, d)`` becomes
+    ``round(x + sign(x) * 1e-9, d)`` so exact decimal ties round away from zero."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k, comma = 1, j + len(key), None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1 and comma is None:
+                comma = k
+            k += 1
+        inner_end = comma if comma is not None else k - 1
+        arg = _nudge_rounds(sql[j + len(key):inner_end])
+        rest = sql[inner_end:k]
+        out.append(sql[i:j] + f"round(({arg}) + sign({arg}) * 1e-9{rest}")
+        i = k
+
+
+SQL = {k: _nudge_rounds(v) for k, v in SQL.items()}

@@ -14,6 +14,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.numeric import round_half_up
 
 from ..config import POLLUTANTS
 from ..functions import aqi_category
@@ -76,7 +77,7 @@ def daily_summary(
         samples = F.col("n_aq")
 
     def num(c, s=2):
-        r = F.round(c, s)
+        r = round_half_up(c, s)
         return F.nullif(r, F.lit(0.0)) if strict else r
 
     out = j.select(
@@ -91,6 +92,6 @@ def daily_summary(
         num(F.col("temp_avg")).alias("temp_avg"),
         num(F.col("humidity_avg")).alias("humidity_avg"),
         num(F.col("wind_avg")).alias("wind_avg"),
-        aqi_category(F.round(F.col("aqi_avg"), 2)).alias("category"),
+        aqi_category(round_half_up(F.col("aqi_avg"), 2)).alias("category"),
     )
     return out

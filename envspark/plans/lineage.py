@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.numeric import round_half_up
 
 from ..operators import latest_per_key
 from ..sources import lineage as LT
@@ -63,8 +64,8 @@ def provider_health(aq: DataFrame, as_of: datetime) -> DataFrame:
     stats = recent.groupBy("provider_code").agg(
         F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("status") == "success", 1)).alias("ok"),
         F.count(F.when(F.col("status").isin("failed", "timeout"), 1)).alias("bad"),
-        F.round(F.avg("latency_ms")).cast("int").alias("avg_latency_ms"),
-        F.round(F.percentile("latency_ms", F.lit(0.95))).cast("int").alias("p95_latency_ms"),
+        round_half_up(F.avg("latency_ms")).cast("int").alias("avg_latency_ms"),
+        round_half_up(F.percentile("latency_ms", F.lit(0.95))).cast("int").alias("p95_latency_ms"),
         F.sum("response_size_bytes").alias("total_bytes_24h"),
     )
     act = LT.bindings(aq).filter("is_enabled").groupBy("endpoint_code").count().join(
@@ -78,7 +79,7 @@ def provider_health(aq: DataFrame, as_of: datetime) -> DataFrame:
     return j.select(
         "provider_code", "provider_name", "is_active", total.alias("requests_24h"), F.coalesce("ok", F.lit(0)).alias("success_24h"),
         F.coalesce("bad", F.lit(0)).alias("failed_24h"),
-        F.when(total > 0, F.round(F.col("ok") / total * 100, 1)).otherwise(F.lit(0.0)).alias("success_rate_pct"),
+        F.when(total > 0, round_half_up(F.col("ok") / total * 100, 1)).otherwise(F.lit(0.0)).alias("success_rate_pct"),
         "avg_latency_ms", "p95_latency_ms", "total_bytes_24h", F.coalesce("active_bindings", F.lit(0)).alias("active_bindings"),
         "last_success_at",
     )

@@ -12,6 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.numeric import round_half_up
 
 from ..config import METRICS, SEASONAL_DAYS, SEASONAL_MIN_HOURS
 from ..functions import dow_sun0
@@ -32,10 +33,10 @@ def _base(aq, stations, as_of, metric):
 def hourly_profile(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str = "aqi") -> DataFrame:
     base, m = _base(aq, stations, as_of, metric)
     prof = base.groupBy("station_id", F.hour("observed_at").alias("hour")).agg(
-        F.round(F.avg("v"), 2).alias("avg_val"),
-        F.round(F.stddev_samp("v"), 2).alias("std_val"),
-        F.round(F.min("v"), 2).alias("min_val"),
-        F.round(F.max("v"), 2).alias("max_val"),
+        round_half_up(F.avg("v"), 2).alias("avg_val"),
+        round_half_up(F.stddev_samp("v"), 2).alias("std_val"),
+        round_half_up(F.min("v"), 2).alias("min_val"),
+        round_half_up(F.max("v"), 2).alias("max_val"),
         F.count(F.lit(1)).alias("samples"),
     )
     n_hours = F.count(F.lit(1)).over(Window.partitionBy("station_id"))
@@ -45,8 +46,8 @@ def hourly_profile(aq: DataFrame, stations: DataFrame, as_of: datetime, metric:
 def dow_profile(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str = "aqi") -> DataFrame:
     base, m = _base(aq, stations, as_of, metric)
     prof = base.groupBy("station_id", dow_sun0(F.col("observed_at")).alias("dow")).agg(
-        F.round(F.avg("v"), 2).alias("avg_val"),
-        F.round(F.stddev_samp("v"), 2).alias("std_val"),
+        round_half_up(F.avg("v"), 2).alias("avg_val"),
+        round_half_up(F.stddev_samp("v"), 2).alias("std_val"),
         F.count(F.lit(1)).alias("samples"),
     )
     gated = hourly_profile(aq, stations, as_of, metric).select("station_id").distinct()

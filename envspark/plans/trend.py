@@ -12,6 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.numeric import round_half_up
 
 from ..config import METRICS, TREND_DAYS, TREND_MIN_DAYS
 from ..functions import trend_direction
@@ -22,7 +23,7 @@ from .common import active_only, window
 def trend_analysis(aq: DataFrame, stations: DataFrame, as_of: datetime) -> DataFrame:
     base = active_only(window(aq, as_of, days=TREND_DAYS), stations)
     daily = base.groupBy("station_id", F.to_date("observed_at").alias("day")).agg(
-        *[F.round(F.avg(m), 2).alias(m) for m in METRICS]
+        *[round_half_up(F.avg(m), 2).alias(m) for m in METRICS]
     )
     n_days = F.count(F.lit(1)).over(Window.partitionBy("station_id"))
     daily = daily.withColumn("_nd", n_days).filter(F.col("_nd") >= TREND_MIN_DAYS).drop("_nd")

@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.numeric import round_half_up
 
 from ..config import POLLUTANTS, SIMPLE_FORECAST_HOURS, SIMPLE_FORECAST_LAG_ROW
 from ..functions import aqi_category, hours_between
@@ -60,10 +61,10 @@ def station_24h_summary(aq: DataFrame, stations: DataFrame, as_of: datetime) ->
     recent = window(aq, as_of, hours=24, inclusive_start=True)
     g = recent.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("samples"),
-        F.round(F.avg("aqi"), 2).alias("aqi_avg"),
+        round_half_up(F.avg("aqi"), 2).alias("aqi_avg"),
         F.min("aqi").alias("aqi_min"),
         F.max("aqi").alias("aqi_max"),
-        *[F.round(F.avg(p), 2).alias(f"{p}_avg") for p in POLLUTANTS],
+        *[round_half_up(F.avg(p), 2).alias(f"{p}_avg") for p in POLLUTANTS],
         F.max("observed_at").alias("last_observed_at"),
     )
     s = stations.filter("is_active").select("station_id", F.col("code").alias("station_code"))
@@ -82,9 +83,9 @@ def simple_forecast(aq: DataFrame, as_of: datetime) -> DataFrame:
         F.max(F.when(F.col("rn") == SIMPLE_FORECAST_LAG_ROW, F.col("observed_at"))).alias("t6"),
     )
     hrs = hours_between(F.col("last_at"), F.col("t6"))
-    slope = F.round(F.coalesce(F.try_divide((F.col("last_aqi") - F.col("aqi6")).cast("double"), F.nullif(hrs, F.lit(0.0))), F.lit(0.0)), 3)
+    slope = round_half_up(F.coalesce(F.try_divide((F.col("last_aqi") - F.col("aqi6")).cast("double"), F.nullif(hrs, F.lit(0.0))), F.lit(0.0)), 3)
     g = g.withColumn("aqi_per_hour", slope)
-    proj = lambda h: F.greatest(F.lit(0.0), F.round(F.col("last_aqi") + F.col("aqi_per_hour") * h)).cast("int")
+    proj = lambda h: F.greatest(F.lit(0.0), round_half_up(F.col("last_aqi") + F.col("aqi_per_hour") * h)).cast("int")
     return g.select("station_id", "last_at", "last_aqi", "aqi_per_hour",
                     proj(1).alias("aqi_next_1h"), proj(3).alias("aqi_next_3h"), proj(6).alias("aqi_next_6h"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..functions.numeric import round_half_up
 
 from ..config import (
     GRID_LAT_MAX, GRID_LAT_MIN, GRID_LNG_MAX, GRID_LNG_MIN, GRID_STEP, OPENMETEO_CONFIDENCE, OPENMETEO_SOURCE,
@@ -32,8 +33,8 @@ def lattice(spark: SparkSession) -> DataFrame:
     )
     return ij.select(
         (F.col("i") * N_LNG + F.col("j")).cast("int").alias("grid_point_id"),
-        F.round(F.lit(GRID_LAT_MIN) + F.lit(GRID_STEP) * F.col("i"), 5).alias("lat"),
-        F.round(F.lit(GRID_LNG_MIN) + F.lit(GRID_STEP) * F.col("j"), 5).alias("lng"),
+        round_half_up(F.lit(GRID_LAT_MIN) + F.lit(GRID_STEP) * F.col("i"), 5).alias("lat"),
+        round_half_up(F.lit(GRID_LNG_MIN) + F.lit(GRID_STEP) * F.col("j"), 5).alias("lng"),
         F.concat(F.lit("p"), (F.col("i") / 20).cast("int").cast("string")).alias("province_code"),
         F.concat(F.lit("Province "), (F.col("i") / 20).cast("int").cast("string")).alias("province_name"),
         F.lit(True).alias("is_land"),

@@ -14,6 +14,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..functions.numeric import round_half_up
 
 from ..config import OPENMETEO_CONFIDENCE, OPENMETEO_SOURCE, RASTER_CONFIDENCE, RASTER_SOURCE
 from ..functions import pm25_to_aqi
@@ -100,8 +101,8 @@ def raster_from_readings(readings: DataFrame, points: DataFrame) -> DataFrame:
     cj = F.floor((F.col("lng") - (RASTER_LON0 - RASTER_STEP / 2)) / RASTER_STEP).cast("int")
     g = r.groupBy(ci.alias("ci"), cj.alias("cj")).agg(F.avg("pm25").alias("pm25"))
     return g.select(
-        F.round(F.lit(RASTER_LAT0) + F.col("ci") * RASTER_STEP, 5).alias("lat"),
-        F.round(F.lit(RASTER_LON0) + F.col("cj") * RASTER_STEP, 5).alias("lon"), "pm25",
+        round_half_up(F.lit(RASTER_LAT0) + F.col("ci") * RASTER_STEP, 5).alias("lat"),
+        round_half_up(F.lit(RASTER_LON0) + F.col("cj") * RASTER_STEP, 5).alias("lon"), "pm25",
     )
 
 
@@ -110,7 +111,7 @@ def _nearest_coord(x: Column, origin: float, step: float, lo: Column, hi: Column
     ties go to the larger coordinate."""
     i = F.floor((x - F.lit(origin)) / F.lit(step) + F.lit(0.5))
     i = F.least(F.greatest(i, lo), hi)
-    return F.round(F.lit(origin) + i * F.lit(step), 5)
+    return round_half_up(F.lit(origin) + i * F.lit(step), 5)
 
 
 def raster_to_points(raster: DataFrame, points: DataFrame, as_of: datetime, strict: bool = False) -> DataFrame:
@@ -121,8 +122,8 @@ def raster_to_points(raster: DataFrame, points: DataFrame, as_of: datetime, stri
     p = points.filter("is_active AND is_land").select("grid_point_id", "lat", "lng")
     # raster extent as axis indices: a one-row aggregate attached by a constant key
     ext = raster.agg(
-        F.min(F.round((F.col("lat") - RASTER_LAT0) / RASTER_STEP)).alias("i0"), F.max(F.round((F.col("lat") - RASTER_LAT0) / RASTER_STEP)).alias("i1"),
-        F.min(F.round((F.col("lon") - RASTER_LON0) / RASTER_STEP)).alias("j0"), F.max(F.round((F.col("lon") - RASTER_LON0) / RASTER_STEP)).alias("j1"),
+        F.min(round_half_up((F.col("lat") - RASTER_LAT0) / RASTER_STEP)).alias("i0"), F.max(round_half_up((F.col("lat") - RASTER_LAT0) / RASTER_STEP)).alias("i1"),
+        F.min(round_half_up((F.col("lon") - RASTER_LON0) / RASTER_STEP)).alias("j0"), F.max(round_half_up((F.col("lon") - RASTER_LON0) / RASTER_STEP)).alias("j1"),
     ).withColumn("_k", F.lit(1))
     p = p.withColumn("_k", F.lit(1)).join(F.broadcast(ext), "_k")
     p = p.select(
