@@ -630,3 +630,65 @@ def q_stream_anomalies(spark, sf_dir):
 
     t = stream_anomalies(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS)
     return canon(_round_value(spark.read.parquet(t).drop("description")))
+
+
+# --- model lineage (L9, M13, M14) -------------------------------------------------------
+def _model_tables(spark, sf_dir):
+    from .plans.model_lineage import model_tables
+
+    pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
+    return model_tables(pts, AS_OF)
+
+
+@register("model_versions")
+def q_model_versions(spark, sf_dir):
+    from .plans.model_lineage import model_versions_listing
+
+    return canon(model_versions_listing(_model_tables(spark, sf_dir)))
+
+
+@register("predictions_list")
+def q_predictions_list(spark, sf_dir):
+    from .plans.model_lineage import predictions_listing
+
+    return canon(predictions_listing(_model_tables(spark, sf_dir), Bound(spark, sf_dir).stations))
+
+
+@register("model_production_status")
+def q_model_production_status(spark, sf_dir):
+    from .plans.model_lineage import model_production_status
+
+    return canon(model_production_status(_model_tables(spark, sf_dir), Bound(spark, sf_dir).stations))
+
+
+# --- I8 / M17: run every analytic job, report processed counts ---------------------------
+@register("run_all")
+def q_run_all(spark, sf_dir):
+    """I8: every SQL-expressible job on one shared binding; count of stations (or rows) each
+    produced, as the job endpoints report."""
+    b = Bound(spark, sf_dir)
+    from .plans.anomaly import detect_anomalies
+    from .plans.correlation import correlation_matrix
+    from .plans.daily_summary import daily_summary
+    from .plans.health import health_impact
+    from .plans.seasonal import seasonal_summary
+    from .plans.trend import trend_analysis
+
+    def n_rows(name, df):
+        return df.agg(F.count(F.lit(1)).alias("processed")).select(F.lit(name).alias("job"), "processed")
+
+    def n_stations(name, df):
+        return df.agg(F.countDistinct("station_id").alias("processed")).select(F.lit(name).alias("job"), "processed")
+
+    parts = [
+        n_rows("daily_summary", daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date())),
+        n_rows("anomalies", detect_anomalies(b.aq, b.stations, AS_OF, scan_hours=SCAN_HOURS)),
+        n_stations("seasonal", seasonal_summary(b.aq, b.stations, AS_OF, "aqi")),
+        n_stations("correlation", correlation_matrix(b.aq, b.wx, b.stations, AS_OF)),
+        n_stations("trend", trend_analysis(b.aq, b.stations, AS_OF)),
+        n_stations("health", health_impact(b.aq, b.stations, AS_OF)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return canon(out)

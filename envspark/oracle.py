@@ -920,6 +920,17 @@ SQL["stream_anomalies"] = SQL["anomaly_candidates"]
 
 
 
+SQL["run_all"] = f"""
+SELECT 'daily_summary' AS job, CAST(count(*) AS BIGINT) AS processed FROM {_sub('daily_summary')}
+UNION ALL SELECT 'anomalies', CAST(count(*) AS BIGINT) FROM {_sub('anomaly_candidates')}
+UNION ALL SELECT 'seasonal', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub('seasonal_peaks')}
+UNION ALL SELECT 'correlation', CAST(count(DISTINCT station_id) AS BIGINT) FROM
+  (SELECT station_id FROM {_sub('correlation_aq_aq')} UNION ALL SELECT station_id FROM {_sub('correlation_weather_hourly')})
+UNION ALL SELECT 'trend', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub('trend')}
+UNION ALL SELECT 'health', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub('health_impact')}
+"""
+
+
 def _nudge_rounds(sql: str) -> str:
     """Twin of ``functions.numeric.round_half_up``: every ``round(x, d)`` becomes
     ``round(x + sign(x) * 1e-9, d)`` so exact decimal ties round away from zero."""
