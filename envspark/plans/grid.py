@@ -116,10 +116,8 @@ def grid_stats(obs: DataFrame, points: DataFrame, as_of: datetime) -> DataFrame:
     by_src = o.groupBy("source_code").agg(
         F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at")
     )
-    # total and fresh are single-row aggregates, attached by a constant equi-key
-    one = F.lit(1).alias("_k")
-    return (by_src.select("*", one).join(F.broadcast(total.select("*", one)), "_k")
-            .join(F.broadcast(fresh.select("*", one)), "_k").drop("_k"))
+    # total and fresh are scalar subqueries (evaluated once, no join)
+    return by_src.select("*", total.scalar().alias("total_grid_points"), fresh.scalar().alias("fresh_within_6h"))
 
 
 def grid_health(obs: DataFrame, points: DataFrame, as_of: datetime) -> DataFrame:

@@ -159,9 +159,8 @@ def promote(challenger: DataFrame, champion: DataFrame | None) -> DataFrame:
     """Promote when there is no champion or challenger MAE <= champion MAE x 0.95."""
     if champion is None:
         return challenger.withColumn("promoted", F.lit(True)).withColumn("champion_mae_before", F.lit(None).cast("double"))
-    # the champion metadata is a single row: attach it by a constant key
-    ch = champion.select(F.col("mae").alias("champion_mae_before"), F.lit(1).alias("_k")).limit(1)
-    j = challenger.withColumn("_k", F.lit(1)).join(F.broadcast(ch), "_k", "left").drop("_k")
+    # the champion metadata is a single row: read its MAE as a scalar subquery
+    j = challenger.withColumn("champion_mae_before", champion.agg(F.max("mae")).scalar())
     return j.withColumn("promoted", F.col("champion_mae_before").isNull() |
                         (F.col("mae") <= F.col("champion_mae_before") * ML_PROMOTE_RATIO))
 

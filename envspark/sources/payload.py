@@ -120,16 +120,14 @@ def raster_to_points(raster: DataFrame, points: DataFrame, as_of: datetime, stri
     from ..sources.binding import ts_lit
 
     p = points.filter("is_active AND is_land").select("grid_point_id", "lat", "lng")
-    # raster extent as axis indices: a one-row aggregate attached by a constant key
-    ext = raster.agg(
-        F.min(round_half_up((F.col("lat") - RASTER_LAT0) / RASTER_STEP)).alias("i0"), F.max(round_half_up((F.col("lat") - RASTER_LAT0) / RASTER_STEP)).alias("i1"),
-        F.min(round_half_up((F.col("lon") - RASTER_LON0) / RASTER_STEP)).alias("j0"), F.max(round_half_up((F.col("lon") - RASTER_LON0) / RASTER_STEP)).alias("j1"),
-    ).withColumn("_k", F.lit(1))
-    p = p.withColumn("_k", F.lit(1)).join(F.broadcast(ext), "_k")
+    ii = round_half_up((F.col("lat") - RASTER_LAT0) / RASTER_STEP)
+    jj = round_half_up((F.col("lon") - RASTER_LON0) / RASTER_STEP)
+    i0, i1 = raster.agg(F.min(ii)).scalar(), raster.agg(F.max(ii)).scalar()  # raster extent: scalar subqueries
+    j0, j1 = raster.agg(F.min(jj)).scalar(), raster.agg(F.max(jj)).scalar()
     p = p.select(
         "grid_point_id",
-        _nearest_coord(F.col("lat"), RASTER_LAT0, RASTER_STEP, F.col("i0"), F.col("i1")).alias("r_lat"),
-        _nearest_coord(F.col("lng"), RASTER_LON0, RASTER_STEP, F.col("j0"), F.col("j1")).alias("r_lon"),
+        _nearest_coord(F.col("lat"), RASTER_LAT0, RASTER_STEP, i0, i1).alias("r_lat"),
+        _nearest_coord(F.col("lng"), RASTER_LON0, RASTER_STEP, j0, j1).alias("r_lon"),
     )
     cells = raster.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "pm25")
     j = p.join(cells, ["r_lat", "r_lon"])  # cells without data (NaN in the file) are absent
