@@ -692,3 +692,36 @@ def q_run_all(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return canon(out)
+
+
+# --- M6-M9: latest analysis per station over an analysis history --------------------------
+HISTORY = [AS_OF - timedelta(days=7), AS_OF]
+
+
+def _history(job):
+    from functools import reduce
+
+    parts = [job(t).withColumn("analysis_date", F.lit(t.date().isoformat()).cast("date")) for t in HISTORY]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("api_latest_trend")
+def q_api_latest_trend(spark, sf_dir):
+    """M8: latest trend row per (station, metric) across analysis dates."""
+    from .plans.api import latest_run
+    from .plans.trend import trend_analysis
+
+    b = Bound(spark, sf_dir)
+    hist = _history(lambda t: trend_analysis(b.aq, b.stations, t))
+    return canon(latest_run(hist, ["station_id", "metric"], "analysis_date"))
+
+
+@register("api_latest_health")
+def q_api_latest_health(spark, sf_dir):
+    """M9: latest health assessment per station across analysis dates."""
+    from .plans.api import latest_run
+    from .plans.health import health_impact
+
+    b = Bound(spark, sf_dir)
+    hist = _history(lambda t: health_impact(b.aq, b.stations, t).drop("time_in_levels", "pollutant_averages"))
+    return canon(latest_run(hist, ["station_id"], "analysis_date"))

@@ -931,6 +931,21 @@ UNION ALL SELECT 'health', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub
 """
 
 
+def _latest_sql(name: str, keys: str) -> str:
+    prev = SQL[name].replace(AS_OF, "TIMESTAMP '2024-01-24 00:00:00'")
+    return f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY analysis_date DESC) AS rn FROM (
+    SELECT *, '2024-01-31' AS analysis_date FROM ({SQL[name].strip()})
+    UNION ALL SELECT *, '2024-01-24' AS analysis_date FROM ({prev.strip()})))
+WHERE rn = 1
+"""
+
+
+SQL["api_latest_trend"] = _latest_sql("trend", "station_id, metric")
+SQL["api_latest_health"] = _latest_sql("health_impact", "station_id")
+
+
 def _nudge_rounds(sql: str) -> str:
     """Twin of ``functions.numeric.round_half_up``: every ``round(x, d)`` becomes
     ``round(x + sign(x) * 1e-9, d)`` so exact decimal ties round away from zero."""
