@@ -725,3 +725,23 @@ def q_api_latest_health(spark, sf_dir):
     b = Bound(spark, sf_dir)
     hist = _history(lambda t: health_impact(b.aq, b.stations, t).drop("time_in_levels", "pollutant_averages"))
     return canon(latest_run(hist, ["station_id"], "analysis_date"))
+
+
+@register("analysis_lineage")
+def q_analysis_lineage(spark, sf_dir):
+    """L6 over the daily-summary runs and the 24 h anomaly scan."""
+    from .plans.anomaly import detect_anomalies
+    from .plans.daily_summary import daily_summary
+    from .plans.lineage import analysis_run_lineage
+
+    b = Bound(spark, sf_dir)
+    ds = daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date())
+    an = detect_anomalies(b.aq, b.stations, AS_OF, scan_hours=SCAN_HOURS)
+    return canon(analysis_run_lineage(b.aq, b.stations, ds, an))
+
+
+@register("lineage_prediction")
+def q_lineage_prediction(spark, sf_dir):
+    from .plans.model_lineage import prediction_full_lineage
+
+    return canon(prediction_full_lineage(_model_tables(spark, sf_dir), Bound(spark, sf_dir).stations))

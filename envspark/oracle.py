@@ -946,6 +946,25 @@ SQL["api_latest_trend"] = _latest_sql("trend", "station_id, metric")
 SQL["api_latest_health"] = _latest_sql("health_impact", "station_id")
 
 
+SQL["analysis_lineage"] = with_binding(f"""{LINEAGE.strip()},
+ds AS (SELECT CAST(station_id AS INT) AS station_id, CAST(summary_date AS DATE) AS d FROM {_sub('daily_summary')}),
+an AS (SELECT CAST(station_id AS INT) AS station_id, CAST(CAST(detected_at AS TIMESTAMP) AS DATE) AS d, count(*) AS n
+       FROM {_sub('anomaly_candidates')} GROUP BY 1, 2),
+feed AS (SELECT station_id, CAST(observed_at AS DATE) AS d, arg_max(pipeline_run_id, (fetched_at, obs_id)) AS pipeline_run_id
+         FROM aq GROUP BY 1, 2)
+SELECT 'daily-' || CAST(ds.station_id AS VARCHAR) || '-' || CAST(ds.d AS VARCHAR) AS analysis_run_id, 'daily_summary' AS analysis_type,
+       'daily_summary' AS algorithm_key, '1' AS algorithm_version, CAST(ds.station_id AS BIGINT) AS station_id, s.code AS station_code,
+       CAST(ds.d AS VARCHAR) AS period_from, CAST(ds.d + 1 AS VARCHAR) AS period_to, 'success' AS analysis_status,
+       f.pipeline_run_id, r.pipeline_code, r.status AS pipeline_status, {ts_sql('r.started_at')} AS pipeline_started_at,
+       {ts_sql('r.finished_at')} AS pipeline_finished_at, CAST(1 AS BIGINT) AS daily_summaries_count,
+       CAST(coalesce(an.n, 0) AS BIGINT) AS anomalies_found, CAST(0 AS BIGINT) AS reports_generated
+FROM ds JOIN feed f ON f.station_id = ds.station_id AND f.d = ds.d
+LEFT JOIN stations s ON s.station_id = ds.station_id
+JOIN runs r ON r.pipeline_run_id = f.pipeline_run_id
+LEFT JOIN an ON an.station_id = ds.station_id AND an.d = ds.d
+""")
+
+
 def _nudge_rounds(sql: str) -> str:
     """Twin of ``functions.numeric.round_half_up``: every ``round(x, d)`` becomes
     ``round(x + sign(x) * 1e-9, d)`` so exact decimal ties round away from zero."""

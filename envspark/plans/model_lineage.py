@@ -68,3 +68,21 @@ def model_production_status(tables: dict[str, DataFrame], stations: DataFrame) -
     lp = lp.select(F.col("model_version_id").alias("version_id"), F.col("created_at").alias("last_prediction_at"),
                    F.col("status").alias("last_prediction_status"))
     return reg.join(prod, "model_id", "left").join(lt, "version_id", "left").join(lp, "version_id", "left")
+
+
+def prediction_full_lineage(tables: dict[str, DataFrame], stations: DataFrame) -> DataFrame:
+    """Prediction -> prediction run -> model version (C9: the prediction's own version,
+    else its run's) -> registry -> latest training run of that version."""
+    p = tables["predictions"].withColumnRenamed("model_version_id", "p_version")
+    pr = tables["prediction_runs"].select("prediction_run_id", F.col("model_version_id").alias("run_version"),
+                                          F.col("created_at").alias("prediction_run_at"), F.col("status").alias("prediction_run_status"))
+    j = p.join(pr, "prediction_run_id", "left").withColumn("version_id", F.coalesce("p_version", "run_version"))
+    v = tables["versions"].select("version_id", "model_id", "version", "training_library", F.col("metrics").alias("version_metrics"))
+    reg = tables["registry"].select("model_id", "model_code", F.col("target").alias("model_target"))
+    lt = latest_per_key(tables["training_runs"], ["model_version_id"], ["started_at", "training_run_id"],
+                        ["training_run_id", "started_at", "status", "sample_count"])
+    lt = lt.select(F.col("model_version_id").alias("version_id"), "training_run_id", F.col("started_at").alias("trained_at"),
+                   F.col("status").alias("training_status"), "sample_count")
+    st = stations.select("station_id", F.col("code").alias("station_code"))
+    return (j.join(v, "version_id", "left").join(reg, "model_id", "left").join(lt, "version_id", "left")
+            .join(st, "station_id", "left").drop("p_version", "run_version"))
