@@ -745,3 +745,41 @@ def q_lineage_prediction(spark, sf_dir):
     from .plans.model_lineage import prediction_full_lineage
 
     return canon(prediction_full_lineage(_model_tables(spark, sf_dir), Bound(spark, sf_dir).stations))
+
+
+@register("top_provinces")
+def q_top_provinces(spark, sf_dir):
+    """provinces with the most observed grid points (top 10) after seeding (K3)."""
+    from .plans.api import top_k_frequency
+
+    return canon(top_k_frequency(q_grid_provinces(spark, sf_dir), "province_name", 10))
+
+
+@register("api_latest_seasonal")
+def q_api_latest_seasonal(spark, sf_dir):
+    """M6: latest seasonal summary per station across analysis dates (camelCase API columns)."""
+    from .plans.api import camel_case, latest_run
+    from .plans.seasonal import seasonal_summary
+
+    b = Bound(spark, sf_dir)
+
+    def job(t):
+        s = seasonal_summary(b.aq, b.stations, t, "aqi")
+        return s.select(
+            "station_id", "metric",
+            F.array_join(F.transform("peak_hours", lambda h: h.cast("string")), ",").alias("peak_hours"),
+            F.array_join(F.transform("off_peak_hours", lambda h: h.cast("string")), ",").alias("off_peak_hours"),
+            "best_dow", "worst_dow", "overall_avg", "hourly_variation")
+
+    return camel_case(canon(latest_run(_history(job), ["station_id"], "analysis_date")))
+
+
+@register("api_latest_correlation")
+def q_api_latest_correlation(spark, sf_dir):
+    """M7: latest correlation matrix per station (pairs as rows) across analysis dates."""
+    from .plans.correlation import correlation_matrix
+
+    b = Bound(spark, sf_dir)
+    hist = _history(lambda t: correlation_matrix(b.aq, b.wx, b.stations, t))
+    last = hist.groupBy("station_id").agg(F.max("analysis_date").alias("analysis_date"))
+    return canon(hist.join(last, ["station_id", "analysis_date"], "left_semi"))

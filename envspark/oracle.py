@@ -965,6 +965,32 @@ LEFT JOIN an ON an.station_id = ds.station_id AND an.d = ds.d
 """)
 
 
+SQL["top_provinces"] = f"""
+SELECT province_name, CAST(count(*) AS BIGINT) AS n FROM {_sub('grid_provinces')}
+GROUP BY province_name ORDER BY n DESC, province_name LIMIT 10
+"""
+
+_seasonal_latest = _latest_sql("seasonal_peaks", "station_id")
+SQL["api_latest_seasonal"] = f"""
+SELECT station_id AS stationId, metric, peak_hours AS peakHours, off_peak_hours AS offPeakHours, best_dow AS bestDow,
+       worst_dow AS worstDow, overall_avg AS overallAvg, hourly_variation AS hourlyVariation, analysis_date AS analysisDate
+FROM ({_seasonal_latest})
+"""
+
+
+def _corr_latest() -> str:
+    cur = "(" + SQL["correlation_aq_aq"].strip() + ") UNION ALL (" + SQL["correlation_weather_hourly"].strip() + ")"
+    prev = cur.replace(AS_OF, "TIMESTAMP '2024-01-24 00:00:00'")
+    return f"""
+WITH h AS (SELECT *, '2024-01-31' AS analysis_date FROM ({cur}) UNION ALL SELECT *, '2024-01-24' AS analysis_date FROM ({prev})),
+l AS (SELECT station_id, max(analysis_date) AS analysis_date FROM h GROUP BY station_id)
+SELECT h.* FROM h JOIN l ON l.station_id = h.station_id AND l.analysis_date = h.analysis_date
+"""
+
+
+SQL["api_latest_correlation"] = _corr_latest()
+
+
 def _nudge_rounds(sql: str) -> str:
     """Twin of ``functions.numeric.round_half_up``: every ``round(x, d)`` becomes
     ``round(x + sign(x) * 1e-9, d)`` so exact decimal ties round away from zero."""

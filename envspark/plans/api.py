@@ -72,3 +72,17 @@ def station_lineage(source_latest: DataFrame, summaries: DataFrame, forecast_poi
         j = j.filter(F.col("station_id") == station_id)
     j = j.withColumn("prediction_count", F.coalesce("prediction_count", F.lit(0)))
     return j.orderBy(F.col("observed_at").desc_nulls_last(), "station_code").limit(limit)
+
+
+def camel_case(df: DataFrame) -> DataFrame:
+    """B1: API projection — snake_case columns aliased to camelCase."""
+    def camel(name: str) -> str:
+        head, *rest = name.split("_")
+        return head + "".join(p[:1].upper() + p[1:] for p in rest)
+
+    return df.select(*[F.col(f"`{c}`").alias(camel(c)) for c in df.columns])
+
+
+def top_k_frequency(df: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """the k most frequent values of ``key`` (ties by value), as a top-k report."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(key).asc()).limit(k)
