@@ -783,3 +783,13 @@ def q_api_latest_correlation(spark, sf_dir):
     hist = _history(lambda t: correlation_matrix(b.aq, b.wx, b.stations, t))
     last = hist.groupBy("station_id").agg(F.max("analysis_date").alias("analysis_date"))
     return canon(hist.join(last, ["station_id", "analysis_date"], "left_semi"))
+
+
+@register("api_latest_forecast")
+def q_api_latest_forecast(spark, sf_dir):
+    """M3: latest successful linear forecast per station, points flattened to rows."""
+    from .plans.api import latest_forecast
+
+    lf = latest_forecast(_fc(spark, sf_dir, "linear"))
+    return canon(lf.select("station_id", "run_id", "mae", F.explode("points").alias("p")).select(
+        "station_id", "run_id", "mae", "p.step", "p.predicted_at", "p.predicted_value", "p.lower_bound", "p.upper_bound"))

@@ -86,3 +86,25 @@ def camel_case(df: DataFrame) -> DataFrame:
 def top_k_frequency(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     """the k most frequent values of ``key`` (ties by value), as a top-k report."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(key).asc()).limit(k)
+
+
+def forecast_runs_list(runs: DataFrame, station_id: int | None = None, model_type: str | None = None,
+                       limit: int = 20) -> DataFrame:
+    """M5: forecast runs, newest first, optional station / model filters, limit 1..100."""
+    _check("limit", limit, 1, 100)
+    r = runs
+    if station_id is not None:
+        r = r.filter(F.col("station_id") == station_id)
+    if model_type is not None:
+        r = r.filter(F.col("model_type") == model_type)
+    return r.orderBy(F.col("run_id").desc()).limit(limit)
+
+
+def latest_forecast(points: DataFrame, model_type: str = "linear", metric: str = "aqi") -> DataFrame:
+    """M3 (batch form): per station, the latest successful run of ``model_type`` with its points
+    as an ordered array."""
+    ok = points.filter((F.col("status") == "success") & (F.col("model_type") == model_type) & (F.col("target_metric") == metric))
+    last = ok.groupBy("station_id").agg(F.max("run_id").alias("run_id"))
+    sel = ok.join(last, ["station_id", "run_id"], "left_semi")
+    return sel.groupBy("station_id", "run_id", "model_type", "mae", "rmse", "mape").agg(
+        F.array_sort(F.collect_list(F.struct("step", "predicted_at", "predicted_value", "lower_bound", "upper_bound"))).alias("points"))
