@@ -1,6 +1,7 @@
 """Forecast / ML invariants (no SQL oracle): horizons, bounds, recoveries."""
 
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 
 from envspark.plans.forecast import _ols, arima_fit_predict, linear_fit_predict, seasonal_fit_predict
@@ -56,3 +57,24 @@ def test_forecast_queries_shapes(spark):
         assert r["status"] in ("success", "failed")
         if r["status"] == "success":
             assert r["n_points"] == r["horizon_hours"]
+
+
+def test_promotion_rule(spark):
+    from envspark.plans.grid_ml import promote
+
+    ch = spark.createDataFrame([(9.6,)], "mae double")
+    champ = spark.createDataFrame([(10.0,)], "mae double")
+    assert promote(ch, None).first()["promoted"] is True
+    assert promote(ch, champ).first()["promoted"] is False  # 9.6 > 10 x 0.95
+    assert promote(spark.createDataFrame([(9.5,)], "mae double"), champ).first()["promoted"] is True
+
+
+def test_station_folds_do_not_leak(spark):
+    from envspark.plans.grid_ml import station_folds
+
+    rows = [(s, float(i)) for s in range(7) for i in range(10 + s)]
+    df = spark.createDataFrame(rows, "station_id int, aqi double")
+    withf, folds = station_folds(df)
+    per_station = withf.groupBy("station_id").agg(F.countDistinct("fold").alias("n")).collect()
+    assert all(r["n"] == 1 for r in per_station)
+    assert {r["fold"] for r in folds.collect()} == set(range(5)) and folds.first()["k"] == 5
