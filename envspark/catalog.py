@@ -793,3 +793,13 @@ def q_api_latest_forecast(spark, sf_dir):
     lf = latest_forecast(_fc(spark, sf_dir, "linear"))
     return canon(lf.select("station_id", "run_id", "mae", F.explode("points").alias("p")).select(
         "station_id", "run_id", "mae", "p.step", "p.predicted_at", "p.predicted_value", "p.lower_bound", "p.upper_bound"))
+
+
+@register("api_forecast_runs")
+def q_api_forecast_runs(spark, sf_dir):
+    """M5: forecast runs list (all models), newest first, limit 100."""
+    from .plans.api import forecast_runs_list
+    from .plans.forecast import forecast_runs
+
+    pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
+    return canon(forecast_runs_list(forecast_runs(pts), limit=100))

@@ -78,3 +78,15 @@ def test_station_folds_do_not_leak(spark):
     per_station = withf.groupBy("station_id").agg(F.countDistinct("fold").alias("n")).collect()
     assert all(r["n"] == 1 for r in per_station)
     assert {r["fold"] for r in folds.collect()} == set(range(5)) and folds.first()["k"] == 5
+
+
+def test_training_saves_champion(spark, tmp_path):
+    from envspark.plans.grid_ml import run_grid_training
+    from envspark.sources.binding import AS_OF, Bound
+
+    b = Bound(spark, SF_MID)
+    params = {"maxIter": 2, "stepSize": 0.06, "maxDepth": 3, "minInstancesPerNode": 15, "seed": 42, "maxBins": 32}
+    model, meta = run_grid_training(b.aq, b.wx, b.stations, AS_OF, params=params, model_dir=str(tmp_path))
+    row = meta.first()
+    assert row["promoted"] is True and row["folds"] == 5 and row["mae"] > 0
+    assert (tmp_path / "champion").exists() and (tmp_path / "champion_meta").exists()
