@@ -629,7 +629,7 @@ def q_stream_anomalies(spark, sf_dir):
     from .streaming.jobs import stream_anomalies
 
     t = stream_anomalies(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS)
-    return canon(_round_value(spark.read.parquet(t).drop("description")))
+    return canon(_round_value(spark.read.parquet(t).drop("description", "_epoch")))
 
 
 # --- model lineage (L9, M13, M14) -------------------------------------------------------

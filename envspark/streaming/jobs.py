@@ -6,7 +6,8 @@
   Parquet table in ``foreachBatch``: only the partitions a batch touches are read,
   merged, checkpointed (cuts the read-back lineage) and dynamically overwritten.
 * O2 ``stream_anomalies``: each micro-batch is scanned against 7-day history stats;
-  candidates are suppressed against anomalies already emitted (C18), then appended.
+  candidates are suppressed against anomalies emitted by earlier epochs (C18) and
+  written to the epoch's own partition (a replayed epoch overwrites itself).
 * O3 ``stream_hourly``: watermarked hourly windows (update mode) merged by
   (station, window) into a table — late rows inside the watermark update their hour.
 
@@ -144,15 +145,22 @@ def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hou
     b = Bound(spark, sf_dir)
     stations = b.stations
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
+    def sink(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
         aq = _aq_from_events(batch)
         # stats over the full 7-day history (static side), candidates from this batch only
         hist = b.aq.select(*aq.columns)
-        prior = s.read.parquet(table) if _table_exists(s, table) else None
+        # suppress against anomalies of *earlier* epochs: a replayed epoch sees the same prior
+        prior = s.read.parquet(table).filter(F.col("_epoch") < epoch).drop("_epoch") if _table_exists(s, table) else None
         cand = detect_anomalies(hist, stations, as_of, scan_hours=scan_hours, prior=prior)
-        cand = cand.join(aq.select("obs_id"), "obs_id", "left_semi")
-        cand.write.mode("append").parquet(table)
+        cand = cand.join(aq.select("obs_id"), "obs_id", "left_semi").withColumn("_epoch", F.lit(epoch).cast("long"))
+        # one partition per epoch, overwritten dynamically: foreachBatch replays are idempotent
+        prev = s.conf.get("spark.sql.sources.partitionOverwriteMode")
+        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            cand.write.mode("overwrite").partitionBy("_epoch").parquet(table)
+        finally:
+            s.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
     _run(events_stream(spark, sf_dir).writeStream.foreachBatch(sink), root)
     return table
