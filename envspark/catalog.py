@@ -534,8 +534,8 @@ def q_quality_filter(spark, sf_dir):
 
 
 # --- lineage views (L2, L4, L7, L8) -------------------------------------------------
-@register("pipeline_run_overview")
-def q_pipeline_run_overview(spark, sf_dir):
+@register("ingest_run_overview")
+def q_ingest_run_overview(spark, sf_dir):
     from .plans.lineage import pipeline_run_overview
 
     return canon(pipeline_run_overview(Bound(spark, sf_dir).aq))

@@ -831,7 +831,7 @@ runs AS (SELECT pipeline_run_id, provider_code || '_ingest' AS pipeline_code, pr
 eps AS (SELECT DISTINCT endpoint_code, provider_code, upper(provider_code) || ' hourly' AS endpoint_name, 'api' AS endpoint_kind FROM aq),
 bnd AS (SELECT station_id, endpoint_code, provider_code, min(observed_at) AS valid_from FROM aq GROUP BY 1, 2, 3)"""
 
-SQL["pipeline_run_overview"] = with_binding(f"""{LINEAGE.strip()}
+SQL["ingest_run_overview"] = with_binding(f"""{LINEAGE.strip()}
 SELECT r.pipeline_run_id AS id, r.pipeline_code, upper(r.provider_code) || ' ingest' AS pipeline_name, 'ingest' AS pipeline_type,
        r.status, 'schedule' AS trigger_type, {ts_sql('r.started_at')} AS started_at, {ts_sql('r.finished_at')} AS finished_at,
        r.endpoint_code, e.endpoint_name, CAST(r.records AS BIGINT) AS records
