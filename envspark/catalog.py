@@ -611,8 +611,7 @@ def q_stream_grid_ingest(spark, sf_dir):
     """O1: the grid table built by the streaming upsert equals the batch dedupe."""
     from .streaming.jobs import stream_grid_ingest
 
-    t = stream_grid_ingest(spark, sf_dir)
-    df = spark.read.parquet(t).drop("obs_date")
+    df = stream_grid_ingest(spark, sf_dir).drop("obs_date")
     return canon(df.withColumn("pm25", round_half_up("pm25", 4)).withColumn("pm10", round_half_up("pm10", 4)))
 
 
@@ -620,16 +619,16 @@ def q_stream_grid_ingest(spark, sf_dir):
 def q_stream_hourly(spark, sf_dir):
     from .streaming.jobs import stream_hourly
 
-    t = stream_hourly(spark, sf_dir)
-    return canon(spark.read.parquet(t).drop("obs_date").withColumn("aqi_avg", round_half_up("aqi_avg", 4)))
+    df = stream_hourly(spark, sf_dir)
+    return canon(df.drop("obs_date").withColumn("aqi_avg", round_half_up("aqi_avg", 4)))
 
 
 @register("stream_anomalies")
 def q_stream_anomalies(spark, sf_dir):
-    from .streaming.jobs import stream_anomalies
+    from .streaming.jobs import read_anomalies, stream_anomalies
 
     t = stream_anomalies(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS)
-    return canon(_round_value(spark.read.parquet(t).drop("description", "_epoch")))
+    return canon(_round_value(read_anomalies(spark, t, AS_OF, sf_dir).drop("description", "_epoch")))
 
 
 # --- model lineage (L9, M13, M14) -------------------------------------------------------

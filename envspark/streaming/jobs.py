@@ -52,7 +52,8 @@ def upsert_partitioned(batch: DataFrame, path: str, keys: list[str], part_col: s
     batch = batch.persist()
     if _table_exists(spark, path):
         touched = batch.select(part_col).distinct()
-        existing = spark.read.parquet(path).join(touched, part_col, "left_semi")
+        schema = batch.drop("_seq").schema  # explicit: empty batches leave no files to infer from
+        existing = spark.read.schema(schema).parquet(path).join(touched, part_col, "left_semi")
         merged = keyed_merge(existing.drop("_seq"), batch, keys)
     else:
         merged = latest_version(batch, keys, ["_seq"]).drop("_seq")
@@ -73,8 +74,8 @@ def _run(query_builder, root: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-def stream_grid_ingest(spark: SparkSession, sf_dir: str) -> str:
-    """O1: events -> grid readings -> keyed upsert by (grid_point_id, observed_at). Returns the table path."""
+def stream_grid_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: events -> grid readings -> keyed upsert by (grid_point_id, observed_at). Returns the table."""
     from ..sources.grid import GRID_SPREAD, N_POINTS, OPENMETEO_CONFIDENCE, OPENMETEO_SOURCE, RASTER_CONFIDENCE, RASTER_SOURCE
 
     root = stream_root(spark, "grid-ingest")
@@ -95,7 +96,7 @@ def stream_grid_ingest(spark: SparkSession, sf_dir: str) -> str:
         upsert_partitioned(b, table, ["grid_point_id", "observed_at"], "obs_date")
 
     _run(readings.writeStream.foreachBatch(sink), root)
-    return table
+    return spark.read.schema(readings.schema).parquet(table)
 
 
 def _aq_from_events(ev: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def _aq_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
-def stream_hourly(spark: SparkSession, sf_dir: str, watermark: str = "2 hours") -> str:
+def stream_hourly(spark: SparkSession, sf_dir: str, watermark: str = "2 hours") -> DataFrame:
     """O3: hourly AQI mean and count per station from the event stream (watermarked windows)."""
     from ..session import pin_utc
 
@@ -132,7 +133,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str, watermark: str = "2 hours")
         upsert_partitioned(b, table, ["station_id", "hour"], "obs_date")
 
     _run(agg.writeStream.outputMode("update").foreachBatch(sink), root)
-    return table
+    return spark.read.schema(agg.withColumn("obs_date", F.to_date("hour")).schema).parquet(table)
 
 
 def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hours: float = 24) -> str:
@@ -144,6 +145,8 @@ def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hou
     table = f"{root}/anomalies"
     b = Bound(spark, sf_dir)
     stations = b.stations
+    # explicit schema: epochs without anomalies write no files, so the table cannot be inferred
+    schema = detect_anomalies(b.aq, stations, as_of, scan_hours=scan_hours).schema.add("_epoch", "long")
 
     def sink(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
@@ -151,7 +154,7 @@ def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hou
         # stats over the full 7-day history (static side), candidates from this batch only
         hist = b.aq.select(*aq.columns)
         # suppress against anomalies of *earlier* epochs: a replayed epoch sees the same prior
-        prior = s.read.parquet(table).filter(F.col("_epoch") < epoch).drop("_epoch") if _table_exists(s, table) else None
+        prior = s.read.schema(schema).parquet(table).filter(F.col("_epoch") < epoch).drop("_epoch") if _table_exists(s, table) else None
         cand = detect_anomalies(hist, stations, as_of, scan_hours=scan_hours, prior=prior)
         cand = cand.join(aq.select("obs_id"), "obs_id", "left_semi").withColumn("_epoch", F.lit(epoch).cast("long"))
         # one partition per epoch, overwritten dynamically: foreachBatch replays are idempotent
@@ -164,3 +167,12 @@ def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hou
 
     _run(events_stream(spark, sf_dir).writeStream.foreachBatch(sink), root)
     return table
+
+
+def read_anomalies(spark: SparkSession, table: str, as_of: datetime, sf_dir: str) -> DataFrame:
+    from ..plans.anomaly import detect_anomalies
+    from ..sources.binding import Bound
+
+    b = Bound(spark, sf_dir)
+    schema = detect_anomalies(b.aq, b.stations, as_of).schema.add("_epoch", "long")
+    return spark.read.schema(schema).parquet(table)
