@@ -160,26 +160,26 @@ def q_health_pollutant_averages(spark, sf_dir):
 
 
 # --- I4 -------------------------------------------------------------------
-def _corr(spark, sf_dir, positional):
+def _corr(spark, sf_dir, positional, parts):
     from .plans.correlation import correlation_matrix
 
     b = Bound(spark, sf_dir)
-    return correlation_matrix(b.aq, b.wx, b.stations, AS_OF, positional=positional)
+    return correlation_matrix(b.aq, b.wx, b.stations, AS_OF, positional=positional, parts=parts)
 
 
 @register("correlation_aq_aq")
 def q_correlation_aq_aq(spark, sf_dir):
-    return canon(_corr(spark, sf_dir, False).filter("category = 'aq_aq'"))
+    return canon(_corr(spark, sf_dir, False, ("aq_aq",)))
 
 
 @register("correlation_weather_zip")
 def q_correlation_weather_zip(spark, sf_dir):
-    return canon(_corr(spark, sf_dir, True).filter("category = 'aq_weather'"))
+    return canon(_corr(spark, sf_dir, True, ("aq_weather",)))
 
 
 @register("correlation_weather_hourly")
 def q_correlation_weather_hourly(spark, sf_dir):
-    return canon(_corr(spark, sf_dir, False).filter("category = 'aq_weather'"))
+    return canon(_corr(spark, sf_dir, False, ("aq_weather",)))
 
 
 # --- L1, L3, L11-L16 ------------------------------------------------------

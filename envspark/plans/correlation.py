@@ -35,43 +35,68 @@ def _pairs_long(df: DataFrame, keys: list[str], pairs: list[tuple[str, str, str,
     )
 
 
-def _pearson(long: DataFrame, keys: list[str]) -> DataFrame:
-    g = long.groupBy(*keys, "metric_a", "metric_b", "category").agg(
+ROWS = "__rows__"  # pseudo pair (1.0, 1.0): its count is the number of rows per station
+
+
+def _moments(long: DataFrame, keys: list[str]) -> DataFrame:
+    return long.groupBy(*keys, "metric_a", "metric_b", "category").agg(
         F.count(F.lit(1)).alias("n"),
         F.covar_pop("a", "b").alias("cov"),
         F.stddev_pop("a").alias("sa"),
         F.stddev_pop("b").alias("sb"),
     )
-    g = g.filter((F.col("n") >= CORRELATION_MIN_PAIRS) & (F.col("sa") > 0) & (F.col("sb") > 0))
+
+
+def _pearson(g: DataFrame, keys: list[str]) -> DataFrame:
+    g = g.filter((F.col("category") != ROWS) & (F.col("n") >= CORRELATION_MIN_PAIRS) & (F.col("sa") > 0) & (F.col("sb") > 0))
     return g.select(*keys, "metric_a", "metric_b", "category",
                     F.bround(F.try_divide(F.col("cov"), F.col("sa") * F.col("sb")), 4).alias("correlation"),
                     F.col("n").alias("pairs"))
 
 
-def _gates(aq_w: DataFrame, wx_w: DataFrame) -> tuple[DataFrame, DataFrame]:
-    aq_n = aq_w.groupBy("station_id").agg(F.count(F.lit(1)).alias("sample_size")).filter(F.col("sample_size") >= CORRELATION_MIN_ROWS)
-    wx_n = wx_w.groupBy("station_id").agg(F.count(F.lit(1)).alias("_nw")).filter(F.col("_nw") >= CORRELATION_MIN_ROWS)
-    return aq_n, wx_n
+def _row_gate(counts: DataFrame, col: str, out: str) -> DataFrame:
+    return counts.groupBy("station_id").agg(F.sum(col).alias(out)).filter(F.col(out) >= CORRELATION_MIN_ROWS)
 
 
 def correlation_matrix(aq: DataFrame, wx: DataFrame, stations: DataFrame, as_of: datetime,
-                       positional: bool = False) -> DataFrame:
-    """Rows: station_id, metric_a, metric_b, category, correlation, pairs, sample_size."""
+                       positional: bool = False, parts: tuple[str, ...] = ("aq_aq", "aq_weather")) -> DataFrame:
+    """Rows: station_id, metric_a, metric_b, category, correlation, pairs, sample_size.
+
+    ``parts`` selects the AQ-AQ and/or AQ-weather blocks, so a caller that needs one block
+    does not scan for the other.  Row-count gates come out of the same aggregates as the
+    moments (a pseudo pair for AQ-AQ, per-hour counts for the hour-aligned join)."""
     aq_w = active_only(window(aq, as_of, days=CORRELATION_DAYS), stations)
     wx_w = active_only(window(wx, as_of, days=CORRELATION_DAYS), stations)
-    aq_n, wx_n = _gates(aq_w, wx_w)
-
-    aa_pairs = [(a, b, a, b, "aq_aq") for a, b in combinations(METRICS, 2)]
-    aa = _pearson(_pairs_long(aq_w, ["station_id"], aa_pairs), ["station_id"])
-
-    aw_pairs = [(a, w, a, WEATHER_LABELS[w], "aq_weather") for a in METRICS for w in WEATHER_METRICS]
-    if positional:
-        a_idx = positional_index(aq_w.select("station_id", "observed_at", "obs_id", *METRICS), ["station_id"], ["observed_at", "obs_id"])
-        w_idx = positional_index(wx_w.select("station_id", "observed_at", "obs_id", *WEATHER_METRICS), ["station_id"], ["observed_at", "obs_id"])
-        zipped = a_idx.drop("observed_at", "obs_id").join(w_idx.drop("observed_at", "obs_id"), ["station_id", "pos"])
-    else:
-        ah = aq_w.groupBy("station_id", F.date_trunc("hour", "observed_at").alias("hour")).agg(*[F.avg(m).alias(m) for m in METRICS])
-        wh = wx_w.groupBy("station_id", F.date_trunc("hour", "observed_at").alias("hour")).agg(*[F.avg(m).alias(m) for m in WEATHER_METRICS])
-        zipped = ah.join(wh, ["station_id", "hour"])
-    aw = _pearson(_pairs_long(zipped.join(wx_n, "station_id", "left_semi"), ["station_id"], aw_pairs), ["station_id"])
-    return aa.unionByName(aw).join(aq_n, "station_id")
+    blocks, aq_n = [], None
+
+    if "aq_aq" in parts:
+        aa_pairs = [(a, b, a, b, "aq_aq") for a, b in combinations(METRICS, 2)] + [("_one", "_one", ROWS, ROWS, ROWS)]
+        g = _moments(_pairs_long(aq_w.withColumn("_one", F.lit(1.0)), ["station_id"], aa_pairs), ["station_id"])
+        aq_n = g.filter(F.col("category") == ROWS).select("station_id", F.col("n").alias("sample_size")).filter(
+            F.col("sample_size") >= CORRELATION_MIN_ROWS)
+        blocks.append(_pearson(g, ["station_id"]))
+
+    if "aq_weather" in parts:
+        aw_pairs = [(a, w, a, WEATHER_LABELS[w], "aq_weather") for a in METRICS for w in WEATHER_METRICS]
+        if positional:
+            a_idx = positional_index(aq_w.select("station_id", "observed_at", "obs_id", *METRICS), ["station_id"], ["observed_at", "obs_id"])
+            w_idx = positional_index(wx_w.select("station_id", "observed_at", "obs_id", *WEATHER_METRICS), ["station_id"], ["observed_at", "obs_id"])
+            zipped = a_idx.drop("observed_at", "obs_id").join(w_idx.drop("observed_at", "obs_id"), ["station_id", "pos"])
+            wx_n = _row_gate(wx_w.withColumn("_c", F.lit(1)), "_c", "_nw")
+            if aq_n is None:
+                aq_n = _row_gate(aq_w.withColumn("_c", F.lit(1)), "_c", "sample_size")
+        else:
+            hour = F.date_trunc("hour", "observed_at").alias("hour")
+            ah = aq_w.groupBy("station_id", hour).agg(*[F.avg(m).alias(m) for m in METRICS], F.count(F.lit(1)).alias("_ca"))
+            wh = wx_w.groupBy("station_id", hour).agg(*[F.avg(m).alias(m) for m in WEATHER_METRICS], F.count(F.lit(1)).alias("_cw"))
+            wx_n = _row_gate(wh, "_cw", "_nw")
+            if aq_n is None:
+                aq_n = _row_gate(ah, "_ca", "sample_size")
+            zipped = ah.join(wh, ["station_id", "hour"])
+        g = _moments(_pairs_long(zipped.join(wx_n, "station_id", "left_semi"), ["station_id"], aw_pairs), ["station_id"])
+        blocks.append(_pearson(g, ["station_id"]))
+
+    out = blocks[0]
+    for blk in blocks[1:]:
+        out = out.unionByName(blk)
+    return out.join(aq_n, "station_id")

@@ -1,9 +1,9 @@
 """I3 — seasonal pattern of one metric over 30 days: hourly and day-of-week
 profiles, peak / off-peak hours, best / worst weekday, overall level.
 
-Both profiles are grouped aggregates keyed by (station, hour) and (station, dow):
-at most 24 and 7 rows per station, so the ranking windows that follow run on
-bounded groups.
+Both profiles come from one GROUPING SETS aggregate keyed by (station, hour) and
+(station, dow): at most 24 and 7 rows per station, so the ranking windows that
+follow run on bounded groups.
 """
 
 from __future__ import annotations
@@ -30,35 +30,38 @@ def _base(aq, stations, as_of, metric):
     return df.filter(F.col(m).isNotNull()).select("station_id", "observed_at", F.col(m).cast("double").alias("v")), m
 
 
-def hourly_profile(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str = "aqi") -> DataFrame:
+def _profiles(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str) -> tuple[DataFrame, DataFrame]:
+    """Hourly and day-of-week profiles from ONE scan and ONE shuffle (GROUPING SETS
+    (station, hour), (station, dow)); the >= 12-hour gate applies to both."""
     base, m = _base(aq, stations, as_of, metric)
-    prof = base.groupBy("station_id", F.hour("observed_at").alias("hour")).agg(
+    base = base.withColumn("hour", F.hour("observed_at")).withColumn("dow", dow_sun0(F.col("observed_at")))
+    g = base.groupingSets([["station_id", "hour"], ["station_id", "dow"]], "station_id", "hour", "dow").agg(
         round_half_up(F.avg("v"), 2).alias("avg_val"),
         round_half_up(F.stddev_samp("v"), 2).alias("std_val"),
         round_half_up(F.min("v"), 2).alias("min_val"),
         round_half_up(F.max("v"), 2).alias("max_val"),
         F.count(F.lit(1)).alias("samples"),
     )
-    n_hours = F.count(F.lit(1)).over(Window.partitionBy("station_id"))
-    return prof.withColumn("_nh", n_hours).filter(F.col("_nh") >= SEASONAL_MIN_HOURS).drop("_nh").withColumn("metric", F.lit(m))
+    hp = g.filter(F.col("dow").isNull()).select("station_id", "hour", "avg_val", "std_val", "min_val", "max_val", "samples")
+    n_hours = F.count(F.lit(1)).over(Window.partitionBy("station_id"))  # <= 24 rows per station
+    hp = hp.withColumn("_nh", n_hours).filter(F.col("_nh") >= SEASONAL_MIN_HOURS).drop("_nh").withColumn("metric", F.lit(m))
+    dp = g.filter(F.col("hour").isNull()).select("station_id", "dow", "avg_val", "std_val", "samples")
+    dp = dp.join(hp.select("station_id").distinct(), "station_id", "left_semi").withColumn("metric", F.lit(m))
+    return hp, dp
+
+
+def hourly_profile(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str = "aqi") -> DataFrame:
+    return _profiles(aq, stations, as_of, metric)[0]
 
 
 def dow_profile(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str = "aqi") -> DataFrame:
-    base, m = _base(aq, stations, as_of, metric)
-    prof = base.groupBy("station_id", dow_sun0(F.col("observed_at")).alias("dow")).agg(
-        round_half_up(F.avg("v"), 2).alias("avg_val"),
-        round_half_up(F.stddev_samp("v"), 2).alias("std_val"),
-        F.count(F.lit(1)).alias("samples"),
-    )
-    gated = hourly_profile(aq, stations, as_of, metric).select("station_id").distinct()
-    return prof.join(gated, "station_id", "left_semi").withColumn("metric", F.lit(m))
+    return _profiles(aq, stations, as_of, metric)[1]
 
 
 def seasonal_summary(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str = "aqi") -> DataFrame:
     """Rows: station_id, metric, peak_hours, off_peak_hours (arrays), best_dow, worst_dow,
     overall_avg, hourly_variation, hourly_profile, daily_profile (arrays of structs)."""
-    hp = hourly_profile(aq, stations, as_of, metric)
-    dp = dow_profile(aq, stations, as_of, metric)
+    hp, dp = _profiles(aq, stations, as_of, metric)
     # Stable sort by avg desc keeps ascending hour order among ties
     desc_rank = F.row_number().over(Window.partitionBy("station_id").orderBy(F.col("avg_val").desc(), F.col("hour").asc()))
     n = F.count(F.lit(1)).over(Window.partitionBy("station_id"))
