@@ -15,6 +15,7 @@ from __future__ import annotations
 from datetime import datetime
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,7 @@ def correlation_matrix(aq: DataFrame, wx: DataFrame, stations: DataFrame, as_of:
     if "aq_aq" in parts:
         aa_pairs = [(a, b, a, b, "aq_aq") for a, b in combinations(METRICS, 2)] + [("_one", "_one", ROWS, ROWS, ROWS)]
         g = _moments(_pairs_long(aq_w.withColumn("_one", F.lit(1.0)), ["station_id"], aa_pairs), ["station_id"])
+        g = g.persist(StorageLevel.MEMORY_AND_DISK)  # 22 rows per station, read by two branches
         aq_n = g.filter(F.col("category") == ROWS).select("station_id", F.col("n").alias("sample_size")).filter(
             F.col("sample_size") >= CORRELATION_MIN_ROWS)
         blocks.append(_pearson(g, ["station_id"]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from ..functions.numeric import round_half_up
@@ -42,6 +43,8 @@ def _profiles(aq: DataFrame, stations: DataFrame, as_of: datetime, metric: str)
         round_half_up(F.max("v"), 2).alias("max_val"),
         F.count(F.lit(1)).alias("samples"),
     )
+    # <= 31 rows per station, read by three branches: materialise once instead of rescanning
+    g = g.persist(StorageLevel.MEMORY_AND_DISK)
     hp = g.filter(F.col("dow").isNull()).select("station_id", "hour", "avg_val", "std_val", "min_val", "max_val", "samples")
     n_hours = F.count(F.lit(1)).over(Window.partitionBy("station_id"))  # <= 24 rows per station
     hp = hp.withColumn("_nh", n_hours).filter(F.col("_nh") >= SEASONAL_MIN_HOURS).drop("_nh").withColumn("metric", F.lit(m))
