@@ -29,6 +29,9 @@ def register(name: str):
 
 
 def canon(df: DataFrame) -> DataFrame:
+    from .session import pin_utc
+
+    pin_utc(df.sparkSession)  # hour/day boundaries and interval arithmetic are UTC for every query
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
