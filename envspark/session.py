@@ -41,14 +41,18 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when unset (tests)."""
+    """Return the shared checkpoint folder from the session; a scratch folder is set only when
+    none is configured and the master is local (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="envspark-ckpt-")
+    if not sc.master.startswith("local"):
+        # a machine-local folder would not survive executor loss: require the shared one
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS/S3/ABFS/GCS)")
+    path = tempfile.mkdtemp(prefix="envspark-ckpt-")  # local mode only (tests, laptops)
     sc.setCheckpointDir(path)
     return path
 
