@@ -13,3 +13,36 @@ TABLES = [
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def write_fact_table(df: DataFrame, path: str, time_col: str = "observed_at", key_col: str = "station_id",
+                     files_per_day: int = 8, mode: str = "overwrite") -> None:
+    """Storage layout for observation facts: one directory per day (partition pruning for
+    time windows), rows range-partitioned by (day, station) so a day is split across
+    ``files_per_day`` files and each file holds a station range sorted by time (row-group
+    statistics then skip stations and hours).  Dynamic partition overwrite replaces only the
+    days present in ``df``."""
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    out = df.withColumn("obs_date", F.to_date(time_col))
+    n = max(1, files_per_day) * max(1, out.select("obs_date").distinct().count())  # one number: #days
+    out = out.repartitionByRange(n, "obs_date", key_col).sortWithinPartitions("obs_date", key_col, time_col)
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        out.write.mode(mode).partitionBy("obs_date").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def read_fact_table(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """Read a fact table written by ``write_fact_table``; date bounds become partition filters."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(path)
+    if since is not None:
+        df = df.filter(F.col("obs_date") >= F.lit(str(since)[:10]).cast("date"))
+    if until is not None:
+        df = df.filter(F.col("obs_date") <= F.lit(str(until)[:10]).cast("date"))
+    return df

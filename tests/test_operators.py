@@ -68,3 +68,18 @@ def test_merge_family(spark):
     assert dict(upd.collect()) == {1: "a", 2: "z"}
     kids = spark.createDataFrame([(10, 1), (11, 2)], "id int, parent int")
     assert [r["id"] for r in cascade_delete(kids, ex.filter("k = 2"), "parent", "k").collect()] == [11]
+
+
+def test_fact_table_layout_prunes_days(spark, tmp_path):
+    from envspark.sources.binding import aq_observations
+    from envspark.sources.tables import read_fact_table, write_fact_table
+    from tests.conftest import SF_SMALL
+
+    aq = aq_observations(spark, SF_SMALL)
+    path = str(tmp_path / "aq")
+    write_fact_table(aq, path)
+    week = read_fact_table(spark, path, since="2024-01-24", until="2024-01-30")
+    plan = week._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(obs_date" in plan
+    exp = aq.filter((F.to_date("observed_at") >= "2024-01-24") & (F.to_date("observed_at") <= "2024-01-30")).count()
+    assert week.count() == exp > 0
