@@ -120,3 +120,34 @@ def test_geojson_polygons_hole_and_overlap(spark, tmp_path):
                                 "grid_point_id int, lat double, lng double")
     got = {r["grid_point_id"]: r["province_name"] for r in point_in_polygon(pts, polys, polygon_edges(rings)).collect()}
     assert got == {1: "Đà Nẵng", 3: "Đà Nẵng", 4: "Unknown"}  # 2 in the hole, 3 in both (first wins), 5 outside
+
+
+def test_payload_normalisation_golden(spark):
+    from envspark.sources.payload import normalise_payloads
+
+    docs = [
+        (1, {"grid_point_id": 7, "fetched_at": "2024-01-05 06:10:00", "current": {"time": "2024-01-05T13:00", "us_aqi": 41.5,
+             "pm2_5": 10.2, "pm10": "n/a", "ozone": float("nan"), "nitrogen_dioxide": 3, "sulphur_dioxide": None, "carbon_monoxide": 200}}),
+        (2, {"grid_point_id": 8, "fetched_at": "2024-01-05 06:10:00", "current": {"time": "2024-01-05T13:00", "pm2_5": 5.0}}),
+        (3, {"grid_point_id": 9, "fetched_at": "2024-01-05 06:10:00", "current": {"us_aqi": 10}}),
+        (4, {"grid_point_id": 9, "fetched_at": "2024-01-05 06:10:00", "current": {"time": "2024-01-05T00:30", "us_aqi": 42.5}}),
+    ]
+    import json as _json
+
+    df = spark.createDataFrame([(i, _json.dumps(d, allow_nan=True)) for i, d in docs], "payload_id long, json string")
+    got = {r["payload_id"]: r for r in normalise_payloads(df).collect()}
+    assert set(got) == {1, 4}  # no us_aqi -> dropped; no time -> dropped
+    r = got[1]
+    assert r["aqi"] == 42 and r["pm25"] == 10.2 and r["pm10"] is None and r["o3"] is None and r["so2"] is None
+    assert r["no2"] == 3.0 and r["co"] == 200.0 and r["observed_at"] == datetime(2024, 1, 5, 6, 0)
+    assert got[4]["aqi"] == 42 and got[4]["observed_at"] == datetime(2024, 1, 4, 17, 30)  # 42.5 -> 42 (half-even)
+
+
+def test_upsert_golden(spark):
+    from envspark.operators.merge import keyed_merge
+
+    ex = spark.createDataFrame([(1, AS_OF, 10), (2, AS_OF, 20)], "grid_point_id int, observed_at timestamp_ntz, aqi int")
+    new = spark.createDataFrame([(2, AS_OF, 21, 1), (2, AS_OF, 22, 2), (3, AS_OF, 30, 1)],
+                                "grid_point_id int, observed_at timestamp_ntz, aqi int, _seq int")
+    got = {r["grid_point_id"]: r["aqi"] for r in keyed_merge(ex, new, ["grid_point_id", "observed_at"]).collect()}
+    assert got == {1: 10, 2: 22, 3: 30}  # existing kept, existing key updated (last in batch wins), new key inserted
