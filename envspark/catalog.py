@@ -805,3 +805,13 @@ def q_api_forecast_runs(spark, sf_dir):
 
     pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
     return canon(forecast_runs_list(forecast_runs(pts), limit=100))
+
+
+@register("forecast_run_gates")
+def q_forecast_run_gates(spark, sf_dir):
+    """J6 structure without model values: which stations each model ran for, with how many
+    hourly training points, its status and the number of forecast points."""
+    from .plans.forecast import forecast_runs
+
+    pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
+    return canon(forecast_runs(pts).select("station_id", "model_type", "horizon_hours", "training_rows", "status", "n_points"))

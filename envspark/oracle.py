@@ -991,6 +991,16 @@ SELECT h.* FROM h JOIN l ON l.station_id = h.station_id AND l.analysis_date = h.
 SQL["api_latest_correlation"] = _corr_latest()
 
 
+def _gate_sql(model: str, days: int, horizon: int, min_points: int) -> str:
+    return (f"SELECT CAST(station_id AS BIGINT) AS station_id, '{model}' AS model_type, CAST({horizon} AS BIGINT) AS horizon_hours, "
+            f"CAST(count(*) AS BIGINT) AS training_rows, 'success' AS status, CAST({horizon} AS BIGINT) AS n_points "
+            f"FROM ({hourly_sql('aqi', days)}) GROUP BY station_id HAVING count(*) >= {min_points}")
+
+
+SQL["forecast_run_gates"] = with_binding("g AS (" + _gate_sql("linear", 14, 24, 48) + " UNION ALL " + _gate_sql("arima", 7, 12, 48)
+                                         + " UNION ALL " + _gate_sql("prophet", 14, 24, 20) + ")\nSELECT * FROM g")
+
+
 def _nudge_rounds(sql: str) -> str:
     """Twin of ``functions.numeric.round_half_up``: every ``round(x, d)`` becomes
     ``round(x + sign(x) * 1e-9, d)`` so exact decimal ties round away from zero."""
