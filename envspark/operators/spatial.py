@@ -145,5 +145,10 @@ def knn_join(
     for extra in results[1:]:
         out = out.unionByName(extra)
     rcols = [c for c in out.columns if c.startswith("r_") and c not in ("r_lat", "r_lng")]
-    keep = list(dict.fromkeys([*keys, *lcols]))
-    return out.select(*keep, *rcols, "r_lat", "r_lng", dist_col, "rank")
+    keep_cols = list(dict.fromkeys([*keys, *lcols]))
+    # the rounds' cached plans nest inside each other; a reliable checkpoint of the (small)
+    # result collapses the plan to one scan, then the per-round caches can be released
+    out = cut_lineage(out.select(*keep_cols, *rcols, "r_lat", "r_lng", dist_col, "rank"))
+    for df in keep:
+        df.unpersist()
+    return out

@@ -33,6 +33,7 @@ FEATURE_COLUMNS = ["lat", "lng", "hour_sin", "hour_cos", "dow", "month", *WEATHE
 NULLABLE = [*WEATHER_FEATURES, "neighbor_aqi_mean", "neighbor_dist_mean"]
 
 
+ROWS_PER_TRAINING_PARTITION = 50_000
 STATION_CELL_DEG = None  # first probe cell from the data density (auto); doubles per round
 
 
@@ -126,10 +127,15 @@ def train_and_evaluate(train: DataFrame, params: dict | None = None, parallelism
 
     p = dict(GBT_PARAMS if params is None else params)
     spark = train.sparkSession
-    data = _with_flags(train).cache()
+    data = _with_flags(train).persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = data.count()
+    # size partitions to the data: tree training runs a few jobs per level, so a small
+    # training set spread over many tiny tasks pays scheduling, not compute
+    parts = int(min(max(2, n_rows // ROWS_PER_TRAINING_PARTITION + 1), max(2, spark.sparkContext.defaultParallelism * 4)))
+    data = data.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     withf, folds = station_folds(data)
+    withf = withf.persist(StorageLevel.MEMORY_AND_DISK)
     k = folds.agg(F.max("k")).first()[0] or 0  # one number from a per-station table
-    n_rows = data.count()
     ev_mae = RegressionEvaluator(labelCol="aqi", predictionCol="prediction", metricName="mae")
     ev_rmse = RegressionEvaluator(labelCol="aqi", predictionCol="prediction", metricName="rmse")
 
