@@ -782,9 +782,12 @@ def q_api_latest_correlation(spark, sf_dir):
     from .plans.correlation import correlation_matrix
 
     b = Bound(spark, sf_dir)
+    from pyspark.sql import Window
+
     hist = _history(lambda t: correlation_matrix(b.aq, b.wx, b.stations, t))
-    last = hist.groupBy("station_id").agg(F.max("analysis_date").alias("analysis_date"))
-    return canon(hist.join(last, ["station_id", "analysis_date"], "left_semi"))
+    # <= 42 pairs x dates per station: a bounded window, and the history is referenced once
+    last = F.max("analysis_date").over(Window.partitionBy("station_id"))
+    return canon(hist.withColumn("_last", last).filter(F.col("analysis_date") == F.col("_last")).drop("_last"))
 
 
 @register("api_latest_forecast")
