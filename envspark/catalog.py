@@ -666,8 +666,8 @@ def q_model_production_status(spark, sf_dir):
 # --- I8 / M17: run every analytic job, report processed counts ---------------------------
 @register("run_all")
 def q_run_all(spark, sf_dir):
-    """I8: every SQL-expressible job on one shared binding; count of stations (or rows) each
-    produced, as the job endpoints report."""
+    """I8: the nine jobs on one shared binding; count of stations (or rows) each produced, as
+    the job endpoints report."""
     b = Bound(spark, sf_dir)
     from .plans.anomaly import detect_anomalies
     from .plans.correlation import correlation_matrix
@@ -689,6 +689,7 @@ def q_run_all(spark, sf_dir):
         n_stations("correlation", correlation_matrix(b.aq, b.wx, b.stations, AS_OF)),
         n_stations("trend", trend_analysis(b.aq, b.stations, AS_OF)),
         n_stations("health", health_impact(b.aq, b.stations, AS_OF)),
+        *[n_stations(f"forecast_{m}", _fc(spark, sf_dir, m).filter(F.col("status") == "success")) for m in ("linear", "arima", "prophet")],
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -928,6 +928,9 @@ UNION ALL SELECT 'correlation', CAST(count(DISTINCT station_id) AS BIGINT) FROM
   (SELECT station_id FROM {_sub('correlation_aq_aq')} UNION ALL SELECT station_id FROM {_sub('correlation_weather_hourly')})
 UNION ALL SELECT 'trend', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub('trend')}
 UNION ALL SELECT 'health', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub('health_impact')}
+UNION ALL SELECT 'forecast_linear', CAST(count(*) AS BIGINT) FROM (WITH {BINDING.strip()} SELECT station_id FROM ({hourly_sql('aqi', 14)}) GROUP BY station_id HAVING count(*) >= 48)
+UNION ALL SELECT 'forecast_arima', CAST(count(*) AS BIGINT) FROM (WITH {BINDING.strip()} SELECT station_id FROM ({hourly_sql('aqi', 7)}) GROUP BY station_id HAVING count(*) >= 48)
+UNION ALL SELECT 'forecast_prophet', CAST(count(*) AS BIGINT) FROM (WITH {BINDING.strip()} SELECT station_id FROM ({hourly_sql('aqi', 14)}) GROUP BY station_id HAVING count(*) >= 20)
 """
 
 
