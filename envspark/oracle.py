@@ -606,7 +606,7 @@ _VI_TO = ("aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd")
 SQL["grid_provinces"] = with_binding(f"""{GRID.strip()},
 nat AS (SELECT n_nationkey, n_name, n_regionkey,
                row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation),
-base AS (SELECT CAST(n_nationkey AS INT) AS polygon_id, n_name AS name, CAST(n_nationkey AS INT) AS sort_order,
+base AS (SELECT CAST(n_nationkey AS INT) AS polygon_id, n_name AS name, CAST(n_nationkey AS INT) AS sort_order, k,
                 8.5::DOUBLE + n_regionkey * 3.2::DOUBLE AS y0, 8.5::DOUBLE + (n_regionkey + 1) * 3.2::DOUBLE AS y1,
                 102.1::DOUBLE + k * 1.6::DOUBLE AS x0, 103.7::DOUBLE + k * 1.6::DOUBLE AS x1
          FROM nat),
@@ -615,10 +615,10 @@ verts AS (
   SELECT polygon_id, 0, 1, x1, y0 FROM base UNION ALL
   SELECT polygon_id, 0, 2, x1 + 0.3::DOUBLE, y1 FROM base UNION ALL
   SELECT polygon_id, 0, 3, x0 + 0.3::DOUBLE, y1 FROM base UNION ALL
-  SELECT polygon_id, 1, 0, x0 + 0.4::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE polygon_id % 5 = 0 UNION ALL
-  SELECT polygon_id, 1, 1, x0 + 1.1::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE polygon_id % 5 = 0 UNION ALL
-  SELECT polygon_id, 1, 2, x0 + 1.1::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE polygon_id % 5 = 0 UNION ALL
-  SELECT polygon_id, 1, 3, x0 + 0.4::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE polygon_id % 5 = 0),
+  SELECT polygon_id, 1, 0, x0 + 0.4::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE k = 0 UNION ALL
+  SELECT polygon_id, 1, 1, x0 + 1.1::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE k = 0 UNION ALL
+  SELECT polygon_id, 1, 2, x0 + 1.1::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE k = 0 UNION ALL
+  SELECT polygon_id, 1, 3, x0 + 0.4::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE k = 0),
 edges AS (SELECT polygon_id, lng AS x1, lat AS y1,
                  coalesce(lead(lng) OVER w, first_value(lng) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2
           FROM verts WINDOW w AS (PARTITION BY polygon_id, ring ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),

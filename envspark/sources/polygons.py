@@ -3,7 +3,7 @@
 ``read_geojson_polygons`` (A10) reads a GeoJSON FeatureCollection with Spark's
 JSON reader and explodes it into vertex rows.  ``nation_polygons`` derives a
 polygon set from the driver's ``nation`` table (one quadrilateral per nation in
-a latitude band per region, every fifth with a hole) so the point-in-polygon
+a latitude band per region; the first nation of each region has a hole) so the point-in-polygon
 job runs on data that comes from the given tables.
 """
 
@@ -48,7 +48,7 @@ def nation_polygons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     n = nat.withColumn("k", F.row_number().over(w) - 1)
     base = n.select(
-        F.col("n_nationkey").cast("int").alias("polygon_id"), F.col("n_name").alias("name"),
+        F.col("n_nationkey").cast("int").alias("polygon_id"), F.col("n_name").alias("name"), "k",
         F.col("n_nationkey").cast("int").alias("sort_order"),
         # vertices sit on odd tenths of a degree, never on a 0.2-degree lattice line
         (F.lit(8.5) + F.col("n_regionkey") * 3.2).alias("y0"), (F.lit(8.5) + (F.col("n_regionkey") + 1) * 3.2).alias("y1"),
@@ -67,6 +67,6 @@ def nation_polygons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
         F.struct(F.lit(3).alias("seq"), (F.col("x0") + 0.4).alias("lng"), (F.col("y0") + 2.0).alias("lat")),
     )
     r0 = base.select("polygon_id", F.lit(0).alias("ring"), F.explode(outer).alias("v"))
-    r1 = base.filter(F.col("polygon_id") % 5 == 0).select("polygon_id", F.lit(1).alias("ring"), F.explode(hole).alias("v"))
+    r1 = base.filter(F.col("k") == 0).select("polygon_id", F.lit(1).alias("ring"), F.explode(hole).alias("v"))
     rings = r0.unionByName(r1).select("polygon_id", "ring", "v.seq", "v.lng", "v.lat")
     return base.select("polygon_id", "name", "sort_order"), rings
