@@ -13,11 +13,10 @@ from datetime import datetime
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from ..functions.numeric import round_half_up
 
 from ..config import METRICS, SEASONAL_DAYS, SEASONAL_MIN_HOURS
 from ..functions import dow_sun0
-from ..functions.numeric import mean_half_even
+from ..functions.numeric import mean_half_even, round_half_up
 from .common import active_only, window
 
 

@@ -12,11 +12,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from ..functions.numeric import round_half_up
 
 from ..config import METRICS, TREND_DAYS, TREND_MIN_DAYS
 from ..functions import trend_direction
-from ..functions.numeric import mean_half_even
+from ..functions.numeric import mean_half_even, round_half_up
 from .common import active_only, window
 
 
