@@ -819,3 +819,11 @@ def q_forecast_run_gates(spark, sf_dir):
 
     pts = _fc(spark, sf_dir, "linear").unionByName(_fc(spark, sf_dir, "arima")).unionByName(_fc(spark, sf_dir, "prophet"))
     return canon(forecast_runs(pts).select("station_id", "model_type", "horizon_hours", "training_rows", "status", "n_points"))
+
+
+@register("stream_anomalies_stateful")
+def q_stream_anomalies_stateful(spark, sf_dir):
+    """O2 with keyed streaming state (applyInPandasWithState); in-batch suppression (T5)."""
+    from .streaming.jobs import stream_anomalies_stateful
+
+    return canon(_round_value(stream_anomalies_stateful(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS)))

@@ -39,19 +39,11 @@ def metric_stats(aq: DataFrame, stations: DataFrame, as_of: datetime, history_da
     )
 
 
-def detect_anomalies(
-    aq: DataFrame,
-    stations: DataFrame,
-    as_of: datetime,
-    scan_hours: float = ANOMALY_SCAN_HOURS,
-    prior: DataFrame | None = None,
-    metrics: list[str] = METRICS,
-) -> DataFrame:
-    """Rows: station_id, metric, detected_at, value, z_score, iqr_factor, method, severity, description."""
-    stats = metric_stats(aq, stations, as_of, metrics=metrics)
-    recent = to_long(window(aq, as_of, hours=scan_hours), ["station_id", "observed_at", "obs_id"], metrics)
-    c = recent.join(stats, ["station_id", "metric"])  # stats: one row per key
-
+def score_candidates(recent_long: DataFrame, stats: DataFrame) -> DataFrame:
+    """z-score and IQR tests of long-form rows (station_id, metric, observed_at, obs_id, value)
+    against their key's stats (one row per key, so the join never fans out); keeps anomalies.
+    Works on batch and streaming inputs alike (stream-static join)."""
+    c = recent_long.join(stats, ["station_id", "metric"])
     v, mean, std, q1, q3 = (F.col(x) for x in ("value", "mean", "std", "q1", "q3"))
     iqr = q3 - q1
     lower, upper = q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr
@@ -64,7 +56,21 @@ def detect_anomalies(
     )
     is_z = F.abs(F.col("z")) >= ZSCORE_THRESHOLD
     is_iqr = (F.col("value") < F.col("iqr_lower")) | (F.col("value") > F.col("iqr_upper"))
-    c = c.filter(is_z | is_iqr).withColumn("method", F.when(is_z, F.lit("zscore")).otherwise(F.lit("iqr")))
+    return c.filter(is_z | is_iqr).withColumn("method", F.when(is_z, F.lit("zscore")).otherwise(F.lit("iqr")))
+
+
+def detect_anomalies(
+    aq: DataFrame,
+    stations: DataFrame,
+    as_of: datetime,
+    scan_hours: float = ANOMALY_SCAN_HOURS,
+    prior: DataFrame | None = None,
+    metrics: list[str] = METRICS,
+) -> DataFrame:
+    """Rows: station_id, metric, detected_at, value, z_score, iqr_factor, method, severity, description."""
+    stats = metric_stats(aq, stations, as_of, metrics=metrics)
+    recent = to_long(window(aq, as_of, hours=scan_hours), ["station_id", "observed_at", "obs_id"], metrics)
+    c = score_candidates(recent, stats)
 
     if prior is not None:
         last = prior.groupBy("station_id", "metric").agg(F.max("detected_at").alias("_last"))

@@ -176,3 +176,69 @@ def read_anomalies(spark: SparkSession, table: str, as_of: datetime, sf_dir: str
     b = Bound(spark, sf_dir)
     schema = detect_anomalies(b.aq, b.stations, as_of).schema.add("_epoch", "long")
     return spark.read.schema(schema).parquet(table)
+
+
+# --- O2, stateful form ------------------------------------------------------------------
+SUPPRESS_US = 3600 * 1_000_000  # one hour in microseconds
+STATEFUL_OUTPUT = ("station_id int, metric string, obs_id long, det_us long, value double, z double, f double, "
+                   "method string")
+
+
+def suppress_in_order(last_us, det_us, obs_ids):
+    """Keep a candidate unless the last *emitted* one of its key lies within the hour before it
+    (no upper bound, as C18).  Rows are taken in (time, id) order; returns (keep mask, new last)."""
+    order = sorted(range(len(det_us)), key=lambda i: (det_us[i], obs_ids[i]))
+    keep = [False] * len(det_us)
+    for i in order:
+        t = int(det_us[i])
+        if last_us is None or not (last_us > t - SUPPRESS_US):
+            keep[i] = True
+            last_us = t if last_us is None else max(last_us, t)
+    return keep, last_us
+
+
+def _suppress_group(key, pdfs, state):
+    import pandas as pd
+
+    last = int(state.get[0]) if state.exists else None
+    kept = []
+    for pdf in pdfs:
+        mask, last = suppress_in_order(last, pdf["det_us"].tolist(), pdf["obs_id"].tolist())
+        kept.append(pdf[mask])
+    if last is not None:
+        state.update((int(last),))
+    cols = [c.strip().split(" ")[0] for c in STATEFUL_OUTPUT.split(",")]
+    yield pd.concat(kept)[cols] if kept else pd.DataFrame(columns=cols)
+
+
+def stream_anomalies_stateful(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hours: float = 24) -> DataFrame:
+    """O2 with keyed state: candidates from a stream-static join against the 7-day stats are
+    suppressed per (station, metric) by ``applyInPandasWithState`` holding the last emitted
+    time.  Unlike the batch job, emissions of the same micro-batch also suppress each other
+    (SURVEY T5).  Each group's input is the candidates of one key: anomalies, few by nature."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..plans.anomaly import metric_stats, score_candidates
+    from ..plans.common import to_long, window
+    from ..session import pin_utc
+    from ..sources.binding import Bound
+
+    pin_utc(spark)
+    root = stream_root(spark, "anomalies-stateful")
+    table = f"{root}/anomalies"
+    b = Bound(spark, sf_dir)
+    stats = metric_stats(b.aq, b.stations, as_of)  # static side of the stream-static join
+    recent = to_long(window(_aq_from_events(events_stream(spark, sf_dir)), as_of, hours=scan_hours),
+                     ["station_id", "observed_at", "obs_id"])
+    cand = score_candidates(recent, stats).withColumn("det_us", F.unix_micros(F.col("detected_at").cast("timestamp")))
+    cand = cand.select("station_id", "metric", "obs_id", "det_us", "value", "z", "f", "method")
+    out = cand.groupBy("station_id", "metric").applyInPandasWithState(
+        _suppress_group, STATEFUL_OUTPUT, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    q = (out.writeStream.format("parquet").option("path", table).option("checkpointLocation", f"{root}/_checkpoint")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+    res = spark.read.schema(STATEFUL_OUTPUT).parquet(table)
+    return res.select("station_id", "metric", "obs_id", F.timestamp_micros("det_us").alias("detected_at"), "value",
+                      F.bround("z", 3).alias("z_score"), F.bround("f", 3).alias("iqr_factor"), "method")

@@ -151,3 +151,34 @@ def test_upsert_golden(spark):
                                 "grid_point_id int, observed_at timestamp_ntz, aqi int, _seq int")
     got = {r["grid_point_id"]: r["aqi"] for r in keyed_merge(ex, new, ["grid_point_id", "observed_at"]).collect()}
     assert got == {1: 10, 2: 22, 3: 30}  # existing kept, existing key updated (last in batch wins), new key inserted
+
+
+def test_stateful_suppression_rule():
+    from envspark.streaming.jobs import suppress_in_order
+
+    h = 3600 * 1_000_000
+    t = [0, 30 * 60 * 1_000_000, h, h + 1, 3 * h]
+    keep, last = suppress_in_order(None, t, [1, 2, 3, 4, 5])
+    # 0 kept; +30 min suppressed; exactly +60 min kept (emitted 0 is not > t - 1h); +60 min +1us suppressed; 3 h kept
+    assert keep == [True, False, True, False, True] and last == 3 * h
+    keep2, _ = suppress_in_order(last, [3 * h + 10], [6])  # state carries into the next micro-batch
+    assert keep2 == [False]
+
+
+def test_stateful_stream_matches_sequential_rule(spark):
+    import __spark_entry__ as E
+    from envspark.plans.anomaly import detect_anomalies
+    from envspark.sources.binding import AS_OF as AS_OF_, Bound
+    from envspark.streaming.jobs import suppress_in_order
+    from tests.conftest import SF_MID
+
+    got = {r["obs_id"] for r in E.queries()["stream_anomalies_stateful"](spark, SF_MID).collect()}
+    b = Bound(spark, SF_MID)
+    cand = detect_anomalies(b.aq, b.stations, AS_OF_, scan_hours=24).select(
+        "station_id", "metric", "obs_id", F.unix_micros(F.col("detected_at").cast("timestamp")).alias("t")).collect()
+    exp = set()
+    for key in {(r["station_id"], r["metric"]) for r in cand}:
+        rows = [r for r in cand if (r["station_id"], r["metric"]) == key]
+        keep, _ = suppress_in_order(None, [r["t"] for r in rows], [r["obs_id"] for r in rows])
+        exp |= {r["obs_id"] for r, k in zip(rows, keep) if k}
+    assert got == exp
