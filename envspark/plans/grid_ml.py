@@ -158,6 +158,9 @@ def train_and_evaluate(train: DataFrame, params: dict | None = None, parallelism
         [(kind, int(k), int(n_rows), round(float(cv_mae), 3), round(float(cv_rmse), 3))],
         "cv_kind string, folds int, sample_count long, mae double, rmse double",
     )
+    # the fitted model and the one-row metrics do not depend on the cached training data
+    for df in (withf, data):
+        df.unpersist()
     return model, metrics
 
 
