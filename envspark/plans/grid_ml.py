@@ -127,12 +127,14 @@ def train_and_evaluate(train: DataFrame, params: dict | None = None, parallelism
 
     p = dict(GBT_PARAMS if params is None else params)
     spark = train.sparkSession
-    data = _with_flags(train).persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = data.count()
+    raw = _with_flags(train).persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = raw.count()
     # size partitions to the data: tree training runs a few jobs per level, so a small
     # training set spread over many tiny tasks pays scheduling, not compute
     parts = int(min(max(2, n_rows // ROWS_PER_TRAINING_PARTITION + 1), max(2, spark.sparkContext.defaultParallelism * 4)))
-    data = data.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    data = raw.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()  # materialise the sized copy, then drop the first one
+    raw.unpersist()
     withf, folds = station_folds(data)
     withf = withf.persist(StorageLevel.MEMORY_AND_DISK)
     k = folds.agg(F.max("k")).first()[0] or 0  # one number from a per-station table
