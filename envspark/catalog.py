@@ -827,3 +827,12 @@ def q_stream_anomalies_stateful(spark, sf_dir):
     from .streaming.jobs import stream_anomalies_stateful
 
     return canon(_round_value(stream_anomalies_stateful(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS)))
+
+
+@register("grid_seed_upsert")
+def q_grid_seed_upsert(spark, sf_dir):
+    """K3: the grid-point table after upserting the seeded provinces by (lat, lng)."""
+    from .plans.grid import seed_grid_points
+    from .sources.grid import lattice
+
+    return canon(seed_grid_points(lattice(spark), q_grid_provinces(spark, sf_dir)))

@@ -1004,6 +1004,14 @@ SQL["forecast_run_gates"] = with_binding("g AS (" + _gate_sql("linear", 14, 24,
                                          + " UNION ALL " + _gate_sql("prophet", 14, 24, 20) + ")\nSELECT * FROM g")
 
 
+SQL["grid_seed_upsert"] = with_binding(f"""{GRID.strip()},
+sd AS {_sub('grid_provinces')}
+SELECT CAST(p.grid_point_id AS BIGINT) AS grid_point_id, p.lat, p.lng, coalesce(sd.province_code, p.province_code) AS province_code,
+       coalesce(sd.province_name, p.province_name) AS province_name, TRUE AS is_land, TRUE AS is_active
+FROM pts p LEFT JOIN sd ON sd.grid_point_id = p.grid_point_id
+""")
+
+
 def _nudge_rounds(sql: str) -> str:
     """Twin of ``functions.numeric.round_half_up``: every ``round(x, d)`` becomes
     ``round(x + sign(x) * 1e-9, d)`` so exact decimal ties round away from zero."""

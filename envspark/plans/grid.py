@@ -171,3 +171,16 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, edges: DataFrame, c
     return inside.groupBy("grid_point_id").agg(
         F.min_by(F.struct("polygon_id", "name"), F.struct("sort_order", "polygon_id")).alias("_p")
     ).select("grid_point_id", F.col("_p.polygon_id").alias("polygon_id"), F.col("_p.name").alias("province_name"))
+
+
+def seed_grid_points(points: DataFrame, seeded: DataFrame) -> DataFrame:
+    """K3 final step: upsert seeded points (grid_point_id, province_name, province_code) into the
+    grid-point table keyed by (lat, lng); seeded points become land with their province,
+    the others keep their row."""
+    from ..operators.merge import keyed_merge
+
+    new = points.join(seeded.select("grid_point_id", F.col("province_name").alias("_pn"), F.col("province_code").alias("_pc")),
+                      "grid_point_id").select(
+        "grid_point_id", "lat", "lng", F.col("_pc").alias("province_code"), F.col("_pn").alias("province_name"),
+        F.lit(True).alias("is_land"), "is_active")
+    return keyed_merge(points.select(*new.columns), new, ["lat", "lng"])
