@@ -146,7 +146,8 @@ def anomaly_body(as_of: str, scan_hours: int, p: str) -> str:
     """CTEs ``{p}c`` = anomaly candidates at ``as_of``."""
     return f"""
 {p}st AS (
-  SELECT station_id, metric, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std,
+  SELECT station_id, metric, count(*) AS n, avg(value) AS mean,
+         CASE WHEN min(value) < max(value) THEN stddev_pop(value) ELSE 0 END AS std,
          quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
   FROM long_aq WHERE {window_sql(as_of, "7 DAY")} AND {ACTIVE}
   GROUP BY 1, 2 HAVING count(*) >= 10),
@@ -259,7 +260,7 @@ ix AS (
   FROM lng),
 g AS (
   SELECT station_id, metric, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
-         regr_r2(y, x) AS r2, var_pop(y) AS vy,
+         regr_r2(y, x) AS r2, min(y) < max(y) AS vy,
          {mean_he_sql('CASE WHEN x < 3 THEN y END', 2)} AS start_avg,
          {mean_he_sql('CASE WHEN rd <= 3 THEN y END', 2)} AS end_avg,
          {mean_he_sql('y', 2)} AS overall_avg
@@ -269,7 +270,7 @@ p AS (
   FROM g),
 o AS (
   SELECT station_id, metric, round_even(slope, 4) + 0.0 AS slope, round_even(intercept, 2) + 0.0 AS intercept,
-         round_even(CASE WHEN vy > 0 THEN r2 ELSE 0 END, 4) AS r_squared, round_even(pct, 2) + 0.0 AS pct_change,
+         round_even(CASE WHEN vy THEN r2 ELSE 0 END, 4) AS r_squared, round_even(pct, 2) + 0.0 AS pct_change,
          CASE WHEN abs(pct) < 5 THEN 'stable' WHEN pct > 0 THEN 'worsening' ELSE 'improving' END AS direction,
          start_avg, end_avg, overall_avg, CAST(n AS BIGINT) AS data_points
   FROM p)
@@ -360,7 +361,7 @@ def _pearson_select(src: str) -> str:
 SELECT CAST(station_id AS BIGINT) AS station_id, metric_a, metric_b, category,
        round_even(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 4) + 0.0 AS correlation, CAST(count(*) AS BIGINT) AS pairs
 FROM {src} GROUP BY station_id, metric_a, metric_b, category
-HAVING count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0"""
+HAVING count(*) >= 10 AND min(a) < max(a) AND min(b) < max(b)"""
 
 
 _AA_PAIRS = [(a, b, a, b, "aq_aq") for i, a in enumerate(METRICS) for b in METRICS[i + 1:]]

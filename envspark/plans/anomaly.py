@@ -31,7 +31,8 @@ def metric_stats(aq: DataFrame, stations: DataFrame, as_of: datetime, history_da
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("value").alias("mean"),
-            F.stddev_pop("value").alias("std"),
+            # a constant history has std 0 exactly (merged floating moments may leave ~1e-16)
+            F.when(F.min("value") < F.max("value"), F.stddev_pop("value")).otherwise(F.lit(0.0)).alias("std"),
             F.percentile("value", F.lit(0.25)).alias("q1"),
             F.percentile("value", F.lit(0.75)).alias("q3"),
         )

@@ -37,7 +37,7 @@ def trend_analysis(aq: DataFrame, stations: DataFrame, as_of: datetime) -> DataF
         F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
         F.regr_r2("y", "x").alias("_r2"),
-        F.var_pop("y").alias("_vy"),
+        (F.min("y") < F.max("y")).alias("_vy"),  # exact: not a constant series
         mean_half_even(F.when(F.col("x") < 3, F.col("y")), 2).alias("start_avg"),
         mean_half_even(F.when(F.col("_rd") <= 3, F.col("y")), 2).alias("end_avg"),
         mean_half_even(F.col("y"), 2).alias("overall_avg"),
@@ -45,7 +45,7 @@ def trend_analysis(aq: DataFrame, stations: DataFrame, as_of: datetime) -> DataF
     start = F.col("intercept")
     end = F.col("slope") * (F.col("data_points") - 1) + F.col("intercept")
     pct = F.when(start != 0, (end - start) / start * 100).otherwise(F.lit(0.0))
-    r2 = F.when(F.col("_vy") > 0, F.col("_r2")).otherwise(F.lit(0.0))  # constant series -> 0 (trap T10)
+    r2 = F.when(F.col("_vy"), F.col("_r2")).otherwise(F.lit(0.0))  # constant series -> 0 (trap T10)
     out = g.select(
         "station_id", "metric",
         F.bround("slope", 4).alias("slope"),
