@@ -13,7 +13,7 @@ ORACLE = sorted(E.oracle_sql())
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.6g}"
+        return "nan" if math.isnan(v) else repr(v)  # bit-for-bit, signed zeros included
     if hasattr(v, "isoformat"):
         return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
     return str(v)
