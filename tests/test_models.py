@@ -90,3 +90,12 @@ def test_training_saves_champion(spark, tmp_path):
     row = meta.first()
     assert row["promoted"] is True and row["folds"] == 5 and row["mae"] > 0
     assert (tmp_path / "champion").exists() and (tmp_path / "champion_meta").exists()
+
+
+def test_forecasts_are_deterministic(spark):
+    import __spark_entry__ as E
+
+    q = E.queries()["forecast_linear"]
+    a = sorted(map(tuple, q(spark, SF_MID).collect()))
+    b = sorted(map(tuple, q(spark, SF_MID).collect()))
+    assert a == b and len(a) > 0
