@@ -24,7 +24,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 ROUNDS = 25
 #: Pseudo-counts (bad documents voted bad / not, good documents voted good / not) and the prior share of good documents.
-PRIOR = {"hit": 4.0, "miss": 4.0, "pass": 95.0, "slip": 5.0, "good": 0.8, "weight": 20.0}
+PRIOR = {"hit": 2.0, "miss": 6.0, "pass": 99.0, "slip": 1.0, "good": 0.8, "weight": 20.0}
 
 
 def measures(docs: DataFrame) -> DataFrame:
