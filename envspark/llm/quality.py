@@ -21,11 +21,15 @@ from .common import store, texts
 #: Length of the word windows whose repetition counts.
 WINDOW = 8
 SPACE = r"[\x20\x09-\x0D]+"
+SYMBOL = r"[#*$%&|<>]"
 WORD = r"[^\x20\x09-\x0D]"
 ROUNDS = 25
 #: Pseudo-counts (bad documents voted bad / not, good documents voted good / not) and the prior share of good documents.
 PRIOR = {"hit": 2.0, "miss": 6.0, "pass": 99.0, "slip": 1.0, "good": 0.8, "weight": 20.0}
 
+#: Bounds: rules are set so that they seldom vote bad on good documents, and catch some of the bad ones.
+LEAST_PASS, LEAST_HIT = 0.98, 0.1
+
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules look at, each text being parsed once."""
@@ -34,12 +38,13 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length("text").alias("n_chars"),
         F.array_remove(F.split("text", SPACE), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).alias("n_symbols"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOL, ""))).alias("n_symbols"),
         (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).alias("n_bangs"),
         (F.upper("text") == F.col("text")).alias("shouted"),
     )
     step = step.select(
         "doc_id", "n_symbols", "n_bangs", "shouted",
+        F.size(F.filter("lines", lambda x: x.rlike(SYMBOL))).alias("n_symbol_lines"),
         F.size("words").alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.size("lines").alias("n_lines"),
@@ -70,14 +75,18 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Rule -> vote.  A rule abstains where its measure says little."""
+    """Rule -> vote.  A rule abstains where its measure says little.  Each kind of junk is looked at
+    by more than one rule, as accuracies are learnt from agreement."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
     symbols, length, repeats = F.col("n_symbols") / chars, F.col("word_chars") / words, F.col("n_repeat_words") / words
-    dup, bangs = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_bangs") / words
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    dup, bangs = F.col("n_dup_lines") / lines, F.col("n_bangs") / words
     return {
         "long_enough": vote(F.col("n_words") < 20, F.col("n_words") >= 50),
-        "few_symbols": vote(symbols > 0.08, symbols < 0.03),
+        "few_symbols": vote(symbols > 0.05, symbols < 0.02),
+        "plain_words": vote(F.col("n_symbols") / words > 0.2, F.col("n_symbols") / words < 0.05),
+        "plain_lines": vote(F.col("n_symbol_lines") / lines > 0.5, F.col("n_symbol_lines") / lines < 0.2),
         "lines_differ": vote(dup > 0.3, dup < 0.1),
         "phrases_differ": vote(repeats > 0.3, repeats < 0.1),
         "word_length": vote((length < 2.5) | (length > 14), length.between(3.5, 10)),
@@ -115,11 +124,9 @@ def accuracies(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> t
         got = [float(x or 0) for x in e.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         clip = lambda x, low: min(max(x, low), 0.999)
         good = clip((got[1] + w * p["good"]) / (got[0] + w), 0.05)
-        # a rule is better than chance: a bad vote is likelier on a bad document than on a good one
         for k, r in enumerate(names):
             bad, bad_cast, ok, ok_cast = got[2 + 4 * k : 6 + 4 * k]
-            ok_rate = clip((ok + w * prior[1]) / (ok_cast + w), 0.6)
-            acc[r] = clip((bad + w * prior[0]) / (bad_cast + w), 1.5 * (1 - ok_rate)), ok_rate
+            acc[r] = clip((bad + w * prior[0]) / (bad_cast + w), LEAST_HIT), clip((ok + w * prior[1]) / (ok_cast + w), LEAST_PASS)
     return acc, good
 
 
