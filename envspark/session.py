@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +32,29 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once for each Spark context), so that Python workers
+    import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_envspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="envspark-package-")  # the driver's; Spark copies the file to every executor
+    path = os.path.join(folder, "envspark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.join("envspark", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._envspark_shipped = True
+
+
 def pin_utc(spark: SparkSession) -> None:
     """Day and hour boundaries are UTC (one ``tz`` for every job)."""
     if spark.conf.get("spark.sql.session.timeZone") != UTC:
