@@ -60,26 +60,34 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and hash sum of an edge table, to see whether a round changed it."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for undirected ``edges`` (a, b), component = smallest node reachable.
+    """(node, component) for undirected ``edges`` (a, b), component = smallest node reachable;
+    nodes that are their own component are left out.
 
-    Alternating large-star / small-star rounds: every round replaces each edge set by stars
-    around the smallest neighbour, so the number of rounds is logarithmic in the diameter and
-    no node list is ever gathered (neighbour minima are plain aggregates).  Each round is a table
-    in the shared folder; the loop ends when a round changes nothing.
+    Alternating large-star / small-star rounds: every round turns the edges into stars around the
+    smallest neighbours, so the number of rounds is logarithmic in the diameter and no node list
+    is ever gathered (neighbour minima are plain aggregates).  Each round is a table in the shared
+    folder; the loop ends when a round changes nothing.
     """
-    ordered = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    ordered = lambda d: d.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = store(ordered(edges), "edges")
-    while True:
+    before = _state(edges)
+    while before[0]:
         # large star: neighbours above a node move to the smallest node of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ordered(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        # small star: neighbours below a node, and the node, move to the smallest of them
+        large = ordered(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        # small star: a node and its neighbours below it move to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        after = store(ordered(small), "edges")
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        edges = store(ordered(small), "edges")
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

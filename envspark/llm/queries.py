@@ -83,3 +83,10 @@ def op9_token_counts(spark, sf_dir):
     from .tokens import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer(BPE_FILE))
+
+
+@register
+def op10_minhash(spark, sf_dir):
+    from .neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), 85)
