@@ -90,3 +90,10 @@ def op10_minhash(spark, sf_dir):
     from .neardup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), 85)
+
+
+@register
+def op4_substring_dedup(spark, sf_dir):
+    from .phrases import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
