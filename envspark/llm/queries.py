@@ -97,3 +97,10 @@ def op4_substring_dedup(spark, sf_dir):
     from .phrases import remove_repeats
 
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register
+def op8_fingerprints(spark, sf_dir):
+    from .digest import compare_neighbours
+
+    return compare_neighbours(read_table(spark, sf_dir, "documents"))
