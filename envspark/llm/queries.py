@@ -104,3 +104,10 @@ def op8_fingerprints(spark, sf_dir):
     from .digest import compare_neighbours
 
     return compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_lm_scoring(spark, sf_dir):
+    from .neural_lm import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
