@@ -164,8 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = store(shingle_sets(texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(needed, "doc_id", "left_semi")), "sets")
     similar_size = 100 * F.least("m", "n") >= percent * F.greatest("m", "n")
 
-    links = copies
-    label = None
+    links, label = copies, None
     used = None
     for round_ in range(STARS + 1):
         # buckets whose members lie in more than one component
@@ -175,6 +174,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             open_ = buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
             split = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
             open_ = store(open_.join(split, "key"), "open")
+        if open_.isEmpty():
+            break
         if round_ < STARS:
             free = open_ if used is None else open_.join(used, ["key", "rep"], "left_anti")
             leaders = store(free.groupBy("key").agg(F.min(F.struct("label", "rep", "n")).alias("l")).select("key", "l.*"), "leaders")
@@ -185,12 +186,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             right = open_.select("key", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
             pairs = open_.join(right, "key").where("label < other").where(similar_size)
         pairs = store(pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "pairs")
-        if round_ and pairs.isEmpty() and (round_ == STARS or open_.isEmpty()):
-            break
-        links = links.union(store(confirmed(pairs, sets, percent), "links"))
-        label = components(links)
+        new = store(confirmed(pairs, sets, percent), "links")
+        if label is None or not new.isEmpty():
+            links = links.union(new)
+            label = components(links)
 
     ids = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    label = components(links) if label is None else label
     out = all_.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select(ids("doc_id").alias("doc_id"), "n_shingles", ids("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
