@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,46 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LETTER = np.random.default_rng(64).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers 0 to n - 1 (at least) of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _UNDO)):
+            steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(texts_: list[bytes]) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words: differences of one running sum over all bytes
+    (a random number for each byte value times a power for its place), brought to a common place."""
+    data = np.frombuffer(b"\n".join(texts_), np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, undo = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * undo[starts]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts_])
+    return np.split(h, np.searchsorted(starts, begin[1:-1])) if texts_ else []
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def _state(edges: DataFrame) -> tuple:
     """Count and hash sum of an edge table, to see whether a round changed it."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

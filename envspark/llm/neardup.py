@@ -6,8 +6,9 @@ least rank after turning that order by k places.  Rows of the signature are band
 share a band are compared on their full sets.
 
 Large buckets are not expanded into pairs.  Each bucket links its members to one leader; buckets
-whose members then lie in one component are done, the others get another leader, and only pairs of
-documents that still lie in different components after ``STARS`` rounds are compared directly.
+whose members then lie in one component are done, the others get another leader.  Documents that
+still share a bucket across components after ``STARS`` rounds get longer bands, which hardly any pair
+below the threshold shares, and pairs of different components that share one are compared.
 
 Cases: null and empty texts have empty sets and are linked with nothing; texts of fewer than five
 words have one shingle, the whole sequence; rows that share a doc_id are one document whose links
@@ -26,34 +27,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pieces, raw, store, texts
+from .common import components, distinct, pieces, raw, store, texts, word_hashes
 
 SHINGLE = 5
 #: Slots of the ring, rows of a band, and the share of pairs at the threshold that banding may miss.
 RING = 1 << 20
 BAND_ROWS = 7
 MISS = 1e-5
-#: Rounds of leaders before the rest is compared pair by pair.
-STARS = 4
+#: Rounds of leaders before the rest is compared pair by pair, and rows of the bands that pick these pairs.
+STARS, SHARP_ROWS = 2, 16
+#: Bits of the map of ids that have a candidate; it only spares the shuffle texts that are not needed.
+MAP_BITS = 1 << 23
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(words: list[bytes], table: WordHashes) -> np.ndarray:
-    return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-
-
 def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` consecutive words."""
     n = len(hashes) - length + 1
@@ -67,26 +56,28 @@ def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: bytes, table: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes; A-Z count as a-z."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text, from the hashes of its words."""
     if len(words) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    return np.unique(run_hashes(word_hashes(words, table), SHINGLE))
+        return run_hashes(words, len(words)) if len(words) else words
+    return distinct(run_hashes(words, SHINGLE))
 
 
-def band_count(threshold: float) -> int:
+def text_sets(column: pa.Array) -> list[np.ndarray]:
+    """Shingle sets of whole texts; A-Z count as a-z."""
+    return [shingle_set(w) for w in word_hashes([t.lower() for t in raw(column)])]
+
+
+def band_count(threshold: float, rows: int) -> int:
     """Bands for which a pair at the threshold is missed with a chance of at most MISS."""
-    return math.ceil(math.log(MISS) / math.log(1 - threshold**BAND_ROWS))
+    return math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
 
 
 class Circulant:
     """Signatures from one spreading permutation and one order of the ring."""
 
-    def __init__(self, bands: int):
-        self.bands, length = bands, bands * BAND_ROWS
+    def __init__(self, bands: int, rows: int):
+        self.bands, self.rows, length = bands, rows, bands * rows
         order = np.random.default_rng(20).permutation(RING).astype(np.int32)
         self.turned = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[:length]]), length)
         self.salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -94,26 +85,27 @@ class Circulant:
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """One 64-bit key for each band."""
         slots = (shingles * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 20)).astype(np.int64)
-        least = self.turned[slots[:1024]].min(axis=0)
-        for i in range(1024, len(slots), 1024):
-            np.minimum(least, self.turned[slots[i : i + 1024]].min(axis=0), out=least)
-        rows = least.astype(np.uint64).reshape(self.bands, BAND_ROWS)
+        some = max(16, (1 << 18) // (self.bands * self.rows))
+        least = self.turned[slots[:some]].min(axis=0)
+        for i in range(some, len(slots), some):
+            np.minimum(least, self.turned[slots[i : i + some]].min(axis=0), out=least)
+        rows = least.astype(np.uint64).reshape(self.bands, self.rows)
         key = self.salt.copy()
-        for j in range(BAND_ROWS):
+        for j in range(self.rows):
             key = (key ^ rows[:, j]) * _M
             key ^= key >> np.uint64(31)
         return key
 
 
-def signatures(docs: DataFrame, bands: int) -> DataFrame:
+def signatures(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands array<long>) of every whole text."""
+    bands = band_count(threshold, BAND_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        circulant, table = Circulant(bands), WordHashes()
+        circulant = Circulant(bands, BAND_ROWS)
         for batch in pieces(batches):
             size, name, keys = [], [], []
-            for text in raw(batch.column(1)):
-                s = shingle_set(text, table)
+            for s in text_sets(batch.column(1)):
                 size.append(len(s))
                 name.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(circulant.keys(s) if len(s) else np.zeros(0, np.uint64))
@@ -130,15 +122,48 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, shingles array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in pieces(batches):
-            sets = [shingle_set(text, table) for text in raw(batch.column(1))]
+            sets = text_sets(batch.column(1))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).astype(np.int64)))], names=["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def sharp_bands(sets: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, key) for longer bands of the same kind of signature."""
+    bands = band_count(threshold, SHARP_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        circulant = Circulant(bands, SHARP_ROWS)
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = circulant.keys(s.values.to_numpy(zero_copy_only=False).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i), pa.int64()), pa.array(keys.astype(np.int64))], names=["doc_id", "key"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, key long")
+
+
+def likely_rows(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``needed``, by a bit map of fixed size: what is left is
+    joined exactly."""
+    spark = docs.sparkSession
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    marked = needed.select(slot.alias("s")).select((F.col("s") / 32).cast("long").alias("word"), F.expr("shiftleft(1L, cast(s % 32 as int))").alias("bit"))
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    for r in marked.groupBy("word").agg(F.bit_or("bit").alias("bit")).collect():  # at most MAP_BITS / 32 numbers
+        bits[r["word"]] = r["bit"]
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            hit = (shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1
+            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+
+    return docs.withColumn("s", slot).mapInArrow(run, "doc_id long, text string")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets have a Jaccard similarity of ``percent`` or more."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(
@@ -147,10 +172,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("m") + F.col("n") - F.col("i"))).select("a", "b")
 
 
+def joined_labels(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after further links (a, b), found on components, not on nodes."""
+    to = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    mapped = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    merged = components(mapped)
+    moved = label.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+    return store(moved.select("node", F.coalesce("new", "component").alias("component")).union(merged), "labels")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``: documents are linked if
     100 * intersection >= percent * union of their sets; the smallest doc_id of a component is kept."""
-    all_ = store(signatures(docs, band_count(percent / 100)), "signatures")
+    all_ = store(signatures(docs, percent / 100), "signatures")
     sized = all_.where("n_shingles > 0")
     # equal sets are one class, represented by its smallest id
     classes = store(sized.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
@@ -160,11 +194,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     buckets = store(rows.join(shared, "key"), "buckets")
 
-    needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = store(shingle_sets(texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(needed, "doc_id", "left_semi")), "sets")
+    needed = store(buckets.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    likely = likely_rows(texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), needed)
+    sets = store(shingle_sets(likely.join(needed, "doc_id", "left_semi")), "sets")
     similar_size = 100 * F.least("m", "n") >= percent * F.greatest("m", "n")
 
-    links, label = copies, None
+    label = None
     used = None
     for round_ in range(STARS + 1):
         # buckets whose members lie in more than one component
@@ -183,16 +218,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             pairs = open_.join(leaders, "key").where("label <> other").where(similar_size)
             used = leaders.select("key", F.col("b").alias("rep")) if used is None else used.union(leaders.select("key", F.col("b").alias("rep")))
         else:
-            right = open_.select("key", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-            pairs = open_.join(right, "key").where("label < other").where(similar_size)
+            left = open_.select(F.col("rep").alias("doc_id"), "label", "n").distinct()
+            left = store(sharp_bands(sets.join(left, "doc_id", "left_semi"), percent / 100).join(left, "doc_id"), "sharp").withColumnRenamed("doc_id", "rep")
+            right = left.select("key", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
+            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("label") < F.col("other")) & similar_size)
         pairs = store(pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "pairs")
         new = store(confirmed(pairs, sets, percent), "links")
-        if label is None or not new.isEmpty():
-            links = links.union(new)
-            label = components(links)
+        if label is None:
+            label = components(copies.union(new))
+        elif not new.isEmpty():
+            label = joined_labels(label, new)
 
     ids = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    label = components(links) if label is None else label
+    label = components(copies) if label is None else label
     out = all_.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select(ids("doc_id").alias("doc_id"), "n_shingles", ids("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))

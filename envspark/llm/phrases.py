@@ -8,8 +8,9 @@ whose word sequence also starts in a document with a smaller id.
    cut by hash range; each range answers every block with one bit per hash: seen in another block or not.
 3. Confirmation: runs of candidate windows, cut where the least hash of their short word runs changes,
    are sent as text to the shard of that hash, so that equal windows meet in one shard.  The shard
-   compiles an automaton of the word sequences that several documents hold, and streams
-   all runs through it; each occurrence found carries the first document that has the sequence.
+   compiles an automaton of the passages that several documents hold, and streams all runs
+   through it; each occurrence found carries the first document that has it.  Where only a part
+   of a passage recurs, its windows are looked up.
 4. Blocks remove the words that occurrences cover.
 
 Only hashes of all windows travel, and text of candidate windows, once for each block: a passage in
@@ -35,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, raw, store, texts, total_bytes
-from .neardup import NO_ID, WordHashes, run_hashes, word_hashes
+from .common import CHUNK_BYTES, distinct, pieces, raw, store, texts, total_bytes, word_hashes
+from .neardup import NO_ID, run_hashes
 
 WINDOW = 13
 #: Text bytes of a block, hashes of a range and windows of an automaton, about.
@@ -45,6 +46,8 @@ RANGE_HASHES = 1 << 20
 SHARD_WINDOWS = 60_000
 #: Words of the runs whose least hash chooses the shard of a window.
 ANCHOR = 4
+#: Stands for "no document has this window before".
+NEVER = np.iinfo(np.int64).max
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -69,7 +72,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         ids, bodies, held, number = [], [], 0, TaskContext.get().partitionId() << 32
 
         def row():
-            body = zstandard.compress(b"".join(bodies), 3)
+            body = zstandard.compress(b"\n".join(bodies), 3)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([_pack(np.array(ids, np.int64))], pa.binary()), pa.array([_pack(np.array([len(b) for b in bodies], np.int64))], pa.binary()), pa.array([body], pa.binary())],
                 names=["block", "ids", "sizes", "body"])
@@ -94,19 +97,28 @@ class Block:
 
     def __init__(self, ids: bytes, sizes: bytes, body: bytes):
         self.ids = _unpack(ids, np.int64)
-        ends = np.cumsum(_unpack(sizes, np.int64))
+        ends = np.cumsum(_unpack(sizes, np.int64) + 1) - 1
         whole = zstandard.decompress(body)
-        self.texts = [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        self.words: list[bytes] = []
-        first = [0]
+        self.texts = [whole[a:b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
+        self.words = whole.split()
+
+    def hashes(self) -> np.ndarray:
+        """Hashes of all words; also sets ``first``, the number of each text's first word."""
+        parts, held = [[]], 0
         for t in self.texts:
-            self.words += t.split()
-            first.append(len(self.words))
-        self.first = np.array(first, np.int64)
+            if held > CHUNK_BYTES // 2:
+                parts.append([])
+                held = 0
+            parts[-1].append(t)
+            held += len(t)
+        found = [h for p in parts for h in word_hashes(p)]
+        size = [len(h) for h in found]
+        self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return np.concatenate(found)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word hashes; starts of windows, their documents (by number) and their hashes."""
-        hashes = word_hashes(self.words, WordHashes())
+        hashes = self.hashes()
         length = np.diff(self.first) - WINDOW + 1
         length = np.maximum(length, 0)
         doc = np.repeat(np.arange(len(length)), length)
@@ -115,9 +127,9 @@ class Block:
         return hashes, start, doc, found
 
 
-def _ranges(distinct: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+def _ranges(found: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(range, from, to) of sorted short hashes (32 bits below the range number)."""
-    part = (distinct >> np.uint64(32)).astype(np.int64)
+    part = (found >> np.uint64(32)).astype(np.int64)
     at = np.flatnonzero(np.diff(part, prepend=-1))
     return [(int(part[a]), int(a), int(b)) for a, b in zip(at, [*at[1:], len(part)])]
 
@@ -132,8 +144,8 @@ def window_hashes(packed: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                distinct = np.unique(_short(Block(r["ids"], r["sizes"], r["body"]).windows()[3], bits))
-                low, cuts = distinct.astype(np.uint32), _ranges(distinct, bits)
+                found = distinct(_short(Block(r["ids"], r["sizes"], r["body"]).windows()[3], bits))
+                low, cuts = found.astype(np.uint32), _ranges(found, bits)
                 blobs = [_pack(np.diff(low[a:b], prepend=np.uint32(0))) for _, a, b in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([r["block"]] * len(cuts), pa.int64()), pa.array(blobs, pa.binary())], names=["range", "block", "hashes"])
 
@@ -161,16 +173,18 @@ def candidate_runs(block: Block, seen: dict[int, bytes], bits: int) -> tuple[np.
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), []
     short = _short(found, bits)
-    distinct, of = np.unique(short, return_inverse=True)
-    mask = np.zeros(len(distinct), bool)
-    for part, a, b in _ranges(distinct, bits):
+    order = np.argsort(short, kind="stable")
+    ranked, ids = short[order], block.ids[doc]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    begin = np.flatnonzero(fresh)
+    mask = np.zeros(len(begin), bool)
+    for part, a, b in _ranges(ranked[begin], bits):
         mask[a:b] = np.unpackbits(np.frombuffer(zlib.decompress(seen[part]), np.uint8), count=b - a).astype(bool)
-    # in several documents of this block (ids compared, as rows may share one)
-    low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), NO_ID)
-    ids = block.ids[doc]
-    np.minimum.at(low, of, ids)
-    np.maximum.at(high, of, ids)
-    keep = (mask | (low < high))[of]
+    # or in several documents of this block, which lie in id order (ids compared, as rows may share one)
+    inner = ids[order]
+    mask |= inner[begin] != inner[np.concatenate([begin[1:], [len(inner)]]) - 1]
+    keep = np.empty(len(order), bool)
+    keep[order] = mask[np.cumsum(fresh) - 1]
     start, doc = start[keep], doc[keep]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -197,51 +211,89 @@ def candidate_runs(block: Block, seen: dict[int, bytes], bits: int) -> tuple[np.
     return start[begin], which, [tuple(r) for r in runs]
 
 
+def _letter(i: int) -> str:
+    """The i-th code point that is no surrogate."""
+    return chr(i + 1 if i < 0xD7FF else i + 0x801)
+
+
 def confirm(table: pa.Table) -> pa.Table:
     """For one shard: (block, run, firsts) with the first document of each window of the run, for
     runs with a window that several documents hold."""
-    number: dict[bytes, int] = {}
-    rows = []
-    for r in zip(*(table.column(c).to_pylist() for c in ("block", "run", "doc_id", "again", "text"))):
-        rows.append((*r[:4], tuple([number.setdefault(w, len(number)) for w in r[4].split(b" ")])))
-    rows.sort(key=lambda r: r[2])
-    first: dict[tuple, int] = {}
-    recurring: set[tuple] = set()
-    for _, _, doc, again, words in rows:
+    letter: dict[bytes, str] = {}  # a letter for each word, so that a run of words is a short string
+    held: dict[bytes, list] = {}  # text -> first document, whether another has it too, as letters
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "run", "doc_id", "again", "text"))))
+    for _, _, doc, again, text in rows:
+        known = held.get(text)
+        if known is None:
+            held[text] = [doc, again, "".join([letter.get(w) or letter.setdefault(w, _letter(len(letter))) for w in text.split(b" ")])]
+        else:
+            known[1] = known[1] or again or doc != known[0]
+            known[0] = min(doc, known[0])
+    texts_ = sorted(held.values())
+    owner: dict[str, int] = {}  # window -> the first run that has it, in the order of documents
+    recurring: set[str] = set()
+    for k, (doc, again, words) in enumerate(texts_):
         for i in range(len(words) - WINDOW + 1):
             w = words[i : i + WINDOW]
-            if again or first.setdefault(w, doc) != doc:
-                first.setdefault(w, doc)
+            o = owner.setdefault(w, k)
+            if again or texts_[o][0] != doc:
                 recurring.add(w)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w in recurring:
-        automaton.add_word(w, first[w])
-    first.clear()
+    # passages: stretches of recurring windows in the run that owns them
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+    for k, (doc, _, words) in enumerate(texts_):
+        begin = None
+        for i in range(len(words) - WINDOW + 2):
+            w = words[i : i + WINDOW]
+            if len(w) == WINDOW and w in recurring and owner[w] == k:
+                begin = i if begin is None else begin
+            elif begin is not None:
+                passage = words[begin : i + WINDOW - 1]
+                automaton.add_word(passage, (len(passage), doc))
+                begin = None
     block, run, firsts = [], [], []
     if recurring:
         automaton.make_automaton()
-        for b, k, doc, _, words in rows:
-            found = np.full(len(words) - WINDOW + 1, np.iinfo(np.int64).max)
-            for end, document in automaton.iter(words):
-                found[end - WINDOW + 1] = document
-            if (found <= doc).any():
+        located: dict[bytes, bytes] = {}
+        for text, (_, _, words) in held.items():
+            found = [NEVER] * (len(words) - WINDOW + 1)
+            for end, (size, doc) in automaton.iter(words):
+                for i in range(end - size + 1, end - WINDOW + 2):
+                    found[i] = doc
+            # a passage that is not here whole: its windows one by one
+            for i, doc in enumerate(found):
+                if doc == NEVER and (w := words[i : i + WINDOW]) in recurring:
+                    found[i] = texts_[owner[w]][0]
+            if min(found) < NEVER:
+                located[text] = np.array(found, np.int64).tobytes()
+        for b, k, _, _, text in rows:
+            if text in located:
                 block.append(b)
                 run.append(k)
-                firsts.append(found.tobytes())
+                firsts.append(located[text])
     return pa.table({"block": pa.array(block, pa.int64()), "run": pa.array(run, pa.int64()), "firsts": pa.array(firsts, pa.binary())})
 
 
 def removed_words(block: Block, start: np.ndarray, run: np.ndarray, answer: dict[int, bytes]) -> np.ndarray:
     """Mask over the words of the block."""
     change = np.zeros(len(block.words) + 1, np.int64)
-    document = block.ids[np.searchsorted(block.first, start, side="right") - 1] if len(start) else start
-    known = {k: np.frombuffer(v, np.int64) for k, v in answer.items()}
-    for s, k, d in zip(start.tolist(), run.tolist(), document.tolist()):
-        firsts = known.get(k)
-        if firsts is not None:
-            at = s + np.flatnonzero(firsts < d)
-            change[at] += 1
-            change[at + WINDOW] -= 1
+    if not answer or not len(start):
+        return change[:-1] > 0
+    keys = np.fromiter(answer, np.int64, len(answer))
+    order = np.argsort(keys)
+    blobs = list(answer.values())
+    firsts = np.frombuffer(b"".join([blobs[i] for i in order]), np.int64)
+    windows = np.array([len(blobs[i]) // 8 for i in order], np.int64)
+    begin, keys = np.cumsum(windows) - windows, keys[order]
+    at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+    hit = keys[at] == run
+    at, start = at[hit], start[hit]
+    document = block.ids[np.searchsorted(block.first, start, side="right") - 1]
+    n = windows[at]
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    gone = firsts[np.repeat(begin[at], n) + offset] < np.repeat(document, n)
+    place = (np.repeat(start, n) + offset)[gone]
+    size = len(change)
+    change = np.bincount(place, minlength=size) - np.bincount(place + WINDOW, minlength=size)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -278,6 +330,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         body = next(r for r in part if r["body"] is not None)
         places = next(r for r in part if r["starts"] is not None)
         block = Block(body["ids"], body["sizes"], body["body"])
+        block.first = np.concatenate([[0], np.cumsum([len(t.split()) for t in block.texts])]).astype(np.int64)
         answer = dict(zip(right.column("run").to_pylist(), right.column("firsts").to_pylist()))
         gone = removed_words(block, _unpack(places["starts"], np.int64), _unpack(places["runs"], np.int64), answer)
         n, removed, kept, digest = [], [], [], []
