@@ -7,8 +7,8 @@ share a band are compared on their full sets.
 
 Large buckets are not expanded into pairs.  Each bucket links its members to one leader; buckets
 whose members then lie in one component are done, the others get another leader.  Documents that
-still share a bucket across components after ``STARS`` rounds get longer bands, which hardly any pair
-below the threshold shares, and pairs of different components that share one are compared.
+still share a bucket across components after ``STARS`` rounds get a long sketch (one bit of each of
+many coordinates), and pairs of different components whose sketches allow the threshold are compared.
 
 Cases: null and empty texts have empty sets and are linked with nothing; texts of fewer than five
 words have one shingle, the whole sequence; rows that share a doc_id are one document whose links
@@ -34,8 +34,9 @@ SHINGLE = 5
 RING = 1 << 20
 BAND_ROWS = 7
 MISS = 1e-5
-#: Rounds of leaders before the rest is compared pair by pair, and rows of the bands that pick these pairs.
-STARS, SHARP_ROWS = 2, 16
+#: Rounds of leaders before the rest is compared pair by pair; bits of the sketches that pick these pairs,
+#: and the standard deviations by which the sketches of a pair at the threshold may differ more than expected.
+STARS, SKETCH_BITS, SLACK = 2, 2048, 5.0
 #: Bits of the map of ids that have a candidate; it only spares the shuffle texts that are not needed.
 MAP_BITS = 1 << 23
 #: Stands for a null id.
@@ -68,41 +69,48 @@ def text_sets(column: pa.Array) -> list[np.ndarray]:
     return [shingle_set(w) for w in word_hashes([t.lower() for t in raw(column)])]
 
 
-def band_count(threshold: float, rows: int) -> int:
+def band_count(threshold: float) -> int:
     """Bands for which a pair at the threshold is missed with a chance of at most MISS."""
-    return math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
+    return math.ceil(math.log(MISS) / math.log(1 - threshold**BAND_ROWS))
 
 
 class Circulant:
-    """Signatures from one spreading permutation and one order of the ring."""
+    """Signature coordinates from one spreading permutation and one order of the ring."""
 
-    def __init__(self, bands: int, rows: int):
-        self.bands, self.rows, length = bands, rows, bands * rows
+    def __init__(self, length: int):
         order = np.random.default_rng(20).permutation(RING).astype(np.int32)
         self.turned = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[:length]]), length)
-        self.salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        self.some = max(16, (1 << 18) // length)
+        self.salt = np.arange(1, length // BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One 64-bit key for each band."""
+    def least(self, shingles: np.ndarray) -> np.ndarray:
+        """Coordinate k: the least rank of the set's slots, the order being turned by k places."""
         slots = (shingles * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 20)).astype(np.int64)
-        some = max(16, (1 << 18) // (self.bands * self.rows))
-        least = self.turned[slots[:some]].min(axis=0)
-        for i in range(some, len(slots), some):
-            np.minimum(least, self.turned[slots[i : i + some]].min(axis=0), out=least)
-        rows = least.astype(np.uint64).reshape(self.bands, self.rows)
+        out = self.turned[slots[: self.some]].min(axis=0)
+        for i in range(self.some, len(slots), self.some):
+            np.minimum(out, self.turned[slots[i : i + self.some]].min(axis=0), out=out)
+        return out
+
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
+        """One 64-bit key for each band of BAND_ROWS coordinates."""
+        rows = self.least(shingles).astype(np.uint64).reshape(-1, BAND_ROWS)
         key = self.salt.copy()
-        for j in range(self.rows):
+        for j in range(BAND_ROWS):
             key = (key ^ rows[:, j]) * _M
             key ^= key >> np.uint64(31)
         return key
 
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """One bit of each coordinate, as 64-bit words."""
+        return np.packbits((self.least(shingles) & 1).astype(bool)).view(np.int64)
+
 
 def signatures(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands array<long>) of every whole text."""
-    bands = band_count(threshold, BAND_ROWS)
+    length = band_count(threshold) * BAND_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        circulant = Circulant(bands, BAND_ROWS)
+        circulant = Circulant(length)
         for batch in pieces(batches):
             size, name, keys = [], [], []
             for s in text_sets(batch.column(1)):
@@ -130,18 +138,26 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def sharp_bands(sets: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, key) for longer bands of the same kind of signature."""
-    bands = band_count(threshold, SHARP_ROWS)
+def sketches(sets: DataFrame) -> DataFrame:
+    """(doc_id, sketch array<long>) of SKETCH_BITS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        circulant = Circulant(bands, SHARP_ROWS)
+        circulant = Circulant(SKETCH_BITS)
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = circulant.keys(s.values.to_numpy(zero_copy_only=False).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i), pa.int64()), pa.array(keys.astype(np.int64))], names=["doc_id", "key"])
+            found = [circulant.sketch(s.values.to_numpy(zero_copy_only=False).astype(np.uint64)).tolist() for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, sketch array<long>")
+
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, key long")
+def alike(a: str, b: str, threshold: float):
+    """Whether two sketches differ in no more bits than a pair at the threshold may."""
+    p = (1 - threshold) / 2
+    most = SKETCH_BITS * p + SLACK * math.sqrt(SKETCH_BITS * p * (1 - p))
+    differ = F.lit(0)
+    for i in range(SKETCH_BITS // 64):
+        differ = differ + F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i))))
+    return differ <= most
 
 
 def likely_rows(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -218,10 +234,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             pairs = open_.join(leaders, "key").where("label <> other").where(similar_size)
             used = leaders.select("key", F.col("b").alias("rep")) if used is None else used.union(leaders.select("key", F.col("b").alias("rep")))
         else:
-            left = open_.select(F.col("rep").alias("doc_id"), "label", "n").distinct()
-            left = store(sharp_bands(sets.join(left, "doc_id", "left_semi"), percent / 100).join(left, "doc_id"), "sharp").withColumnRenamed("doc_id", "rep")
-            right = left.select("key", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("label") < F.col("other")) & similar_size)
+            known = store(sketches(sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sketches")
+            left = open_.join(known.withColumnRenamed("doc_id", "rep"), "rep")
+            right = left.select("key", F.col("rep").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("sketch_b"))
+            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("label") < F.col("other")) & similar_size & alike("sketch", "sketch_b", percent / 100))
         pairs = store(pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "pairs")
         new = store(confirmed(pairs, sets, percent), "links")
         if label is None:
