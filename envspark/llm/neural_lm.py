@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, raw, store, texts
+from .common import CHUNK_BYTES, pieces, raw, store, texts
 from .phrases import _pack, _unpack
 
 #: Words and word ends (last letters, as bytes) with a class of their own.
@@ -38,7 +38,7 @@ TOP_WORDS, TOP_ENDS, END_BYTES = 400, 300, 3
 SMOOTH = 0.1
 BLOCK_BYTES = 8 << 20
 #: Size of the embeddings, tokens of a step, noise classes of a step, and rounds of averaging.
-DIM, STEP_TOKENS, NOISE, ROUNDS = 24, 2048, 64, 3
+DIM, STEP_TOKENS, NOISE, ROUNDS = 16, 4096, 32, 3
 RATE = 0.15
 
 CODED = "block long, doc_id long, fold int, ids binary, lid int, word binary, n long"
@@ -48,6 +48,14 @@ def fold_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10
 
 
+class Numbers(dict):
+    """Word -> its number, in the order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def block_dictionaries(docs: DataFrame) -> DataFrame:
     """Texts as word numbers of their block (rows with ids), and the words of each block with their
     count in training texts (rows with a word)."""
@@ -55,7 +63,7 @@ def block_dictionaries(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("fold", pa.int32()), ("ids", pa.binary()), ("lid", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
         number = TaskContext.get().partitionId() << 32
-        known: dict[bytes, int] = {}
+        known = Numbers()
         count = np.zeros(0, np.int64)
         held = 0
 
@@ -67,15 +75,15 @@ def block_dictionaries(docs: DataFrame) -> DataFrame:
             ids, folds, coded, train = batch.column(0).to_pylist(), [], [], []
             for i, text in zip(ids, raw(batch.column(1))):
                 ws = text.lower().split()
-                at = np.fromiter([known.setdefault(w, len(known)) for w in ws], np.int32, len(ws))
+                at = np.fromiter(map(known.__getitem__, ws), np.int32, len(ws))
                 folds.append(fold_of(i))
                 coded.append(_pack(at))
                 if folds[-1]:
                     train.append(at)
                 held += len(text)
-            count = np.concatenate([count, np.zeros(len(known) - len(count), np.int64)])
-            for at in train:
-                np.add.at(count, at, 1)
+            own = np.bincount(np.concatenate(train), minlength=len(known)) if train else np.zeros(len(known), np.int64)
+            own[: len(count)] += count
+            count = own
             k = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([number] * k, pa.int64()), batch.column(0), pa.array(folds, pa.int32()), pa.array(coded, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
             if held >= BLOCK_BYTES:
@@ -101,7 +109,7 @@ class Classes:
 
 
 def word_classes(counts: DataFrame, stops: int) -> tuple[Classes, DataFrame]:
-    """The classes, and (word, c, class, inner): each training word's class and log P(word | class).
+    """The classes, and (word, c, class) of the training words.
     Only the TOP_WORDS words, TOP_ENDS ends and the sums of the classes reach the driver."""
     spark = counts.sparkSession
     top = [(bytes(r["word"]), int(r["c"])) for r in counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()]
@@ -119,10 +127,7 @@ def word_classes(counts: DataFrame, stops: int) -> tuple[Classes, DataFrame]:
     n[-1] = stops
     classes = Classes([w for w, _ in top], ends, n)
     classes.distinct = v
-    single = F.col("class") < len(top)
-    total = F.array(*[F.lit(float(x)) for x in n + SMOOTH * (v + 1)])
-    inner = F.when(single, 0.0).otherwise(F.log((F.col("c") + SMOOTH) / F.get(total, F.col("class"))))
-    return classes, classed.select("word", "c", "class", inner.alias("inner"))
+    return classes, classed.select("word", "c", "class")
 
 
 def word_end(column: str):
@@ -168,12 +173,14 @@ class Model:
             out[i : i + 4096] = top + np.log(np.exp(s - top[:, None]).sum(1))
         return out
 
-    def log_p(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised log-probability of each token, given the classes one and two places before it."""
-        distinct, of = np.unique(one.astype(np.int64) * len(self.bias) + two, return_inverse=True)
-        z = self.log_z(distinct)[of]
+    def log_p(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Normalised log-probability of each token, given the classes one and two places before it.
+        ``z`` keeps the normalisers of contexts met before (size x size, NaN where unknown)."""
+        context = one * len(self.bias) + two
+        new = np.flatnonzero((np.bincount(context, minlength=len(z)) > 0) & np.isnan(z))
+        z[new] = self.log_z(new)
         s = np.einsum("ij,ij->i", self.predict(one, two), self.target[word]) + self.bias[word]
-        return (s - z).astype(np.float64)
+        return (s - z[context]).astype(np.float64)
 
 
 def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +247,7 @@ def train(encoded: DataFrame, classes: Classes) -> Model:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
             own, stop = shared.value
             trainer, tokens = Trainer(own, round_), 0
-            for batch in pieces(batches, "classes"):
+            for batch in pieces(batches, "classes", CHUNK_BYTES // 4):
                 one, two, word = contexts([_unpack(c, np.int16) for c in batch.column(0).to_pylist()], stop)
                 order = trainer.rng.permutation(len(word))
                 for i in range(0, len(word), STEP_TOKENS):
@@ -264,11 +271,14 @@ ENCODED = "doc_id long, fold int, n_tokens long, n_known long, base double, inne
 
 def encode(coded: DataFrame, dictionary: DataFrame, classes: Classes, tokens: int, distinct: int) -> DataFrame:
     """Texts as class sequences with their counts, base score and the sum of log P(word | class)."""
+    mass = classes.count + SMOOTH * (classes.distinct + 1)
     floor, stops, stop = tokens + SMOOTH * (distinct + 1), classes.count[-1], classes.stop
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("lid").to_numpy())
-        c, kind, inner = (right.column(n).to_numpy()[order] for n in ("c", "class", "inner"))
+        entry = right.column("entry").to_numpy()
+        order = np.argsort(entry)  # by word number
+        c, kind = right.column("c").to_numpy()[order], entry[order] & 0xFFFF
+        inner = np.where(kind < len(classes.words), 0.0, np.log((c + SMOOTH) / mass[kind]))
         log_base = np.log10((c + SMOOTH) / floor)
         end = math.log10((stops + SMOOTH) / floor)
         n, known, base, within, out = [], [], [], [], []
@@ -295,21 +305,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     stops = coded.where("ids is not null and fold <> 0").count()
     tokens, distinct = tokens + stops, words + (stops > 0)
     classes, table = word_classes(counts, stops)
-    # words that training texts lack take the class of their end, and its smoothed rest
-    rest = [math.log(SMOOTH / (n + SMOOTH * (v + 1))) for n, v in zip(classes.count, classes.distinct)]
+    # words that training texts lack take the class of their end
     listed = coded.where("word is not null").select("block", "lid", "word").join(table, "word", "left").withColumn("end", word_end("word"))
     listed = listed.join(end_numbers(spark, classes.ends, len(classes.words)), "end", "left")
-    kind = F.coalesce("class", "end_class", F.lit(classes.other))
-    listed = listed.select("block", "lid", F.coalesce("c", F.lit(0)).alias("c"), kind.cast("int").alias("class"),
-                           F.coalesce("inner", F.get(F.array(*map(F.lit, rest)), kind)).alias("inner"))
+    kind = F.coalesce("class", "end_class", F.lit(classes.other)).cast("long")
+    listed = listed.select("block", (F.shiftleft(F.col("lid").cast("long"), 16) + kind).alias("entry"), F.coalesce("c", F.lit(0)).alias("c"))
     encoded = encode(coded, listed, classes, tokens, distinct)
     shared = spark.sparkContext.broadcast((train(encoded, classes), classes.stop))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, stop = shared.value
-        for batch in pieces(batches, "classes"):
+        z = np.full(len(model.bias) ** 2, np.nan, np.float32)
+        for batch in pieces(batches, "classes", CHUNK_BYTES // 4):
             sequences = [_unpack(c, np.int16) for c in batch.column(1).to_pylist()]
-            log_p = model.log_p(*contexts(sequences, stop))
+            log_p = model.log_p(*contexts(sequences, stop), z)
             total = np.add.reduceat(log_p, np.concatenate([[0], np.cumsum([len(s) for s in sequences])[:-1]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((total + batch.column(2).to_numpy()) / math.log(10), pa.float64())], names=["row", "score"])
 
