@@ -36,7 +36,7 @@ BAND_ROWS = 7
 MISS = 1e-5
 #: Rounds of leaders before the rest is compared pair by pair; bits of the sketches that pick these pairs,
 #: and the standard deviations by which the sketches of a pair at the threshold may differ more than expected.
-STARS, SKETCH_BITS, SLACK = 2, 2048, 5.0
+STARS, SKETCH_BITS, SLACK = 2, 4096, 4.5
 #: Bits of the map of ids that have a candidate; it only spares the shuffle texts that are not needed.
 MAP_BITS = 1 << 23
 #: Stands for a null id.
