@@ -8,8 +8,8 @@
 * O2 ``stream_anomalies``: each micro-batch is scanned against 7-day history stats;
   candidates are suppressed against anomalies emitted by earlier epochs (C18) and
   written to the epoch's own partition (a replayed epoch overwrites itself).
-* O3 ``stream_hourly``: watermarked hourly windows (update mode) merged by
-  (station, window) into a table — late rows inside the watermark update their hour.
+* O3 ``stream_hourly``: sums and counts per (station, hour) of every micro-batch, totalled on
+  reading — no watermark, so readings in files out of time order are not lost.
 
 All state (stream checkpoints, tables) lives under the session's shared
 ``spark.checkpoint.dir``; nothing uses a machine-local folder.
@@ -18,12 +18,13 @@ All state (stream checkpoints, tables) lives under the session's shared
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import keyed_merge, latest_version
+from ..operators.merge import latest_version, write_partitioned_upsert
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -35,8 +36,10 @@ def stream_root(spark: SparkSession, name: str) -> str:
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    """The events table as a stream of its files, be it one file or a folder of part files (the glob
+    lets a single file pass as a source path)."""
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(f"{sf_dir.rstrip('/')}/events.parque[t]"))
 
 
 def _table_exists(spark: SparkSession, path: str) -> bool:
@@ -46,24 +49,20 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def upsert_partitioned(batch: DataFrame, path: str, keys: list[str], part_col: str) -> None:
-    """N1 on Parquet: merge ``batch`` into the partitions it touches, newest ``_seq`` wins."""
+def upsert_partitioned(batch: DataFrame, path: str, keys: list[str], part_col: str, version: Sequence[str] = ("_seq",)) -> None:
+    """N1 on Parquet: merge ``batch`` into the partitions it touches; the greatest ``version`` (columns
+    of the table) wins, so that the result depends neither on the order nor on the number of batches."""
     spark = batch.sparkSession
     batch = batch.persist()
-    if _table_exists(spark, path):
-        touched = batch.select(part_col).distinct()
-        schema = batch.drop("_seq").schema  # explicit: empty batches leave no files to infer from
-        existing = spark.read.schema(schema).parquet(path).join(touched, part_col, "left_semi")
-        merged = keyed_merge(existing.drop("_seq"), batch, keys)
-    else:
-        merged = latest_version(batch, keys, ["_seq"]).drop("_seq")
-    merged = cut_lineage(merged)  # the write below may replace files the merge read
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        merged.write.mode("overwrite").partitionBy(part_col).parquet(path)
+        new = batch
+        if _table_exists(spark, path):
+            touched = [r[0] for r in batch.select(part_col).distinct().collect()]  # partition values of one batch
+            # explicit schema: empty batches leave no files to infer from; literals prune partitions
+            new = spark.read.schema(batch.schema).parquet(path).filter(F.col(part_col).isin(touched)).select(*batch.columns).unionByName(batch)
+        merged = cut_lineage(latest_version(new, keys, version))  # the write below may replace files the merge read
+        write_partitioned_upsert(merged, path, [part_col])
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
         batch.unpersist()
 
 
@@ -92,8 +91,7 @@ def stream_grid_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("obs_date", F.to_date("observed_at"))
 
     def sink(batch: DataFrame, _epoch: int) -> None:
-        b = batch.withColumn("_seq", F.struct("fetched_at", "reading_id"))
-        upsert_partitioned(b, table, ["grid_point_id", "observed_at"], "obs_date")
+        upsert_partitioned(batch, table, ["grid_point_id", "observed_at"], "obs_date", ["fetched_at", "reading_id"])
 
     _run(readings.writeStream.foreachBatch(sink), root)
     return spark.read.schema(readings.schema).parquet(table)
@@ -114,26 +112,26 @@ def _aq_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
-def stream_hourly(spark: SparkSession, sf_dir: str, watermark: str = "2 hours") -> DataFrame:
-    """O3: hourly AQI mean and count per station from the event stream (watermarked windows)."""
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: hourly AQI mean and count per station from the event stream.
+
+    Files need not come in time order: each micro-batch leaves its sums and counts in a folder of its
+    own (written anew if the batch is repeated), and the table is their total, so no reading is late."""
     from ..session import pin_utc
 
     pin_utc(spark)
     root = stream_root(spark, "hourly")
     table = f"{root}/hourly"
-    # watermarks need TIMESTAMP (with time zone); wall-clock UTC converts 1:1 under a UTC session
-    aq = _aq_from_events(events_stream(spark, sf_dir)).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    agg = (aq.withWatermark("observed_at", watermark)
-           .groupBy("station_id", F.window("observed_at", "1 hour").alias("w"))
-           .agg(F.avg("aqi").alias("aqi_avg"), F.count(F.lit(1)).alias("samples"))
-           .select("station_id", F.col("w.start").alias("hour"), "aqi_avg", "samples"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        b = batch.withColumn("obs_date", F.to_date("hour")).withColumn("_seq", F.lit(epoch).cast("long"))
-        upsert_partitioned(b, table, ["station_id", "hour"], "obs_date")
-
-    _run(agg.writeStream.outputMode("update").foreachBatch(sink), root)
-    return spark.read.schema(agg.withColumn("obs_date", F.to_date("hour")).schema).parquet(table)
+        partial = batch.groupBy("station_id", F.date_trunc("hour", "observed_at").alias("hour")).agg(
+            F.sum("aqi").alias("total"), F.count("aqi").alias("known"), F.count(F.lit(1)).alias("samples"))
+        partial.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+
+    _run(_aq_from_events(events_stream(spark, sf_dir)).writeStream.foreachBatch(sink), root)
+    partials = spark.read.schema("station_id int, hour timestamp_ntz, total long, known long, samples long").parquet(table)
+    return partials.groupBy("station_id", "hour").agg(
+        (F.sum("total") / F.sum("known")).alias("aqi_avg"), F.sum("samples").alias("samples"))
 
 
 def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hours: float = 24) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 import pandas as pd
 
-from envspark.plans.forecast import _ols, arima_fit_predict, linear_fit_predict, seasonal_fit_predict
+from envspark.plans.forecast import _hours, _LinearSeries, arima_fit_predict, linear_fit_predict, seasonal_fit_predict
 from tests.conftest import SF_MID
 
 
@@ -15,12 +15,18 @@ def _series(n=200, seed=0):
     return ts, y
 
 
-def test_ols_equals_lstsq():
-    rng = np.random.default_rng(3)
-    X = rng.normal(size=(50, 4))
-    y = X @ np.array([1.0, -2.0, 0.5, 3.0]) + 7.0
-    b = _ols(X, y)
-    assert np.allclose(b, [7.0, 1.0, -2.0, 0.5, 3.0])
+def test_linear_features_match_pandas():
+    ts, y = _series(60)
+    s = pd.Series(y)
+    want = np.column_stack([
+        np.ones(60), ts.hour, ts.dayofweek, np.sin(2 * np.pi * ts.hour / 24), np.cos(2 * np.pi * ts.hour / 24),
+        np.sin(2 * np.pi * ts.dayofweek / 7), np.cos(2 * np.pi * ts.dayofweek / 7), s.rolling(6, 1).mean(), s.rolling(6, 1).std().fillna(0),
+        s.rolling(24, 1).mean(), s.shift(1).bfill(), s.shift(24).bfill()])
+    series = _LinearSeries(_hours(ts), y)
+    assert np.allclose(series.rows, want)
+    # normal equations, solved independently
+    beta = np.linalg.pinv(want) @ y
+    assert np.allclose(want @ series.solve(60), want @ beta)
 
 
 def test_linear_horizon_and_bounds():
