@@ -181,11 +181,12 @@ def run_grid_training(aq, wx, stations, as_of, params=None, model_dir: str | Non
     train = training_frame(aq, wx, stations, as_of)
     model, metrics = train_and_evaluate(train, params)
     meta = promote(metrics.withColumn("trained_at", ts_lit(as_of)), champion)
-    if model_dir and meta.first()["promoted"]:
+    verdict = meta.first()
+    if verdict is None or verdict["sample_count"] < ML_MIN_ROWS:  # nothing is saved from too few rows
+        raise ValueError("insufficient data for training")
+    if model_dir and verdict["promoted"]:
         model.write().overwrite().save(f"{model_dir}/champion")
         meta.write.mode("overwrite").parquet(f"{model_dir}/champion_meta")
-    if meta.count() and meta.first()["sample_count"] < ML_MIN_ROWS:
-        raise ValueError("insufficient data for training")
     return model, meta
 
 
