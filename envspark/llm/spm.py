@@ -29,7 +29,7 @@ from .common import pieces, texts
 
 MARK = "▁"
 #: Words and pairs of pieces remembered in a task.
-CACHE = 200_000
+CACHE = 500_000
 
 
 def load_model(path: str) -> dict:
@@ -116,7 +116,7 @@ class Encoder:
             else:
                 ok = True
                 break
-        if len(self.follows) > 2 * CACHE:
+        if len(self.follows) > CACHE:
             self.follows.clear()
         self.follows[a, b] = ok
         return ok
