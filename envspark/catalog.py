@@ -309,6 +309,16 @@ def q_grid_fusion(spark, sf_dir):
     return canon(fused)
 
 
+@register("grid_fusion_twice")
+def q_grid_fusion_twice(spark, sf_dir):
+    """K2 on a table that a run before it has fused: the same rows again."""
+    from .plans.grid import run_grid_fusion
+
+    pts, _, (_, applied) = _fusion(spark, sf_dir)
+    b = Bound(spark, sf_dir)
+    return canon(run_grid_fusion(applied, pts, b.aq, b.stations, AS_OF)[0])
+
+
 @register("grid_latest")
 def q_grid_latest(spark, sf_dir):
     from .plans.grid import grid_latest

@@ -572,6 +572,9 @@ SELECT CAST(grid_point_id AS BIGINT) AS grid_point_id, {ts_sql('observed_at')} A
 FROM fz
 """)
 
+# a second run starts from the same baseline, so its rows are those of the first
+SQL["grid_fusion_twice"] = SQL["grid_fusion"]
+
 SQL["grid_latest"] = with_binding(f"""{GRID.strip()},
 pin AS (SELECT * FROM pts WHERE lat BETWEEN 10.0 AND 20.0 AND lng BETWEEN 103.0 AND 108.0),
 lt AS (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY grid_point_id ORDER BY observed_at DESC) AS rn
@@ -731,7 +734,7 @@ FROM pts p LEFT JOIN na ON na.grid_point_id = p.grid_point_id LEFT JOIN nw ON nw
 
 SQL["payload_normalise"] = with_binding(f"""
 SELECT CAST(event_id AS BIGINT) AS payload_id, CAST(((event_id * 7919) % 3157 + 3157) % 3157 AS BIGINT) AS grid_point_id,
-       {ts_sql("date_trunc('hour', ts)")} AS observed_at, CAST(round_even(value, 0) AS BIGINT) AS aqi,
+       {ts_sql("CASE WHEN event_id % 19 = 0 THEN ts ELSE date_trunc('hour', ts) END")} AS observed_at, CAST(round_even(value, 0) AS BIGINT) AS aqi,
        round(value * 0.4, 4) AS pm25, CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value * 0.8, 4) END AS pm10,
        round(k * 0.5, 4) AS no2, CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(k, 4) END AS o3,
        round(value * 0.1, 4) AS so2, 250.0::DOUBLE AS co, 'openmeteo' AS source_code, 0.6::DOUBLE AS confidence_score,
@@ -843,11 +846,13 @@ SQL["lineage_observation"] = with_binding(f"""{LINEAGE.strip()}
 SELECT a.raw_payload_id, a.normalize_run_id, a.pipeline_run_id, a.endpoint_code, a.provider_code, CAST(a.obs_id AS BIGINT) AS obs_id,
        CAST(a.station_id AS BIGINT) AS station_id, {ts_sql('a.observed_at')} AS observed_at, {ts_sql('a.fetched_at')} AS fetched_at,
        CAST(a.aqi AS BIGINT) AS aqi, s.code AS station_code, upper(a.provider_code) AS provider_name, e.endpoint_name,
-       r.status AS run_status, {ts_sql('r.started_at')} AS run_started_at, q.status AS request_status,
+       r.status AS run_status, {ts_sql('r.started_at')} AS run_started_at, q.request_id, q.status AS request_status,
        CAST(CASE WHEN q.status = 'success' THEN 200 ELSE 500 END AS BIGINT) AS http_status, CAST(q.latency_ms AS BIGINT) AS latency_ms,
        'aq_v1' AS parser_key, '1.0' AS parser_version
-FROM aq a LEFT JOIN stations s ON s.station_id = a.station_id LEFT JOIN eps e ON e.endpoint_code = a.endpoint_code
-LEFT JOIN runs r ON r.pipeline_run_id = a.pipeline_run_id LEFT JOIN req q ON q.request_id = a.raw_payload_id
+FROM aq a JOIN stations s ON s.station_id = a.station_id LEFT JOIN eps e ON e.endpoint_code = a.endpoint_code
+LEFT JOIN runs r ON r.pipeline_run_id = a.pipeline_run_id
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY pipeline_run_id, endpoint_code ORDER BY request_started_at DESC, request_id DESC) AS rn
+           FROM req) q ON q.pipeline_run_id = r.pipeline_run_id AND q.endpoint_code = e.endpoint_code AND q.rn = 1
 """)
 
 SQL["bindings_overview"] = with_binding(f"""{LINEAGE.strip()},

@@ -63,10 +63,10 @@ def station_lineage(source_latest: DataFrame, summaries: DataFrame, forecast_poi
     (points count, last target time, last value — D9) per station."""
     _check("limit", limit, 1, 200)
     an = summaries.groupBy("station_id").agg(F.max("summary_date").alias("analysis_date"))
-    pr = forecast_points.filter(F.col("step").isNotNull()).groupBy("station_id", "run_id").agg(
+    pr = forecast_points.filter(F.col("step").isNotNull()).groupBy("station_id", "run_id", "created_at").agg(
         F.count(F.lit(1)).alias("prediction_count"), F.max("predicted_at").alias("last_predicted_for"),
         F.max_by("predicted_value", "predicted_at").alias("last_predicted_value"))
-    pr = latest_per_key(pr, ["station_id"], ["run_id"], ["run_id", "prediction_count", "last_predicted_for", "last_predicted_value"])
+    pr = latest_per_key(pr, ["station_id"], ["created_at", "run_id"], ["run_id", "prediction_count", "last_predicted_for", "last_predicted_value"])
     j = source_latest.join(an, "station_id", "left").join(pr, "station_id", "left")
     if station_id is not None:
         j = j.filter(F.col("station_id") == station_id)
@@ -97,14 +97,14 @@ def forecast_runs_list(runs: DataFrame, station_id: int | None = None, model_typ
         r = r.filter(F.col("station_id") == station_id)
     if model_type is not None:
         r = r.filter(F.col("model_type") == model_type)
-    return r.orderBy(F.col("run_id").desc()).limit(limit)
+    return r.orderBy(F.col("created_at").desc(), "run_id").limit(limit)
 
 
 def latest_forecast(points: DataFrame, model_type: str = "linear", metric: str = "aqi") -> DataFrame:
     """M3 (batch form): per station, the latest successful run of ``model_type`` with its points
     as an ordered array."""
     ok = points.filter((F.col("status") == "success") & (F.col("model_type") == model_type) & (F.col("target_metric") == metric))
-    last = ok.groupBy("station_id").agg(F.max("run_id").alias("run_id"))
+    last = ok.groupBy("station_id").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
     sel = ok.join(last, ["station_id", "run_id"], "left_semi")
     return sel.groupBy("station_id", "run_id", "model_type", "mae", "rmse", "mape").agg(
         F.array_sort(F.collect_list(F.struct("step", "predicted_at", "predicted_value", "lower_bound", "upper_bound"))).alias("points"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import METRICS
+from ..operators.dimension import attach
 from ..sources.binding import ts_lit
 
 
@@ -24,7 +25,7 @@ def until(df: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def active_only(df: DataFrame, stations: DataFrame) -> DataFrame:
-    return df.join(stations.filter("is_active").select("station_id"), "station_id", "left_semi")
+    return attach(df, stations.filter("is_active").select("station_id"), "station_id", "left_semi")
 
 
 def to_long(df: DataFrame, ids: list[str], metrics: list[str] = METRICS, drop_null: bool = True) -> DataFrame:

@@ -34,10 +34,14 @@ def land_points(points: DataFrame) -> DataFrame:
 def latest_grid(obs: DataFrame, points: DataFrame, as_of: datetime, max_age_hours: float = FUSION_GRID_MAX_AGE_HOURS,
                 sources: list[str] | None = BASELINE_SOURCES) -> DataFrame:
     """Latest non-null observation per active land point within ``max_age_hours``."""
-    o = window(obs, as_of, hours=max_age_hours).filter(F.col("aqi").isNotNull())
+    o = window(obs, as_of, hours=max_age_hours)
     if sources is not None:  # T17: fuse baseline rows only (None = any source, as the replaced job)
+        if "base_source" in o.columns:  # fused before: the baseline is what the first run started from
+            fused = F.col("base_source").isNotNull()
+            o = o.withColumn("aqi", F.when(fused, F.col("base_aqi")).otherwise(F.col("aqi")))
+            o = o.withColumn("source_code", F.coalesce("base_source", "source_code"))
         o = o.filter(F.col("source_code").isin(sources))
-    o = o.join(land_points(points).select("grid_point_id"), "grid_point_id", "left_semi")
+    o = o.filter(F.col("aqi").isNotNull()).join(land_points(points).select("grid_point_id"), "grid_point_id", "left_semi")
     last = latest_per_key(o, ["grid_point_id"], ["observed_at"], ["observed_at", "aqi", "source_code"])
     return last.join(points.select("grid_point_id", "lat", "lng"), "grid_point_id")
 
@@ -77,13 +81,21 @@ def fuse(grid_latest: DataFrame, station_latest: DataFrame, strict: bool = False
 
 def run_grid_fusion(obs: DataFrame, points: DataFrame, aq: DataFrame, stations: DataFrame, as_of: datetime,
                     strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """K2: returns (fused rows, observation table with the fused rows written back in place)."""
+    """K2: returns (fused rows, observation table with the fused rows written back in place).  The
+    table keeps the value and source that a row had before fusion (``base_aqi``, ``base_source``), so
+    that a later run starts from them; ``strict`` fuses whatever value stands there."""
     gl = latest_grid(obs, points, as_of, sources=None if strict else BASELINE_SOURCES)
     fused = fuse(gl, latest_station_aqi(aq, stations, as_of), strict=strict)
     upd = fused.select("grid_point_id", "observed_at", "aqi", "source_code", "confidence_score",
                        ts_lit(as_of).alias("fetched_at"))
-    applied = keyed_update(obs, upd, ["grid_point_id", "observed_at"], ["aqi", "source_code", "confidence_score", "fetched_at"])
-    return fused, applied
+    cols = ["aqi", "source_code", "confidence_score", "fetched_at"]
+    if not strict:
+        base = gl.select("grid_point_id", F.col("aqi").alias("base_aqi"), F.col("source_code").alias("base_source"))
+        upd = upd.join(base, "grid_point_id")
+        for c, t in (("base_aqi", "int"), ("base_source", "string")):
+            obs = obs if c in obs.columns else obs.withColumn(c, F.lit(None).cast(t))
+        cols += ["base_aqi", "base_source"]
+    return fused, keyed_update(obs, upd, ["grid_point_id", "observed_at"], cols)
 
 
 def grid_latest(obs: DataFrame, points: DataFrame, as_of: datetime, bounds: str | None = None,

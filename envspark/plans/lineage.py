@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 from ..operators import latest_per_key
+from ..operators.dimension import attach
 from ..sources import lineage as LT
 from .common import until, window
 
@@ -25,18 +26,21 @@ def pipeline_run_overview(aq: DataFrame) -> DataFrame:
 
 
 def observation_full_lineage(aq: DataFrame, stations: DataFrame) -> DataFrame:
-    """L4: every observation with station, provider, endpoint, run, request and normalize run."""
+    """L4: every observation of a known station with provider, endpoint, run, the newest request of
+    its run and endpoint, and normalize run."""
     st = stations.select("station_id", F.col("code").alias("station_code"))
-    pv = LT.providers(aq).select("provider_code", "provider_name")
-    ep = LT.endpoints(aq).select("endpoint_code", "endpoint_name")
+    ep = LT.endpoints(aq)
+    pv = ep.select("provider_code", F.upper("provider_code").alias("provider_name")).distinct()
+    ep = ep.select("endpoint_code", "endpoint_name")
     run = LT.pipeline_runs(aq).select("pipeline_run_id", F.col("status").alias("run_status"), F.col("started_at").alias("run_started_at"))
-    req = LT.outbound_requests(aq).select(F.col("request_id").alias("raw_payload_id"), F.col("status").alias("request_status"),
-                                          "http_status", "latency_ms")
+    req = latest_per_key(LT.outbound_requests(aq), ["pipeline_run_id", "endpoint_code"], ["request_started_at", "request_id"],
+                         ["request_id", "status", "http_status", "latency_ms"]).withColumnRenamed("status", "request_status")
     nr = LT.normalize_runs(aq).select("normalize_run_id", "parser_key", "parser_version")
     o = aq.select("obs_id", "station_id", "observed_at", "fetched_at", "aqi", "provider_code", "endpoint_code", "pipeline_run_id",
                   "raw_payload_id", "normalize_run_id")
-    return (o.join(st, "station_id", "left").join(pv, "provider_code", "left").join(ep, "endpoint_code", "left")
-            .join(run, "pipeline_run_id", "left").join(req, "raw_payload_id", "left").join(nr, "normalize_run_id", "left"))
+    o = attach(attach(attach(o, st, "station_id", "inner"), pv, "provider_code"), ep, "endpoint_code")
+    return (o.join(run, "pipeline_run_id", "left").join(req, ["pipeline_run_id", "endpoint_code"], "left")
+            .join(nr, "normalize_run_id", "left"))
 
 
 def station_bindings_overview(aq: DataFrame, stations: DataFrame, as_of: datetime) -> DataFrame:

@@ -28,7 +28,7 @@ def model_tables(points: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
         F.lit("numpy").alias("training_library"), metrics.alias("metrics"), (F.col("status") == "success").alias("is_production"),
         t.alias("created_at"), F.when(F.col("status") == "success", t).alias("released_at"))
     training = runs.select(F.concat(F.col("run_id"), F.lit("-train")).alias("training_run_id"), F.col("run_id").alias("model_version_id"),
-                           t.alias("started_at"), "status", F.col("training_rows").alias("sample_count"), metrics.alias("metrics"))
+                           t.alias("started_at"), t.alias("finished_at"), "status", F.col("training_rows").alias("sample_count"), metrics.alias("metrics"))
     pred_runs = runs.filter(F.col("status") == "success").select(
         F.concat(F.col("run_id"), F.lit("-predict")).alias("prediction_run_id"), F.col("run_id").alias("model_version_id"),
         "station_id", t.alias("created_at"), F.lit("success").alias("status"))
@@ -72,17 +72,19 @@ def model_production_status(tables: dict[str, DataFrame], stations: DataFrame) -
 
 def prediction_full_lineage(tables: dict[str, DataFrame], stations: DataFrame) -> DataFrame:
     """Prediction -> prediction run -> model version (C9: the prediction's own version,
-    else its run's) -> registry -> latest training run of that version."""
+    else its run's) -> registry -> the successful training run of that version that finished last."""
     p = tables["predictions"].withColumnRenamed("model_version_id", "p_version")
     pr = tables["prediction_runs"].select("prediction_run_id", F.col("model_version_id").alias("run_version"),
                                           F.col("created_at").alias("prediction_run_at"), F.col("status").alias("prediction_run_status"))
-    j = p.join(pr, "prediction_run_id", "left").withColumn("version_id", F.coalesce("p_version", "run_version"))
+    j = p.join(pr, "prediction_run_id").withColumn("version_id", F.coalesce("p_version", "run_version"))
     v = tables["versions"].select("version_id", "model_id", "version", "training_library", F.col("metrics").alias("version_metrics"))
     reg = tables["registry"].select("model_id", "model_code", F.col("target").alias("model_target"))
-    lt = latest_per_key(tables["training_runs"], ["model_version_id"], ["started_at", "training_run_id"],
-                        ["training_run_id", "started_at", "status", "sample_count"])
+    done = tables["training_runs"].filter(F.col("status") == "success")
+    # max_by orders nulls first, so a run without an end comes last here
+    lt = latest_per_key(done, ["model_version_id"], ["finished_at", "training_run_id"],
+                        ["training_run_id", "started_at", "finished_at", "status", "sample_count"])
     lt = lt.select(F.col("model_version_id").alias("version_id"), "training_run_id", F.col("started_at").alias("trained_at"),
                    F.col("status").alias("training_status"), "sample_count")
     st = stations.select("station_id", F.col("code").alias("station_code"))
-    return (j.join(v, "version_id", "left").join(reg, "model_id", "left").join(lt, "version_id", "left")
-            .join(st, "station_id", "left").drop("p_version", "run_version"))
+    return (j.join(v, "version_id").join(reg, "model_id").join(lt, "version_id", "left")
+            .join(st, "station_id").drop("p_version", "run_version"))

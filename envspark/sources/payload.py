@@ -4,8 +4,9 @@ The replaced service fetched one JSON document per grid point over HTTP.  Here
 payloads are *landed* JSON strings (a file or stream source); ``normalise_payloads``
 parses them with ``from_json``, coerces numbers tolerantly (bad strings and NaN
 become NULL), drops rows without ``us_aqi`` and converts the naive local time
-(fixed +07:00) to UTC.  ``landed_payloads`` renders such documents from the
-driver's events so the parser is exercised on data that grows with the tables.
+(fixed +07:00) to UTC; a document without a time counts for the time of its fetch.
+``landed_payloads`` renders such documents from the driver's events so the parser
+is exercised on data that grows with the tables.
 """
 
 from __future__ import annotations
@@ -46,13 +47,13 @@ def opt_num(c: Column) -> Column:
 
 def landed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document per event: (payload_id, json).  Errors carry no us_aqi; every 11th
-    pm10 is the string 'n/a'; every 13th ozone is NaN."""
+    pm10 is the string 'n/a'; every 13th ozone is NaN; every 19th document has no time."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "props"])
     k = F.expr("try_cast(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE)")
     local = F.date_format(F.date_trunc("hour", F.col("ts")) + F.expr(f"INTERVAL {LOCAL_UTC_OFFSET_HOURS} HOURS"), "yyyy-MM-dd'T'HH:mm")
     v = F.col("value")
     cur = F.struct(
-        local.alias("time"),
+        F.when(F.col("event_id") % 19 != 0, local).alias("time"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("double")).otherwise(v).alias("us_aqi"),
         (v * 0.4).alias("pm2_5"),
         F.when(F.col("event_id") % 11 == 0, F.lit("n/a")).otherwise((v * 0.8).cast("string")).alias("pm10"),
@@ -74,16 +75,17 @@ def normalise_payloads(payloads: DataFrame) -> DataFrame:
     p = payloads.select("payload_id", F.from_json("json", PAYLOAD_SCHEMA).alias("d"))
     cur = F.col("d.current")
     us_aqi = opt_num(cur["us_aqi"])
-    local = F.to_timestamp_ntz(cur["time"], F.lit("yyyy-MM-dd'T'HH:mm"))
+    fetched = F.to_timestamp_ntz(F.col("d.fetched_at"))
+    local = F.to_timestamp_ntz(F.nullif(cur["time"], F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm"))
     out = p.select(
         "payload_id",
         F.col("d.grid_point_id").alias("grid_point_id"),
-        (local - F.expr(f"INTERVAL {LOCAL_UTC_OFFSET_HOURS} HOURS")).alias("observed_at"),
+        F.coalesce(local - F.expr(f"INTERVAL {LOCAL_UTC_OFFSET_HOURS} HOURS"), fetched).alias("observed_at"),
         F.bround(us_aqi, 0).cast("int").alias("aqi"),
         *[opt_num(cur[src]).alias(dst) for src, dst in PAYLOAD_FIELDS.items()],
         F.lit(OPENMETEO_SOURCE).alias("source_code"),
         F.lit(OPENMETEO_CONFIDENCE).alias("confidence_score"),
-        F.to_timestamp_ntz(F.col("d.fetched_at")).alias("fetched_at"),
+        fetched.alias("fetched_at"),
         us_aqi.alias("_us_aqi"),
     )
     return out.filter(F.col("_us_aqi").isNotNull() & F.col("observed_at").isNotNull()).drop("_us_aqi")
