@@ -136,7 +136,8 @@ def test_payload_normalisation_golden(spark):
 
     df = spark.createDataFrame([(i, _json.dumps(d, allow_nan=True)) for i, d in docs], "payload_id long, json string")
     got = {r["payload_id"]: r for r in normalise_payloads(df).collect()}
-    assert set(got) == {1, 4}  # no us_aqi -> dropped; no time -> dropped
+    assert set(got) == {1, 3, 4}  # no us_aqi -> dropped
+    assert got[3]["observed_at"] == datetime(2024, 1, 5, 6, 10)  # no time -> that of the fetch
     r = got[1]
     assert r["aqi"] == 42 and r["pm25"] == 10.2 and r["pm10"] is None and r["o3"] is None and r["so2"] is None
     assert r["no2"] == 3.0 and r["co"] == 200.0 and r["observed_at"] == datetime(2024, 1, 5, 6, 0)
