@@ -1,25 +1,29 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-Words are predicted in two steps, P(word) = P(class | two classes before) * P(word | class): the most
-frequent words and the end of a text are classes of their own, all others share the class of their
-last letters, within which smoothed counts over the whole corpus decide.  The class model is
-log-bilinear: the two context embeddings, each scaled by a vector of its place, add up to a
-prediction that is compared with every class embedding.  Tasks train it in numpy on their share of
-the training texts, starting from the same parameters; parameters are averaged after each round, and
-the rounds together use every training text once.  Scoring normalises over all classes, by matrix
-products over the distinct contexts of a batch.
+Every word that training texts hold at least MIN_COUNT times is a unit of its own, with an embedding as
+target and another as context, and so is the end of a text; the vocabulary grows with the corpus.
+Rarer words share the unit of their last letters (one for all endings that are rare themselves),
+within which smoothed counts over the whole corpus decide.  Units are the leaves of a tree of three
+levels, in the order of their letters read backwards; a node has about as many children as the cube
+root of the number of units.  A unit's probability given the two units before it is the product of
+a log-bilinear choice among siblings at each level: the two context embeddings, each scaled by a
+vector of its place, add up to a prediction that is compared with the embeddings of the siblings.
+Tasks train it in numpy on their share of the training texts, starting from the same parameters;
+changed rows are averaged after each round, weighted by the squared gradients they met, and the
+rounds together use every training text once.  Scoring normalises over all siblings of each level.
 
 Words are counted once for each block of texts (block dictionary), so what is shuffled are
 block words, not tokens; texts travel as numbers of their block's dictionary.
 
 Cases: null and empty texts are the end token alone; a null id has the empty text as its name (and is
-held out); words that training texts lack are unknown and share one smoothed mass of their
-class; repeated rows are scored, and counted, as often as they occur; with no training text all
-counts are 0 and classes are equally likely; an empty table gives no rows; texts of any length are scored whole.
+held out); words that training texts lack are unknown and share one smoothed mass of the
+unit of their last letters; repeated rows are scored, and counted, as often as they occur; with no training text all
+counts are 0 and units are equally likely; an empty table gives no rows; texts of any length are scored whole.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections.abc import Iterator
@@ -33,13 +37,15 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, pieces, raw, store, texts
 from .phrases import _pack, _unpack
 
-#: Words and word ends (last letters, as bytes) with a class of their own.
-TOP_WORDS, TOP_ENDS, END_BYTES = 400, 300, 3
+#: Training count from which a word, or the last letters (as bytes) of rarer words, is a unit of its own.
+MIN_COUNT, END_BYTES = 16, 3
 SMOOTH = 0.1
 BLOCK_BYTES = 8 << 20
-#: Size of the embeddings, tokens of a step, noise classes of a step, and rounds of averaging.
-DIM, STEP_TOKENS, NOISE, ROUNDS = 16, 4096, 32, 3
-RATE = 0.15
+#: Size of the embeddings, tokens of a step, noise nodes of a step (top level) and of a token (others), and rounds of averaging.
+DIM, STEP_TOKENS, NOISE, NOISE_EACH, ROUNDS = 16, 4096, 32, 4, 3
+RATE, FIRST_SQUARES = 0.15, 10.0
+#: Levels of the tree, and rows of a parameter table that are averaged together.
+LEVELS, CHUNK_ROWS = 3, 8192
 
 CODED = "block long, doc_id long, fold int, ids binary, lid int, word binary, n long"
 
@@ -97,7 +103,7 @@ def block_dictionaries(docs: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """Class numbers: words, ends, one for all other ends, then the end of the text; and their counts."""
+    """Unit numbers: words, ends, one for all other ends, then the end of the text; and their counts."""
 
     def __init__(self, words: list[bytes], ends: list[bytes], count: np.ndarray):
         self.words, self.ends, self.count = words, ends, count
@@ -107,25 +113,32 @@ class Classes:
     def size(self) -> int:
         return self.stop + 1
 
+    def places(self) -> np.ndarray:
+        """Leaf of each unit: in the order of the letters read backwards, the last two units last."""
+        order = sorted(range(self.other), key=lambda i, names=[x[::-1] for x in (*self.words, *self.ends)]: names[i])
+        place = np.arange(self.size)
+        place[order] = np.arange(self.other)
+        return place
+
 
 def word_classes(counts: DataFrame, stops: int) -> tuple[Classes, DataFrame]:
-    """The classes, and (word, c, class) of the training words.
-    Only the TOP_WORDS words, TOP_ENDS ends and the sums of the classes reach the driver."""
+    """The units, and (word, c, class) of the training words.
+    The words and ends of MIN_COUNT or more, and the sums of the units, reach the driver."""
     spark = counts.sparkSession
-    top = [(bytes(r["word"]), int(r["c"])) for r in counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()]
-    index = F.broadcast(spark.createDataFrame([(bytearray(w), i) for i, (w, _) in enumerate(top)], "word binary, own int"))
-    marked = counts.join(index, "word", "left").withColumn("end", word_end("word"))
-    ends = marked.where("own is null").groupBy("end").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "end").limit(TOP_ENDS).collect()
+    words = [bytes(w) for w in counts.where(F.col("c") >= MIN_COUNT).orderBy(F.desc("c"), "word").select("word").toArrow().column(0).to_pylist()]
+    index = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "own": pa.array(range(len(words)), pa.int32())}))
+    marked = store(counts.join(index, "word", "left").withColumn("end", word_end("word")), "marked")
+    ends = marked.where("own is null").groupBy("end").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT).orderBy(F.desc("c"), "end").collect()
     ends = [bytes(r["end"]) for r in ends]
-    number = end_numbers(spark, ends, len(top))
-    classed = marked.join(number, "end", "left").withColumn("class", F.coalesce("own", "end_class", F.lit(len(top) + len(ends))))
-    sums = classed.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    size = len(top) + len(ends) + 2
+    number = end_numbers(spark, ends, len(words))
+    classed = marked.join(number, "end", "left").withColumn("class", F.coalesce("own", "end_class", F.lit(len(words) + len(ends))))
+    sums = classed.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()
+    size = len(words) + len(ends) + 2
     n, v = np.zeros(size), np.zeros(size)
-    for r in sums:
-        n[r["class"]], v[r["class"]] = r["c"], r["v"]
+    at = sums.column(0).to_numpy()
+    n[at], v[at] = sums.column(1).to_numpy(), sums.column(2).to_numpy()
     n[-1] = stops
-    classes = Classes([w for w, _ in top], ends, n)
+    classes = Classes(words, ends, n)
     classes.distinct = v
     return classes, classed.select("word", "c", "class")
 
@@ -139,49 +152,67 @@ def end_numbers(spark, ends: list[bytes], start: int) -> DataFrame:
 
 
 class Model:
-    """Log-bilinear class model: target embeddings, biases, context embeddings, place vectors."""
+    """Log-bilinear tree: context embeddings of the units, place vectors, and for each level the
+    target embeddings and biases of its nodes.  Leaves are units; node k of a level has the nodes
+    from k * fan on of the next as children."""
 
     def __init__(self, classes: Classes):
         k = classes.size
         rng = np.random.default_rng(5)
-        p = (classes.count + 1) / (classes.count + 1).sum()
-        self.target = (rng.standard_normal((k, DIM)) * 0.01).astype(np.float32)
-        self.bias = np.log(p).astype(np.float32)
+        self.fan = max(2, math.ceil(round(k ** (1 / LEVELS), 6)))
+        self.place_of = classes.places()
+        mass = np.empty(k)
+        mass[self.place_of] = classes.count + 1
+        levels = [mass]
+        for _ in range(LEVELS - 1):
+            levels.insert(0, np.add.reduceat(levels[0], np.arange(0, len(levels[0]), self.fan)))
+        above = [np.full(len(levels[0]), levels[0].sum()), *[np.repeat(u, self.fan)[: len(v)] for u, v in zip(levels, levels[1:])]]
+        self.noise = [v / u for u, v in zip(above, levels)]  # of a node among its siblings
+        self.cumulative = [np.concatenate([[0], np.cumsum(v)]) for v in levels]
+        self.target = [(rng.standard_normal((len(v), DIM)) * 0.01).astype(np.float32) for v in levels]
+        self.bias = [np.log(q).astype(np.float32) for q in self.noise]
         self.context = (rng.standard_normal((k, DIM)) * 0.3).astype(np.float32)
         self.place = np.ones((2, DIM), np.float32)
-        self.noise = p
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.target, self.bias, self.context, self.place)])
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for x in (self.target, self.bias, self.context, self.place):
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
+    def tables(self) -> list[np.ndarray]:
+        """All parameters, as tables with one row for each node or unit."""
+        return [self.context, self.place, *self.target, *[b[:, None] for b in self.bias]]
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] * self.place[0] + self.context[two] * self.place[1]
 
-    def log_z(self, context: np.ndarray) -> np.ndarray:
-        """Log normaliser of each context (first class * size + second class)."""
-        out = np.empty(len(context), np.float32)
-        for i in range(0, len(context), 4096):
-            part = context[i : i + 4096]
-            s = self.predict(part // len(self.bias), part % len(self.bias)) @ self.target.T + self.bias
-            top = s.max(1)
-            out[i : i + 4096] = top + np.log(np.exp(s - top[:, None]).sum(1))
+    def nodes(self, word: np.ndarray) -> list[np.ndarray]:
+        """Nodes on the way to each unit, one array for each level."""
+        leaf = self.place_of[word]
+        return [leaf // self.fan ** (LEVELS - 1 - k) for k in range(LEVELS)]
+
+    def log_p(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
+        """Normalised log-probability of each token, given the units one and two places before it.
+        (Contexts are too many to keep normalisers, so ``z`` is left as it is.)"""
+        order = np.argsort(self.place_of[word], kind="stable")
+        r = self.predict(one[order], two[order])
+        found = np.zeros(len(word), np.float64)
+        for level, node in enumerate(self.nodes(word[order])):
+            target, bias = self.target[level], self.bias[level]
+            parent = node // self.fan if level else np.zeros(len(node), np.int64)
+            begin = np.flatnonzero(np.diff(parent, prepend=-1))
+            for p, a, b in zip(parent[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(node)]):
+                first, last = p * self.fan, min((p + 1) * self.fan, len(bias))
+                if last - first == 1:
+                    continue
+                t, c = target[first:last].T, bias[first:last]
+                for i in range(a, b, 8192):
+                    j = min(i + 8192, b)
+                    s = r[i:j] @ t
+                    s += c
+                    own = s[np.arange(j - i), node[i:j] - first]
+                    top = s.max(1)
+                    s -= top[:, None]
+                    found[i:j] += own - top - np.log(np.exp(s, out=s).sum(1))
+        out = np.empty(len(word))
+        out[order] = found
         return out
 
-    def log_p(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Normalised log-probability of each token, given the classes one and two places before it.
-        ``z`` keeps the normalisers of contexts met before (size x size, NaN where unknown)."""
-        context = one * len(self.bias) + two
-        new = np.flatnonzero((np.bincount(context, minlength=len(z)) > 0) & np.isnan(z))
-        z[new] = self.log_z(new)
-        s = np.einsum("ij,ij->i", self.predict(one, two), self.target[word]) + self.bias[word]
-        return (s - z[context]).astype(np.float64)
-
 
 def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct places, sums of the rows at each)."""
@@ -195,37 +226,57 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.log_kq = np.log(NOISE * model.noise).astype(np.float32)
-        self.seen = [np.full(x.shape, 1e-3, np.float32) for x in (model.target, model.bias, model.context, model.place)]
-        self.cumulative = np.cumsum(model.noise)
+        self.tables = model.tables()
+        self.seen = [np.full(x.shape, FIRST_SQUARES, np.float32) for x in self.tables]
+        self.log_q = [np.log(q).astype(np.float32) for q in model.noise]
 
     def _step(self, which: int, at, gradient: np.ndarray) -> None:
-        x = (self.m.target, self.m.bias, self.m.context, self.m.place)[which]
+        x, seen = self.tables[which], self.seen[which]
         if at is None:
-            self.seen[which] += gradient**2
-            x += RATE * gradient / np.sqrt(self.seen[which])
+            seen += gradient**2
+            x += RATE * gradient / np.sqrt(seen)
         else:
             at, gradient = _sum_rows(at, gradient)
-            self.seen[which][at] += gradient**2
-            x[at] += RATE * gradient / np.sqrt(self.seen[which][at])
+            held = seen[at] + gradient**2
+            seen[at] = held
+            x[at] += RATE * gradient / np.sqrt(held)
+
+    def _top(self, r: np.ndarray, node: np.ndarray):
+        """Gradients of the top level, whose noise all tokens of the step share."""
+        t, c, log_kq = self.m.target[0], self.m.bias[0], self.log_q[0] + np.float32(math.log(NOISE))
+        sums = self.m.cumulative[0]
+        noise = np.minimum(np.searchsorted(sums, self.rng.random(NOISE) * sums[-1], side="right") - 1, len(c) - 1)
+        own = np.einsum("ij,ij->i", r, t[node]) + c[node] - log_kq[node]
+        other = r @ t[noise].T + c[noise] - log_kq[noise]
+        up, down = 1 / (1 + np.exp(np.clip(own, -30, 30))), -1 / (1 + np.exp(np.clip(-other, -30, 30)))
+        dr = up[:, None] * t[node] + down @ t[noise]
+        return dr, np.concatenate([node, noise]), np.concatenate([up[:, None] * r, down.T @ r]), np.concatenate([up, down.sum(0)])
+
+    def _below(self, level: int, r: np.ndarray, node: np.ndarray):
+        """Gradients of a lower level; the noise of a token are siblings of its node."""
+        t, c, log_kq = self.m.target[level], self.m.bias[level], self.log_q[level] + np.float32(math.log(NOISE_EACH))
+        sums, first = self.m.cumulative[level], node // self.m.fan * self.m.fan
+        last = np.minimum(first + self.m.fan, len(c))
+        u = sums[first] + self.rng.random((NOISE_EACH, len(node))) * (sums[last] - sums[first])
+        noise = np.clip(np.searchsorted(sums, u, side="right") - 1, first, last - 1)
+        at = np.concatenate([node[None], noise])
+        rows = t[at]
+        s = np.einsum("kij,ij->ki", rows, r) + c[at] - log_kq[at]
+        sign = np.full((NOISE_EACH + 1, 1), -1, np.float32)
+        sign[0] = 1
+        g = sign / (1 + np.exp(np.clip(sign * s, -30, 30)))
+        return np.einsum("ki,kij->ij", g, rows), at.ravel(), (g[:, :, None] * r).reshape(-1, DIM), g.ravel()
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
-        m, scale = self.m, np.float32(1 / len(word))
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(m.bias) - 1)
-        r = m.predict(one, two)
-        own = np.einsum("ij,ij->i", r, m.target[word]) + m.bias[word] - self.log_kq[word]
-        other = r @ m.target[noise].T + m.bias[noise] - self.log_kq[noise]
-        up = scale / (1 + np.exp(np.clip(own, -30, 30)))
-        down = -scale / (1 + np.exp(np.clip(-other, -30, 30)))
-        dr = up[:, None] * m.target[word] + down @ m.target[noise]
+        m, r = self.m, self.m.predict(one, two)
+        found = [self._below(k, r, node) if k else self._top(r, node) for k, node in enumerate(m.nodes(word))]
+        dr = sum(f[0] for f in found)
         dplace = np.stack([(dr * m.context[one]).sum(0), (dr * m.context[two]).sum(0)])
-        dcontext = np.concatenate([dr * m.place[0], dr * m.place[1]])
-        dtarget = np.concatenate([up[:, None] * r, down.T @ r])
-        places = np.concatenate([word, noise])
-        self._step(0, places, dtarget)
-        self._step(1, places, np.concatenate([up, down.sum(0)]))
-        self._step(2, np.concatenate([one, two]), dcontext)
-        self._step(3, None, dplace)
+        self._step(0, np.concatenate([one, two]), np.concatenate([dr * m.place[0], dr * m.place[1]]))
+        self._step(1, None, dplace)
+        for k, (_, at, dtarget, dbias) in enumerate(found):
+            self._step(2 + k, at, dtarget)
+            self._step(2 + LEVELS + k, at, dbias[:, None])
 
 
 def contexts(classes: list[np.ndarray], stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,33 +287,52 @@ def contexts(classes: list[np.ndarray], stop: int) -> tuple[np.ndarray, np.ndarr
     return joined[at - 1], joined[at - 2], joined[at]
 
 
+def average(table: pa.Table) -> pa.Table:
+    """For one chunk of a parameter table: the changed rows and their averages over tasks."""
+    which, chunk, width = (table.column(c)[0].as_py() for c in ("which", "chunk", "width"))
+    sums, weight = np.zeros((CHUNK_ROWS, width)), np.zeros(CHUNK_ROWS)
+    for at, x, w in zip(*(table.column(c).to_pylist() for c in ("at", "x", "w"))):
+        at, w = np.frombuffer(at, np.int32), np.frombuffer(w, np.float32)
+        sums[at] += np.frombuffer(x, np.float16).reshape(-1, width) * w[:, None].astype(float)
+        weight[at] += w
+    at = np.flatnonzero(weight)
+    x = (sums[at] / weight[at, None]).astype(np.float32)
+    return pa.table({"which": pa.array([which], pa.int32()), "at": pa.array([(at + chunk * CHUNK_ROWS).astype(np.int32).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+
+
 def train(encoded: DataFrame, classes: Classes) -> Model:
-    """ROUNDS rounds over the training texts, cut by their folds; each task returns its parameters,
-    which are averaged, weighted by tokens, as an aggregate over places."""
-    model = Model(classes)
+    """ROUNDS rounds over the training texts, cut by their folds; each task returns the rows it
+    changed (as differences), which are averaged by chunks of each parameter table."""
+    model, stop = Model(classes), classes.stop
+    context = encoded.sparkSession.sparkContext
     for round_ in range(ROUNDS):
         folds = [f for f in range(1, 10) if f % ROUNDS == round_]
-        shared = encoded.sparkSession.sparkContext.broadcast((model, classes.stop))
+        shared = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
-            own, stop = shared.value
+            own = copy.deepcopy(shared.value)
             trainer, tokens = Trainer(own, round_), 0
             for batch in pieces(batches, "classes", CHUNK_BYTES // 4):
-                one, two, word = contexts([_unpack(c, np.int16) for c in batch.column(0).to_pylist()], stop)
+                one, two, word = contexts([_unpack(c, np.int32) for c in batch.column(0).to_pylist()], stop)
                 order = trainer.rng.permutation(len(word))
                 for i in range(0, len(word), STEP_TOKENS):
                     part = order[i : i + STEP_TOKENS]
                     trainer.step(one[part], two[part], word[part])
                 tokens += len(word)
-            if tokens:
-                flat = own.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * float(tokens), pa.float64()), pa.array(np.full(len(flat), float(tokens)))], names=["at", "x", "w"])
-
-        found = encoded.where(F.col("fold").isin(folds)).select("classes").mapInArrow(run, "at int, x double, w double")
-        flat = model.flat()
-        for r in found.groupBy("at").agg((F.sum("x") / F.sum("w")).alias("x")).collect():  # as many as the model has parameters
-            flat[r[0]] = r[1]
-        model.load(flat)
+            for which, (before, x, seen) in enumerate(zip(shared.value.tables(), trainer.tables, trainer.seen) if tokens else ()):
+                weight = (seen - FIRST_SQUARES).sum(1)
+                for a in range(0, len(x), CHUNK_ROWS):
+                    at = np.flatnonzero(weight[a : a + CHUNK_ROWS] > 0)
+                    if len(at):
+                        blobs = [at.astype(np.int32).tobytes(), (x[a + at] - before[a + at]).astype(np.float16).tobytes(), weight[a + at].astype(np.float32).tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()) for n in (which, a // CHUNK_ROWS, x.shape[1])] + [pa.array([b], pa.binary()) for b in blobs], names=["which", "chunk", "width", "at", "x", "w"])
+
+        found = encoded.where(F.col("fold").isin(folds)).select("classes").mapInArrow(run, "which int, chunk int, width int, at binary, x binary, w binary")
+        tables = model.tables()
+        for r in found.groupBy("which", "chunk").applyInArrow(average, "which int, at binary, x binary").toLocalIterator():  # as many numbers as the model has parameters
+            at = np.frombuffer(r["at"], np.int32)
+            tables[r["which"]][at] += np.frombuffer(r["x"], np.float32).reshape(len(at), -1)
+        shared.unpersist()
     return model
 
 
@@ -270,15 +340,15 @@ ENCODED = "doc_id long, fold int, n_tokens long, n_known long, base double, inne
 
 
 def encode(coded: DataFrame, dictionary: DataFrame, classes: Classes, tokens: int, distinct: int) -> DataFrame:
-    """Texts as class sequences with their counts, base score and the sum of log P(word | class)."""
+    """Texts as unit sequences with their counts, base score and the sum of log P(word | unit)."""
     mass = classes.count + SMOOTH * (classes.distinct + 1)
-    floor, stops, stop = tokens + SMOOTH * (distinct + 1), classes.count[-1], classes.stop
+    floor, stops, stop, alone = tokens + SMOOTH * (distinct + 1), classes.count[-1], classes.stop, len(classes.words)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         entry = right.column("entry").to_numpy()
         order = np.argsort(entry)  # by word number
-        c, kind = right.column("c").to_numpy()[order], entry[order] & 0xFFFF
-        inner = np.where(kind < len(classes.words), 0.0, np.log((c + SMOOTH) / mass[kind]))
+        c, kind = right.column("c").to_numpy()[order], entry[order] & 0xFFFFFFFF
+        inner = np.where(kind < alone, 0.0, np.log((c + SMOOTH) / mass[kind]))
         log_base = np.log10((c + SMOOTH) / floor)
         end = math.log10((stops + SMOOTH) / floor)
         n, known, base, within, out = [], [], [], [], []
@@ -288,7 +358,7 @@ def encode(coded: DataFrame, dictionary: DataFrame, classes: Classes, tokens: in
             known.append(int((c[at] > 0).sum()) + int(stops > 0))
             base.append(float(log_base[at].sum()) + end)
             within.append(float(inner[at].sum()))
-            out.append(_pack(np.append(kind[at], stop).astype(np.int16)))
+            out.append(_pack(np.append(kind[at], stop).astype(np.int32)))
         return pa.table({"doc_id": left.column("doc_id"), "fold": left.column("fold"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
                          "base": pa.array(base, pa.float64()), "inner": pa.array(within, pa.float64()), "classes": pa.array(out, pa.binary())})
 
@@ -305,20 +375,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     stops = coded.where("ids is not null and fold <> 0").count()
     tokens, distinct = tokens + stops, words + (stops > 0)
     classes, table = word_classes(counts, stops)
-    # words that training texts lack take the class of their end
+    # words that training texts lack take the unit of their end
     listed = coded.where("word is not null").select("block", "lid", "word").join(table, "word", "left").withColumn("end", word_end("word"))
     listed = listed.join(end_numbers(spark, classes.ends, len(classes.words)), "end", "left")
     kind = F.coalesce("class", "end_class", F.lit(classes.other)).cast("long")
-    listed = listed.select("block", (F.shiftleft(F.col("lid").cast("long"), 16) + kind).alias("entry"), F.coalesce("c", F.lit(0)).alias("c"))
+    listed = listed.select("block", (F.shiftleft(F.col("lid").cast("long"), 32) + kind).alias("entry"), F.coalesce("c", F.lit(0)).alias("c"))
     encoded = encode(coded, listed, classes, tokens, distinct)
     shared = spark.sparkContext.broadcast((train(encoded, classes), classes.stop))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, stop = shared.value
-        z = np.full(len(model.bias) ** 2, np.nan, np.float32)
-        for batch in pieces(batches, "classes", CHUNK_BYTES // 4):
-            sequences = [_unpack(c, np.int16) for c in batch.column(1).to_pylist()]
-            log_p = model.log_p(*contexts(sequences, stop), z)
+        for batch in pieces(batches, "classes", CHUNK_BYTES // 2):
+            sequences = [_unpack(c, np.int32) for c in batch.column(1).to_pylist()]
+            log_p = model.log_p(*contexts(sequences, stop))
             total = np.add.reduceat(log_p, np.concatenate([[0], np.cumsum([len(s) for s in sequences])[:-1]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((total + batch.column(2).to_numpy()) / math.log(10), pa.float64())], names=["row", "score"])
 

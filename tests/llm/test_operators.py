@@ -221,6 +221,26 @@ def test_class_model_is_normalised():
     assert math.isclose(p.sum(), 1, rel_tol=1e-5)
 
 
+def test_vocabulary_grows_with_the_corpus(table):
+    from envspark.llm import neural_lm as N
+
+    rnd = random.Random(9)
+    for n in (1000, 3000):  # more words than any fixed table of some hundreds holds
+        counts = table([(f"w{i}".encode(), rnd.randrange(N.MIN_COUNT, 99)) for i in range(n)] + [(b"rare%d" % i, 1) for i in range(50)], "word binary, c long")
+        classes, words = N.word_classes(counts, 5)
+        own = {bytes(r["word"]): r["class"] for r in words.collect()}
+        assert len({own[f"w{i}".encode()] for i in range(n)}) == n == len(classes.words)
+        m = N.Model(classes)
+        assert m.context.shape[0] == m.target[-1].shape[0] == classes.size > n
+        # every unit has a probability that depends on the units before it
+        rng = np.random.default_rng(1)
+        for t in m.target:
+            t[...] = rng.standard_normal(t.shape)
+        p, q = (np.exp(m.log_p(np.full(classes.size, k), np.full(classes.size, 7), np.arange(classes.size))) for k in (1, 2))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-4) and math.isclose(q.sum(), 1, rel_tol=1e-4)
+        assert (np.abs(np.log(p / q)) > 1e-6).mean() > 0.99
+
+
 # --- 7 and 9 tokenizers --------------------------------------------------------------
 def odd_texts():
     rnd = random.Random(7)
