@@ -62,7 +62,7 @@ class Posterior:
 
 
 def memberships(docs: DataFrame, labels: DataFrame, domain: str, domains: list[str], per_domain: int = PER_DOMAIN) -> DataFrame:
-    """(doc_id, n_tokens, p array<double>) of every document; ``domain`` is a column of ``labels``."""
+    """(doc_id, text_hash, n_tokens, p array<double>) of every document; ``domain`` is a column of ``labels``."""
     known = labels.where(F.col(domain).isin(domains)).select("doc_id", F.array_position(F.array(*map(F.lit, domains)), F.col(domain)).alias("k"))
     sample, k = labelled_sample(docs, known, "k", per_domain)
     vocabulary = Vocabulary(sample)
@@ -82,7 +82,7 @@ def rate(history: list[list[float]]) -> Column:
 
 
 def fit_rates(members: DataFrame, shares: list[float], rounds: int = ROUNDS) -> DataFrame:
-    """``members`` (doc_id, n_tokens, p) with ``rate``.  The targets are ``shares`` of the total that
+    """``members`` (doc_id, text_hash, n_tokens, p) with ``rate``.  The targets are ``shares`` of the total that
     gives the most plentiful domain, compared with its target, the rate 1: other domains are
     repeated up to their share and nothing has to be thrown away."""
     totals = lambda h: [float(x or 0) for x in members.select("n_tokens", "p", rate(h).alias("r")).agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[d]) for d in range(len(shares))]).first()]
@@ -100,7 +100,7 @@ def fit_rates(members: DataFrame, shares: list[float], rounds: int = ROUNDS) ->
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(doc_id, n_tokens, p, rate, copies) of every document; ``copies`` is the rate rounded up or
+    """(doc_id, text_hash, n_tokens, p, rate, copies) of every document; ``copies`` is the rate rounded up or
     down by a hash of the id, so that expected copies equal the rate."""
     total = sum(weights.values())
     members = store(memberships(docs, labels, domain, list(weights)), "members")

@@ -57,7 +57,7 @@ def op2_mixing(spark, sf_dir):
 def op3_toxicity(spark, sf_dir):
     from .toxicity import score_toxicity
 
-    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 @register

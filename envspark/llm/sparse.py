@@ -98,10 +98,11 @@ def matrix(sample: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
 
 
 def score_texts(docs: DataFrame, vocabulary: Vocabulary, score, schema: str) -> DataFrame:
-    """Rows (doc_id, *score(features, values, text bytes)) of every document, whole texts.
+    """Rows (doc_id, text_hash, *score(features, values, text bytes)) of every document, whole texts;
+    ``text_hash`` is xxhash64 of the text, to tell rows of one id apart.
     ``schema`` names the score's columns; the vocabulary is bounded by the sample and broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, score))
-    names = ["doc_id", *(c.split()[0] for c in schema.split(","))]
+    names = ["doc_id", "text_hash", *(c.split()[0] for c in schema.split(","))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, score = shared.value
@@ -109,6 +110,6 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, score, schema: str) ->
         for batch in pieces(batches):
             found = [score(*encode(t), t) for t in raw(batch.column(1))]
             columns = [pa.array(list(c)) for c in zip(*found)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
-    return texts(docs).mapInArrow(run, f"doc_id long, {schema}")
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"doc_id long, text_hash long, {schema}")

@@ -98,7 +98,7 @@ class Severity:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """(doc_id, severity, grade, rejected) of every document, from its whole text."""
+    """(doc_id, text_hash, severity, grade, rejected) of every document, from its whole text."""
     vocabulary, weights, thresholds = fit_toxicity(docs, labels)
     scored = score_texts(docs, vocabulary, Severity(weights, thresholds), "severity double, grade long")
     return scored.withColumn("rejected", F.col("severity") >= reject)

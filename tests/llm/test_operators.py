@@ -426,3 +426,36 @@ def test_pipeline(spark, docs, rows):
                 assert r["n_chars"] == len(r["text"])
     assert kept[1] == kept[2] == kept[3] == kept[4]
     assert set(got.columns) == {"doc_id", "n_tokens", "ids"}
+
+
+def test_pipeline_rows_of_one_id(spark, docs, rows):
+    import corpus_pipeline as P
+
+    toxic = next(rows[r["doc_id"]] for r in run(spark, "op3_toxicity") if r["rejected"])
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    extra = [(None, toxic), (None, a), (None, b), (-5, c), (-5, d), (-4, c), (-5, d), (-3, None), (None, "")]
+    table = docs.select(*P.COLUMNS).union(spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = lambda df: sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect() if r["doc_id"] is None or r["doc_id"] < 0)
+    clean = sorted((str(i), t or "") for i, t in extra if t != toxic)
+    assert got(P.toxicity(spark, table, SMALL)) == clean
+    few = table.where("doc_id is null or doc_id < 0").where(table["text"].isNull() | (table["text"] != toxic))
+    once = sorted({x for x in clean if x != ("-4", c)})  # -4 holds the text of a smaller id, one row stands twice
+    kept = P.near_dedup(spark, few, SMALL)
+    assert got(kept) == once
+    assert got(P.substring_dedup(spark, kept, SMALL)) == once
+    assert set(got(P.mixing(spark, kept, SMALL))) == set(once)
+    assert P.sentencepiece(spark, kept, SMALL).count() == len(once)
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty, kind):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as P
+
+    table = (odd if kind == "odd" else empty).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("x").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for name, stage in P.STAGES:
+        got = stage(spark, table, SMALL)
+        ids = {r["doc_id"] for r in got.collect()}
+        want = {r["doc_id"] for r in table.collect()} - ({5, 11} if name == "near_dedup" else set())
+        assert ids == want, name
