@@ -7,6 +7,7 @@ grows with them) and returns a canonical projection: timestamps as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -433,17 +434,11 @@ def q_knn_inference_features(spark, sf_dir):
     return canon(df.select(*[_r4tie(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
 
 
-# The library default is the reference model (GBT_PARAMS, 300 trees).  MLlib pays a few
-# jobs per tree level, so 6 fits x 300 trees take ~6 minutes even at sf0.01; the registered
-# check queries keep every other setting and grow 40 trees.
-CHECK_GBT_PARAMS = {**GBT_PARAMS, "maxIter": 40}
-
-
-def _ml_train(spark, sf_dir):
-    from .plans.grid_ml import run_grid_training
+def _ml_train(spark, sf_dir, model_dir=None):
+    from .plans import grid_ml
 
     b = Bound(spark, sf_dir)
-    return run_grid_training(b.aq, b.wx, b.stations, AS_OF, params=CHECK_GBT_PARAMS)
+    return grid_ml.run_grid_training(b.aq, b.wx, b.stations, AS_OF, params=GBT_PARAMS, model_dir=model_dir)
 
 
 @register("grid_ml_cv")
@@ -457,17 +452,14 @@ def q_grid_ml_cv(spark, sf_dir):
 def q_grid_ml_predict(spark, sf_dir):
     """Champion predictions for every grid point, upserted into the grid observations."""
     from .operators.merge import keyed_merge
-    from .plans.grid_ml import inference_frame, predict_grid
+    from .plans.grid_ml import inference_frame, load_champion, predict_grid
+    from .session import ensure_checkpoint_dir
     from .sources.grid import grid_observations, lattice
 
-    from .plans.grid_ml import _pipeline, _with_flags, training_frame
-
     b = Bound(spark, sf_dir)
-    # champion = the model fitted on all training rows; its MAE comes from the CV job, here
-    # the in-sample MAE of the same fit stands in (H8 maps it to a confidence)
-    train = _with_flags(training_frame(b.aq, b.wx, b.stations, AS_OF))
-    model = _pipeline(CHECK_GBT_PARAMS).fit(train)
-    mae = model.transform(train).agg(F.avg(F.abs(F.col("prediction") - F.col("aqi")))).first()[0]
+    model_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grid-ml-{uuid.uuid4().hex}"
+    _ml_train(spark, sf_dir, model_dir)
+    model, mae = load_champion(spark, model_dir)
     pts = lattice(spark)
     pred = predict_grid(model, inference_frame(b.aq, b.wx, b.stations, pts, AS_OF), AS_OF, mae)
     obs = grid_observations(spark, sf_dir).select("grid_point_id", "observed_at", "aqi", "source_code", "confidence_score")

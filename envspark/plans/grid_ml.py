@@ -190,6 +190,13 @@ def run_grid_training(aq, wx, stations, as_of, params=None, model_dir: str | Non
     return model, meta
 
 
+def load_champion(spark, model_dir: str):
+    """(model, CV MAE) of the champion stored under ``model_dir``."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{model_dir}/champion"), spark.read.parquet(f"{model_dir}/champion_meta").first()["mae"]
+
+
 def predict_grid(model, features: DataFrame, as_of: datetime, champion_mae: float | None) -> DataFrame:
     """Rows for the grid observation table (upsert by (grid_point_id, observed_at))."""
     pred = model.transform(_with_flags(features))

@@ -1,6 +1,7 @@
 """Forecast / ML invariants (no SQL oracle): horizons, bounds, recoveries."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 import pandas as pd
 
@@ -98,6 +99,41 @@ def test_training_saves_champion(spark, tmp_path):
     assert (tmp_path / "champion").exists() and (tmp_path / "champion_meta").exists()
 
 
+def test_registered_training_is_the_reference_model(spark, monkeypatch):
+    from envspark import catalog
+    from envspark.config import GBT_PARAMS
+    from envspark.plans import grid_ml
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def spy(*args, params=None, **kwargs):
+        seen.append(params)
+        raise Stop
+
+    monkeypatch.setattr(grid_ml, "run_grid_training", spy)
+    for name in ("grid_ml_cv", "grid_ml_predict"):
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](spark, SF_MID)
+    assert seen == [GBT_PARAMS, GBT_PARAMS] and GBT_PARAMS["maxIter"] == 300
+
+
+def test_prediction_uses_the_stored_champion(spark, monkeypatch):
+    from envspark import catalog
+    from envspark.plans import grid_ml
+
+    held = []
+    load = grid_ml.load_champion
+    monkeypatch.setattr(grid_ml, "load_champion", lambda *a: held.append((load(*a), spark.read.parquet(f"{a[1]}/champion_meta").first())) or held[0][0])
+    monkeypatch.setattr(catalog, "GBT_PARAMS", {**catalog.GBT_PARAMS, "maxIter": 1, "maxDepth": 2})
+    got = {r["confidence_score"] for r in catalog.QUERIES["grid_ml_predict"](spark, SF_MID).collect()}
+    (_, mae), meta = held[0]
+    assert mae == meta["mae"] and meta["cv_kind"].startswith("group_kfold")
+    assert got == {round(min(0.95, max(0.3, 1 - mae / 100)), 2)}
+
+
 def test_forecasts_are_deterministic(spark):
     import __spark_entry__ as E
 
