@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Tokenizer files are parameters; these are their names in the package that holds public ones.
 BPE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
+WORD_FILE = "word_bpe_49k.json"
 
 
 def register(fn):
@@ -111,3 +112,34 @@ def op6_lm_scoring(spark, sf_dir):
     from .neural_lm import score_documents
 
     return score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_word_bpe(spark, sf_dir):
+    from .wordbpe import encode_and_decode
+
+    return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer(WORD_FILE))
+
+
+@register
+def op12_fill_in_middle(spark, sf_dir):
+    from .infill import fill_in_middle, restored
+
+    made = fill_in_middle(read_table(spark, sf_dir, "documents"), seed=7)
+    text = restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")
+    )
+
+
+@register
+def op13_merkle_manifest(spark, sf_dir):
+    from .merkle import fold, hexed, manifest, proof_text
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = manifest(read_table(spark, sf_dir, "documents"), tampered=tampered)
+    folded = made.withColumn("folded_root", fold(F.coalesce("forged", "leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", *[hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == hexed(F.col("root"))).alias("verified"),
+    )
