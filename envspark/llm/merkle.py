@@ -78,8 +78,8 @@ def climb(leaves: DataFrame, count: int, arity: int = 2) -> tuple[list[DataFrame
 
     A level holds (g, idx, n, h, sides, ...): ``n`` counts the nodes of the tree at this level and ``sides`` has
     the siblings' digests from left to right, each as one byte (0: to the left, 1: to the right) and the digest."""
-    levels, roots, nodes, height = [], None, leaves, 0
-    while True:
+    levels, roots, nodes, height, top = [], None, leaves, 0, 0
+    while height <= top:
         mine, sides = nodes, []
         slot = F.col("idx") % arity
         for shift in range(1, arity):
@@ -95,17 +95,19 @@ def climb(leaves: DataFrame, count: int, arity: int = 2) -> tuple[list[DataFrame
         # small levels are few tasks and files; coalesce never adds any
         level = store(mine.coalesce(max(1, -(-count // LEAST_NODES))), f"merkle-level-{height}")
         levels.append(level)
+        if not height:  # the largest tree tells the levels, the number of trees bounds the nodes that a level has more than half
+            trees, largest = level.where("idx = 0").agg(F.count(F.lit(1)), F.max("n")).first()
+            while arity**top < (largest or 1):
+                top += 1
         done = level.where("n = 1").select("g", F.lit(height).alias("level"), "h")
         roots = done if roots is None else roots.union(done)
         first = level.where((F.col("n") > 1) & (F.col("idx") % arity == 0))
         others = F.array_join(F.transform("sides", lambda x: hexed(F.substring(x, 2, 32))), "")
-        parents = first.select(
+        nodes = first.select(
             "g", F.floor(F.col("idx") / arity).alias("idx"), F.ceil(F.col("n") / arity).alias("n"), digest(F.concat(hexed(F.col("h")), others)).alias("h")
         )
-        count = parents.count()
-        if not count:
-            return levels, roots
-        nodes, height = parents, height + 1
+        count, height = count // arity + trees, height + 1
+    return levels, roots
 
 
 def descend(levels: list[DataFrame], above: DataFrame, count: int, arity: int = 2) -> DataFrame:
