@@ -25,6 +25,8 @@ from .common import store
 
 #: Rows of a numbered range; nodes that a task of a level joins at most and at least, about.
 ROWS_PER_RANGE, MOST_NODES, LEAST_NODES = 100_000, 200_000, 10_000
+#: Levels of proofs that one plan joins: the levels above them are a table of their own.
+HOP = 4
 #: Columns of a document that its leaf covers, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -110,24 +112,29 @@ def climb(leaves: DataFrame, count: int, arity: int = 2) -> tuple[list[DataFrame
     return levels, roots
 
 
-def descend(levels: list[DataFrame], above: DataFrame, count: int, arity: int = 2) -> DataFrame:
+def descend(levels: list[DataFrame], above: DataFrame, heights: set[int], count: int, arity: int = 2) -> DataFrame:
     """The lowest level (of ``count`` nodes) with ``proof``: the siblings from the node up to its root, then what
-    ``above`` (g, level, proof, and columns that every node of the tree gets) has for the root."""
+    ``above`` (g, level, proof, and columns that every node of the tree gets) has for the root.  ``heights``: the
+    levels at which a tree ends."""
     extra = [c for c in above.columns if c not in ("g", "level", "proof")]
     below = None
     for height in range(len(levels) - 1, -1, -1):
         level = levels[height]
         columns = [*level.columns, "proof", *extra]
-        # the root of a tree of this height takes its proof from above, one row for each tree
-        ends = above.where(F.col("level") == height).select(F.col("g").alias("g2"), "proof", *extra)
-        nodes = level.where("n = 1").join(ends, F.col("g") == F.col("g2")).select(*columns)
+        parts = []
+        if height in heights or below is None:
+            # the root of a tree of this height takes its proof from above, one row for each tree
+            ends = above.where(F.col("level") == height).select(F.col("g").alias("g2"), "proof", *extra)
+            parts.append(level.where("n = 1").join(ends, F.col("g") == F.col("g2")).select(*columns))
         if below is not None:
             size = -(-count // arity**height)
             parents = dealt(below.select(F.col("g").alias("g2"), F.col("idx").alias("up"), F.col("proof").alias("rest"), *extra), size, "g2", "up")
             inner = dealt(level.where("n > 1").withColumn("ask", F.floor(F.col("idx") / arity)), size, "g", "ask")
             inner = inner.join(parents, (F.col("g") == F.col("g2")) & (F.col("ask") == F.col("up")))
-            nodes = nodes.union(inner.withColumn("proof", F.concat(F.array("sides"), "rest")).select(*columns))
-        below = nodes
+            parts.append(inner.withColumn("proof", F.concat(F.array("sides"), "rest")).select(*columns))
+        below = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+        if height and height % HOP == 0:
+            below = store(below.coalesce(max(1, -(-count // (LEAST_NODES * arity**height)))), f"merkle-proofs-{height}")
     return below
 
 
@@ -163,7 +170,8 @@ def manifest(docs: DataFrame, group: str = "lang", tampered: Column | None = Non
     groups = trees.count()
     upper, top = climb(numbered(trees, ["tree"], groups), groups, arity)
     nothing = F.array().cast("array<array<binary>>")
-    proofs = descend(upper, top.select("g", F.col("level"), nothing.alias("proof"), F.col("h").alias("root")), groups, arity)
+    proofs = descend(upper, top.select("g", F.col("level"), nothing.alias("proof"), F.col("h").alias("root")), {len(upper) - 1}, groups, arity)
     above = store(proofs.select(F.col("tree").alias("g"), "level", "proof", F.col("h").alias("subroot"), "root"), "merkle-upper")
-    lower = descend(levels, above, count, arity)
+    heights = {r["level"] for r in above.select("level").distinct().collect()}  # at most one for each level
+    lower = descend(levels, above, heights, count, arity)
     return lower.select("doc_id", F.col("h").alias("leaf"), "forged", "subroot", "root", "proof")
