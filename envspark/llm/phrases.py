@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -41,7 +42,7 @@ from .neardup import NO_ID, run_hashes
 
 WINDOW = 13
 #: Text bytes of a block, hashes of a range and windows of an automaton, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_HASHES = 1 << 20
 SHARD_WINDOWS = 60_000
 #: Words of the runs whose least hash chooses the shard of a window.
@@ -63,8 +64,8 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, sizes, body): documents in id order, packed; block numbers rise with the ids,
-    and all rows of an id are in one block."""
+    """(block, ids, sizes, body): documents in id order, packed; block numbers rise with the ids.
+    Rows of one id, however many, are cut into blocks like others: ids are compared, not blocks."""
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     parts = max(1, -(-total_bytes(rows) // BLOCK_BYTES))
 
@@ -79,7 +80,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         for batch in pieces(batches):
             for i, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                if held >= BLOCK_BYTES and i != ids[-1]:
+                if held >= BLOCK_BYTES:
                     yield row()
                     ids, bodies, held, number = [], [], 0, number + 1
                 ids.append(i)
@@ -88,19 +89,22 @@ def blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    packed = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, "block long, ids binary, sizes binary, body binary")
+    packed = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").mapInArrow(pack, "block long, ids binary, sizes binary, body binary")
     return store(packed, "blocks")
 
 
 class Block:
-    """One block, unpacked: texts, words and the places where windows start."""
+    """One block, unpacked: texts, words (a list made when first asked for) and the places where windows start."""
 
     def __init__(self, ids: bytes, sizes: bytes, body: bytes):
         self.ids = _unpack(ids, np.int64)
         ends = np.cumsum(_unpack(sizes, np.int64) + 1) - 1
         whole = zstandard.decompress(body)
         self.texts = [whole[a:b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
-        self.words = whole.split()
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return [w for t in self.texts for w in t.split()]
 
     def hashes(self) -> np.ndarray:
         """Hashes of all words; also sets ``first``, the number of each text's first word."""
@@ -144,7 +148,7 @@ def window_hashes(packed: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                found = distinct(_short(Block(r["ids"], r["sizes"], r["body"]).windows()[3], bits))
+                found = distinct(_short(Block(r.pop("ids"), r.pop("sizes"), r.pop("body")).windows()[3], bits))
                 low, cuts = found.astype(np.uint32), _ranges(found, bits)
                 blobs = [_pack(np.diff(low[a:b], prepend=np.uint32(0))) for _, a, b in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([r["block"]] * len(cuts), pa.int64()), pa.array(blobs, pa.binary())], names=["range", "block", "hashes"])
