@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -56,6 +59,27 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return what this Python worker no longer uses to the system: workers outlive their tasks, and
+    several of them share the memory of an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run):
+    """The batch function ``run``, with unused memory given back at the end of the task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column (null: empty)."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -65,6 +89,8 @@ _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _LETTER = np.random.default_rng(64).integers(0, 1 << 64, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _UNDO = pow(_BASE, -1, 1 << 64)
+#: Bytes that are hashed at once, about; a longer text is hashed alone.
+_HASH_BYTES = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -81,6 +107,17 @@ def _power_tables(n: int) -> list[np.ndarray]:
 def word_hashes(texts_: list[bytes]) -> list[np.ndarray]:
     """For each text the 64-bit hashes of its words: differences of one running sum over all bytes
     (a random number for each byte value times a power for its place), brought to a common place."""
+    out: list[np.ndarray] = []
+    begin = held = 0
+    for i, t in enumerate(texts_):
+        if held and held + len(t) > _HASH_BYTES:
+            out += _word_hashes(texts_[begin:i])
+            begin, held = i, 0
+        held += len(t) + 1
+    return out + _word_hashes(texts_[begin:])
+
+
+def _word_hashes(texts_: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join(texts_), np.uint8)
     edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -92,7 +129,8 @@ def word_hashes(texts_: list[bytes]) -> list[np.ndarray]:
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     begin = np.cumsum([0] + [len(t) + 1 for t in texts_])
-    return np.split(h, np.searchsorted(starts, begin[1:-1])) if texts_ else []
+    # copies, so that a text's hashes do not hold those of its neighbours
+    return [x.copy() for x in np.split(h, np.searchsorted(starts, begin[1:-1]))] if texts_ else []
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, distinct, pieces, raw, store, texts, word_hashes
+from .common import components, distinct, pieces, raw, store, texts, trimmed, word_hashes
 
 SHINGLE = 5
 #: Slots of the ring, rows of a band, and the share of pairs at the threshold that banding may miss.
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, threshold: float) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_key", "bands"],
             )
 
-    return texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).astype(np.int64)))], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, shingles array<long>")
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def sketches(sets: DataFrame) -> DataFrame:
             found = [circulant.sketch(s.values.to_numpy(zero_copy_only=False).astype(np.uint64)).tolist() for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sketch"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, sketch array<long>")
+    return sets.select("doc_id", "shingles").mapInArrow(trimmed(run), "doc_id long, sketch array<long>")
 
 
 def alike(a: str, b: str, threshold: float):

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, distinct, pieces, raw, store, texts, total_bytes, word_hashes
+from .common import distinct, give_back, pieces, raw, store, texts, total_bytes, trimmed, word_hashes
 from .neardup import NO_ID, run_hashes
 
 WINDOW = 13
@@ -89,7 +89,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    packed = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").mapInArrow(pack, "block long, ids binary, sizes binary, body binary")
+    packed = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").mapInArrow(trimmed(pack), "block long, ids binary, sizes binary, body binary")
     return store(packed, "blocks")
 
 
@@ -108,14 +108,7 @@ class Block:
 
     def hashes(self) -> np.ndarray:
         """Hashes of all words; also sets ``first``, the number of each text's first word."""
-        parts, held = [[]], 0
-        for t in self.texts:
-            if held > CHUNK_BYTES // 2:
-                parts.append([])
-                held = 0
-            parts[-1].append(t)
-            held += len(t)
-        found = [h for p in parts for h in word_hashes(p)]
+        found = word_hashes(self.texts)
         size = [len(h) for h in found]
         self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         return np.concatenate(found)
@@ -153,7 +146,7 @@ def window_hashes(packed: DataFrame, bits: int) -> DataFrame:
                 blobs = [_pack(np.diff(low[a:b], prepend=np.uint32(0))) for _, a, b in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([r["block"]] * len(cuts), pa.int64()), pa.array(blobs, pa.binary())], names=["range", "block", "hashes"])
 
-    return packed.mapInArrow(run, "range long, block long, hashes binary")
+    return packed.mapInArrow(trimmed(run), "range long, block long, hashes binary")
 
 
 def seen_elsewhere(table: pa.Table) -> pa.Table:
@@ -315,6 +308,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         seen = dict(zip(right.column("range").to_pylist(), right.column("bits").to_pylist()))
         start, which, runs = candidate_runs(Block(r["ids"], r["sizes"], r["body"]), seen, bits)
         n = len(runs)
+        give_back()
         column = lambda k, kind: pa.array([None, *[x[k] for x in runs]], kind)
         return pa.table({
             "block": pa.array([r["block"]] * (n + 1), pa.int64()), "run": column(0, pa.int64()), "anchor": column(1, pa.int64()),
