@@ -20,24 +20,24 @@ from ..config import (
     ZSCORE_THRESHOLD,
 )
 from ..functions import anomaly_severity
+from ..operators.positional import exact_percentiles
 from .common import active_only, to_long, window
 
 
 def metric_stats(aq: DataFrame, stations: DataFrame, as_of: datetime, history_days: int = ANOMALY_HISTORY_DAYS,
                  metrics: list[str] = METRICS) -> DataFrame:
     hist = to_long(active_only(window(aq, as_of, days=history_days), stations), ["station_id"], metrics)
-    return (
+    spread = (
         hist.groupBy("station_id", "metric")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("value").alias("mean"),
             # a constant history has std 0 exactly (merged floating moments may leave ~1e-16)
             F.when(F.min("value") < F.max("value"), F.stddev_pop("value")).otherwise(F.lit(0.0)).alias("std"),
-            F.percentile("value", F.lit(0.25)).alias("q1"),
-            F.percentile("value", F.lit(0.75)).alias("q3"),
         )
         .filter(F.col("n") >= ANOMALY_MIN_HISTORY)
     )
+    return spread.join(exact_percentiles(hist, ["station_id", "metric"], "value", {"q1": 0.25, "q3": 0.75}), ["station_id", "metric"])
 
 
 def score_candidates(recent_long: DataFrame, stats: DataFrame) -> DataFrame:

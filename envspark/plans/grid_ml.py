@@ -3,14 +3,12 @@ k-fold CV (J10, J11), champion/challenger promotion (J12), grid prediction (J13)
 and model listing (J14).
 
 Neighbour features come from ``knn_join`` (multi-resolution cell probes), never
-from an all-pairs self-join.  The regressor is ``pyspark.ml`` GBT; histogram
-boosting routes NaN natively, MLlib does not, so missing features are imputed
-and flagged.
+from an all-pairs self-join.  The regressor is ``operators.boosting``: missing
+features are routed by gain, and the models of all folds and the final one grow together.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark import StorageLevel
@@ -23,6 +21,9 @@ from ..config import (
 from ..functions import confidence_from_mae, hour_cos, hour_sin
 from ..functions.timefn import dow_mon0
 from ..operators import latest_per_key
+from ..operators.dimension import attach
+from ..operators.boosting import Boosted, Settings, fit
+from ..operators.positional import positional_index
 from ..operators.spatial import knn_join
 from ..sources.binding import ts_lit
 from .common import active_only, window
@@ -30,10 +31,7 @@ from .common import active_only, window
 WEATHER_FEATURES = ["temperature_c", "humidity_pct", "wind_speed_mps", "pressure_hpa", "precipitation_mm", "cloud_cover_pct"]
 FEATURE_COLUMNS = ["lat", "lng", "hour_sin", "hour_cos", "dow", "month", *WEATHER_FEATURES,
                    "neighbor_aqi_mean", "neighbor_dist_mean", "neighbor_count"]
-NULLABLE = [*WEATHER_FEATURES, "neighbor_aqi_mean", "neighbor_dist_mean"]
 
-
-ROWS_PER_TRAINING_PARTITION = 50_000
 STATION_CELL_DEG = None  # first probe cell from the data density (auto); doubles per round
 
 
@@ -90,79 +88,64 @@ def inference_frame(aq: DataFrame, wx: DataFrame, stations: DataFrame, points: D
 
 
 # ----------------------------------------------------------------------------- model
-def _pipeline(params: dict):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    flags = [f"{c}_missing" for c in NULLABLE]
-    imp = Imputer(inputCols=NULLABLE, outputCols=[f"{c}_imp" for c in NULLABLE], strategy="median")
-    cols = [c if c not in NULLABLE else f"{c}_imp" for c in FEATURE_COLUMNS] + flags
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol="aqi", predictionCol="prediction", **params)
-    return Pipeline(stages=[imp, va, gbt])
-
-
-def _with_flags(df: DataFrame) -> DataFrame:
-    for c in NULLABLE:
-        df = df.withColumn(f"{c}_missing", F.col(c).isNull().cast("double"))
-    return df
+def lightest_folds(sizes: list[tuple[int, int]], k: int) -> dict[int, tuple[list[int], list[int]]]:
+    """For groups given as (size, number of groups of that size): the folds of the groups of each size, in their
+    order, when groups go by falling size to the lightest fold (the first among equals), as a beginning and
+    a cycle that repeats.  Once all folds are within one size of each other, they take turns."""
+    load, out = [0] * k, {}
+    for size, number in sorted(sizes, reverse=True):
+        begin = []
+        while len(begin) < number and max(load) - min(load) > size:
+            f = load.index(min(load))
+            begin.append(f)
+            load[f] += size
+        turn = sorted(range(k), key=lambda f: (load[f], f))
+        rest = number - len(begin)
+        # a fold of equal load comes first in its turn, so one full turn adds one group to each
+        for f in turn:
+            load[f] += size * (rest // k)
+        for f in turn[: rest % k]:
+            load[f] += size
+        out[size] = (begin, turn)
+    return out
 
 
 def station_folds(train: DataFrame, k_max: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Fold per station, k = min(5, #stations); largest stations spread first."""
-    from pyspark.sql import Window
-
+    """Fold per station, k = min(5, #stations): the largest group to the lightest fold, stations of one
+    size in the order of their ids.  Only the histogram of sizes (hours of the training days at most) reaches the driver."""
     sizes = train.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
-    k = F.least(F.lit(k_max), F.count(F.lit(1)).over(Window.partitionBy()))
-    ranked = sizes.withColumn("_r", F.row_number().over(Window.orderBy(F.col("n").desc(), "station_id")) - 1)
-    # the station table has one row per station: a global window on it is tiny
-    folds = ranked.select("station_id", F.pmod(F.col("_r"), k).cast("int").alias("fold"), k.cast("int").alias("k"))
-    return train.join(folds, "station_id"), folds
-
-
-def train_and_evaluate(train: DataFrame, params: dict | None = None, parallelism: int = 5):
-    """Returns (fitted pipeline model on all rows, metrics DataFrame)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-
+    held = [(r["n"], r["c"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    k = max(1, min(k_max, sum(c for _, c in held)))
+    plan = lightest_folds(held, k)
+    ranked = positional_index(sizes, ["n"], ["station_id"], out="_r")
+    rows = [(n, begin, turn) for n, (begin, turn) in plan.items()]
+    table = train.sparkSession.createDataFrame(rows, "n long, _begin array<int>, _turn array<int>")
+    r, past = F.col("_r").cast("int"), F.col("_r") - F.size("_begin")
+    fold = F.when(past < 0, F.get(F.col("_begin"), r)).otherwise(F.get(F.col("_turn"), F.pmod(past, F.lit(k)).cast("int")))
+    folds = attach(ranked, table, "n", "inner").select("station_id", fold.cast("int").alias("fold"), F.lit(k).alias("k"))
+    return attach(train, folds, "station_id", "inner"), folds
+
+
+def train_and_evaluate(train: DataFrame, params: dict | None = None):
+    """Returns (model fitted on all rows, metrics DataFrame)."""
     p = dict(GBT_PARAMS if params is None else params)
-    spark = train.sparkSession
-    raw = _with_flags(train).persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = raw.count()
-    # size partitions to the data: tree training runs a few jobs per level, so a small
-    # training set spread over many tiny tasks pays scheduling, not compute
-    parts = int(min(max(2, n_rows // ROWS_PER_TRAINING_PARTITION + 1), max(2, spark.sparkContext.defaultParallelism * 4)))
-    data = raw.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()  # materialise the sized copy, then drop the first one
-    raw.unpersist()
-    withf, folds = station_folds(data)
-    withf = withf.persist(StorageLevel.MEMORY_AND_DISK)
-    k = folds.agg(F.max("k")).first()[0] or 0  # one number from a per-station table
-    ev_mae = RegressionEvaluator(labelCol="aqi", predictionCol="prediction", metricName="mae")
-    ev_rmse = RegressionEvaluator(labelCol="aqi", predictionCol="prediction", metricName="rmse")
-
-    def one(f):
-        m = _pipeline(p).fit(withf.filter(F.col("fold") != f))
-        pred = m.transform(withf.filter(F.col("fold") == f))
-        return ev_mae.evaluate(pred), ev_rmse.evaluate(pred)
-
-    if k >= 2:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as ex:
-            res = list(ex.map(one, range(k)))
-        cv_mae = sum(r[0] for r in res) / len(res)
-        cv_rmse = sum(r[1] for r in res) / len(res)
+    settings = Settings(p["maxIter"], p["stepSize"], p["maxDepth"], p["minInstancesPerNode"], p["maxBins"] - 1)
+    withf, folds = station_folds(train)
+    k = folds.first()
+    k = k["k"] if k is not None and k["k"] >= 2 else 0
+    # fewer than two stations: nothing is held out
+    model, errors, n_rows = fit(withf, ["station_id", "ts"], FEATURE_COLUMNS, "aqi", "fold", k, settings)
+    if k:
+        parts = [errors[f] for f in range(k)]
         kind = f"group_kfold_{k}"
-    model = _pipeline(p).fit(data)
-    if k < 2:
-        pred = model.transform(data)
-        cv_mae, cv_rmse, kind = ev_mae.evaluate(pred), ev_rmse.evaluate(pred), "in_sample_single_group"
-    metrics = spark.createDataFrame(
-        [(kind, int(k), int(n_rows), round(float(cv_mae), 3), round(float(cv_rmse), 3))],
+    else:
+        parts, kind = [errors[-1]], "in_sample_single_group"
+    mae = sum(a / n for n, a, _ in parts) / len(parts)
+    rmse = sum((q / n) ** 0.5 for n, _, q in parts) / len(parts)
+    metrics = train.sparkSession.createDataFrame(
+        [(kind, max(k, 1), n_rows, round(float(mae), 3), round(float(rmse), 3))],
         "cv_kind string, folds int, sample_count long, mae double, rmse double",
     )
-    # the fitted model and the one-row metrics do not depend on the cached training data
-    for df in (withf, data):
-        df.unpersist()
     return model, metrics
 
 
@@ -177,29 +160,34 @@ def promote(challenger: DataFrame, champion: DataFrame | None) -> DataFrame:
 
 
 def run_grid_training(aq, wx, stations, as_of, params=None, model_dir: str | None = None, champion=None):
-    """Returns (model, metadata DataFrame); saves the model when promoted and ``model_dir`` given."""
-    train = training_frame(aq, wx, stations, as_of)
+    """Returns (model, metadata DataFrame); saves the model when promoted and ``model_dir`` given.  The gate on
+    rows comes before any fit.  ``champion``: metadata of the model in use (``champion_meta``), or None."""
+    from ..session import cut_lineage
+
+    train = cut_lineage(training_frame(aq, wx, stations, as_of))
+    if train.count() < ML_MIN_ROWS:
+        raise ValueError("insufficient data for training")
     model, metrics = train_and_evaluate(train, params)
     meta = promote(metrics.withColumn("trained_at", ts_lit(as_of)), champion)
-    verdict = meta.first()
-    if verdict is None or verdict["sample_count"] < ML_MIN_ROWS:  # nothing is saved from too few rows
-        raise ValueError("insufficient data for training")
-    if model_dir and verdict["promoted"]:
-        model.write().overwrite().save(f"{model_dir}/champion")
-        meta.write.mode("overwrite").parquet(f"{model_dir}/champion_meta")
+    if model_dir and meta.first()["promoted"]:
+        model.save(train.sparkSession, f"{model_dir}/champion")
+        cut_lineage(meta).write.mode("overwrite").parquet(f"{model_dir}/champion_meta")
     return model, meta
 
 
+def champion_meta(spark, model_dir: str) -> DataFrame:
+    """Metadata of the champion stored under ``model_dir``."""
+    return spark.read.parquet(f"{model_dir}/champion_meta")
+
+
 def load_champion(spark, model_dir: str):
     """(model, CV MAE) of the champion stored under ``model_dir``."""
-    from pyspark.ml import PipelineModel
-
-    return PipelineModel.load(f"{model_dir}/champion"), spark.read.parquet(f"{model_dir}/champion_meta").first()["mae"]
+    return Boosted.load(spark, f"{model_dir}/champion"), champion_meta(spark, model_dir).first()["mae"]
 
 
 def predict_grid(model, features: DataFrame, as_of: datetime, champion_mae: float | None) -> DataFrame:
     """Rows for the grid observation table (upsert by (grid_point_id, observed_at))."""
-    pred = model.transform(_with_flags(features))
+    pred = model.transform(features)
     conf = confidence_from_mae(F.lit(champion_mae).cast("double"))
     return pred.select(
         "grid_point_id", F.date_trunc("hour", ts_lit(as_of)).alias("observed_at"),
