@@ -78,7 +78,8 @@ def codes_of(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
 
 
 def floats(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float) if isinstance(column, pa.Array) else np.asarray(column.cast(pa.float64()).to_pandas(), float)
+    """Numbers of an Arrow column; nulls are not-a-number."""
+    return np.array(column.cast(pa.float64()).to_pandas(), float)
 
 
 def pack_blocks(frame: DataFrame, keys: list[str], features: list[str], label: str, fold: str, edges: list[np.ndarray], count: int) -> DataFrame:
@@ -370,7 +371,8 @@ def _fit_blocks(blocks: DataFrame, models: list[int], base: dict[int, float], fe
         def choose(table: pa.Table) -> pa.Table:
             found = best_split(add(table).reshape(features, 256, 2), s.least)
             names = [f.split()[0] for f in FOUND.split(", ")]
-            columns = [table.column("model")[:1], table.column("node")[:1], *[pa.array([x]) for x in found]]
+            kinds = [pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64()]
+            columns = [table.column("model")[:1], table.column("node")[:1], *[pa.array([x], t) for x, t in zip(found, kinds)]]
             return pa.table(dict(zip(names, columns)))
 
         sums = state["blocks"].mapInArrow(histograms, "model int, node int, part long, h binary")

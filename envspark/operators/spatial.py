@@ -1,16 +1,17 @@
 """Spatial joins without Cartesian products.
 
-``within_km_join``: each right-side point is exploded into the lattice cells its
-radius-``km`` disc can touch (the bounding box widens with 1/cos(lat), so it is
-exact at any latitude); left points carry their own cell; the equi-join on cell
-is followed by the exact haversine predicate.  Work is proportional to the
-number of true neighbours, not |left| x |right|.
-
-``knn_join``: k nearest right points per left point, found in rounds of
-doubling search radius.  A left point is final once its k-th candidate lies
-within the radius its searched block guarantees; only unresolved points go to
-the next round (bounded by log2(360 / cell) rounds), with lineage cut between
-rounds by a reliable checkpoint.
+Cells have 360 / n degrees with a whole number n of them around the globe, so longitudes wrap at
++-180 by a modulo.
+
+``within_km_join``: each right-side point is exploded into the cells its radius-``km`` disc can
+touch (the bounding box widens with 1/cos(lat) and is the whole circle at a pole, so it is exact
+at any latitude); left points carry their own cell; the equi-join on cell is followed by the
+exact haversine predicate.  Work is proportional to the number of true neighbours, not |left| x |right|.
+
+``knn_join``: k nearest right points per left point, with one candidate join.  A pyramid of counts (cells
+of 360 / 2**j degrees, each level summed from the one below) tells for each left cell the smallest
+cell around it that holds k points; its diagonal bounds the k-th distance, so the cells
+that a disc of that radius touches hold all k nearest, however far they are.
 """
 
 from __future__ import annotations
@@ -18,28 +19,49 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..session import cut_lineage
 
 KM_PER_DEG = 2 * math.pi * 6371.0 / 360.0  # 111.195 km per degree of latitude
 
 
-def _cell(c, size):
-    return F.floor(c / F.lit(size)).cast("long")
+#: Finest level of the pyramid (about 1 km) and levels below the one of average density.
+FINEST, DENSER = 15, 2
+#: Cells that a disc may touch along a parallel before a coarser level is probed.
+MOST_ACROSS = 8
 
 
-def _explode_disc(df: DataFrame, lat: str, lng: str, km, cell_deg: float) -> DataFrame:
-    """Explode each row into the (clat, clng) cells of the bounding box of its ``km`` disc."""
-    dlat = km / KM_PER_DEG
-    la = F.col(lat)
-    max_abs = F.least(F.abs(la) + F.lit(dlat), F.lit(89.0))
-    dlng = F.least(F.lit(180.0), F.lit(dlat) / F.cos(F.radians(max_abs)))
-    return (
-        df.withColumn("_clat", F.explode(F.sequence(_cell(la - dlat, cell_deg), _cell(la + dlat, cell_deg))))
-        .withColumn("_clng", F.explode(F.sequence(_cell(F.col(lng) - dlng, cell_deg), _cell(F.col(lng) + dlng, cell_deg))))
-    )
+def _row(lat: Column, n) -> Column:
+    """Cell row of a latitude, for ``n`` cells around the globe."""
+    return F.floor((lat + 90.0) * n / 360.0).cast("long")
+
+
+def _column(lng: Column, n) -> Column:
+    return F.pmod(F.floor((lng + 180.0) * n / 360.0).cast("long"), n if isinstance(n, Column) else F.lit(n).cast("long"))
+
+
+def _reach(lat: Column, km: Column | float) -> tuple[Column, Column]:
+    """Degrees of latitude and of longitude that a disc of ``km`` around a point spans to each side."""
+    km = km if isinstance(km, Column) else F.lit(float(km))
+    dlat = km / F.lit(KM_PER_DEG)
+    edge = F.abs(lat) + dlat
+    # the meridians that touch a disc: asin(sin r / cos lat), the whole circle if it holds a pole
+    ratio = F.sin(F.radians(F.least(dlat, F.lit(90.0)))) / F.cos(F.radians(lat))
+    return dlat, F.when(edge >= 90.0, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9) + 1e-9)
+
+
+def _touched(df: DataFrame, lat: Column, lng: Column, km: Column | float, n, row: str, column: str) -> DataFrame:
+    """``df`` exploded into the cells (``row``, ``column``) that the ``km`` disc of each of its points can touch."""
+    n_ = n if isinstance(n, Column) else F.lit(n)
+    dlat, dlng = _reach(lat, km)
+    rows = F.sequence(_row(F.greatest(lat - dlat, F.lit(-90.0)), n_), _row(F.least(lat + dlat, F.lit(90.0)), n_))
+    west, east = (F.floor((lng + 180.0 + d) * n_ / 360.0).cast("long") for d in (-dlng, dlng))
+    # each cell of the circle at most once
+    columns = F.sequence(west, F.least(east, west + n_.cast("long") - 1))
+    return df.withColumn(row, F.explode(rows)).withColumn(column, F.explode(columns)).withColumn(column, F.pmod(F.col(column), n_.cast("long")))
 
 
 def within_km_join(
@@ -50,11 +72,11 @@ def within_km_join(
     """Pairs (left row, right row) with haversine distance < km (<= km if not strict).
     Column names of the two sides must not collide except for the coordinates, which are
     renamed to l_lat/l_lng and r_lat/r_lng."""
-    cell = cell_deg or max(km / KM_PER_DEG, 0.01)
+    n = max(1, int(360.0 / (cell_deg or max(km / KM_PER_DEG, 0.01))))
     l = left.withColumnRenamed(left_latlng[0], "l_lat").withColumnRenamed(left_latlng[1], "l_lng")
     r = right.withColumnRenamed(right_latlng[0], "r_lat").withColumnRenamed(right_latlng[1], "r_lng")
-    l = l.withColumn("_clat", _cell(F.col("l_lat"), cell)).withColumn("_clng", _cell(F.col("l_lng"), cell))
-    r = _explode_disc(r, "r_lat", "r_lng", km, cell)
+    l = l.withColumn("_clat", _row(F.col("l_lat"), F.lit(n))).withColumn("_clng", _column(F.col("l_lng"), n))
+    r = _touched(r, F.col("r_lat"), F.col("r_lng"), km, n, "_clat", "_clng")
     j = l.join(r, ["_clat", "_clng"]).drop("_clat", "_clng")
     d = haversine_km(F.col("l_lat"), F.col("l_lng"), F.col("r_lat"), F.col("r_lng"))
     j = j.withColumn(dist_col, d)
@@ -88,67 +110,44 @@ def knn_join(
     """For each left row (lat, lng), the <= k nearest right rows (lat, lng) sharing
     ``partition_keys`` (e.g. the same hour), ranked 1..k by (distance, right id).
 
-    Round t uses cells of ``cell_deg * 2**t`` degrees and probes the 3 x 3 block around
-    the left point, so each probe touches a bounded neighbourhood; a point is final when
-    its k-th candidate lies inside the block's guaranteed radius (or the block spans
-    the globe).  ``exclude_self`` drops pairs with equal ids.  Returns left columns,
-    right columns prefixed ``r_``, ``dist_km`` and ``rank``."""
-    from pyspark import StorageLevel
-
-    from ..session import cut_lineage
-
+    ``cell_deg``: about the finest cell (None: from the average density, one aggregate).
+    ``exclude_self`` drops pairs with equal ids; ``max_km`` bounds the distance.  Rows without
+    coordinates have no neighbours.  Returns left columns, right columns prefixed ``r_``, ``dist_km`` and ``rank``."""
     keys = list(partition_keys)
-    lcols = list(left.columns)
-    keep = []
-    if cell_deg is None:
-        cell_deg = auto_cell_deg(right, k, keys)
-    rbase = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    pending = left
-    results = []
-    cell = cell_deg
-    while True:
-        last = cell >= 360.0
-        offs = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        probe = (pending.withColumn("_dlat", F.explode(offs)).withColumn("_dlng", F.explode(offs))
-                 .withColumn("_rclat", _cell(F.col("lat"), cell) + F.col("_dlat"))
-                 .withColumn("_rclng", _cell(F.col("lng"), cell) + F.col("_dlng"))
-                 .drop("_dlat", "_dlng"))
-        r = rbase.withColumn("_rclat", _cell(F.col("r_lat"), cell)).withColumn("_rclng", _cell(F.col("r_lng"), cell))
-        cand = probe.join(r, [*keys, "_rclat", "_rclng"]).drop("_rclat", "_rclng")
-        if exclude_self:
-            cand = cand.filter(F.col(left_id) != F.col(f"r_{right_id}"))
-        cand = cand.withColumn(dist_col, haversine_km(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
-        if max_km is not None:
-            cand = cand.filter(F.col(dist_col) <= max_km)
-        w = Window.partitionBy(*keys, left_id).orderBy(F.col(dist_col), F.col(f"r_{right_id}"))
-        top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).persist(StorageLevel.MEMORY_AND_DISK)
-        keep.append(top)
-        # radius that the 3 x 3 block is guaranteed to cover around the point
-        g_km = F.lit(cell * KM_PER_DEG) * F.cos(F.radians(F.least(F.abs(F.col("lat")) + cell, F.lit(89.9))))
-        stat = top.groupBy(*keys, left_id).agg(F.count(F.lit(1)).alias("_n"), F.max(dist_col).alias("_kth"))
-        st = pending.select(*keys, left_id, "lat").join(stat, [*keys, left_id], "left")
-        done = F.lit(last) | ((F.col("_n") >= k) & (F.col("_kth") <= g_km))
-        if max_km is not None:
-            done = done | (g_km >= max_km)
-        final_ids = st.filter(done).select(*keys, left_id).persist(StorageLevel.MEMORY_AND_DISK)
-        keep.append(final_ids)
-        results.append(top.join(final_ids, [*keys, left_id], "left_semi"))
-        pending = pending.join(final_ids, [*keys, left_id], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-        keep.append(pending)
-        if last or pending.isEmpty():
-            break
-        # lineage grows by one round per loop (<= log2(360 / cell_deg) rounds); cut it every third
-        if len(results) % 3 == 0:
-            pending = cut_lineage(pending)
-        cell *= 2
-    out = results[0]
-    for extra in results[1:]:
-        out = out.unionByName(extra)
-    rcols = [c for c in out.columns if c.startswith("r_") and c not in ("r_lat", "r_lng")]
-    keep_cols = list(dict.fromkeys([*keys, *lcols]))
-    # the rounds' cached plans nest inside each other; a reliable checkpoint of the (small)
-    # result collapses the plan to one scan, then the per-round caches can be released
-    out = cut_lineage(out.select(*keep_cols, *rcols, "r_lat", "r_lng", dist_col, "rank"))
-    for df in keep:
-        df.unpersist()
-    return out
+    finest = min(FINEST, max(0, math.ceil(math.log2(360.0 / (cell_deg or auto_cell_deg(right, k, keys)))) + (0 if cell_deg else DENSER)))
+    cell = [(_row(F.col("lat"), F.lit(2**finest))).alias("_y"), _column(F.col("lng"), 2**finest).alias("_x")]
+    levels = F.sequence(F.lit(0), F.lit(finest))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(finest) - F.col("_j"))).cast("long")
+    lifted = lambda df: df.withColumn("_j", F.explode(levels)).withColumn("_cy", up("_y")).withColumn("_cx", up("_x"))
+    # the pyramid: counts of the finest cells, summed for each level above
+    own = right.select(*keys, *cell).where("_y is not null and _x is not null").groupBy(*keys, "_y", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    counts = lifted(own).groupBy(*keys, "_j", "_cy", "_cx").agg(F.sum("_n").alias("_n"))
+    # the smallest cell around each left cell that holds k points beside the point itself
+    places = left.select(*keys, *cell).where("_y is not null and _x is not null").distinct()
+    enough = lifted(places).join(counts.where(F.col("_n") >= k + int(exclude_self)), [*keys, "_j", "_cy", "_cx"])
+    picked = enough.groupBy(*keys, "_y", "_x").agg(F.max("_j").alias("_level"))
+    points = left.withColumn("_y", cell[0]).withColumn("_x", cell[1]).where("_y is not null and _x is not null")
+    points = points.join(picked, [*keys, "_y", "_x"], "left").drop("_y", "_x")
+    # its diagonal bounds the k-th distance; where not even the globe holds k, everything is near enough
+    side = F.lit(360.0) / F.pow(F.lit(2.0), F.col("_level"))
+    far = math.pi * 6371.0 * 1.001
+    bound = F.coalesce(F.least(side * math.sqrt(2.0) * KM_PER_DEG * 1.001, F.lit(far)), F.lit(far))
+    points = points.withColumn("_km", F.least(bound, F.lit(float(max_km))) if max_km is not None else bound)
+    # a level at which the disc touches few cells, even beside a pole
+    across = F.greatest(_reach(F.col("lat"), F.col("_km"))[1] / 180.0, F.col("_km") / (180.0 * KM_PER_DEG))
+    level = F.least(F.coalesce("_level", F.lit(0)), F.floor(F.log2(F.lit(float(MOST_ACROSS)) / across)))
+    points = cut_lineage(points.withColumn("_j", F.greatest(F.lit(0), level).cast("int")))
+    used = sorted(r[0] for r in points.select("_j").distinct().collect())  # at most FINEST + 1 numbers
+    probes = _touched(points, F.col("lat"), F.col("lng"), F.col("_km"), F.pow(F.lit(2.0), F.col("_j")).cast("long"), "_cy", "_cx")
+    named = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
+    near = named.withColumn("_j", F.explode(F.array(*[F.lit(j) for j in used]))) if used else named.withColumn("_j", F.lit(0))
+    width = F.pow(F.lit(2.0), F.col("_j")).cast("long")
+    near = near.withColumn("_cy", _row(F.col("r_lat"), width)).withColumn("_cx", _column(F.col("r_lng"), width))
+    found = probes.join(near, [*keys, "_j", "_cy", "_cx"])
+    if exclude_self:
+        found = found.filter(F.col(left_id) != F.col(f"r_{right_id}"))
+    found = found.withColumn(dist_col, haversine_km(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))).where(F.col(dist_col) <= F.col("_km"))
+    w = Window.partitionBy(*keys, left_id).orderBy(F.col(dist_col), F.col(f"r_{right_id}"))
+    top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    right_columns = [c for c in named.columns if c.startswith("r_") and c not in ("r_lat", "r_lng")]
+    return top.select(*dict.fromkeys([*keys, *left.columns]), *right_columns, "r_lat", "r_lng", dist_col, "rank")

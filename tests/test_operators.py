@@ -112,3 +112,51 @@ def test_streams_over_many_unordered_files(spark, tmp_path):
             (SF_SMALL, ["reading_id"] if job is stream_grid_ingest else ["aqi_avg", "samples"]),
             (one, ["reading_id"] if job is stream_grid_ingest else ["aqi_avg", "samples"])))
         assert a == b and a
+
+
+def test_knn_join_far_points_poles_and_date_line(spark):
+    random.seed(5)
+    spread = [(i, random.uniform(-90, 90), random.uniform(-180, 180)) for i in range(60)]
+    line = [(100 + i, random.uniform(-2, 2), random.choice([-1, 1]) * random.uniform(179.5, 180)) for i in range(20)]
+    pole = [(200 + i, random.uniform(89, 90), random.uniform(-180, 180)) for i in range(10)]
+    packed = [(300 + i, 10 + i * 1e-4, 106 + (i % 7) * 1e-4) for i in range(40)]
+    pts = spread + line + pole + packed
+    df = spark.createDataFrame(pts, "id int, lat double, lng double")
+    for k, cell in ((3, None), (1, 0.5)):
+        got = knn_join(df, df, k, left_id="id", right_id="id", exclude_self=True, cell_deg=cell)
+        g = {(r["id"], r["rank"]): r["dist_km"] for r in got.collect()}
+        for i, a, b in pts:
+            for rank, d in enumerate(sorted(_hav(a, b, c, e) for j, c, e in pts if j != i)[:k], 1):
+                assert abs(g[(i, rank)] - d) < 1e-6
+    assert knn_join(df, df.limit(2), 5, left_id="id", right_id="id").count() == 2 * len(pts)  # fewer than k exist
+    near = knn_join(df, df, 3, left_id="id", right_id="id", exclude_self=True, max_km=50.0)
+    want = sum(min(3, sum(_hav(a, b, c, e) <= 50.0 for j, c, e in pts if j != i)) for i, a, b in pts)
+    assert near.count() == want
+
+
+def test_within_km_join_wraps_and_takes_poles(spark):
+    random.seed(6)
+    pts = [(i, random.uniform(-3, 3), random.choice([-1, 1]) * random.uniform(179, 180)) for i in range(60)]
+    pts += [(100 + i, random.choice([-1, 1]) * random.uniform(88, 90), random.uniform(-180, 180)) for i in range(60)]
+    a, b = spark.createDataFrame(pts, "gid int, lat double, lng double"), spark.createDataFrame(pts, "sid int, lat double, lng double")
+    got = sorted((r["gid"], r["sid"]) for r in within_km_join(a, b, 80.0).collect())
+    assert got == sorted((g, s) for g, x, y in pts for s, u, v in pts if _hav(x, y, u, v) < 80.0)
+
+
+def test_running_totals_and_exact_percentiles(spark, monkeypatch):
+    from envspark.operators import positional
+
+    monkeypatch.setattr(positional, "ROWS_PER_RANGE", 40)  # one hot key over many ranges
+    random.seed(7)
+    rows = [(k, random.choice([1.5, 2.0, 7.25, random.random()]), i) for i in range(900) for k in ([None] if i % 9 == 0 else ["hot"] if i % 3 else ["a"])]
+    df = spark.createDataFrame(rows, "k string, v double, id int")
+    got = {r["id"]: r["before"] for r in positional.running_total(df, ["k"], ["v", "id"], F.col("id").cast("long")).collect()}
+    for k in {r[0] for r in rows}:
+        total = 0
+        for _, v, i in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            assert got[i] == total
+            total += i
+    q = positional.exact_percentiles(df, ["k"], "v", {"q1": 0.25, "q3": 0.75})
+    want = df.groupBy("k").agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"))
+    assert sorted(map(str, q.collect())) == sorted(map(str, want.collect()))
+    assert "percentile" not in q._jdf.queryExecution().executedPlan().toString()

@@ -25,9 +25,9 @@ def test_simple_forecast_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan.split("WindowGroupLimit")[-1]
 
 
-def test_exact_percentiles_aggregate_partially(spark):
-    plan = _plan(spark, "anomaly_candidates")
-    assert "partial_percentile" in plan
+def test_exact_percentiles_keep_no_value_map(spark):
+    # quartiles come from (key, value) counts with running totals, not from a percentile buffer
+    assert "percentile" not in _plan(spark, "anomaly_candidates")
 
 
 def test_fusion_has_no_cartesian_join(spark):
