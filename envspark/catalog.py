@@ -434,11 +434,38 @@ def q_knn_inference_features(spark, sf_dir):
     return canon(df.select(*[_r4tie(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
 
 
-def _ml_train(spark, sf_dir, model_dir=None):
+def _ml_train(spark, sf_dir, model_dir=None, champion=None):
     from .plans import grid_ml
 
     b = Bound(spark, sf_dir)
-    return grid_ml.run_grid_training(b.aq, b.wx, b.stations, AS_OF, params=GBT_PARAMS, model_dir=model_dir)
+    return grid_ml.run_grid_training(b.aq, b.wx, b.stations, AS_OF, params=GBT_PARAMS, model_dir=model_dir, champion=champion)
+
+
+@register("grid_ml_folds")
+def q_grid_ml_folds(spark, sf_dir):
+    """Stations of the training frame with their rows and fold, the largest to the lightest fold."""
+    from .plans.grid_ml import station_folds, training_frame
+    from .session import cut_lineage
+
+    b = Bound(spark, sf_dir)
+    train = cut_lineage(training_frame(b.aq, b.wx, b.stations, AS_OF).select("station_id"))
+    _, folds = station_folds(train)
+    return canon(train.groupBy("station_id").agg(F.count(F.lit(1)).alias("n")).join(folds, "station_id"))
+
+
+@register("grid_ml_promotion")
+def q_grid_ml_promotion(spark, sf_dir):
+    """J12 over two runs: the first has no champion and is stored; the second, on the same readings, does
+    not beat it by the margin, so the stored model stays."""
+    from .plans.grid_ml import champion_meta
+    from .session import ensure_checkpoint_dir
+
+    model_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grid-ml-{uuid.uuid4().hex}"
+    _, first = _ml_train(spark, sf_dir, model_dir)
+    stored = champion_meta(spark, model_dir)
+    _, second = _ml_train(spark, sf_dir, model_dir, stored)
+    runs = first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+    return canon(runs.select("run", "cv_kind", "folds", "sample_count", "promoted", (F.col("champion_mae_before") == stored.agg(F.max("mae")).scalar()).alias("against_stored")))
 
 
 @register("grid_ml_cv")
@@ -538,6 +565,15 @@ def q_quality_filter(spark, sf_dir):
     return canon(quality_report(b.aq, "air_quality").unionByName(quality_report(b.wx, "weather")))
 
 
+@register("quality_rejects")
+def q_quality_rejects(spark, sf_dir):
+    """The rows that break a range rule, one row per broken rule."""
+    from .operators.quality import rule_violations
+
+    b = Bound(spark, sf_dir)
+    return canon(rule_violations(b.aq, "air_quality").unionByName(rule_violations(b.wx, "weather")))
+
+
 # --- lineage views (L2, L4, L7, L8) -------------------------------------------------
 @register("ingest_run_overview")
 def q_ingest_run_overview(spark, sf_dir):

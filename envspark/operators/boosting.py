@@ -22,7 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,9 @@ class Settings:
     least: int
     bins: int = 255
     leaves: int = 31
+    #: residuals are multiples of this power of two (set from the labels), so that their sums are exact
+    #: and the model is the same however rows are cut into blocks
+    unit: float = 2.0**-20
 
 
 # ------------------------------------------------------------------ bins and blocks
@@ -205,10 +208,11 @@ def boost(models: list[int], s: Settings, ask: Callable[[dict[int, list[int]], d
 class Held:
     """One block in a task: binned rows and, per model, the scores and residuals that its trees give."""
 
-    def __init__(self, row: dict, models: list[int], base: dict[int, float], features: int):
+    def __init__(self, row: dict, models: list[int], base: dict[int, float], features: int, unit: float):
         self.codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, features)
         self.codes_t = np.ascontiguousarray(self.codes.T)
         self.label, self.fold = np.frombuffer(row["label"], float), np.frombuffer(row["fold"], np.int16)
+        self.unit = unit
         held = np.frombuffer(row["score"], float).reshape(len(models), -1) if row["score"] else None
         self.score = {m: held[k].copy() if held is not None else np.full(len(self.label), base[m]) for k, m in enumerate(models)}
 
@@ -220,7 +224,8 @@ class Held:
         slot_of = np.full(len(partial.feature), -1, np.int64)
         slot_of[nodes] = np.arange(len(nodes))
         slot = np.where(self.fold == m, -1, slot_of[partial.nodes(self.codes)])
-        return histogram(self.codes_t, self.label - self.score[m], slot, len(nodes))
+        residual = np.round((self.label - self.score[m]) / self.unit) * self.unit
+        return histogram(self.codes_t, residual, slot, len(nodes))
 
     def errors(self, m: int) -> tuple[int, float, float]:
         """Rows held out of a model (all for the final one), sums of absolute and squared errors."""
@@ -283,7 +288,9 @@ def fit(frame: DataFrame, keys: list[str], features: list[str], label: str, fold
 
     models = [-1, *range(folds)]
     means = [F.avg(F.when(F.col(fold) != m, F.col(label).cast("double"))).alias(f"m{m + 1}") for m in models]
-    row = frame.agg(F.count(F.lit(1)).alias("n"), *means).first()
+    row = frame.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(label).cast("double"))).alias("top"), *means).first()
+    if row["top"]:
+        s = replace(s, unit=2.0 ** (math.ceil(math.log2(row["top"])) - 26))
     base = {m: float(row[f"m{m + 1}"] or 0.0) for m in models}
     edges = bin_edges(frame, features, s.bins)
     blocks = cut_lineage(pack_blocks(frame, keys, features, label, fold, edges, row["n"]))
@@ -298,7 +305,7 @@ def _fit_block(blocks: DataFrame, models: list[int], base: dict[int, float], fea
     def grow(table: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
         m = row["model"]
-        held, rows = Held(row, [m], base, features), []
+        held, rows = Held(row, [m], base, features, s.unit), []
 
         def ask(open_, partial):
             h = held.open_histograms(m, open_[m], partial[m])
@@ -339,7 +346,7 @@ def _fit_blocks(blocks: DataFrame, models: list[int], base: dict[int, float], fe
     parts = max(1, math.isqrt(blocks.count()))
 
     def replayed(row: dict, new: list[dict[int, Tree]]) -> Held:
-        held = Held(row, models, base, features)
+        held = Held(row, models, base, features, s.unit)
         for t in new:
             held.learn(t)
         return held

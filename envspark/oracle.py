@@ -706,6 +706,32 @@ FROM ahs a LEFT JOIN wh w ON w.station_id = a.station_id AND w.ts = a.ts
 LEFT JOIN nb ON nb.station_id = a.station_id AND nb.ts = a.ts
 """)
 
+_FOLD_SIZES = f"""
+ah AS (SELECT a.station_id, date_trunc('hour', a.observed_at) AS ts FROM aq a
+       WHERE {window_sql(AS_OF, '30 DAY')} AND {ACTIVE} AND aqi IS NOT NULL GROUP BY 1, 2),
+sizes AS (SELECT ah.station_id, count(*) AS n FROM ah JOIN stations s ON s.station_id = ah.station_id GROUP BY 1),
+total AS (SELECT CAST(least(5, count(*)) AS INT) AS k, CAST(sum(n) AS BIGINT) AS train_rows FROM sizes)"""
+
+# one step for each station: it goes to the first of the lightest folds
+SQL["grid_ml_folds"] = with_binding(f"""{_FOLD_SIZES.strip()},
+ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, station_id) AS r FROM sizes),
+dealt AS (
+  WITH RECURSIVE step(r, station_id, n, fold, load) AS (
+    SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), 0, list_transform(range(0, k), lambda x: CAST(0 AS BIGINT)) FROM total
+    UNION ALL
+    SELECT q.r, CAST(q.station_id AS BIGINT), CAST(q.n AS BIGINT), CAST(list_position(s.load, list_min(s.load)) AS INT) - 1,
+           list_transform(s.load, lambda x, i: CASE WHEN i = list_position(s.load, list_min(s.load)) THEN x + CAST(q.n AS BIGINT) ELSE x END)
+    FROM step s JOIN ranked q ON q.r = s.r + 1)
+  SELECT * FROM step WHERE r > 0)
+SELECT station_id, n, CAST(fold AS BIGINT) AS fold, CAST(k AS BIGINT) AS k FROM dealt, total
+""")
+
+SQL["grid_ml_promotion"] = with_binding(f"""{_FOLD_SIZES.strip()}
+SELECT CAST(run AS BIGINT) AS run, 'group_kfold_' || k AS cv_kind, CAST(k AS BIGINT) AS folds, train_rows AS sample_count, run = 1 AS promoted,
+       CASE WHEN run = 2 THEN true END AS against_stored
+FROM total, (VALUES (1), (2)) AS runs(run)
+""")
+
 SQL["knn_inference_features"] = with_binding(f"""
 pts AS (SELECT CAST(i * 41 + j AS INT) AS grid_point_id, round(8.4::DOUBLE + 0.2::DOUBLE * i, 5) AS lat,
                round(102::DOUBLE + 0.2::DOUBLE * j, 5) AS lng FROM range(0, 77) a(i), range(0, 41) b(j)),
@@ -818,6 +844,19 @@ def _quality_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _rejects_sql() -> str:
+    from .operators.quality import RULES
+
+    parts = []
+    for t, rule, col, lo, hi in RULES:
+        src, v = ("aq" if t == "air_quality" else "wx"), f"CAST({col} AS DOUBLE)"
+        bad = f"{v} < {lo}" if hi is None else f"({v} < {lo} OR {v} > {hi})"
+        parts.append(f"SELECT CAST(obs_id AS BIGINT) AS id, '{t}' AS table_name, '{rule}' AS rule, {v} AS value FROM {src} WHERE {bad}")
+    return "\nUNION ALL ".join(parts)
+
+
+SQL["quality_rejects"] = with_binding("q AS (" + _rejects_sql() + ")\nSELECT * FROM q")
+
 SQL["quality_filter"] = with_binding("q AS (" + _quality_sql() + ")\nSELECT * FROM q")
 
 

@@ -147,6 +147,10 @@ def grid_health(obs: DataFrame, points: DataFrame, as_of: datetime) -> DataFrame
 
 # --- seeding: polygons (A10) and point-in-polygon (C17) ---------------------
 
+#: Height of the latitude bands that edges are listed under.
+BAND_DEG = 0.1
+
+
 def polygon_edges(rings: DataFrame) -> DataFrame:
     """rings(polygon_id, ring, seq, lng, lat) -> edges(polygon_id, x1, y1, x2, y2) of closed rings."""
     from pyspark.sql import Window
@@ -163,7 +167,8 @@ def polygon_edges(rings: DataFrame) -> DataFrame:
 def point_in_polygon(points: DataFrame, polygons: DataFrame, edges: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """C17: for each point (grid_point_id, lat, lng), the first polygon (lowest ``sort_order``)
     that contains it, by even-odd ray casting over all rings (holes excluded).
-    Candidate polygons come from a cell-bucketed bbox join, not a Cartesian product."""
+    Candidate polygons come from a cell-bucketed bbox join, not a Cartesian product, and a point
+    meets only the edges that cross its band of latitude, not all edges of its candidates."""
     bbox = edges.groupBy("polygon_id").agg(
         F.least(F.min("y1"), F.min("y2")).alias("lat0"), F.greatest(F.max("y1"), F.max("y2")).alias("lat1"),
         F.least(F.min("x1"), F.min("x2")).alias("lng0"), F.greatest(F.max("x1"), F.max("x2")).alias("lng1"),
@@ -177,7 +182,10 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, edges: DataFrame, c
     x, y = F.col("lng"), F.col("lat")
     cross = ((F.col("y1") > y) != (F.col("y2") > y)) & (
         x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    par = cand.join(edges, "polygon_id").groupBy("grid_point_id", "polygon_id").agg(
+    band = lambda c: F.floor(c / BAND_DEG)
+    # a level edge crosses no ray; the others are listed under every band they reach
+    banded = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    par = cand.withColumn("_band", band(y)).join(banded, ["polygon_id", "_band"]).groupBy("grid_point_id", "polygon_id").agg(
         F.sum(F.when(cross, 1).otherwise(0)).alias("_c"))
     inside = par.filter(F.col("_c") % 2 == 1).join(polygons.select("polygon_id", "sort_order", "name"), "polygon_id")
     return inside.groupBy("grid_point_id").agg(

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +20,11 @@ from ..config import (
 from ..functions import confidence_from_mae, hour_cos, hour_sin
 from ..functions.timefn import dow_mon0
 from ..operators import latest_per_key
-from ..operators.dimension import attach
 from ..operators.boosting import Boosted, Settings, fit
+from ..operators.dimension import attach
 from ..operators.positional import positional_index
 from ..operators.spatial import knn_join
+from ..session import cut_lineage
 from ..sources.binding import ts_lit
 from .common import active_only, window
 
@@ -52,8 +52,8 @@ def training_frame(aq: DataFrame, wx: DataFrame, stations: DataFrame, as_of: dat
     ah = ah.join(st, "station_id")
     wh = window(wx, as_of, days=days).groupBy("station_id", F.date_trunc("hour", "observed_at").alias("ts")).agg(
         *[F.avg(c).alias(c) for c in WEATHER_FEATURES])
-    # the hourly station table feeds both kNN sides and the final join: materialise it once
-    ah = ah.persist(StorageLevel.MEMORY_AND_DISK)
+    # the hourly station table feeds both kNN sides and the final join: written once, nothing to release
+    ah = cut_lineage(ah)
     pts = ah.select(F.col("station_id").alias("id"), "ts", "lat", "lng", "aqi")
     nb = _neighbours(pts.drop("aqi"), pts, ["ts"], exclude_self=True)
     df = ah.join(wh, ["station_id", "ts"], "left").join(nb.withColumnRenamed("id", "station_id"), ["station_id", "ts"], "left")
@@ -91,11 +91,11 @@ def inference_frame(aq: DataFrame, wx: DataFrame, stations: DataFrame, points: D
 def lightest_folds(sizes: list[tuple[int, int]], k: int) -> dict[int, tuple[list[int], list[int]]]:
     """For groups given as (size, number of groups of that size): the folds of the groups of each size, in their
     order, when groups go by falling size to the lightest fold (the first among equals), as a beginning and
-    a cycle that repeats.  Once all folds are within one size of each other, they take turns."""
+    a cycle that repeats.  Once all folds lie less than one size apart, they take turns."""
     load, out = [0] * k, {}
     for size, number in sorted(sizes, reverse=True):
         begin = []
-        while len(begin) < number and max(load) - min(load) > size:
+        while len(begin) < number and max(load) - min(load) >= size:
             f = load.index(min(load))
             begin.append(f)
             load[f] += size
@@ -162,8 +162,6 @@ def promote(challenger: DataFrame, champion: DataFrame | None) -> DataFrame:
 def run_grid_training(aq, wx, stations, as_of, params=None, model_dir: str | None = None, champion=None):
     """Returns (model, metadata DataFrame); saves the model when promoted and ``model_dir`` given.  The gate on
     rows comes before any fit.  ``champion``: metadata of the model in use (``champion_meta``), or None."""
-    from ..session import cut_lineage
-
     train = cut_lineage(training_frame(aq, wx, stations, as_of))
     if train.count() < ML_MIN_ROWS:
         raise ValueError("insufficient data for training")

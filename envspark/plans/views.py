@@ -16,6 +16,7 @@ from ..functions.numeric import round_half_up
 from ..config import POLLUTANTS, SIMPLE_FORECAST_HOURS, SIMPLE_FORECAST_LAG_ROW
 from ..functions import aqi_category, hours_between
 from ..operators import latest_per_key, top_k_per_key
+from ..operators.dimension import attach
 from .common import until, window
 
 AQ_VALUES = ["aqi", *POLLUTANTS]
@@ -125,7 +126,7 @@ def fused_observations(aq: DataFrame) -> DataFrame:
 def source_compare(aq: DataFrame, stations: DataFrame) -> DataFrame:
     """Per observation: station, hour bucket, provider and values."""
     s = stations.select("station_id", F.col("code").alias("station_code"))
-    return aq.join(s, "station_id").select(
+    return attach(aq, s, "station_id", "inner").select(
         "station_id", "station_code", F.date_trunc("hour", "observed_at").alias("hour"), "provider_code",
         "obs_id", *AQ_VALUES, "fetched_at",
     )
