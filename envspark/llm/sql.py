@@ -26,3 +26,61 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
        sha256(t) AS restored_sha256
 FROM parts
 """
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: Unsigned crc32 of a decimal number, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _levels(name: str, source: str) -> str:
+    """All levels of the binary trees over ``source`` (g, idx, n, h)."""
+    return f"""{name} AS (
+  WITH RECURSIVE t(lvl, g, idx, n, h) AS (
+    SELECT 0, g, idx, n, h FROM {source}
+    UNION ALL
+    SELECT lvl + 1, g, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY lvl, g, idx // 2, n)
+  SELECT * FROM t)"""
+
+
+def _climb(name: str, source: str, levels: str) -> str:
+    """Rows of ``source`` (row, g, idx, node, proof) carried to the root of their tree."""
+    return f"""{name} AS (
+  WITH RECURSIVE c(lvl, row, g, idx, node, proof, done) AS (
+    SELECT 0, row, g, idx, node, proof, false FROM {source}
+    UNION ALL
+    SELECT c.lvl + 1, c.row, c.g, c.idx // 2,
+           CASE WHEN own.n = 1 THEN c.node WHEN s.h IS NULL THEN sha256(c.node) WHEN c.idx % 2 = 1 THEN sha256(s.h || c.node) ELSE sha256(c.node || s.h) END,
+           c.proof || CASE WHEN own.n = 1 THEN '' ELSE coalesce(s.h, '') END, own.n = 1
+    FROM c JOIN {levels} own ON own.lvl = c.lvl AND own.g = c.g AND own.idx = c.idx
+    LEFT JOIN {levels} s ON s.lvl = c.lvl AND s.g = c.g AND s.idx = xor(c.idx, 1)
+    WHERE NOT c.done)
+  SELECT * FROM c WHERE done)"""
+
+
+SQL["op13_merkle_manifest"] = f"""
+WITH leaves AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf('n_chars')} AS h,
+         CASE WHEN doc_id IS NOT NULL AND n_chars IS NOT NULL AND ({_CRC}) % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS forged
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{_levels('lower', 'placed')},
+subroots AS (SELECT g AS tree, h FROM lower WHERE n = 1),
+ranked AS (SELECT '' AS g, tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM subroots),
+{_levels('upper', 'ranked')},
+beginning AS (SELECT row, g, idx, coalesce(forged, h) AS node, '' AS proof FROM placed),
+{_climb('under', 'beginning', 'lower')},
+middle AS (SELECT u.row, '' AS g, r.idx, u.node, u.proof FROM under u JOIN ranked r ON r.tree = u.g),
+{_climb('above', 'middle', 'upper')}
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root.h AS root, sha256(a.proof) AS proof_sha256, a.node AS folded_root, a.node = root.h AS verified
+FROM placed p JOIN above a ON a.row = p.row JOIN subroots s ON s.tree = p.g, (SELECT h FROM upper WHERE n = 1) root
+"""
