@@ -84,3 +84,17 @@ middle AS (SELECT u.row, '' AS g, r.idx, u.node, u.proof FROM under u JOIN ranke
 SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root.h AS root, sha256(a.proof) AS proof_sha256, a.node AS folded_root, a.node = root.h AS verified
 FROM placed p JOIN above a ON a.row = p.row JOIN subroots s ON s.tree = p.g, (SELECT h FROM upper WHERE n = 1) root
 """
+
+SQL["op4_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS run FROM starts),
+firsts AS (SELECT run, min(doc_id) AS first_id FROM windows GROUP BY run),
+gone AS (SELECT DISTINCT w.doc_id, w.i + k.k AS place FROM windows w JOIN firsts f ON f.run = w.run AND f.first_id < w.doc_id, range(0, 13) k(k)),
+listed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+kept AS (
+  SELECT l.doc_id, count(g.place) AS n_removed, string_agg(l.word, ' ' ORDER BY l.place) FILTER (WHERE g.place IS NULL) AS rest
+  FROM listed l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.place = l.place GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
