@@ -645,6 +645,11 @@ def hourly_sql(metric: str, days: int) -> str:
             f"WHERE {window_sql(AS_OF, f'{days} DAY')} AND {ACTIVE} AND {metric} IS NOT NULL GROUP BY 1, 2")
 
 
+def raw_sql(metric: str, days: int) -> str:
+    return (f"SELECT station_id, obs_id, observed_at, CAST({metric} AS DOUBLE) AS y FROM aq "
+            f"WHERE {window_sql(AS_OF, f'{days} DAY')} AND {ACTIVE} AND {metric} IS NOT NULL")
+
+
 SQL["hourly_resample"] = with_binding(f"""
 h AS ({hourly_sql('pm25', 14)})
 SELECT CAST(station_id AS BIGINT) AS station_id, {ts_sql('ts')} AS ts, round(y, 4) AS y FROM h
@@ -1039,14 +1044,14 @@ SELECT h.* FROM h JOIN l ON l.station_id = h.station_id AND l.analysis_date = h.
 SQL["api_latest_correlation"] = _corr_latest()
 
 
-def _gate_sql(model: str, days: int, horizon: int, min_points: int) -> str:
+def _gate_sql(model: str, days: int, horizon: int, min_points: int, source: str | None = None) -> str:
     return (f"SELECT CAST(station_id AS BIGINT) AS station_id, '{model}' AS model_type, CAST({horizon} AS BIGINT) AS horizon_hours, "
             f"CAST(count(*) AS BIGINT) AS training_rows, 'success' AS status, CAST({horizon} AS BIGINT) AS n_points "
-            f"FROM ({hourly_sql('aqi', days)}) GROUP BY station_id HAVING count(*) >= {min_points}")
+            f"FROM ({source or hourly_sql('aqi', days)}) GROUP BY station_id HAVING count(*) >= {min_points}")
 
 
 SQL["forecast_run_gates"] = with_binding("g AS (" + _gate_sql("linear", 14, 24, 48) + " UNION ALL " + _gate_sql("arima", 7, 12, 48)
-                                         + " UNION ALL " + _gate_sql("prophet", 14, 24, 20) + ")\nSELECT * FROM g")
+                                         + " UNION ALL " + _gate_sql("prophet", 14, 24, 20, raw_sql("aqi", 14)) + ")\nSELECT * FROM g")
 
 
 SQL["grid_seed_upsert"] = with_binding(f"""{GRID.strip()},
