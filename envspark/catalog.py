@@ -81,6 +81,15 @@ def q_anomaly_candidates(spark, sf_dir):
     return canon(_round_value(detect_anomalies(b.aq, b.stations, AS_OF, scan_hours=SCAN_HOURS).drop("description")))
 
 
+@register("anomaly_descriptions")
+def q_anomaly_descriptions(spark, sf_dir):
+    """The text of every anomaly with its severity."""
+    from .plans.anomaly import detect_anomalies
+
+    b = Bound(spark, sf_dir)
+    return canon(detect_anomalies(b.aq, b.stations, AS_OF, scan_hours=SCAN_HOURS).select("obs_id", "metric", "severity", "description"))
+
+
 @register("anomaly_suppressed")
 def q_anomaly_suppressed(spark, sf_dir):
     """Re-run 12 h later: candidates already reported (or near a reported one) are suppressed."""
@@ -296,6 +305,38 @@ def q_grid_provinces(spark, sf_dir):
     return canon(got.withColumn("province_code", slugify_vi(F.col("province_name"))))
 
 
+def _geojson(spark, sf_dir):
+    """The nation polygons landed as GeoJSON, one collection a region, and read back (A10)."""
+    from .sources.polygons import nation_polygons, read_geojson_polygons, write_geojson
+    from .sources.tables import read_table
+    from .streaming.jobs import stream_root
+
+    path = f"{stream_root(spark, 'geojson')}/provinces"
+    polys, rings = nation_polygons(spark, sf_dir)
+    region = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"]).select(
+        F.col("n_nationkey").cast("int").alias("polygon_id"), F.col("n_regionkey").alias("region"))
+    write_geojson(polys.join(region, "polygon_id"), rings, path, "region")
+    return read_geojson_polygons(spark, path)
+
+
+@register("geojson_polygons")
+def q_geojson_polygons(spark, sf_dir):
+    """A10: vertices of the landed collections, polygons numbered by file and place."""
+    polys, rings = _geojson(spark, sf_dir)
+    return canon(polys.join(rings, "polygon_id").select("polygon_id", "name", "ring", "seq", "lng", "lat"))
+
+
+@register("geojson_provinces")
+def q_geojson_provinces(spark, sf_dir):
+    """A10 and C17: observed lattice points with the province of the landed collections."""
+    from .plans.grid import point_in_polygon, polygon_edges
+
+    pts, obs = _grid(spark, sf_dir)
+    seen = pts.join(obs.select("grid_point_id").distinct(), "grid_point_id", "left_semi").select("grid_point_id", "lat", "lng")
+    polys, rings = _geojson(spark, sf_dir)
+    return canon(point_in_polygon(seen, polys, polygon_edges(rings)))
+
+
 def _fusion(spark, sf_dir):
     from .plans.grid import run_grid_fusion
 

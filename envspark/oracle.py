@@ -177,6 +177,17 @@ long_aq AS ({LONG_AQ}),
 {ANOMALY_SELECT} FROM a_c
 """)
 
+SQL["anomaly_descriptions"] = with_binding(f"""
+long_aq AS ({LONG_AQ}),
+{anomaly_body(AS_OF, 24, "a_")}
+SELECT CAST(obs_id AS BIGINT) AS obs_id, metric,
+       CASE WHEN abs(z) >= 4 OR f >= 3 THEN 'critical' WHEN abs(z) >= 3 OR f >= 1.5 THEN 'warning' ELSE 'info' END AS severity,
+       CASE WHEN abs(z) >= 3
+            THEN printf('%s = %.1f (mean=%.1f, std=%.1f, z=%.2f)', upper(metric), round(value, 1), round(mean, 1), round(std, 1), round(z, 2))
+            ELSE printf('%s = %.1f nằm ngoài IQR [%.1f, %.1f]', upper(metric), round(value, 1), round(lo, 1), round(hi, 1)) END AS description
+FROM a_c
+""")
+
 SQL["anomaly_suppressed"] = with_binding(f"""
 long_aq AS ({LONG_AQ}),
 {anomaly_body(AS_OF + " - INTERVAL 12 HOUR", 24, "p_")},
@@ -607,7 +618,7 @@ FROM st
 _VI_FROM = ("àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ")
 _VI_TO = ("aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd")
 
-SQL["grid_provinces"] = with_binding(f"""{GRID.strip()},
+NATION_VERTICES = """
 nat AS (SELECT n_nationkey, n_name, n_regionkey,
                row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation),
 base AS (SELECT CAST(n_nationkey AS INT) AS polygon_id, n_name AS name, CAST(n_nationkey AS INT) AS sort_order, k,
@@ -622,7 +633,11 @@ verts AS (
   SELECT polygon_id, 1, 0, x0 + 0.4::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE k = 0 UNION ALL
   SELECT polygon_id, 1, 1, x0 + 1.1::DOUBLE, y0 + 1.0::DOUBLE FROM base WHERE k = 0 UNION ALL
   SELECT polygon_id, 1, 2, x0 + 1.1::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE k = 0 UNION ALL
-  SELECT polygon_id, 1, 3, x0 + 0.4::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE k = 0),
+  SELECT polygon_id, 1, 3, x0 + 0.4::DOUBLE, y0 + 2.0::DOUBLE FROM base WHERE k = 0)
+"""
+
+SQL["grid_provinces"] = with_binding(f"""{GRID.strip()},
+{NATION_VERTICES.strip()},
 edges AS (SELECT polygon_id, lng AS x1, lat AS y1,
                  coalesce(lead(lng) OVER w, first_value(lng) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2
           FROM verts WINDOW w AS (PARTITION BY polygon_id, ring ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -639,6 +654,18 @@ SELECT CAST(grid_point_id AS BIGINT) AS grid_point_id, CAST(polygon_id AS BIGINT
 FROM ins WHERE r = 1
 """)
 
+# polygons of the landed collections are numbered by region, then nation
+_NUMBERED = "(SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS place FROM nation)"
+SQL["geojson_polygons"] = f"""
+WITH {NATION_VERTICES.strip()}
+SELECT CAST(p.place AS BIGINT) AS polygon_id, b.name, CAST(v.ring AS BIGINT) AS ring, CAST(v.seq AS BIGINT) AS seq, v.lng, v.lat
+FROM verts v JOIN base b ON b.polygon_id = v.polygon_id JOIN {_NUMBERED} p ON p.n_nationkey = v.polygon_id
+"""
+SQL["geojson_provinces"] = f"""
+SELECT g.grid_point_id, CAST(p.place AS BIGINT) AS polygon_id, g.province_name
+FROM ({SQL['grid_provinces'].strip()}) g JOIN {_NUMBERED} p ON p.n_nationkey = g.polygon_id
+"""
+
 
 def hourly_sql(metric: str, days: int) -> str:
     return (f"SELECT station_id, date_trunc('hour', observed_at) AS ts, avg(CAST({metric} AS DOUBLE)) AS y FROM aq "
@@ -980,7 +1007,7 @@ UNION ALL SELECT 'trend', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub(
 UNION ALL SELECT 'health', CAST(count(DISTINCT station_id) AS BIGINT) FROM {_sub('health_impact')}
 UNION ALL SELECT 'forecast_linear', CAST(count(*) AS BIGINT) FROM (WITH {BINDING.strip()} SELECT station_id FROM ({hourly_sql('aqi', 14)}) GROUP BY station_id HAVING count(*) >= 48)
 UNION ALL SELECT 'forecast_arima', CAST(count(*) AS BIGINT) FROM (WITH {BINDING.strip()} SELECT station_id FROM ({hourly_sql('aqi', 7)}) GROUP BY station_id HAVING count(*) >= 48)
-UNION ALL SELECT 'forecast_prophet', CAST(count(*) AS BIGINT) FROM (WITH {BINDING.strip()} SELECT station_id FROM ({hourly_sql('aqi', 14)}) GROUP BY station_id HAVING count(*) >= 20)
+UNION ALL SELECT 'forecast_prophet', CAST(count(*) AS BIGINT) FROM (WITH {BINDING.strip()} SELECT station_id FROM ({raw_sql('aqi', 14)}) GROUP BY station_id HAVING count(*) >= 20)
 """
 
 

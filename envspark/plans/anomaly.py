@@ -20,6 +20,7 @@ from ..config import (
     ZSCORE_THRESHOLD,
 )
 from ..functions import anomaly_severity
+from ..functions.numeric import round_half_up
 from ..operators.positional import exact_percentiles
 from .common import active_only, to_long, window
 
@@ -84,9 +85,9 @@ def detect_anomalies(
     up = F.upper(F.col("metric"))
     desc = F.when(
         F.col("method") == "zscore",
-        F.format_string("%s = %.1f (mean=%.1f, std=%.1f, z=%.2f)", up, F.col("value"), F.col("mean"), F.col("std"), F.col("z")),
+        F.format_string("%s = %.1f (mean=%.1f, std=%.1f, z=%.2f)", up, *[round_half_up(c, 1) for c in ("value", "mean", "std")], round_half_up("z", 2)),
     ).otherwise(
-        F.format_string("%s = %.1f nằm ngoài IQR [%.1f, %.1f]", up, F.col("value"), F.col("iqr_lower"), F.col("iqr_upper"))
+        F.format_string("%s = %.1f nằm ngoài IQR [%.1f, %.1f]", up, *[round_half_up(c, 1) for c in ("value", "iqr_lower", "iqr_upper")])
     )
     return c.select(
         "station_id", "metric", "obs_id", "detected_at", "value",

@@ -1,7 +1,7 @@
 """Province polygons.
 
-``read_geojson_polygons`` (A10) reads a GeoJSON FeatureCollection with Spark's
-JSON reader and explodes it into vertex rows.  ``nation_polygons`` derives a
+``read_geojson_polygons`` (A10) cuts GeoJSON feature collections between their features,
+parses each and explodes it into vertex rows.  ``nation_polygons`` derives a
 polygon set from the driver's ``nation`` table (one quadrilateral per nation in
 a latitude band per region; the first nation of each region has a hole) so the point-in-polygon
 job runs on data that comes from the given tables.
@@ -12,35 +12,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.positional import positional_index
 from .tables import read_table
 
 
+#: Text between two features of a collection; files are cut there, so that many tasks read one file.
+FEATURE_MARK = '"Feature"'
+_HEAD = r'\[\s*\{\s*"type"\s*:\s*$'  # before the first feature
+_NEXT = r'\}\s*,\s*\{\s*"type"\s*:\s*$'  # before every other one
+_FEATURE = "properties struct<shapeName: string>, geometry struct<type: string, coordinates: string>"
+
+
+def _read_features(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _block, _row, name, gtype, coords): the features of every file, in order of the first three.
+
+    A piece between two marks is one feature and the opening of the next; the parser stops at the end of the
+    feature.  A file whose pieces are not of that form (another order of members, a mark inside a property,
+    features without geometry) is read whole instead, with the same result."""
+    text = spark.read.option("lineSep", FEATURE_MARK).text(path)
+    pieces = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_row"))
+    parsed = pieces.select(
+        "_file", "_block", "_row", F.col("value").rlike(_HEAD).alias("_head"), F.col("value").rlike(_NEXT).alias("_next"),
+        F.from_json(F.concat(F.lit('{"type":' + FEATURE_MARK), "value"), _FEATURE).alias("f"))
+    fine = F.col("f.geometry.type").isNotNull() & F.col("f.geometry.coordinates").isNotNull()
+    checks = parsed.groupBy("_file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_head").alias("heads"), F.count_if(~F.col("_head") & F.col("_next")).alias("nexts"),
+        F.count_if(~F.col("_head") & fine).alias("fine"))
+    odd = [r["_file"] for r in checks.where("heads <> 1 OR nexts <> n - 2 OR fine <> n - 1").select("_file").collect()]  # file names
+    features = parsed.where(~F.col("_head") & ~F.col("_file").isin(odd)) if odd else parsed.where(~F.col("_head"))
+    if odd:
+        whole = spark.read.option("wholetext", True).text(odd).select(
+            F.col("_metadata.file_path").alias("_file"), F.from_json("value", f"features array<struct<{_FEATURE.replace(' struct', ': struct')}>>").alias("c"))
+        whole = whole.select("_file", F.lit(0).cast("long").alias("_block"), F.posexplode("c.features").alias("_row", "f"))
+        features = features.select("_file", "_block", "_row", "f").unionByName(whole.withColumn("_row", F.col("_row").cast("long")))
+    name = F.col("f.properties.shapeName")
+    return features.select("_file", "_block", "_row", F.when(name != "", name).otherwise(F.lit("Unknown")).alias("name"),
+                           F.col("f.geometry.type").alias("gtype"), F.col("f.geometry.coordinates").alias("coords"))
+
+
 def read_geojson_polygons(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A10: (polygons(polygon_id, name, sort_order), rings(polygon_id, ring, seq, lng, lat)).
-    Polygon and MultiPolygon geometries; name from properties.shapeName, default 'Unknown'."""
-    raw = spark.read.option("multiLine", True).json(path)
-    feats = raw.select(F.posexplode("features").alias("sort_order", "f"))
-    polys = feats.select(
-        F.col("sort_order").cast("int").alias("polygon_id"),
-        F.coalesce(F.col("f.properties.shapeName"), F.lit("Unknown")).alias("name"),
-        F.col("sort_order").cast("int"),
-        F.col("f.geometry.type").alias("gtype"),
-        F.col("f.geometry.coordinates").cast("string").alias("coords"),
-    )
+    """A10: (polygons(polygon_id, name, sort_order), rings(polygon_id, ring, seq, lng, lat)) of one file or a
+    folder of feature collections, numbered in order of file name and place.  Polygon and MultiPolygon geometries
+    (others have no rings); name from properties.shapeName, default 'Unknown'."""
+    placed = positional_index(_read_features(spark, path).withColumn("_all", F.lit(0)), ["_all"], ["_file", "_block", "_row"], "polygon_id")
+    polys = placed.select(F.col("polygon_id").cast("int").alias("polygon_id"), "name", F.col("polygon_id").cast("int").alias("sort_order"), "gtype", "coords")
     # coordinates: Polygon = [ring][vertex][xy]; MultiPolygon = [poly][ring][vertex][xy]
-    mp = polys.withColumn(
-        "rings",
-        F.when(F.col("gtype") == "MultiPolygon",
-               F.flatten(F.from_json("coords", "array<array<array<array<double>>>>")))
-        .otherwise(F.from_json("coords", "array<array<array<double>>>")),
-    )
-    rings = mp.select("polygon_id", F.posexplode("rings").alias("ring", "pts")).select(
-        "polygon_id", "ring", F.posexplode("pts").alias("seq", "xy")
-    ).select("polygon_id", "ring", "seq", F.col("xy")[0].alias("lng"), F.col("xy")[1].alias("lat"))
-    # drop the closing vertex (equal to the first) — edges close rings themselves
-    last = Window.partitionBy("polygon_id", "ring").orderBy(F.col("seq").desc())
-    rings = rings.withColumn("_l", F.row_number().over(last)).filter("_l > 1").drop("_l")
-    return polys.select("polygon_id", "name", "sort_order"), rings
+    rings = polys.select("polygon_id", F.posexplode(
+        F.when(F.col("gtype") == "MultiPolygon", F.flatten(F.from_json("coords", "array<array<array<array<double>>>>")))
+        .when(F.col("gtype") == "Polygon", F.from_json("coords", "array<array<array<double>>>"))).alias("ring", "pts"))
+    # without the closing vertex (equal to the first) - edges close rings themselves
+    opened = F.slice("pts", F.lit(1), F.greatest(F.size("pts") - 1, F.lit(0)))
+    vertices = rings.select("polygon_id", "ring", F.posexplode(opened).alias("seq", "xy"))
+    return (polys.select("polygon_id", "name", "sort_order"),
+            vertices.select("polygon_id", "ring", "seq", F.col("xy")[0].alias("lng"), F.col("xy")[1].alias("lat")))
+
+
+def write_geojson(polygons: DataFrame, rings: DataFrame, path: str, folder: str) -> None:
+    """Polygons as GeoJSON, one collection for each value of ``folder`` (a column of ``polygons``), in their
+    order; polygons of odd ``polygon_id`` as MultiPolygon."""
+    vertex = F.struct("seq", F.array("lng", "lat").alias("xy"))
+    ring = F.transform(F.array_sort(F.collect_list(vertex)), lambda v: v["xy"])
+    closed = rings.groupBy("polygon_id", "ring").agg(ring.alias("pts")).select("polygon_id", F.struct(
+        "ring", F.concat("pts", F.slice("pts", 1, 1)).alias("pts")).alias("r"))
+    shapes = closed.groupBy("polygon_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["pts"])).alias("shape"))
+    multi = F.col("polygon_id") % 2 == 1
+    feature = F.concat(
+        F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct(F.col("name").alias("shapeName"))),
+        F.lit(', "geometry": {"type": "'), F.when(multi, F.lit("MultiPolygon")).otherwise(F.lit("Polygon")), F.lit('", "coordinates": '),
+        F.when(multi, F.concat(F.lit("["), "shape", F.lit("]"))).otherwise(F.col("shape")), F.lit("}}"))
+    listed = polygons.join(shapes, "polygon_id").groupBy(folder).agg(
+        F.array_sort(F.collect_list(F.struct("sort_order", "polygon_id", feature.alias("text")))).alias("features"))
+    body = F.array_join(F.transform("features", lambda f: f["text"]), ", ")
+    listed.select(folder, F.concat(F.lit('{"type": "FeatureCollection", "features": ['), body, F.lit("]}")).alias("value")) \
+        .write.partitionBy(folder).text(path)
 
 
 def nation_polygons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
