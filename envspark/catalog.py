@@ -707,7 +707,20 @@ def q_stream_hourly(spark, sf_dir):
 
 @register("stream_anomalies")
 def q_stream_anomalies(spark, sf_dir):
-    from .streaming.jobs import read_anomalies, stream_anomalies
+    from .streaming.jobs import stream_anomalies
+
+    return canon(_round_value(stream_anomalies(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS).drop("description")))
+
+
+@register("stream_anomalies_rescanned")
+def q_stream_anomalies_rescanned(spark, sf_dir):
+    """O2: two scans of one state; the second is suppressed against the first."""
+    from .streaming.jobs import ingest_anomaly_state, scan_anomalies, stream_root
+
+    root, stations = stream_root(spark, "anomalies"), Bound(spark, sf_dir).stations
+    ingest_anomaly_state(spark, sf_dir, root)
+    scan_anomalies(spark, root, stations, AS_OF - timedelta(hours=12), SCAN_HOURS)
+    return canon(_round_value(scan_anomalies(spark, root, stations, AS_OF, SCAN_HOURS).drop("description")))
 
     t = stream_anomalies(spark, sf_dir, AS_OF, scan_hours=SCAN_HOURS)
     return canon(_round_value(read_anomalies(spark, t, AS_OF, sf_dir).drop("description", "_epoch")))

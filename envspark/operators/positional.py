@@ -47,13 +47,15 @@ def positional_index(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]
     return running_total(df, keys, order_by, None, out)
 
 
-def exact_percentiles(values: DataFrame, keys: Sequence[str], value: str, levels: dict[str, float]) -> DataFrame:
-    """(keys..., one column per level): interpolated percentiles of ``value`` per key, exact.
+def exact_percentiles(values: DataFrame, keys: Sequence[str], value: str, levels: dict[str, float], weight: Column | None = None) -> DataFrame:
+    """(keys..., one column per level): interpolated percentiles of ``value`` per key, exact; a row stands for
+    ``weight`` equal ones (None: one).
 
     Rows shrink to (key, value, count) first; the two order statistics beside each position are then the
     values whose running count covers it.  No task holds the values of a key."""
     keys = list(keys)
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     placed = running_total(counts, keys, ["_v"], F.col("_n"), "_from")
     sizes = placed.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     wanted = F.array(*[F.struct(F.lit(k).alias("level"), ((F.col("_size") - 1) * F.lit(p)).alias("at")) for k, p in enumerate(levels.values())])

@@ -994,6 +994,7 @@ FROM aq GROUP BY station_id, date_trunc('hour', observed_at)
 """)
 
 SQL["stream_anomalies"] = SQL["anomaly_candidates"]
+SQL["stream_anomalies_rescanned"] = SQL["anomaly_suppressed"]
 
 
 

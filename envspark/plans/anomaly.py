@@ -41,6 +41,18 @@ def metric_stats(aq: DataFrame, stations: DataFrame, as_of: datetime, history_da
     return spread.join(exact_percentiles(hist, ["station_id", "metric"], "value", {"q1": 0.25, "q3": 0.75}), ["station_id", "metric"])
 
 
+def metric_stats_of_counts(counts: DataFrame, stations: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
+    """``metric_stats`` from (station_id, metric, value, n): how often each value of the history occurs."""
+    keys, v, n = ["station_id", "metric"], F.col("value"), F.col("n")
+    held = active_only(counts.where(F.col("metric").isin(metrics)), stations).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    level = held.groupBy(*keys).agg((F.sum(v * n) / F.sum("n")).alias("mean"))  # one row per key
+    spread = held.join(level, keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("mean").alias("mean"),
+        F.when(F.min("value") < F.max("value"), F.sqrt(F.sum((v - F.col("mean")) ** 2 * n) / F.sum("n"))).otherwise(F.lit(0.0)).alias("std"))
+    quartiles = exact_percentiles(held, keys, "value", {"q1": 0.25, "q3": 0.75}, F.col("n"))
+    return spread.filter(F.col("n") >= ANOMALY_MIN_HISTORY).join(quartiles, keys)
+
+
 def score_candidates(recent_long: DataFrame, stats: DataFrame) -> DataFrame:
     """z-score and IQR tests of long-form rows (station_id, metric, observed_at, obs_id, value)
     against their key's stats (one row per key, so the join never fans out); keeps anomalies.
@@ -68,9 +80,11 @@ def detect_anomalies(
     scan_hours: float = ANOMALY_SCAN_HOURS,
     prior: DataFrame | None = None,
     metrics: list[str] = METRICS,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows: station_id, metric, detected_at, value, z_score, iqr_factor, method, severity, description."""
-    stats = metric_stats(aq, stations, as_of, metrics=metrics)
+    """Rows: station_id, metric, detected_at, value, z_score, iqr_factor, method, severity, description.
+    ``stats``: those of the history where they are known already."""
+    stats = metric_stats(aq, stations, as_of, metrics=metrics) if stats is None else stats
     recent = to_long(window(aq, as_of, hours=scan_hours), ["station_id", "observed_at", "obs_id"], metrics)
     c = score_candidates(recent, stats)
 

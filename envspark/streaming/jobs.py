@@ -5,9 +5,10 @@
 * O1 ``stream_grid_ingest``: readings -> keyed upsert (N1) into a date-partitioned
   Parquet table in ``foreachBatch``: only the partitions a batch touches are read,
   merged, checkpointed (cuts the read-back lineage) and dynamically overwritten.
-* O2 ``stream_anomalies``: each micro-batch is scanned against 7-day history stats;
-  candidates are suppressed against anomalies emitted by earlier epochs (C18) and
-  written to the epoch's own partition (a replayed epoch overwrites itself).
+* O2 ``ingest_anomaly_state``: each micro-batch adds how often each value occurs per hour, station and
+  metric, and its rows by day; ``scan_anomalies`` takes the 7-day statistics from these counts, so the history
+  is never read again, scores the rows of the scanned hours and suppresses against earlier scans (C18).
+  The counts are totals, so the result does not depend on how files fall into batches.
 * O3 ``stream_hourly``: sums and counts per (station, hour) of every micro-batch, totalled on
   reading — no watermark, so readings in files out of time order are not lost.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,46 +135,72 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum("total") / F.sum("known")).alias("aqi_avg"), F.sum("samples").alias("samples"))
 
 
-def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hours: float = 24) -> str:
-    """O2: anomaly scan per micro-batch with suppression against already emitted anomalies."""
-    from ..plans.anomaly import detect_anomalies
-    from ..sources.binding import Bound
+COUNTS_SCHEMA = "hour timestamp_ntz, station_id int, metric string, value double, n long"
+ROWS_SCHEMA = ("obs_id long, station_id int, observed_at timestamp_ntz, aqi int, pm25 double, pm10 double, o3 double, no2 double, "
+               "so2 double, co double, day date")
+ANOMALY_SCHEMA = ("station_id int, metric string, obs_id long, detected_at timestamp_ntz, value double, z_score double, "
+                  "iqr_factor double, method string, severity string, description string, scan string")
 
-    root = stream_root(spark, "anomalies")
-    table = f"{root}/anomalies"
-    b = Bound(spark, sf_dir)
-    stations = b.stations
-    # explicit schema: epochs without anomalies write no files, so the table cannot be inferred
-    schema = detect_anomalies(b.aq, stations, as_of, scan_hours=scan_hours).schema.add("_epoch", "long")
+
+def ingest_anomaly_state(spark: SparkSession, sf_dir: str, root: str, max_files_per_trigger: int = 1) -> None:
+    """O2, state: the stream's value counts and rows under ``root``.  A row belongs to the hour that ends at or
+    after it, as windows of the job leave out their start and hold their end.  Each micro-batch writes folders of
+    its own, anew if it is repeated."""
+    from ..config import METRICS
+    from ..plans.common import to_long
+    from ..session import pin_utc
+
+    pin_utc(spark)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        s = batch.sparkSession
-        aq = _aq_from_events(batch)
-        # stats over the full 7-day history (static side), candidates from this batch only
-        hist = b.aq.select(*aq.columns)
-        # suppress against anomalies of *earlier* epochs: a replayed epoch sees the same prior
-        prior = s.read.schema(schema).parquet(table).filter(F.col("_epoch") < epoch).drop("_epoch") if _table_exists(s, table) else None
-        cand = detect_anomalies(hist, stations, as_of, scan_hours=scan_hours, prior=prior)
-        cand = cand.join(aq.select("obs_id"), "obs_id", "left_semi").withColumn("_epoch", F.lit(epoch).cast("long"))
-        # one partition per epoch, overwritten dynamically: foreachBatch replays are idempotent
-        prev = s.conf.get("spark.sql.sources.partitionOverwriteMode")
-        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        rows = _aq_from_events(batch).persist()
         try:
-            cand.write.mode("overwrite").partitionBy("_epoch").parquet(table)
+            hour = F.date_trunc("hour", F.col("observed_at") - F.expr("INTERVAL 1 MICROSECOND")) + F.expr("INTERVAL 1 HOUR")
+            counts = to_long(rows.withColumn("hour", hour), ["hour", "station_id"], METRICS).groupBy(
+                "hour", "station_id", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+            counts.write.mode("overwrite").parquet(f"{root}/counts/epoch={epoch}")
+            rows.withColumn("day", F.to_date("observed_at")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/rows/epoch={epoch}")
         finally:
-            s.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-
-    _run(events_stream(spark, sf_dir).writeStream.foreachBatch(sink), root)
-    return table
+            rows.unpersist()
+
+    _run(events_stream(spark, sf_dir, max_files_per_trigger).writeStream.foreachBatch(sink), root)
+
+
+def scan_anomalies(spark: SparkSession, root: str, stations: DataFrame, as_of: datetime, scan_hours: float = 24) -> DataFrame:
+    """O2, job: anomalies of the last hours against the counts of 7 days, suppressed against those of earlier
+    scans; they are stored as this scan's (anew if it is repeated) and returned.  ``as_of`` is a whole hour."""
+    from ..config import ANOMALY_HISTORY_DAYS
+    from ..plans.anomaly import detect_anomalies, metric_stats_of_counts
+    from ..sources.binding import ts_lit
+
+    if as_of != as_of.replace(minute=0, second=0, microsecond=0):
+        raise ValueError("as_of must be a whole hour")
+    counts = spark.read.schema(COUNTS_SCHEMA).parquet(f"{root}/counts").where(
+        (F.col("hour") > ts_lit(as_of - timedelta(days=ANOMALY_HISTORY_DAYS))) & (F.col("hour") <= ts_lit(as_of)))
+    first_day = (as_of - timedelta(hours=scan_hours)).date()
+    rows = spark.read.schema(ROWS_SCHEMA).parquet(f"{root}/rows").where(F.col("day").between(F.lit(first_day), F.lit(as_of.date())))
+    scan = as_of.strftime("%Y%m%d%H")
+    found = read_anomalies(spark, root)
+    prior = found.where(F.col("scan") < scan) if found is not None else None
+    stats = metric_stats_of_counts(counts, stations)
+    new = detect_anomalies(rows, stations, as_of, scan_hours=scan_hours, prior=prior, stats=stats)
+    new.write.mode("overwrite").parquet(f"{root}/anomalies/scan={scan}")
+    return spark.read.schema(new.schema).parquet(f"{root}/anomalies/scan={scan}")
+
+
+def read_anomalies(spark: SparkSession, root: str) -> DataFrame | None:
+    """Anomalies of all scans (None before the first)."""
+    table = f"{root}/anomalies"
+    return spark.read.schema(ANOMALY_SCHEMA).parquet(table) if _table_exists(spark, table) else None
 
 
-def read_anomalies(spark: SparkSession, table: str, as_of: datetime, sf_dir: str) -> DataFrame:
-    from ..plans.anomaly import detect_anomalies
+def stream_anomalies(spark: SparkSession, sf_dir: str, as_of: datetime, scan_hours: float = 24) -> DataFrame:
+    """O2: the whole stream, then one scan."""
     from ..sources.binding import Bound
 
-    b = Bound(spark, sf_dir)
-    schema = detect_anomalies(b.aq, b.stations, as_of).schema.add("_epoch", "long")
-    return spark.read.schema(schema).parquet(table)
+    root = stream_root(spark, "anomalies")
+    ingest_anomaly_state(spark, sf_dir, root)
+    return scan_anomalies(spark, root, Bound(spark, sf_dir).stations, as_of, scan_hours)
 
 
 # --- O2, stateful form ------------------------------------------------------------------
