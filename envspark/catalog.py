@@ -425,6 +425,18 @@ def q_forecast_linear(spark, sf_dir):
     return canon(_fc(spark, sf_dir, "linear"))
 
 
+@register("forecast_linear_model")
+def q_forecast_linear_model(spark, sf_dir):
+    from .plans.forecast import forecast_features, hourly_series
+    from .plans.linear_model import FEATURES, linear_model
+    from .session import cut_lineage
+
+    b = Bound(spark, sf_dir)
+    df = linear_model(forecast_features(cut_lineage(hourly_series(b.aq, b.stations, AS_OF, "aqi", 14))))
+    return canon(df.select("station_id", "training_rows", "mae", "rmse", "mape",
+                           *[F.bround(c, 4).alias(c) for c in ("spread", "intercept", *FEATURES)]))
+
+
 @register("forecast_arima")
 def q_forecast_arima(spark, sf_dir):
     return canon(_fc(spark, sf_dir, "arima"))

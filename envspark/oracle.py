@@ -711,6 +711,72 @@ SELECT CAST(station_id AS BIGINT) AS station_id, CAST(count(*) AS BIGINT) AS n,
 FROM p GROUP BY station_id
 """)
 
+# The normal equations by elimination (k-th step clears column k), then the forecast hour by hour.
+_LINEAR = f"""
+h AS ({hourly_sql('aqi', 14)}),
+f AS (
+  SELECT station_id, ts, y, hour(ts) AS hr, isodow(ts) - 1 AS dow,
+         avg(y) OVER w6 AS rm6, coalesce(stddev_samp(y) OVER w6, 0) AS rs6,
+         avg(y) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rm24,
+         lag(y, 1) OVER (PARTITION BY station_id ORDER BY ts) AS l1, lag(y, 24) OVER (PARTITION BY station_id ORDER BY ts) AS l24,
+         first_value(y) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fy,
+         row_number() OVER (PARTITION BY station_id ORDER BY ts) AS pos, count(*) OVER (PARTITION BY station_id) AS n
+  FROM h WINDOW w6 AS (PARTITION BY station_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+x AS (
+  SELECT station_id, ts, pos, n, y, pos <= floor(n * 0.8) AS is_early,
+         [1.0, hr, dow, sin(2 * pi() * hr / 24), cos(2 * pi() * hr / 24), sin(2 * pi() * dow / 7), cos(2 * pi() * dow / 7),
+          rm6, rs6, rm24, coalesce(l1, fy), coalesce(l24, fy), y]::DOUBLE[] AS v
+  FROM f WHERE n >= 48),
+g AS (
+  SELECT station_id, part, i, j, sum(v[i] * v[j]) AS s
+  FROM x, range(0, 2) p(part), range(1, 13) a(i), range(1, 14) b(j) WHERE part = 1 OR is_early GROUP BY ALL),
+m AS (SELECT station_id, part, list(line ORDER BY i) AS m
+      FROM (SELECT station_id, part, i, list(s ORDER BY j) AS line FROM g GROUP BY ALL) GROUP BY ALL),
+gj AS (
+  SELECT station_id, part, 1 AS k, m FROM m
+  UNION ALL
+  SELECT station_id, part, k + 1,
+         list_transform(range(1, 13), lambda i: list_transform(range(1, 14), lambda j:
+           CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))
+  FROM gj WHERE k <= 12),
+b AS (SELECT station_id, part, list_transform(m, lambda line: line[13]) AS beta FROM gj WHERE k = 13),
+e AS (
+  SELECT x.station_id, any_value(n) AS n, max(ts) AS last_ts, stddev_pop(y - list_dot_product(b1.beta, v[1:12])) AS spread,
+         list(y ORDER BY pos) FILTER (WHERE pos > n - 24) AS tail, any_value(b1.beta) AS beta,
+         round_even(avg(abs(y - list_dot_product(b0.beta, v[1:12]))) FILTER (WHERE NOT is_early), 3) AS mae,
+         round_even(sqrt(avg(pow(y - list_dot_product(b0.beta, v[1:12]), 2)) FILTER (WHERE NOT is_early)), 3) AS rmse,
+         round_even(100 * avg(abs((y - list_dot_product(b0.beta, v[1:12])) / y)) FILTER (WHERE NOT is_early AND y <> 0), 3) AS mape
+  FROM x JOIN b b0 ON b0.station_id = x.station_id AND b0.part = 0 JOIN b b1 ON b1.station_id = x.station_id AND b1.part = 1
+  GROUP BY x.station_id)"""
+
+_COEFFICIENTS = ["intercept", "hour", "day_of_week", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "rolling_mean_6h", "rolling_std_6h",
+                 "rolling_mean_24h", "lag_1h", "lag_24h"]
+
+SQL["forecast_linear_model"] = with_binding(f"""{_LINEAR}
+SELECT CAST(station_id AS BIGINT) AS station_id, CAST(n AS BIGINT) AS training_rows, mae, rmse, mape, round_even(spread, 4) AS spread,
+       {', '.join(f'round_even(beta[{i}], 4) AS {c}' for i, c in enumerate(_COEFFICIENTS, 1))}
+FROM e
+""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+SQL["forecast_linear"] = with_binding(f"""{_LINEAR},
+r AS (
+  SELECT station_id, 0 AS step, tail, beta, last_ts AS ts, CAST(NULL AS DOUBLE) AS value FROM e
+  UNION ALL
+  SELECT station_id, step + 1, list_append(tail[2:24], next), beta, t, next
+  FROM (SELECT station_id, step, tail, beta, t, greatest(0, list_dot_product(beta, [
+                 1.0, hour(t), isodow(t) - 1, sin(2 * pi() * hour(t) / 24), cos(2 * pi() * hour(t) / 24),
+                 sin(2 * pi() * (isodow(t) - 1) / 7), cos(2 * pi() * (isodow(t) - 1) / 7),
+                 list_avg(tail[19:24]), list_stddev_pop(tail[19:24]), list_avg(tail), tail[24], tail[1]]::DOUBLE[])) AS next
+        FROM (SELECT *, ts + INTERVAL 1 HOUR AS t FROM r WHERE step < 24)))
+SELECT 'linear-' || e.station_id || '-20240131000000' AS run_id, CAST(e.station_id AS BIGINT) AS station_id, 'linear' AS model_type,
+       'aqi' AS target_metric, CAST(24 AS BIGINT) AS horizon_hours, CAST(n AS BIGINT) AS training_rows, 'success' AS status,
+       CAST(NULL AS VARCHAR) AS error_message, mae, rmse, mape, CAST(step AS BIGINT) AS step, round_even(value, 2) AS predicted_value,
+       round_even(greatest(value - 1.96 * spread * (1 + 0.05 * (step - 1)), 0), 2) AS lower_bound,
+       round_even(value + 1.96 * spread * (1 + 0.05 * (step - 1)), 2) AS upper_bound,
+       {ts_sql('r.ts')} AS predicted_at, {ts_sql(AS_OF)} AS created_at
+FROM e JOIN r ON r.station_id = e.station_id WHERE step > 0
+""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 
 def _r4_all(cols):
     return ", ".join(f"round({c}, 4) + 0.0 AS {c.split('.')[-1]}" for c in cols)
