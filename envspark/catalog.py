@@ -717,6 +717,15 @@ def q_stream_hourly(spark, sf_dir):
     return canon(df.drop("obs_date").withColumn("aqi_avg", round_half_up("aqi_avg", 4)))
 
 
+@register("stream_hourly_windows")
+def q_stream_hourly_windows(spark, sf_dir):
+    """The hours and their totals; status and late counts depend on how the files arrive."""
+    from .streaming.jobs import stream_hourly_windows
+
+    df = stream_hourly_windows(spark, sf_dir)
+    return canon(df.select("station_id", "hour", round_half_up("aqi_avg", 4).alias("aqi_avg"), "samples"))
+
+
 @register("stream_anomalies")
 def q_stream_anomalies(spark, sf_dir):
     from .streaming.jobs import stream_anomalies

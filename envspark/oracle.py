@@ -1059,6 +1059,7 @@ SELECT CAST(station_id AS BIGINT) AS station_id, {ts_sql("date_trunc('hour', obs
 FROM aq GROUP BY station_id, date_trunc('hour', observed_at)
 """)
 
+SQL["stream_hourly_windows"] = SQL["stream_hourly"]
 SQL["stream_anomalies"] = SQL["anomaly_candidates"]
 SQL["stream_anomalies_rescanned"] = SQL["anomaly_suppressed"]
 

@@ -10,7 +10,9 @@
   is never read again, scores the rows of the scanned hours and suppresses against earlier scans (C18).
   The counts are totals, so the result does not depend on how files fall into batches.
 * O3 ``stream_hourly``: sums and counts per (station, hour) of every micro-batch, totalled on
-  reading — no watermark, so readings in files out of time order are not lost.
+  reading — no watermark, so readings in files out of time order are not lost.  ``publish_hours`` streams
+  these sums through event-time windows: an hour is published once, when the watermark passes its end;
+  what comes later is its correction, so published and corrected sums make the same totals.
 
 All state (stream checkpoints, tables) lives under the session's shared
 ``spark.checkpoint.dir``; nothing uses a machine-local folder.
@@ -113,26 +115,73 @@ def _aq_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
-def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3: hourly AQI mean and count per station from the event stream.
+HOURLY_SCHEMA = "station_id int, hour timestamp_ntz, total long, known long, samples long"
+#: Hours wait so long for late readings before they are published.
+HOURLY_DELAY = "2 hours"
+
 
-    Files need not come in time order: each micro-batch leaves its sums and counts in a folder of its
-    own (written anew if the batch is repeated), and the table is their total, so no reading is late."""
+def ingest_hourly_sums(spark: SparkSession, sf_dir: str, root: str, max_files_per_trigger: int = 1) -> None:
+    """O3, ledger: sums and counts per station and hour under ``root``.  Each micro-batch leaves a folder of
+    its own, written anew if the batch is repeated."""
     from ..session import pin_utc
 
     pin_utc(spark)
-    root = stream_root(spark, "hourly")
-    table = f"{root}/hourly"
 
     def sink(batch: DataFrame, epoch: int) -> None:
         partial = batch.groupBy("station_id", F.date_trunc("hour", "observed_at").alias("hour")).agg(
             F.sum("aqi").alias("total"), F.count("aqi").alias("known"), F.count(F.lit(1)).alias("samples"))
-        partial.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        partial.write.mode("overwrite").parquet(f"{root}/hourly/epoch={epoch}")
+
+    _run(_aq_from_events(events_stream(spark, sf_dir, max_files_per_trigger)).writeStream.foreachBatch(sink), root)
+
+
+def hourly_totals(spark: SparkSession, root: str) -> DataFrame:
+    """Station, hour and the totals of the ledger."""
+    sums = spark.read.schema(HOURLY_SCHEMA).parquet(f"{root}/hourly")
+    return sums.groupBy("station_id", "hour").agg(*[F.sum(c).alias(c) for c in ("total", "known", "samples")])
+
+
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: hourly AQI mean and count per station from the event stream.
+
+    Files need not come in time order: the table is the total of all micro-batches, so no reading is late."""
+    root = stream_root(spark, "hourly")
+    ingest_hourly_sums(spark, sf_dir, root)
+    return hourly_totals(spark, root).select("station_id", "hour", (F.col("total") / F.col("known")).alias("aqi_avg"), "samples")
+
+
+def publish_hours(spark: SparkSession, root: str, delay: str = HOURLY_DELAY, max_files_per_trigger: int = 1000) -> None:
+    """O3, windows: the ledger's new sums through event-time windows of an hour; hours that end ``delay`` before
+    the newest one begins are appended to ``published``, each once.  The state holds the sums of open hours only."""
+    sums = (spark.readStream.schema(HOURLY_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(f"{root}/hourly/epoch=*")
+            .withColumn("at", F.col("hour").cast("timestamp")).withWatermark("at", delay))
+    hours = sums.groupBy(F.window("at", "1 hour").alias("w"), "station_id").agg(*[F.sum(c).alias(c) for c in ("total", "known", "samples")])
+    rows = hours.select("station_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "total", "known", "samples")
+    q = (rows.writeStream.format("parquet").option("path", f"{root}/published").option("checkpointLocation", f"{root}/_publish")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+
 
-    _run(_aq_from_events(events_stream(spark, sf_dir)).writeStream.foreachBatch(sink), root)
-    partials = spark.read.schema("station_id int, hour timestamp_ntz, total long, known long, samples long").parquet(table)
-    return partials.groupBy("station_id", "hour").agg(
-        (F.sum("total") / F.sum("known")).alias("aqi_avg"), F.sum("samples").alias("samples"))
+def published_hours(spark: SparkSession, root: str) -> DataFrame:
+    """Hours as published, with the corrections that later readings make: ``status`` is final, corrected or open
+    (not published yet); ``late`` counts the readings that came after their hour was published.  The sums are
+    those of the ledger, whatever the watermark left out."""
+    out = spark.read.schema(HOURLY_SCHEMA).parquet(f"{root}/published").select(
+        "station_id", "hour", F.col("samples").alias("published"))
+    j = hourly_totals(spark, root).join(out, ["station_id", "hour"], "left")
+    status = F.when(F.col("published").isNull(), "open").when(F.col("published") == F.col("samples"), "final").otherwise("corrected")
+    return j.select("station_id", "hour", (F.col("total") / F.col("known")).alias("aqi_avg"), "samples", status.alias("status"),
+                    F.when(F.col("published").isNull(), 0).otherwise(F.col("samples") - F.col("published")).alias("late"))
+
+
+def stream_hourly_windows(spark: SparkSession, sf_dir: str, delay: str = HOURLY_DELAY, max_files_per_trigger: int = 1000) -> DataFrame:
+    """O3 with event-time windows: the whole stream, then its hours with status and corrections."""
+    root = stream_root(spark, "hourly-windows")
+    ingest_hourly_sums(spark, sf_dir, root)
+    publish_hours(spark, root, delay, max_files_per_trigger)
+    return published_hours(spark, root)
 
 
 COUNTS_SCHEMA = "hour timestamp_ntz, station_id int, metric string, value double, n long"
