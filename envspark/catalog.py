@@ -206,6 +206,19 @@ def q_station_latest(spark, sf_dir):
                  .withColumn("temperature_c", round_half_up("temperature_c", 4)).withColumn("wind_speed_mps", round_half_up("wind_speed_mps", 4)))
 
 
+@register("station_latest_own_weather")
+def q_station_latest_own_weather(spark, sf_dir):
+    """L1 where some air-quality rows carry weather of their own, which goes before the weather fact's."""
+    from .plans.views import station_latest_air_quality
+
+    b = Bound(spark, sf_dir)
+    own = F.when(F.col("obs_id") % 2 == 0, F.col("so2"))
+    aq = b.aq.withColumn("temperature_c", own + 10).withColumn("humidity_pct", own * 2)
+    weather = ["temperature_c", "humidity_pct", "wind_speed_mps"]
+    return canon(station_latest_air_quality(aq, b.wx, b.stations, AS_OF).select(
+        "station_id", "observed_at", *[round_half_up(c, 4).alias(c) for c in weather]))
+
+
 @register("station_source_latest")
 def q_station_source_latest(spark, sf_dir):
     from .plans.views import station_source_latest
@@ -635,6 +648,19 @@ def q_ingest_run_overview(spark, sf_dir):
     return canon(pipeline_run_overview(Bound(spark, sf_dir).aq))
 
 
+@register("cascade_delete")
+def q_cascade_delete(spark, sf_dir):
+    """Runs that started over 7 days ago are deleted, their requests with them."""
+    from .operators.merge import cascade_delete
+    from .sources import lineage as LT
+    from .sources.binding import ts_lit
+
+    landed = LT.payloads(Bound(spark, sf_dir).aq)
+    kept = LT.pipeline_runs(landed).where(F.col("started_at") > ts_lit(AS_OF - timedelta(days=7)))
+    left = cascade_delete(LT.outbound_requests(landed), kept, "pipeline_run_id", "pipeline_run_id")
+    return canon(left.select("request_id", "pipeline_run_id", "status", "latency_ms", "records"))
+
+
 @register("lineage_observation")
 def q_lineage_observation(spark, sf_dir):
     from .plans.lineage import observation_full_lineage
@@ -661,11 +687,11 @@ def q_provider_health(spark, sf_dir):
 # --- API read queries (M1, M2, M10, M15) -----------------------------------------------
 @register("api_daily_summaries")
 def q_api_daily_summaries(spark, sf_dir):
-    from .plans.api import daily_summaries
+    from .plans.api import daily_summaries, first_day
     from .plans.daily_summary import daily_summary
 
     b = Bound(spark, sf_dir)
-    ds = daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date())
+    ds = daily_summary(b.aq, b.wx, b.stations, start=first_day(AS_OF, 30), end=(AS_OF - timedelta(days=1)).date())
     return canon(daily_summaries(ds, b.stations, AS_OF, days=30))
 
 

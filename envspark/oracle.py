@@ -436,6 +436,19 @@ FROM stations s LEFT JOIN la ON la.station_id = s.station_id LEFT JOIN lw ON lw.
 WHERE s.is_active
 """)
 
+SQL["station_latest_own_weather"] = with_binding(f"""
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM aq WHERE observed_at <= {AS_OF}) WHERE rn = 1),
+lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
+                      FROM wx WHERE observed_at <= {AS_OF}) WHERE rn = 1)
+SELECT CAST(s.station_id AS BIGINT) AS station_id, {ts_sql('la.observed_at')} AS observed_at,
+       round(coalesce(CASE WHEN la.obs_id % 2 = 0 THEN la.so2 + 10 END, lw.temperature_c), 4) AS temperature_c,
+       round(coalesce(CASE WHEN la.obs_id % 2 = 0 THEN la.so2 * 2 END, lw.humidity_pct), 4) AS humidity_pct,
+       round(lw.wind_speed_mps, 4) AS wind_speed_mps
+FROM stations s LEFT JOIN la ON la.station_id = s.station_id LEFT JOIN lw ON lw.station_id = s.station_id
+WHERE s.is_active
+""")
+
 SQL["station_source_latest"] = with_binding(f"""
 la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY observed_at DESC, obs_id DESC) AS rn
                       FROM aq WHERE observed_at <= {AS_OF}) WHERE rn = 1)
@@ -967,7 +980,8 @@ req AS (SELECT raw_payload_id AS request_id, pipeline_run_id, provider_code, end
 runs AS (SELECT pipeline_run_id, provider_code || '_ingest' AS pipeline_code, provider_code, endpoint_code,
                 CASE WHEN sum(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) = 0 THEN 'success'
                      WHEN sum(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) < count(*) THEN 'partial' ELSE 'failed' END AS status,
-                min(request_started_at) AS started_at, max(request_started_at) AS finished_at, sum(records) AS records
+                min(request_started_at) AS started_at, max(request_started_at) AS finished_at, sum(records) AS records,
+                count(*) AS requests, count(*) FILTER (WHERE status <> 'success') AS bad
          FROM req GROUP BY pipeline_run_id, provider_code, endpoint_code),
 eps AS (SELECT DISTINCT endpoint_code, provider_code, upper(provider_code) || ' hourly' AS endpoint_name, 'api' AS endpoint_kind FROM aq),
 bnd AS (SELECT station_id, endpoint_code, provider_code, min(observed_at) AS valid_from FROM aq GROUP BY 1, 2, 3)"""
@@ -975,10 +989,17 @@ bnd AS (SELECT station_id, endpoint_code, provider_code, min(observed_at) AS val
 SQL["ingest_run_overview"] = with_binding(f"""{LINEAGE.strip()}
 SELECT r.pipeline_run_id AS id, r.pipeline_code, upper(r.provider_code) || ' ingest' AS pipeline_name, 'ingest' AS pipeline_type,
        r.status, 'schedule' AS trigger_type, {ts_sql('r.started_at')} AS started_at, {ts_sql('r.finished_at')} AS finished_at,
-       r.endpoint_code, e.endpoint_name, CAST(r.records AS BIGINT) AS records
+       r.endpoint_code, e.endpoint_name, CAST(r.records AS BIGINT) AS records,
+       CASE WHEN bad > 0 THEN bad || ' of ' || requests || ' requests failed' END AS error_summary,
+       '{{"requests":' || requests || ',"failed_requests":' || bad || ',"records":' || records || '}}' AS metrics
 FROM runs r LEFT JOIN eps e ON e.endpoint_code = r.endpoint_code
 """)
 
+SQL["cascade_delete"] = with_binding(f"""{LINEAGE.strip()}
+SELECT request_id, pipeline_run_id, status, CAST(latency_ms AS BIGINT) AS latency_ms, CAST(records AS BIGINT) AS records
+FROM req WHERE pipeline_run_id IN (SELECT pipeline_run_id FROM runs WHERE started_at > {AS_OF} - INTERVAL 7 DAY)
+""")
+
 SQL["lineage_observation"] = with_binding(f"""{LINEAGE.strip()}
 SELECT a.raw_payload_id, a.normalize_run_id, a.pipeline_run_id, a.endpoint_code, a.provider_code, CAST(a.obs_id AS BIGINT) AS obs_id,
        CAST(a.station_id AS BIGINT) AS station_id, {ts_sql('a.observed_at')} AS observed_at, {ts_sql('a.fetched_at')} AS fetched_at,

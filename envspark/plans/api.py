@@ -7,7 +7,7 @@ as TakeOrderedAndProject, so no global sort of the whole table).
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +21,16 @@ def _check(name: str, value: int, lo: int, hi: int) -> None:
         raise ValueError(f"{name} must be within {lo}..{hi}")
 
 
+def first_day(as_of: datetime, days: int) -> date:
+    """The first day that a list of the last ``days`` days shows."""
+    return as_of.date() - timedelta(days=days - 1)
+
+
 def daily_summaries(summaries: DataFrame, stations: DataFrame, as_of: datetime, days: int = 30,
                     station_id: int | None = None, limit: int = 500) -> DataFrame:
     """M1: summaries of the last ``days`` days, newest first, then station."""
     _check("days", days, 1, 365)
-    since = (as_of.date() - timedelta(days=days)).isoformat()
-    d = summaries.filter(F.col("summary_date") > F.lit(since).cast("date"))
+    d = summaries.filter(F.col("summary_date") >= F.lit(first_day(as_of, days)))
     if station_id is not None:
         d = d.filter(F.col("station_id") == station_id)
     d = d.join(stations.select("station_id", F.col("code").alias("station_code")), "station_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,31 +11,33 @@ from ..functions.numeric import round_half_up
 from ..operators import latest_per_key
 from ..operators.dimension import attach
 from ..sources import lineage as LT
-from .common import until, window
+from ..sources.binding import ts_lit
+from .common import until
 
 
 def pipeline_run_overview(aq: DataFrame) -> DataFrame:
-    """L2: runs with their pipeline definition and endpoint."""
-    runs = LT.pipeline_runs(aq)
-    ep = LT.endpoints(aq).select("endpoint_code", "endpoint_name")
-    return runs.join(ep, "endpoint_code", "left").select(
-        F.col("pipeline_run_id").alias("id"), "pipeline_code", F.concat(F.upper("provider_code"), F.lit(" ingest")).alias("pipeline_name"),
-        F.lit("ingest").alias("pipeline_type"), "status", "trigger_type", "started_at", "finished_at", "endpoint_code", "endpoint_name",
-        "records",
-    )
+    """L2: runs of known pipelines with their definition, endpoint, error summary and metrics."""
+    landed = LT.payloads(aq)
+    definitions = LT.pipeline_definitions(landed).select("pipeline_code", "pipeline_name", "pipeline_type")
+    ep = LT.endpoints(landed).select("endpoint_code", "endpoint_name")
+    runs = attach(attach(LT.pipeline_runs(landed), definitions, "pipeline_code", "inner"), ep, "endpoint_code")
+    return runs.select(
+        F.col("pipeline_run_id").alias("id"), "pipeline_code", "pipeline_name", "pipeline_type", "status", "trigger_type", "started_at",
+        "finished_at", "endpoint_code", "endpoint_name", "records", "error_summary", "metrics")
 
 
 def observation_full_lineage(aq: DataFrame, stations: DataFrame) -> DataFrame:
     """L4: every observation of a known station with provider, endpoint, run, the newest request of
     its run and endpoint, and normalize run."""
     st = stations.select("station_id", F.col("code").alias("station_code"))
-    ep = LT.endpoints(aq)
+    landed = LT.payloads(aq)
+    ep = LT.endpoints(landed)
     pv = ep.select("provider_code", F.upper("provider_code").alias("provider_name")).distinct()
     ep = ep.select("endpoint_code", "endpoint_name")
-    run = LT.pipeline_runs(aq).select("pipeline_run_id", F.col("status").alias("run_status"), F.col("started_at").alias("run_started_at"))
-    req = latest_per_key(LT.outbound_requests(aq), ["pipeline_run_id", "endpoint_code"], ["request_started_at", "request_id"],
+    run = LT.pipeline_runs(landed).select("pipeline_run_id", F.col("status").alias("run_status"), F.col("started_at").alias("run_started_at"))
+    req = latest_per_key(LT.outbound_requests(landed), ["pipeline_run_id", "endpoint_code"], ["request_started_at", "request_id"],
                          ["request_id", "status", "http_status", "latency_ms"]).withColumnRenamed("status", "request_status")
-    nr = LT.normalize_runs(aq).select("normalize_run_id", "parser_key", "parser_version")
+    nr = LT.normalize_runs(landed).select("normalize_run_id", "parser_key", "parser_version")
     o = aq.select("obs_id", "station_id", "observed_at", "fetched_at", "aqi", "provider_code", "endpoint_code", "pipeline_run_id",
                   "raw_payload_id", "normalize_run_id")
     o = attach(attach(attach(o, st, "station_id", "inner"), pv, "provider_code"), ep, "endpoint_code")
@@ -46,8 +48,9 @@ def observation_full_lineage(aq: DataFrame, stations: DataFrame) -> DataFrame:
 def station_bindings_overview(aq: DataFrame, stations: DataFrame, as_of: datetime) -> DataFrame:
     """Stations x their bindings with endpoint/provider and the binding's latest observation."""
     s = stations.select("station_id", F.col("code").alias("station_code"), F.col("is_active").alias("station_active"))
-    b = LT.bindings(aq)
-    ep = LT.endpoints(aq).select("endpoint_code", "provider_code", "endpoint_name", F.col("kind").alias("endpoint_kind"))
+    landed = LT.payloads(aq)
+    b = LT.bindings(landed)
+    ep = LT.endpoints(landed).select("endpoint_code", "provider_code", "endpoint_name", F.col("kind").alias("endpoint_kind"))
     last = latest_per_key(until(aq, as_of), ["station_id", "endpoint_code"], ["observed_at", "obs_id"], ["observed_at", "aqi"])
     return (s.join(b, "station_id", "left").join(ep, "endpoint_code", "left")
             .join(last.withColumnRenamed("observed_at", "latest_observation_at").withColumnRenamed("aqi", "latest_aqi"),
@@ -60,25 +63,20 @@ def station_bindings_overview(aq: DataFrame, stations: DataFrame, as_of: datetim
 def provider_health(aq: DataFrame, as_of: datetime) -> DataFrame:
     """24 h request stats per provider (count-bug guarded), p95 latency, success rate,
     active bindings and last success."""
-    from ..sources.binding import ts_lit
-
-    req = LT.outbound_requests(aq)
-    recent = req.withColumnRenamed("request_started_at", "observed_at")
-    recent = window(recent, as_of, hours=24)
-    stats = recent.groupBy("provider_code").agg(
-        F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("status") == "success", 1)).alias("ok"),
-        F.count(F.when(F.col("status").isin("failed", "timeout"), 1)).alias("bad"),
-        round_half_up(F.avg("latency_ms")).cast("int").alias("avg_latency_ms"),
-        round_half_up(F.percentile("latency_ms", F.lit(0.95))).cast("int").alias("p95_latency_ms"),
-        F.sum("response_size_bytes").alias("total_bytes_24h"),
-    )
-    act = LT.bindings(aq).filter("is_enabled").groupBy("endpoint_code").count().join(
-        LT.endpoints(aq).select("endpoint_code", "provider_code"), "endpoint_code").groupBy("provider_code").agg(
+    landed = LT.payloads(aq)
+    started, succeeded = F.col("request_started_at"), F.col("status") == "success"
+    recent = (started > ts_lit(as_of - timedelta(hours=24))) & (started <= ts_lit(as_of))
+    stats = LT.outbound_requests(landed).groupBy("provider_code").agg(
+        F.count(F.when(recent, 1)).alias("total"), F.count(F.when(recent & succeeded, 1)).alias("ok"),
+        F.count(F.when(recent & F.col("status").isin("failed", "timeout"), 1)).alias("bad"),
+        round_half_up(F.avg(F.when(recent, F.col("latency_ms")))).cast("int").alias("avg_latency_ms"),
+        round_half_up(F.percentile(F.when(recent, F.col("latency_ms")), F.lit(0.95))).cast("int").alias("p95_latency_ms"),
+        F.sum(F.when(recent, F.col("response_size_bytes"))).alias("total_bytes_24h"),
+        F.max(F.when(succeeded & (started <= ts_lit(as_of)), started)).alias("last_success_at"))
+    act = LT.bindings(landed).filter("is_enabled").groupBy("endpoint_code").count().join(
+        LT.endpoints(landed).select("endpoint_code", "provider_code"), "endpoint_code").groupBy("provider_code").agg(
         F.sum("count").alias("active_bindings"))
-    last_ok = req.filter((F.col("status") == "success") & (F.col("request_started_at") <= ts_lit(as_of))).groupBy("provider_code").agg(
-        F.max("request_started_at").alias("last_success_at"))
-    p = LT.providers(aq)
-    j = p.join(stats, "provider_code", "left").join(act, "provider_code", "left").join(last_ok, "provider_code", "left")
+    j = LT.providers(landed).join(stats, "provider_code", "left").join(act, "provider_code", "left")
     total = F.coalesce(F.col("total"), F.lit(0))
     return j.select(
         "provider_code", "provider_name", "is_active", total.alias("requests_24h"), F.coalesce("ok", F.lit(0)).alias("success_24h"),
@@ -100,7 +98,7 @@ def analysis_run_lineage(aq: DataFrame, stations: DataFrame, summaries: DataFram
     runs = runs.withColumn("analysis_run_id", run_id)
     n_sum = summaries.groupBy("station_id", F.col("summary_date").alias("period_from")).agg(F.count(F.lit(1)).alias("daily_summaries_count"))
     n_anom = anomalies.groupBy("station_id", F.to_date("detected_at").alias("period_from")).agg(F.count(F.lit(1)).alias("anomalies_found"))
-    pr = LT.pipeline_runs(aq).select("pipeline_run_id", "pipeline_code", F.col("status").alias("pipeline_status"),
+    pr = LT.pipeline_runs(LT.payloads(aq)).select("pipeline_run_id", "pipeline_code", F.col("status").alias("pipeline_status"),
                                      F.col("started_at").alias("pipeline_started_at"), F.col("finished_at").alias("pipeline_finished_at"))
     st = stations.select("station_id", F.col("code").alias("station_code"))
     j = (runs.join(st, "station_id", "left").join(pr, "pipeline_run_id")

@@ -23,11 +23,14 @@ AQ_VALUES = ["aqi", *POLLUTANTS]
 
 
 def station_latest_air_quality(aq: DataFrame, wx: DataFrame, stations: DataFrame, as_of: datetime) -> DataFrame:
-    """L1: latest AQ row and latest weather row per active station, coalesced."""
+    """L1: latest AQ row and latest weather row per active station, coalesced; weather columns of the
+    AQ fact come first where it has them."""
+    weather = ["temperature_c", "humidity_pct", "wind_speed_mps"]
+    carried = [c for c in weather if c in aq.columns]
     a = latest_per_key(until(aq, as_of), ["station_id"], ["observed_at", "obs_id"],
-                       ["observed_at", "fetched_at", *AQ_VALUES, "provider_code", "endpoint_code"])
+                       ["observed_at", "fetched_at", *AQ_VALUES, *carried, "provider_code", "endpoint_code"])
     w = latest_per_key(until(wx, as_of), ["station_id"], ["observed_at", "obs_id"],
-                       ["fetched_at", "temperature_c", "humidity_pct", "wind_speed_mps"])
+                       ["fetched_at", *weather])
     w = w.select("station_id", *[F.col(c).alias(f"w_{c}") for c in w.columns if c != "station_id"])
     s = stations.filter("is_active").select("station_id", F.col("code").alias("station_code"), "lat", "lng", "is_active")
     j = s.join(a, "station_id", "left").join(w, "station_id", "left")
@@ -35,10 +38,7 @@ def station_latest_air_quality(aq: DataFrame, wx: DataFrame, stations: DataFrame
         "station_id", "station_code", "lat", "lng", "is_active", "observed_at",
         F.coalesce("fetched_at", "w_fetched_at").alias("fetched_at"),
         *AQ_VALUES,
-        # the AQ fact carries no weather columns in this binding: coalesce falls through to weather
-        F.col("w_temperature_c").alias("temperature_c"),
-        F.col("w_humidity_pct").alias("humidity_pct"),
-        F.col("w_wind_speed_mps").alias("wind_speed_mps"),
+        *[F.coalesce(*[F.col(c)] * (c in carried), F.col(f"w_{c}")).alias(c) for c in weather],
         F.col("provider_code").alias("source_provider_code"),
         F.col("endpoint_code").alias("source_endpoint_code"),
     )
