@@ -57,6 +57,14 @@ def q_daily_summary(spark, sf_dir):
     return canon(daily_summary(b.aq, b.wx, b.stations, end=(AS_OF - timedelta(days=1)).date()))
 
 
+@register("daily_summary_yesterday")
+def q_daily_summary_yesterday(spark, sf_dir):
+    from .plans.daily_summary import summary_of_day
+
+    b = Bound(spark, sf_dir)
+    return canon(summary_of_day(b.aq, b.wx, b.stations, AS_OF))
+
+
 @register("daily_summary_strict")
 def q_daily_summary_strict(spark, sf_dir):
     from .plans.daily_summary import daily_summary
@@ -374,6 +382,17 @@ def q_grid_fusion_twice(spark, sf_dir):
     return canon(run_grid_fusion(applied, pts, b.aq, b.stations, AS_OF)[0])
 
 
+@register("grid_fusion_any_source")
+def q_grid_fusion_any_source(spark, sf_dir):
+    """K2 as the replaced job ran it: a second run fuses what the first one wrote, whatever its source."""
+    from .plans.grid import run_grid_fusion
+
+    pts, obs = _grid(spark, sf_dir)
+    b = Bound(spark, sf_dir)
+    _, applied = run_grid_fusion(obs, pts, b.aq, b.stations, AS_OF, strict=True)
+    return canon(run_grid_fusion(applied, pts, b.aq, b.stations, AS_OF, strict=True)[0])
+
+
 @register("grid_latest")
 def q_grid_latest(spark, sf_dir):
     from .plans.grid import grid_latest

@@ -599,6 +599,20 @@ FROM fz
 # a second run starts from the same baseline, so its rows are those of the first
 SQL["grid_fusion_twice"] = SQL["grid_fusion"]
 
+SQL["grid_fusion_any_source"] = with_binding(f"""{GRID.strip()},
+gl2 AS (SELECT g.grid_point_id, g.observed_at, g.aqi, p.lat, p.lng FROM
+          (SELECT *, row_number() OVER (PARTITION BY grid_point_id ORDER BY observed_at DESC) AS rn FROM applied
+           WHERE {window_sql(AS_OF, '24 HOUR')} AND aqi IS NOT NULL) g JOIN pts p ON p.grid_point_id = g.grid_point_id WHERE rn = 1),
+pr2 AS (SELECT g.grid_point_id, sl.aqi AS s_aqi, {hav_sql('g.lat', 'g.lng', 'sl.lat', 'sl.lng')} AS d FROM gl2 g, sl),
+ct2 AS (SELECT grid_point_id, sum(s_aqi * w) AS ws, sum(w) AS tw, count(*) AS n FROM
+          (SELECT *, CASE WHEN d < 0.1 THEN 100.0 ELSE 3.0 / (d * d) END AS w FROM pr2 WHERE d < 30) GROUP BY 1)
+SELECT CAST(g.grid_point_id AS BIGINT) AS grid_point_id, {ts_sql('g.observed_at')} AS observed_at, CAST(g.aqi AS BIGINT) AS base_aqi,
+       CAST(round_even((g.aqi * 1.0 + coalesce(c.ws, 0)) / (1.0 + coalesce(c.tw, 0)), 0) AS BIGINT) AS aqi,
+       round_even(least(1.0, (1.0 + coalesce(c.tw, 0)) / 3.0), 2) AS confidence_score,
+       CASE WHEN coalesce(c.n, 0) > 0 THEN 'fused' ELSE 'openmeteo' END AS source_code, CAST(coalesce(c.n, 0) + 1 AS BIGINT) AS source_count
+FROM gl2 g LEFT JOIN ct2 c ON c.grid_point_id = g.grid_point_id
+""")
+
 SQL["grid_latest"] = with_binding(f"""{GRID.strip()},
 pin AS (SELECT * FROM pts WHERE lat BETWEEN 10.0 AND 20.0 AND lng BETWEEN 103.0 AND 108.0),
 lt AS (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY grid_point_id ORDER BY observed_at DESC) AS rn
@@ -1056,6 +1070,22 @@ WHERE CAST(ds.summary_date AS DATE) > DATE '2024-01-01'
 ORDER BY ds.summary_date DESC, s.code LIMIT 500
 """
 
+SQL["daily_summary_yesterday"] = f"SELECT * FROM {_sub('daily_summary')} WHERE summary_date = '2024-01-30'"
+
+SQL["api_latest_forecast"] = f"""
+SELECT station_id, run_id, mae, step, predicted_at, predicted_value, lower_bound, upper_bound FROM {_sub('forecast_linear')}
+"""
+
+SQL["station_lineage"] = f"""
+SELECT l.*, a.analysis_date, p.run_id, coalesce(p.prediction_count, 0) AS prediction_count, p.last_predicted_for, p.last_predicted_value
+FROM {_sub('station_source_latest')} l
+LEFT JOIN (SELECT station_id, max(summary_date) AS analysis_date FROM {_sub('daily_summary')} GROUP BY 1) a ON a.station_id = l.station_id
+LEFT JOIN (SELECT station_id, run_id, CAST(count(*) AS BIGINT) AS prediction_count, max(predicted_at) AS last_predicted_for,
+                  max_by(predicted_value, predicted_at) AS last_predicted_value
+           FROM {_sub('forecast_linear')} GROUP BY 1, 2) p ON p.station_id = l.station_id
+ORDER BY l.observed_at DESC NULLS LAST, l.station_code LIMIT 20
+"""
+
 SQL["api_anomalies"] = f"""
 SELECT a.*, s.code AS station_code FROM {_sub('anomaly_candidates')} a
 JOIN (WITH {BINDING.strip()} SELECT * FROM stations) s ON s.station_id = a.station_id

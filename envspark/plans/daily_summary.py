@@ -10,7 +10,7 @@ aggregated first (partial + final aggregation, one shuffle each on
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,3 +95,9 @@ def daily_summary(
         aqi_category(round_half_up(F.col("aqi_avg"), 2)).alias("category"),
     )
     return out
+
+
+def summary_of_day(aq: DataFrame, wx: DataFrame, stations: DataFrame, as_of: datetime, day: date | None = None, strict: bool = False) -> DataFrame:
+    """Summaries of one day, by default the one before ``as_of``; only its rows are read."""
+    day = day or as_of.date() - timedelta(days=1)
+    return daily_summary(aq, wx, stations, day, day, strict)
