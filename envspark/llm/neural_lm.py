@@ -8,12 +8,14 @@ levels, in the order of their letters read backwards; a node has about as many c
 root of the number of units.  A unit's probability given the two units before it is the product of
 a log-bilinear choice among siblings at each level: the two context embeddings, each scaled by a
 vector of its place, add up to a prediction that is compared with the embeddings of the siblings.
-Tasks train it in numpy on their share of the training texts, starting from the same parameters;
+Tasks, as many as run at once, train it in numpy on their share of the training texts, starting from the
+same parameters; the noise of the leaves is drawn, above them its expectation over all siblings is taken;
 changed rows are averaged after each round, weighted by the squared gradients they met, and the
 rounds together use every training text once.  Scoring normalises over all siblings of each level.
 
-Words are counted once for each block of texts (block dictionary), so what is shuffled are
-block words, not tokens; texts travel as numbers of their block's dictionary.
+Texts are kept in blocks, as numbers of their block's dictionary, and are not shuffled.  What is shuffled
+are the counts of each block's words and, once the units are known to all tasks, the rare words of each block,
+whose counts come back to it.
 
 Cases: null and empty texts are the end token alone; a null id has the empty text as its name (and is
 held out); words that training texts lack are unknown and share one smoothed mass of the
@@ -30,24 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, pieces, raw, store, texts
+from .common import pieces, raw, store, texts, trimmed
 from .phrases import _pack, _unpack
 
 #: Training count from which a word, or the last letters (as bytes) of rarer words, is a unit of its own.
 MIN_COUNT, END_BYTES = 16, 3
 SMOOTH = 0.1
 BLOCK_BYTES = 8 << 20
-#: Size of the embeddings, tokens of a step, noise nodes of a step (top level) and of a token (others), and rounds of averaging.
+#: Size of the embeddings, tokens of a step, noise nodes of a token at the top level and at others, and rounds of averaging.
 DIM, STEP_TOKENS, NOISE, NOISE_EACH, ROUNDS = 16, 4096, 32, 4, 3
 RATE, FIRST_SQUARES = 0.15, 10.0
-#: Levels of the tree, and rows of a parameter table that are averaged together.
-LEVELS, CHUNK_ROWS = 3, 8192
+#: Levels of the tree, rows of a parameter table that are averaged together, tokens handled at once, and rows of an Arrow batch.
+LEVELS, CHUNK_ROWS, PIECE_TOKENS, ROWS = 3, 8192, 1 << 18, 1 << 14
 
-CODED = "block long, doc_id long, fold int, ids binary, lid int, word binary, n long"
+CODED = "block long, doc_ids array<long>, stops long, folds binary, sizes binary, ids binary, words binary, counts binary"
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -63,45 +66,57 @@ class Numbers(dict):
 
 
 def block_dictionaries(docs: DataFrame) -> DataFrame:
-    """Texts as word numbers of their block (rows with ids), and the words of each block with their
-    count in training texts (rows with a word)."""
+    """One row for each block of texts: ids, folds and sizes of the texts, their words as numbers of
+    the block's dictionary, and the dictionary with the count of each word in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("fold", pa.int32()), ("ids", pa.binary()), ("lid", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
-        number = TaskContext.get().partitionId() << 32
-        known = Numbers()
-        count = np.zeros(0, np.int64)
-        held = 0
+        number, held, known = TaskContext.get().partitionId() << 32, 0, Numbers()
+        doc_ids, folds, coded = [], [], []
 
-        def words() -> pa.RecordBatch:
-            k = len(known)
-            return pa.RecordBatch.from_arrays([pa.array([number] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(list(known), pa.binary()), pa.array(count, pa.int64())], schema=schema)
+        def row() -> pa.RecordBatch:
+            sizes, ids = np.array([len(x) for x in coded], np.int64), np.concatenate(coded)
+            count = np.bincount(ids[np.repeat(np.array(folds) > 0, sizes)], minlength=len(known))
+            blobs = [_pack(np.array(folds, np.int8)), _pack(sizes), _pack(ids), zstandard.compress(b" ".join(known), 3), _pack(count.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sum(f > 0 for f in folds)], pa.int64())] + [pa.array([x], pa.binary()) for x in blobs], names=["block", "doc_ids", "stops", "folds", "sizes", "ids", "words", "counts"])
 
         for batch in pieces(batches):
-            ids, folds, coded, train = batch.column(0).to_pylist(), [], [], []
-            for i, text in zip(ids, raw(batch.column(1))):
-                ws = text.lower().split()
-                at = np.fromiter(map(known.__getitem__, ws), np.int32, len(ws))
+            for i, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+                words = text.lower().split()
+                doc_ids.append(i)
                 folds.append(fold_of(i))
-                coded.append(_pack(at))
-                if folds[-1]:
-                    train.append(at)
-                held += len(text)
-            own = np.bincount(np.concatenate(train), minlength=len(known)) if train else np.zeros(len(known), np.int64)
-            own[: len(count)] += count
-            count = own
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([number] * k, pa.int64()), batch.column(0), pa.array(folds, pa.int32()), pa.array(coded, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
-            if held >= BLOCK_BYTES:
-                yield words()
-                number, held, count = number + 1, 0, np.zeros(0, np.int64)
-                known.clear()
-        if known:
-            yield words()
+                coded.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                held += len(text) + 16
+                if held >= BLOCK_BYTES:
+                    yield row()
+                    number, held, known = number + 1, 0, Numbers()
+                    doc_ids, folds, coded = [], [], []
+        if doc_ids:
+            yield row()
 
     return store(texts(docs).mapInArrow(run, CODED), "coded")
 
 
+def word_rows(coded: DataFrame) -> DataFrame:
+    """(word, n) for the words that training texts of a block hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text, n = zstandard.decompress(words), _unpack(counts, np.int64)
+                if not text:
+                    continue
+                data = np.frombuffer(text, np.uint8)
+                ends = np.append(np.flatnonzero(data == 32), len(data))
+                offsets = np.zeros(len(ends) + 1, np.int64)
+                np.cumsum(np.diff(ends, prepend=-1) - 1, out=offsets[1:])
+                column = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 32])])
+                found = pa.RecordBatch.from_arrays([column.cast(pa.binary()), pa.array(n)], names=["word", "n"]).filter(pa.array(n > 0))
+                for i in range(0, len(found), ROWS):
+                    yield found.slice(i, ROWS)
+
+    return coded.select("words", "counts").mapInArrow(run, "word binary, n long")
+
+
 class Classes:
     """Unit numbers: words, ends, one for all other ends, then the end of the text; and their counts."""
 
@@ -120,27 +135,34 @@ class Classes:
         place[order] = np.arange(self.other)
         return place
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Units of words, known or not."""
+        if not hasattr(self, "index"):
+            self.index = dict(zip(self.words, range(len(self.words))))
+            self.end_index = dict(zip(self.ends, range(len(self.words), self.other)))
+        own, ends, other = self.index.get, self.end_index.get, self.other
+        unit = np.fromiter((own(w, -1) for w in words), np.int32, len(words))
+        for i in np.flatnonzero(unit < 0).tolist():
+            unit[i] = ends(words[i][-END_BYTES:], other)
+        return unit
+
 
 def word_classes(counts: DataFrame, stops: int) -> tuple[Classes, DataFrame]:
     """The units, and (word, c, class) of the training words.
     The words and ends of MIN_COUNT or more, and the sums of the units, reach the driver."""
     spark = counts.sparkSession
-    words = [bytes(w) for w in counts.where(F.col("c") >= MIN_COUNT).orderBy(F.desc("c"), "word").select("word").toArrow().column(0).to_pylist()]
+    own = counts.where(F.col("c") >= MIN_COUNT).orderBy(F.desc("c"), "word").select("word", "c").toArrow()
+    words = [bytes(w) for w in own.column(0).to_pylist()]
+    ends = counts.where(F.col("c") < MIN_COUNT).groupBy(word_end("word").alias("end")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
+    ends = ends.groupBy(F.when(F.col("c") >= MIN_COUNT, F.col("end")).alias("end")).agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
+    rest = next((r for r in ends if r["end"] is None), None)  # of all ends that are rare themselves
+    ends = sorted(((bytes(r["end"]), r["c"], r["v"]) for r in ends if r["end"] is not None), key=lambda e: (-e[1], e[0]))
+    sums = [(rest["c"], rest["v"]) if rest else (0, 0), (stops, 0)]
+    classes = Classes(words, [e[0] for e in ends], np.array([*own.column(1).to_pylist(), *(e[1] for e in ends), *(x[0] for x in sums)], float))
+    classes.distinct = np.array([1] * len(words) + [e[2] for e in ends] + [x[1] for x in sums], float)
     index = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "own": pa.array(range(len(words)), pa.int32())}))
-    marked = store(counts.join(index, "word", "left").withColumn("end", word_end("word")), "marked")
-    ends = marked.where("own is null").groupBy("end").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT).orderBy(F.desc("c"), "end").collect()
-    ends = [bytes(r["end"]) for r in ends]
-    number = end_numbers(spark, ends, len(words))
-    classed = marked.join(number, "end", "left").withColumn("class", F.coalesce("own", "end_class", F.lit(len(words) + len(ends))))
-    sums = classed.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()
-    size = len(words) + len(ends) + 2
-    n, v = np.zeros(size), np.zeros(size)
-    at = sums.column(0).to_numpy()
-    n[at], v[at] = sums.column(1).to_numpy(), sums.column(2).to_numpy()
-    n[-1] = stops
-    classes = Classes(words, ends, n)
-    classes.distinct = v
-    return classes, classed.select("word", "c", "class")
+    classed = counts.join(index, "word", "left").withColumn("end", word_end("word")).join(end_numbers(spark, classes.ends, len(words)), "end", "left")
+    return classes, classed.select("word", "c", F.coalesce("own", "end_class", F.lit(classes.other)).alias("class"))
 
 
 def word_end(column: str):
@@ -189,8 +211,9 @@ class Model:
     def log_p(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
         """Normalised log-probability of each token, given the units one and two places before it.
         (Contexts are too many to keep normalisers, so ``z`` is left as it is.)"""
-        order = np.argsort(self.place_of[word], kind="stable")
+        order = _order(self.place_of[word])
         r = self.predict(one[order], two[order])
+        far = math.sqrt(float(np.einsum("ij,ij->i", r, r).max(initial=0)))
         found = np.zeros(len(word), np.float64)
         for level, node in enumerate(self.nodes(word[order])):
             target, bias = self.target[level], self.bias[level]
@@ -200,25 +223,41 @@ class Model:
                 first, last = p * self.fan, min((p + 1) * self.fan, len(bias))
                 if last - first == 1:
                     continue
-                t, c = target[first:last].T, bias[first:last]
-                for i in range(a, b, 8192):
-                    j = min(i + 8192, b)
-                    s = r[i:j] @ t
+                t, c = target[first:last], bias[first:last]
+                # no choice can leave the range of exp, then the largest need not be subtracted
+                small = far * math.sqrt(float(np.einsum("ij,ij->i", t, t).max())) + float(np.abs(c).max()) < 60
+                for i in range(a, b, 2048):
+                    j = min(i + 2048, b)
+                    s = r[i:j] @ t.T
                     s += c
                     own = s[np.arange(j - i), node[i:j] - first]
-                    top = s.max(1)
-                    s -= top[:, None]
-                    found[i:j] += own - top - np.log(np.exp(s, out=s).sum(1))
+                    if not small:
+                        top = s.max(1)
+                        s -= top[:, None]
+                        own -= top
+                    np.exp(s, out=s)
+                    found[i:j] += own - np.log(s.sum(1))
         out = np.empty(len(word))
         out[order] = found
         return out
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct places, sums of the rows at each)."""
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.diff(at[order], prepend=-1))
-    return at[order][first], np.add.reduceat(rows[order], first, axis=0)
+def _order(at: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers from 0, by 16 bits at a time (numpy sorts those by radix)."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    top, shift = int(at.max(initial=0)), 16
+    while top >> shift:
+        order = order[np.argsort((at >> shift).astype(np.uint16)[order], kind="stable")]
+        shift += 16
+    return order
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places, the order that brings equal ones together, and where each begins in it."""
+    order = _order(at)
+    ordered = at[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[first], order, first
 
 
 class Trainer:
@@ -229,54 +268,101 @@ class Trainer:
         self.tables = model.tables()
         self.seen = [np.full(x.shape, FIRST_SQUARES, np.float32) for x in self.tables]
         self.log_q = [np.log(q).astype(np.float32) for q in model.noise]
+        self.sums = np.append(model.cumulative[-1], np.full(2 * model.fan, np.inf))  # a search may look beyond the last leaf
 
-    def _step(self, which: int, at, gradient: np.ndarray) -> None:
+    def _add(self, which: int, at: np.ndarray, gradient: np.ndarray) -> None:
+        """An Adagrad step of the rows ``at`` (distinct)."""
         x, seen = self.tables[which], self.seen[which]
-        if at is None:
-            seen += gradient**2
-            x += RATE * gradient / np.sqrt(seen)
-        else:
-            at, gradient = _sum_rows(at, gradient)
-            held = seen[at] + gradient**2
-            seen[at] = held
-            x[at] += RATE * gradient / np.sqrt(held)
-
-    def _top(self, r: np.ndarray, node: np.ndarray):
-        """Gradients of the top level, whose noise all tokens of the step share."""
-        t, c, log_kq = self.m.target[0], self.m.bias[0], self.log_q[0] + np.float32(math.log(NOISE))
-        sums = self.m.cumulative[0]
-        noise = np.minimum(np.searchsorted(sums, self.rng.random(NOISE) * sums[-1], side="right") - 1, len(c) - 1)
-        own = np.einsum("ij,ij->i", r, t[node]) + c[node] - log_kq[node]
-        other = r @ t[noise].T + c[noise] - log_kq[noise]
-        up, down = 1 / (1 + np.exp(np.clip(own, -30, 30))), -1 / (1 + np.exp(np.clip(-other, -30, 30)))
-        dr = up[:, None] * t[node] + down @ t[noise]
-        return dr, np.concatenate([node, noise]), np.concatenate([up[:, None] * r, down.T @ r]), np.concatenate([up, down.sum(0)])
-
-    def _below(self, level: int, r: np.ndarray, node: np.ndarray):
-        """Gradients of a lower level; the noise of a token are siblings of its node."""
-        t, c, log_kq = self.m.target[level], self.m.bias[level], self.log_q[level] + np.float32(math.log(NOISE_EACH))
-        sums, first = self.m.cumulative[level], node // self.m.fan * self.m.fan
-        last = np.minimum(first + self.m.fan, len(c))
-        u = sums[first] + self.rng.random((NOISE_EACH, len(node))) * (sums[last] - sums[first])
-        noise = np.clip(np.searchsorted(sums, u, side="right") - 1, first, last - 1)
-        at = np.concatenate([node[None], noise])
-        rows = t[at]
-        s = np.einsum("kij,ij->ki", rows, r) + c[at] - log_kq[at]
+        held = seen.take(at, axis=0)
+        held += gradient * gradient
+        seen[at] = held
+        gradient *= RATE
+        gradient /= np.sqrt(held, out=held)
+        gradient += x.take(at, axis=0)
+        x[at] = gradient
+
+    def _upper(self, level: int, r: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """A step of a level above the leaves, returning its part of the gradient of r.  Its parents have
+        many tokens each, so that all siblings take the place of the noise, each as often as is expected."""
+        m, fan = self.m, self.m.fan
+        t, k = m.target[level], NOISE_EACH if level else NOISE
+        parent = node // fan if level else np.zeros(len(node), np.int64)
+        width = fan if level else len(t)
+        order = _order(parent)
+        r, parent = r.take(order, axis=0), parent[order]
+        begin = np.flatnonzero(np.diff(parent, prepend=-1))
+        found = parent[begin]
+        cuts = list(zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(node)]))
+        at = found[:, None] * width + np.arange(width)
+        real = at < len(t)
+        inside = np.where(real, at, 0)
+        shift = m.bias[level] - self.log_q[level] - np.float32(math.log(k))
+        times = (m.noise[level][inside] * k * real).astype(np.float32)
+        s = np.zeros((len(node), width), np.float32)
+        for i, (p, a, b) in enumerate(cuts):
+            rows = t[p * width : (p + 1) * width]
+            np.matmul(r[a:b], rows.T, out=s[a:b, : len(rows)])
+            s[a:b] += shift[inside[i]]
+        np.clip(s, -30, 30, out=s)
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        np.reciprocal(s, out=s)  # chance that a sibling is taken for the token
+        token, own = np.arange(len(node)), node[order] - parent * width
+        up = 1 - s[token, own]
+        dr, dtarget = np.empty_like(r), np.zeros((len(cuts), width, DIM), np.float32)
+        for i, (p, a, b) in enumerate(cuts):
+            s[a:b] *= -times[i]
+            s[token[a:b], own[a:b]] += up[a:b]
+            rows = t[p * width : (p + 1) * width]
+            np.matmul(s[a:b, : len(rows)], rows, out=dr[a:b])
+            np.matmul(s[a:b].T, r[a:b], out=dtarget[i])
+        dbias = np.add.reduceat(s, begin, axis=0)
+        self._add(2 + level, at[real], dtarget[real])
+        self._add(2 + LEVELS + level, at[real], dbias[real][:, None])
+        out = np.empty_like(dr)
+        out[order] = dr
+        return out
+
+    def _leaves(self, r: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """A step of the leaves, returning its part of the gradient of r; the noise of a token are siblings of its leaf."""
+        level, n = LEVELS - 1, len(node)
+        t, shift = self.m.target[level], self.m.bias[level] - self.log_q[level] - np.float32(math.log(NOISE_EACH))
+        sums, first = self.sums, node // self.m.fan * self.m.fan
+        last = np.minimum(first + self.m.fan, len(t))
+        low = sums[first]
+        u = low + self.rng.random((NOISE_EACH, n)) * (sums[last] - low)
+        noise, jump = np.repeat(first[None], NOISE_EACH, axis=0), 1 << (self.m.fan - 1).bit_length()
+        while jump := jump >> 1:
+            noise += jump * (sums.take(noise + jump) <= u)
+        at = np.concatenate([node[None], np.minimum(noise, last - 1)])
+        rows = t.take(at, axis=0)
+        s = np.einsum("kij,ij->ki", rows, r) + shift[at]
         sign = np.full((NOISE_EACH + 1, 1), -1, np.float32)
         sign[0] = 1
         g = sign / (1 + np.exp(np.clip(sign * s, -30, 30)))
-        return np.einsum("ki,kij->ij", g, rows), at.ravel(), (g[:, :, None] * r).reshape(-1, DIM), g.ravel()
+        dr = np.einsum("ki,kij->ij", g, rows)
+        at, order, first = _runs(at.ravel())
+        g = g.ravel()[order][:, None]
+        dtarget = r.take(order % n, axis=0)
+        dtarget *= g
+        self._add(2 + level, at, np.add.reduceat(dtarget, first, axis=0))
+        self._add(2 + LEVELS + level, at, np.add.reduceat(g, first, axis=0))
+        return dr
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
-        m, r = self.m, self.m.predict(one, two)
-        found = [self._below(k, r, node) if k else self._top(r, node) for k, node in enumerate(m.nodes(word))]
-        dr = sum(f[0] for f in found)
-        dplace = np.stack([(dr * m.context[one]).sum(0), (dr * m.context[two]).sum(0)])
-        self._step(0, np.concatenate([one, two]), np.concatenate([dr * m.place[0], dr * m.place[1]]))
-        self._step(1, None, dplace)
-        for k, (_, at, dtarget, dbias) in enumerate(found):
-            self._step(2 + k, at, dtarget)
-            self._step(2 + LEVELS + k, at, dbias[:, None])
+        m = self.m
+        c1, c2 = m.context.take(one, axis=0), m.context.take(two, axis=0)
+        r = c1 * m.place[0] + c2 * m.place[1]
+        *upper, leaf = m.nodes(word)
+        dr = self._leaves(r, leaf)
+        for level, node in enumerate(upper):
+            dr += self._upper(level, r, node)
+        at, order, first = _runs(np.concatenate([one, two]))
+        both = np.concatenate([dr * m.place[0], dr * m.place[1]])
+        dplace = np.stack([np.einsum("ij,ij->j", dr, c1), np.einsum("ij,ij->j", dr, c2)])
+        self._add(0, at, np.add.reduceat(both.take(order, axis=0), first, axis=0))
+        self._add(1, np.arange(2), dplace)
 
 
 def contexts(classes: list[np.ndarray], stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,6 +373,34 @@ def contexts(classes: list[np.ndarray], stop: int) -> tuple[np.ndarray, np.ndarr
     return joined[at - 1], joined[at - 2], joined[at]
 
 
+class Block:
+    """A stored row: texts as word numbers, and the units of its words."""
+
+    def __init__(self, row: dict, classes: Classes):
+        self.words = zstandard.decompress(row["words"]).split()
+        self.unit, self.stop = classes.numbers(self.words), classes.stop
+        self.folds, self.sizes, self.ids = _unpack(row["folds"], np.int8), _unpack(row["sizes"], np.int64), _unpack(row["ids"], np.int32)
+
+    def sequences(self, of: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """Unit sequences of the texts ``of``, in lists of about PIECE_TOKENS tokens."""
+        begin, found, held = np.cumsum(self.sizes) - self.sizes, [], 0
+        for i in of.tolist():
+            if held and held + self.sizes[i] > PIECE_TOKENS:
+                yield found
+                found, held = [], 0
+            found.append(np.append(self.unit[self.ids[begin[i] : begin[i] + self.sizes[i]]], self.stop))
+            held += len(found[-1])
+        if found:
+            yield found
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[tuple[dict, Block]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+            yield row, Block(row, classes)
+
+
 def average(table: pa.Table) -> pa.Table:
     """For one chunk of a parameter table: the changed rows and their averages over tasks."""
     which, chunk, width = (table.column(c)[0].as_py() for c in ("which", "chunk", "width"))
@@ -300,26 +414,28 @@ def average(table: pa.Table) -> pa.Table:
     return pa.table({"which": pa.array([which], pa.int32()), "at": pa.array([(at + chunk * CHUNK_ROWS).astype(np.int32).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
 
 
-def train(encoded: DataFrame, classes: Classes) -> Model:
+def train(coded: DataFrame, classes: Classes, units) -> Model:
     """ROUNDS rounds over the training texts, cut by their folds; each task returns the rows it
-    changed (as differences), which are averaged by chunks of each parameter table."""
+    changed (as differences), which are averaged by chunks of each parameter table.  There are no
+    more tasks than run at once: what is shuffled grows with the copies of the model, not with the texts.
+    ``units`` is the broadcast of ``classes``."""
     model, stop = Model(classes), classes.stop
-    context = encoded.sparkSession.sparkContext
+    context = coded.sparkSession.sparkContext
     for round_ in range(ROUNDS):
         folds = [f for f in range(1, 10) if f % ROUNDS == round_]
         shared = context.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
-            own = copy.deepcopy(shared.value)
-            trainer, tokens = Trainer(own, round_), 0
-            for batch in pieces(batches, "classes", CHUNK_BYTES // 4):
-                one, two, word = contexts([_unpack(c, np.int32) for c in batch.column(0).to_pylist()], stop)
-                order = trainer.rng.permutation(len(word))
-                for i in range(0, len(word), STEP_TOKENS):
-                    part = order[i : i + STEP_TOKENS]
-                    trainer.step(one[part], two[part], word[part])
-                tokens += len(word)
-            for which, (before, x, seen) in enumerate(zip(shared.value.tables(), trainer.tables, trainer.seen) if tokens else ()):
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_, folds=folds) -> Iterator[pa.RecordBatch]:
+            trainer = None
+            for _, block in block_rows(batches, units.value):
+                for sequences in block.sequences(np.flatnonzero(np.isin(block.folds, folds))):
+                    trainer = trainer or Trainer(copy.deepcopy(shared.value), round_)
+                    one, two, word = contexts(sequences, stop)
+                    order = trainer.rng.permutation(len(word))
+                    for i in range(0, len(word), STEP_TOKENS):
+                        part = order[i : i + STEP_TOKENS]
+                        trainer.step(one[part], two[part], word[part])
+            for which, (before, x, seen) in enumerate(zip(shared.value.tables(), trainer.tables, trainer.seen) if trainer else ()):
                 weight = (seen - FIRST_SQUARES).sum(1)
                 for a in range(0, len(x), CHUNK_ROWS):
                     at = np.flatnonzero(weight[a : a + CHUNK_ROWS] > 0)
@@ -327,7 +443,8 @@ def train(encoded: DataFrame, classes: Classes) -> Model:
                         blobs = [at.astype(np.int32).tobytes(), (x[a + at] - before[a + at]).astype(np.float16).tobytes(), weight[a + at].astype(np.float32).tobytes()]
                         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()) for n in (which, a // CHUNK_ROWS, x.shape[1])] + [pa.array([b], pa.binary()) for b in blobs], names=["which", "chunk", "width", "at", "x", "w"])
 
-        found = encoded.where(F.col("fold").isin(folds)).select("classes").mapInArrow(run, "which int, chunk int, width int, at binary, x binary, w binary")
+        rows = coded.select("folds", "sizes", "ids", "words").coalesce(max(1, context.defaultParallelism))
+        found = rows.mapInArrow(trimmed(run), "which int, chunk int, width int, at binary, x binary, w binary")
         tables = model.tables()
         for r in found.groupBy("which", "chunk").applyInArrow(average, "which int, at binary, x binary").toLocalIterator():  # as many numbers as the model has parameters
             at = np.frombuffer(r["at"], np.int32)
@@ -336,62 +453,85 @@ def train(encoded: DataFrame, classes: Classes) -> Model:
     return model
 
 
-ENCODED = "doc_id long, fold int, n_tokens long, n_known long, base double, inner double, classes binary"
+def rare_words(coded: DataFrame, units) -> DataFrame:
+    """(block, k, word): the words of each block that are no units of their own, numbered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = units.value
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = zstandard.decompress(blob).split()
+                rare = [words[i] for i in np.flatnonzero(classes.numbers(words) >= len(classes.words)).tolist()]
+                for a in range(0, len(rare), ROWS):
+                    part = rare[a : a + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.binary())], names=["block", "k", "word"])
+
+    return coded.select("block", "words").mapInArrow(run, "block long, k int, word binary")
 
 
-def encode(coded: DataFrame, dictionary: DataFrame, classes: Classes, tokens: int, distinct: int) -> DataFrame:
-    """Texts as unit sequences with their counts, base score and the sum of log P(word | unit)."""
-    mass = classes.count + SMOOTH * (classes.distinct + 1)
-    floor, stops, stop, alone = tokens + SMOOTH * (distinct + 1), classes.count[-1], classes.stop, len(classes.words)
+SCORED = "block long, doc_ids array<long>, folds binary, sizes binary, known binary, base binary, log_p binary, rares binary, rare binary, kind binary"
+
+
+def score_blocks(coded: DataFrame, shared, units, floor: float) -> DataFrame:
+    """For each block what its texts have without their rare words: the number of words, their base
+    score, log P(units); and the rare words of each text, with the unit of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, classes = shared.value, units.value
+        alone, stop = len(classes.words), classes.stop
+        for row, block in block_rows(batches, classes):
+            n = len(block.sizes)
+            log_p = []
+            for sequences in block.sequences(np.arange(n)):
+                p = model.log_p(*contexts(sequences, stop))
+                log_p.append(np.add.reduceat(p, np.cumsum([0] + [len(s) for s in sequences[:-1]])))
+            own = block.unit < alone
+            text, is_rare = np.repeat(np.arange(n), block.sizes), ~own[block.ids]
+            log_base = np.where(own, np.log10((classes.count[block.unit] + SMOOTH) / floor), 0.0)
+            rares = np.bincount(text[is_rare], minlength=n)
+            found = [block.sizes - rares, np.bincount(text, log_base[block.ids], n), np.concatenate(log_p), rares, (np.cumsum(~own) - 1)[block.ids[is_rare]].astype(np.int32), block.unit[~own]]
+            blobs = [row["folds"], row["sizes"], *map(_pack, found)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["doc_ids"]], pa.list_(pa.int64()))] + [pa.array([b], pa.binary()) for b in blobs], names=["block", "doc_ids", "folds", "sizes", "known", "base", "log_p", "rares", "rare", "kind"])
+
+    return coded.select("block", "doc_ids", "folds", "sizes", "ids", "words").mapInArrow(trimmed(run), SCORED)
+
+
+def add_rare(scored: DataFrame, answers: DataFrame, classes: Classes, tokens: int, floor: float) -> DataFrame:
+    """The texts with all their words, given (block, entry) of the rare ones: number << 32 and training count."""
+    mass, stops = classes.count + SMOOTH * (classes.distinct + 1), classes.count[-1]
+    end = math.log10((stops + SMOOTH) / floor)
+    first = len(classes.words)  # rare words have the units from here on
+    mass = mass[first:]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        entry = right.column("entry").to_numpy()
-        order = np.argsort(entry)  # by word number
-        c, kind = right.column("c").to_numpy()[order], entry[order] & 0xFFFFFFFF
-        inner = np.where(kind < alone, 0.0, np.log((c + SMOOTH) / mass[kind]))
-        log_base = np.log10((c + SMOOTH) / floor)
-        end = math.log10((stops + SMOOTH) / floor)
-        n, known, base, within, out = [], [], [], [], []
-        for blob in left.column("ids").to_pylist():
-            at = _unpack(blob, np.int32)
-            n.append(len(at) + 1)
-            known.append(int((c[at] > 0).sum()) + int(stops > 0))
-            base.append(float(log_base[at].sum()) + end)
-            within.append(float(inner[at].sum()))
-            out.append(_pack(np.append(kind[at], stop).astype(np.int32)))
-        return pa.table({"doc_id": left.column("doc_id"), "fold": left.column("fold"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                         "base": pa.array(base, pa.float64()), "inner": pa.array(within, pa.float64()), "classes": pa.array(out, pa.binary())})
-
-    rows = coded.where("ids is not null").select(F.col("block").alias("part"), "doc_id", "fold", "ids")
-    return store(rows.groupBy("part").cogroup(dictionary.groupBy("block")).applyInArrow(run, ENCODED), "encoded")
+        row = {name: left.column(name)[0].as_py() for name in left.schema.names}
+        folds, sizes, known, rares = (_unpack(row[k], t) for k, t in (("folds", np.int8), ("sizes", np.int64), ("known", np.int64), ("rares", np.int64)))
+        base, log_p = _unpack(row["base"], np.float64), _unpack(row["log_p"], np.float64)
+        rare, kind, n = _unpack(row["rare"], np.int32), _unpack(row["kind"], np.int32), len(sizes)
+        c, entry = np.zeros(len(kind)), right.column("entry").to_numpy()
+        c[entry >> 32] = entry & 0xFFFFFFFF
+        text = np.repeat(np.arange(n), rares)
+        known = known + np.bincount(text, c[rare] > 0, n).astype(np.int64) + int(stops > 0)
+        base = base + np.bincount(text, np.log10((c + SMOOTH) / floor)[rare], n) + end
+        inner = np.bincount(text, np.log((c + SMOOTH) / mass[kind - first])[rare], n)
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(folds == 0), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, tokens, np.int64)),
+                         "base_score": pa.array(base), "score": pa.array((log_p + inner) / math.log(10))})
+
+    return scored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     coded = block_dictionaries(docs)
-    counts = store(coded.where("word is not null and n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    counts = store(word_rows(coded).groupBy("word").agg(F.sum("n").alias("c")), "counts")
     words, tokens = (int(x or 0) for x in counts.agg(F.count(F.lit(1)), F.sum("c")).first())
-    stops = coded.where("ids is not null and fold <> 0").count()
+    stops = int(coded.agg(F.sum("stops")).first()[0] or 0)
     tokens, distinct = tokens + stops, words + (stops > 0)
-    classes, table = word_classes(counts, stops)
-    # words that training texts lack take the unit of their end
-    listed = coded.where("word is not null").select("block", "lid", "word").join(table, "word", "left").withColumn("end", word_end("word"))
-    listed = listed.join(end_numbers(spark, classes.ends, len(classes.words)), "end", "left")
-    kind = F.coalesce("class", "end_class", F.lit(classes.other)).cast("long")
-    listed = listed.select("block", (F.shiftleft(F.col("lid").cast("long"), 32) + kind).alias("entry"), F.coalesce("c", F.lit(0)).alias("c"))
-    encoded = encode(coded, listed, classes, tokens, distinct)
-    shared = spark.sparkContext.broadcast((train(encoded, classes), classes.stop))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, stop = shared.value
-        for batch in pieces(batches, "classes", CHUNK_BYTES // 2):
-            sequences = [_unpack(c, np.int32) for c in batch.column(1).to_pylist()]
-            log_p = model.log_p(*contexts(sequences, stop))
-            total = np.add.reduceat(log_p, np.concatenate([[0], np.cumsum([len(s) for s in sequences])[:-1]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((total + batch.column(2).to_numpy()) / math.log(10), pa.float64())], names=["row", "score"])
-
-    numbered = encoded.withColumn("row", F.struct("doc_id", "fold", "n_tokens", "n_known", "base"))
-    scored = numbered.select("row", "classes", "inner").mapInArrow(run, "row struct<doc_id:long,fold:int,n_tokens:long,n_known:long,base:double>, score double")
-    return scored.select("row.doc_id", (F.col("row.fold") == 0).alias("held_out"), "row.n_tokens", "row.n_known",
-                         F.lit(tokens).cast("long").alias("train_tokens"), F.col("row.base").alias("base_score"), "score")
+    floor = tokens + SMOOTH * (distinct + 1)
+    classes, _ = word_classes(counts, stops)
+    units = context.broadcast(classes)
+    shared = context.broadcast(train(coded, classes, units))
+    answers = rare_words(coded, units).join(counts.where(F.col("c") < MIN_COUNT), "word")
+    answers = answers.select("block", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("c")).alias("entry"))
+    return add_rare(score_blocks(coded, shared, units, floor), answers, classes, tokens, floor)

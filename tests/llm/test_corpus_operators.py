@@ -241,6 +241,46 @@ def test_vocabulary_grows_with_the_corpus(table):
         assert (np.abs(np.log(p / q)) > 1e-6).mean() > 0.99
 
 
+def test_training_shuffles_one_model_a_core(spark):
+    """However many files the texts have, no more copies of the model are trained and shuffled than tasks run at once."""
+    from envspark.llm import neural_lm as N
+
+    rows = [(i, " ".join(f"w{(7 * i + j) % 60}" for j in range(200))) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    cores, name = spark.sparkContext.defaultParallelism, "copies of the model"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        for k in before:
+            spark.conf.set(k, "2k")  # a task for each file
+        got = {r["doc_id"]: r for r in N.score_documents(docs).collect()}
+        status = spark.sparkContext.statusTracker()
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(name) for s in status.getJobInfo(j).stageIds]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    trained = [s for s in stages if s and s.name.startswith("toLocalIterator")]
+    assert len(trained) >= N.ROUNDS and max(s.numTasks for s in trained) <= cores < 24
+    held = [r for r in got.values() if r["held_out"]]
+    assert len(got) == 480 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_rare_words_of_several_blocks(spark):
+    """Counts of rare words come from all blocks, also for texts and words that no training text has."""
+    from envspark.llm import neural_lm as N
+
+    texts = {i: " ".join(f"{'rare' if (i + j) % 7 else 'often'}{(i * 31 + j) % 90}" for j in range(40)) for i in range(60)} | {60: "", 61: None, 62: "nowhere else"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in N.score_documents(docs).collect()}
+    split = {i: (t or "").split() + [None] for i, t in texts.items()}
+    c = collections.Counter(w for i, s in split.items() if N.fold_of(i) for w in s)
+    total, distinct = sum(c.values()), len(c)
+    for i, s in split.items():
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(s), sum(c[w] > 0 for w in s), total)
+        assert math.isclose(got[i]["base_score"], sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in s), rel_tol=1e-9)
+
+
 # --- 7 and 9 tokenizers --------------------------------------------------------------
 def odd_texts():
     rnd = random.Random(7)
