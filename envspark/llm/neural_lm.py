@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -102,15 +103,8 @@ def word_rows(coded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text, n = zstandard.decompress(words), _unpack(counts, np.int64)
-                if not text:
-                    continue
-                data = np.frombuffer(text, np.uint8)
-                ends = np.append(np.flatnonzero(data == 32), len(data))
-                offsets = np.zeros(len(ends) + 1, np.int64)
-                np.cumsum(np.diff(ends, prepend=-1) - 1, out=offsets[1:])
-                column = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 32])])
-                found = pa.RecordBatch.from_arrays([column.cast(pa.binary()), pa.array(n)], names=["word", "n"]).filter(pa.array(n > 0))
+                n = _unpack(counts, np.int64)
+                found = pa.RecordBatch.from_arrays([word_column(words), pa.array(n)], names=["word", "n"]).filter(pa.array(n > 0))
                 for i in range(0, len(found), ROWS):
                     yield found.slice(i, ROWS)
 
@@ -135,18 +129,28 @@ class Classes:
         place[order] = np.arange(self.other)
         return place
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: pa.Array) -> np.ndarray:
         """Units of words, known or not."""
-        if not hasattr(self, "index"):
-            self.index = dict(zip(self.words, range(len(self.words))))
-            self.end_index = dict(zip(self.ends, range(len(self.words), self.other)))
-        own, ends, other = self.index.get, self.end_index.get, self.other
-        unit = np.fromiter((own(w, -1) for w in words), np.int32, len(words))
-        for i in np.flatnonzero(unit < 0).tolist():
-            unit[i] = ends(words[i][-END_BYTES:], other)
+        if not hasattr(self, "sets"):
+            self.sets = [pa.array(x, pa.binary()) for x in (self.words, self.ends)]
+        unit = pc.fill_null(pc.index_in(words, self.sets[0]), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        rare = np.flatnonzero(unit < 0)
+        # a slice of binary values counts in bytes
+        end = pc.index_in(pc.binary_slice(words.take(pa.array(rare)), -END_BYTES), self.sets[1])
+        unit[rare] = pc.fill_null(pc.add(end, len(self.words)), self.other).to_numpy(zero_copy_only=False)
         return unit
 
 
+def word_column(blob: bytes) -> pa.Array:
+    """The words of a block's dictionary."""
+    text = zstandard.decompress(blob)
+    data = np.frombuffer(text, np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data)) if text else np.zeros(0, np.int64)
+    offsets = np.zeros(len(ends) + 1, np.int64)
+    np.cumsum(np.diff(ends, prepend=-1) - 1, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 32])]).cast(pa.binary())
+
+
 def word_classes(counts: DataFrame, stops: int) -> tuple[Classes, DataFrame]:
     """The units, and (word, c, class) of the training words.
     The words and ends of MIN_COUNT or more, and the sums of the units, reach the driver."""
@@ -219,13 +223,13 @@ class Model:
             target, bias = self.target[level], self.bias[level]
             parent = node // self.fan if level else np.zeros(len(node), np.int64)
             begin = np.flatnonzero(np.diff(parent, prepend=-1))
+            # where no score can leave the range of exp, the largest need not be subtracted
+            small = far * math.sqrt(float(np.einsum("ij,ij->i", target, target).max())) + float(np.abs(bias).max()) < 60
             for p, a, b in zip(parent[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(node)]):
                 first, last = p * self.fan, min((p + 1) * self.fan, len(bias))
                 if last - first == 1:
                     continue
                 t, c = target[first:last], bias[first:last]
-                # no choice can leave the range of exp, then the largest need not be subtracted
-                small = far * math.sqrt(float(np.einsum("ij,ij->i", t, t).max())) + float(np.abs(c).max()) < 60
                 for i in range(a, b, 2048):
                     j = min(i + 2048, b)
                     s = r[i:j] @ t.T
@@ -260,6 +264,22 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first], order, first
 
 
+def _sum_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run.  Most runs are short: their rows are added place by place, and only
+    what is left of the others goes through ``reduceat``, whose time is that of the number of runs."""
+    size = np.diff(first, append=len(rows))
+    out = rows.take(first, axis=0)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        if k == 3 and len(more):
+            cuts = np.stack([first[more] + k, first[more] + size[more]], axis=1).ravel()
+            cuts = cuts[:-1] if cuts[-1] == len(rows) else cuts
+            out[more] += np.add.reduceat(rows, cuts, axis=0)[::2]
+        elif len(more):
+            out[more] += rows.take(first[more] + k, axis=0)
+    return out
+
+
 class Trainer:
     """Noise-contrastive steps with Adagrad on one task's tokens."""
 
@@ -268,67 +288,66 @@ class Trainer:
         self.tables = model.tables()
         self.seen = [np.full(x.shape, FIRST_SQUARES, np.float32) for x in self.tables]
         self.log_q = [np.log(q).astype(np.float32) for q in model.noise]
+        self.leaf_q = self.log_q[-1] + np.float32(math.log(NOISE_EACH))
         self.sums = np.append(model.cumulative[-1], np.full(2 * model.fan, np.inf))  # a search may look beyond the last leaf
 
     def _add(self, which: int, at: np.ndarray, gradient: np.ndarray) -> None:
         """An Adagrad step of the rows ``at`` (distinct)."""
         x, seen = self.tables[which], self.seen[which]
-        held = seen.take(at, axis=0)
-        held += gradient * gradient
+        if x.shape[1] == 1:  # one number a row: as plain arrays
+            x, seen, gradient = x[:, 0], seen[:, 0], gradient[:, 0]
+        held = gradient * gradient
+        held += seen.take(at, axis=0)
         seen[at] = held
-        gradient *= RATE
-        gradient /= np.sqrt(held, out=held)
-        gradient += x.take(at, axis=0)
-        x[at] = gradient
-
-    def _upper(self, level: int, r: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """A step of a level above the leaves, returning its part of the gradient of r.  Its parents have
-        many tokens each, so that all siblings take the place of the noise, each as often as is expected."""
-        m, fan = self.m, self.m.fan
-        t, k = m.target[level], NOISE_EACH if level else NOISE
-        parent = node // fan if level else np.zeros(len(node), np.int64)
-        width = fan if level else len(t)
+        np.sqrt(held, out=held)
+        step = np.divide(gradient, held, out=held)
+        step *= RATE
+        step += x.take(at, axis=0)
+        x[at] = step
+
+    def _upper(self, level: int, ra: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """A step of a level above the leaves, returning its part of the gradient of the predictions (``ra``: with
+        a last column of ones).  Its parents have many tokens each, so that all siblings take the place
+        of the noise, each as often as is expected."""
+        m, t, k = self.m, self.m.target[level], NOISE_EACH if level else NOISE
+        width = m.fan if level else len(t)
+        half = np.empty((len(t), DIM + 1), np.float32)  # of the scores, as 1 / (1 + exp(-s)) is (tanh(s / 2) + 1) / 2
+        half[:, :DIM] = t
+        half[:, DIM] = m.bias[level] - self.log_q[level] - np.float32(math.log(k))
+        half *= 0.5
+        times = (m.noise[level] * (-0.5 * k)).astype(np.float32)
+        parent = node // width
         order = _order(parent)
-        r, parent = r.take(order, axis=0), parent[order]
-        begin = np.flatnonzero(np.diff(parent, prepend=-1))
-        found = parent[begin]
-        cuts = list(zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(node)]))
-        at = found[:, None] * width + np.arange(width)
-        real = at < len(t)
-        inside = np.where(real, at, 0)
-        shift = m.bias[level] - self.log_q[level] - np.float32(math.log(k))
-        times = (m.noise[level][inside] * k * real).astype(np.float32)
-        s = np.zeros((len(node), width), np.float32)
-        for i, (p, a, b) in enumerate(cuts):
-            rows = t[p * width : (p + 1) * width]
-            np.matmul(r[a:b], rows.T, out=s[a:b, : len(rows)])
-            s[a:b] += shift[inside[i]]
-        np.clip(s, -30, 30, out=s)
-        np.negative(s, out=s)
-        np.exp(s, out=s)
-        s += 1
-        np.reciprocal(s, out=s)  # chance that a sibling is taken for the token
-        token, own = np.arange(len(node)), node[order] - parent * width
-        up = 1 - s[token, own]
-        dr, dtarget = np.empty_like(r), np.zeros((len(cuts), width, DIM), np.float32)
-        for i, (p, a, b) in enumerate(cuts):
-            s[a:b] *= -times[i]
-            s[token[a:b], own[a:b]] += up[a:b]
-            rows = t[p * width : (p + 1) * width]
-            np.matmul(s[a:b, : len(rows)], rows, out=dr[a:b])
-            np.matmul(s[a:b].T, r[a:b], out=dtarget[i])
-        dbias = np.add.reduceat(s, begin, axis=0)
-        self._add(2 + level, at[real], dtarget[real])
-        self._add(2 + LEVELS + level, at[real], dbias[real][:, None])
+        ra, parent, own = ra.take(order, axis=0), parent[order], (node - parent * width)[order]
+        begin = np.flatnonzero(np.diff(parent, prepend=-1)).tolist()
+        dr, gradient, at, token = np.empty((len(node), DIM), np.float32), [], [], np.arange(len(node))
+        for p, begins, ends in zip(parent[begin].tolist(), begin, [*begin[1:], len(node)]):
+            some = slice(p * width, min((p + 1) * width, len(t)))
+            rows, times_, total = t[some], times[some], 0
+            for a in range(begins, ends, 512):
+                b = min(a + 512, ends)
+                s = ra[a:b] @ half[some].T
+                np.tanh(s, out=s)
+                mine = token[: b - a], own[a:b]
+                up = 0.5 - 0.5 * s[mine]
+                s *= times_
+                s += times_
+                s[mine] += up
+                np.matmul(s, rows, out=dr[a:b])
+                total = total + s.T @ ra[a:b]
+            gradient.append(total)
+            at.append(np.arange(some.start, some.stop))
+        at, gradient = np.concatenate(at), np.concatenate(gradient)
+        self._add(2 + level, at, gradient[:, :DIM])
+        self._add(2 + LEVELS + level, at, gradient[:, DIM:])
         out = np.empty_like(dr)
         out[order] = dr
         return out
 
     def _leaves(self, r: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """A step of the leaves, returning its part of the gradient of r; the noise of a token are siblings of its leaf."""
+        """A step of the leaves, returning its part of the gradient of the predictions; the noise of a token are siblings of its leaf."""
         level, n = LEVELS - 1, len(node)
-        t, shift = self.m.target[level], self.m.bias[level] - self.log_q[level] - np.float32(math.log(NOISE_EACH))
-        sums, first = self.sums, node // self.m.fan * self.m.fan
+        t, sums, first = self.m.target[level], self.sums, node // self.m.fan * self.m.fan
         last = np.minimum(first + self.m.fan, len(t))
         low = sums[first]
         u = low + self.rng.random((NOISE_EACH, n)) * (sums[last] - low)
@@ -337,17 +356,20 @@ class Trainer:
             noise += jump * (sums.take(noise + jump) <= u)
         at = np.concatenate([node[None], np.minimum(noise, last - 1)])
         rows = t.take(at, axis=0)
-        s = np.einsum("kij,ij->ki", rows, r) + shift[at]
-        sign = np.full((NOISE_EACH + 1, 1), -1, np.float32)
-        sign[0] = 1
-        g = sign / (1 + np.exp(np.clip(sign * s, -30, 30)))
+        s = np.einsum("kij,ij->ki", rows, r)
+        s += self.m.bias[level].take(at)
+        s -= self.leaf_q.take(at)
+        s[1:] *= -1
+        np.clip(s, -30, 30, out=s)
+        g = 1 / (1 + np.exp(s, out=s))
+        g[1:] *= -1
         dr = np.einsum("ki,kij->ij", g, rows)
         at, order, first = _runs(at.ravel())
-        g = g.ravel()[order][:, None]
-        dtarget = r.take(order % n, axis=0)
-        dtarget *= g
-        self._add(2 + level, at, np.add.reduceat(dtarget, first, axis=0))
-        self._add(2 + LEVELS + level, at, np.add.reduceat(g, first, axis=0))
+        g = g.ravel()[order]
+        gradient = r.take(order % n, axis=0)
+        gradient *= g[:, None]
+        self._add(2 + level, at, _sum_runs(gradient, first))
+        self._add(2 + LEVELS + level, at, np.add.reduceat(g, first)[:, None])
         return dr
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
@@ -356,12 +378,13 @@ class Trainer:
         r = c1 * m.place[0] + c2 * m.place[1]
         *upper, leaf = m.nodes(word)
         dr = self._leaves(r, leaf)
+        ra = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1)
         for level, node in enumerate(upper):
-            dr += self._upper(level, r, node)
+            dr += self._upper(level, ra, node)
         at, order, first = _runs(np.concatenate([one, two]))
         both = np.concatenate([dr * m.place[0], dr * m.place[1]])
         dplace = np.stack([np.einsum("ij,ij->j", dr, c1), np.einsum("ij,ij->j", dr, c2)])
-        self._add(0, at, np.add.reduceat(both.take(order, axis=0), first, axis=0))
+        self._add(0, at, _sum_runs(both.take(order, axis=0), first))
         self._add(1, np.arange(2), dplace)
 
 
@@ -377,8 +400,7 @@ class Block:
     """A stored row: texts as word numbers, and the units of its words."""
 
     def __init__(self, row: dict, classes: Classes):
-        self.words = zstandard.decompress(row["words"]).split()
-        self.unit, self.stop = classes.numbers(self.words), classes.stop
+        self.unit, self.stop = classes.numbers(word_column(row["words"])), classes.stop
         self.folds, self.sizes, self.ids = _unpack(row["folds"], np.int8), _unpack(row["sizes"], np.int64), _unpack(row["ids"], np.int32)
 
     def sequences(self, of: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -460,11 +482,11 @@ def rare_words(coded: DataFrame, units) -> DataFrame:
         classes = units.value
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = zstandard.decompress(blob).split()
-                rare = [words[i] for i in np.flatnonzero(classes.numbers(words) >= len(classes.words)).tolist()]
+                words = word_column(blob)
+                rare = words.filter(pa.array(classes.numbers(words) >= len(classes.words)))
                 for a in range(0, len(rare), ROWS):
                     part = rare[a : a + ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.binary())], names=["block", "k", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), part], names=["block", "k", "word"])
 
     return coded.select("block", "words").mapInArrow(run, "block long, k int, word binary")
 
