@@ -8,8 +8,8 @@ levels, in the order of their letters read backwards; a node has about as many c
 root of the number of units.  A unit's probability given the two units before it is the product of
 a log-bilinear choice among siblings at each level: the two context embeddings, each scaled by a
 vector of its place, add up to a prediction that is compared with the embeddings of the siblings.
-Tasks, as many as run at once, train it in numpy on their share of the training texts, starting from the
-same parameters; the noise of the leaves is drawn, above them its expectation over all siblings is taken;
+Tasks, as many as run at once, train it on their share of the training texts, starting from the
+same parameters (in numpy, with the products over siblings and the sums of rows in ONNX Runtime where it is installed); the noise of the leaves is drawn, above them its expectation over all siblings is taken;
 changed rows are averaged after each round, weighted by the squared gradients they met, and the
 rounds together use every training text once.  Scoring normalises over all siblings of each level.
 
@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graphs
 from .common import pieces, raw, store, texts, trimmed
 from .phrases import _pack, _unpack
 
@@ -50,6 +51,10 @@ DIM, STEP_TOKENS, NOISE, NOISE_EACH, ROUNDS = 16, 4096, 32, 4, 3
 RATE, FIRST_SQUARES = 0.15, 10.0
 #: Levels of the tree, rows of a parameter table that are averaged together, tokens handled at once, and rows of an Arrow batch.
 LEVELS, CHUNK_ROWS, PIECE_TOKENS, ROWS = 3, 8192, 1 << 18, 1 << 14
+#: Tokens of one parent that a graph handles together, and chunks of them (or such a share of the tokens, at the top level) in a call.
+CHUNK_TOKENS, CALL_CHUNKS = 32, 128
+#: Dictionaries whose words are looked up at once.
+LOOKUP_BLOCKS = 4
 
 CODED = "block long, doc_ids array<long>, stops long, folds binary, sizes binary, ids binary, words binary, counts binary"
 
@@ -58,12 +63,23 @@ def fold_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10
 
 
-class Numbers(dict):
-    """Word -> its number, in the order of first use."""
+_SPACES = b" \t\n\r\x0b\x0c"
+_MARKS = bytes(x in _SPACES for x in range(256))
+_ONE = np.ones(1, np.int8)
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+
+def coded_words(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number of words of each text, the words of all as numbers in the order of first use, and the
+    words; words are in small letters and end where bytes.split() ends them."""
+    data = b"\n".join(texts_).lower()
+    edges = np.flatnonzero(np.diff(np.frombuffer(data.translate(_MARKS), np.int8), prepend=_ONE, append=_ONE))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, _SPACES))]).dictionary_encode()
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts_])
+    sizes = np.diff(np.searchsorted(starts, begin))
+    return sizes, words.indices.to_numpy(), words.dictionary
 
 
 def block_dictionaries(docs: DataFrame) -> DataFrame:
@@ -71,26 +87,25 @@ def block_dictionaries(docs: DataFrame) -> DataFrame:
     the block's dictionary, and the dictionary with the count of each word in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, known = TaskContext.get().partitionId() << 32, 0, Numbers()
-        doc_ids, folds, coded = [], [], []
+        number, held = TaskContext.get().partitionId() << 32, 0
+        doc_ids, folds, held_texts = [], [], []
 
         def row() -> pa.RecordBatch:
-            sizes, ids = np.array([len(x) for x in coded], np.int64), np.concatenate(coded)
-            count = np.bincount(ids[np.repeat(np.array(folds) > 0, sizes)], minlength=len(known))
-            blobs = [_pack(np.array(folds, np.int8)), _pack(sizes), _pack(ids), zstandard.compress(b" ".join(known), 3), _pack(count.astype(np.int64))]
+            sizes, ids, words = coded_words(held_texts)
+            count = np.bincount(ids[np.repeat(np.array(folds) > 0, sizes)], minlength=len(words))
+            blobs = [_pack(np.array(folds, np.int8)), _pack(sizes), _pack(ids), zstandard.compress(b" ".join(words.to_pylist()), 3), _pack(count.astype(np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sum(f > 0 for f in folds)], pa.int64())] + [pa.array([x], pa.binary()) for x in blobs], names=["block", "doc_ids", "stops", "folds", "sizes", "ids", "words", "counts"])
 
         for batch in pieces(batches):
             for i, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                words = text.lower().split()
                 doc_ids.append(i)
                 folds.append(fold_of(i))
-                coded.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                held_texts.append(text)
                 held += len(text) + 16
                 if held >= BLOCK_BYTES:
                     yield row()
-                    number, held, known = number + 1, 0, Numbers()
-                    doc_ids, folds, coded = [], [], []
+                    number, held = number + 1, 0
+                    doc_ids, folds, held_texts = [], [], []
         if doc_ids:
             yield row()
 
@@ -205,26 +220,37 @@ class Model:
         return [self.context, self.place, *self.target, *[b[:, None] for b in self.bias]]
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] * self.place[0] + self.context[two] * self.place[1]
+        r, other = self.context.take(one, axis=0), self.context.take(two, axis=0)
+        r *= self.place[0]
+        other *= self.place[1]
+        r += other
+        return r
 
     def nodes(self, word: np.ndarray) -> list[np.ndarray]:
         """Nodes on the way to each unit, one array for each level."""
-        leaf = self.place_of[word]
-        return [leaf // self.fan ** (LEVELS - 1 - k) for k in range(LEVELS)]
+        leaf = self.place_of.take(word)
+        return [leaf // self.fan ** (LEVELS - 1 - k) for k in range(LEVELS - 1)] + [leaf]
 
     def log_p(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
         """Normalised log-probability of each token, given the units one and two places before it.
         (Contexts are too many to keep normalisers, so ``z`` is left as it is.)"""
         order = _order(self.place_of[word])
-        r = self.predict(one[order], two[order])
+        one, two, word = one.take(order), two.take(order), word.take(order)
+        r = self.predict(one, two)
         far = math.sqrt(float(np.einsum("ij,ij->i", r, r).max(initial=0)))
         found = np.zeros(len(word), np.float64)
-        for level, node in enumerate(self.nodes(word[order])):
+        if graphs.usable():
+            ra = np.ones((len(r) + 1, DIM + 1), np.float32)
+            ra[:-1, :DIM], ra[-1] = r, 0
+        for level, node in enumerate(self.nodes(word)):
             target, bias = self.target[level], self.bias[level]
             parent = node // self.fan if level else np.zeros(len(node), np.int64)
             begin = np.flatnonzero(np.diff(parent, prepend=-1))
             # where no score can leave the range of exp, the largest need not be subtracted
             small = far * math.sqrt(float(np.einsum("ij,ij->i", target, target).max())) + float(np.abs(bias).max()) < 60
+            if graphs.usable():
+                self._add_choices(found, level, ra, node, parent, small)
+                continue
             for p, a, b in zip(parent[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(node)]):
                 first, last = p * self.fan, min((p + 1) * self.fan, len(bias))
                 if last - first == 1:
@@ -245,6 +271,41 @@ class Model:
         out[order] = found
         return out
 
+    def _siblings(self, level: int) -> np.ndarray:
+        """Target embeddings and biases by parent; what the last parent lacks is never chosen."""
+        if hasattr(self, "kept"):
+            return self.kept[level]
+        target, bias = self.target[level], self.bias[level]
+        width = self.fan if level else len(bias)
+        rows = np.zeros((-(-len(bias) // width) * width, DIM + 1), np.float32)
+        rows[:, DIM] = -1e30
+        rows[: len(bias), :DIM], rows[: len(bias), DIM] = target, bias
+        return rows.reshape(-1, width, DIM + 1)
+
+    def keep(self) -> None:
+        """From now on the model is not trained any more: what scoring derives from its parameters is made once."""
+        if graphs.usable() and not hasattr(self, "kept"):
+            self.kept = [self._siblings(level) for level in range(LEVELS)]
+
+    def _add_choices(self, found: np.ndarray, level: int, ra: np.ndarray, node: np.ndarray, parent: np.ndarray, small: bool) -> None:
+        """What ``log_p`` adds at a level, for tokens in the order of their nodes."""
+        families = self._siblings(level)
+        width = families.shape[1]
+        if width == 1:
+            return
+        own = np.append(node - parent * width, 0)
+        if not level:
+            for a in range(0, len(node), CHUNK_TOKENS * CALL_CHUNKS):
+                some = slice(a, min(a + CHUNK_TOKENS * CALL_CHUNKS, len(node)))
+                found[some] += graphs.log_choice(ra[None, some], families, own[None, some, None], small).ravel()
+            return
+        at, held, parents, _ = graphs.chunks(parent, CHUNK_TOKENS)
+        p = np.empty(at.shape, np.float32)
+        for a in range(0, len(at), CALL_CHUNKS):
+            some = slice(a, a + CALL_CHUNKS)
+            p[some] = graphs.log_choice(ra.take(at[some], axis=0), families.take(parents[some], axis=0), own.take(at[some])[:, :, None], small)[:, :, 0]
+        found += p.ravel().take(held)
+
 
 def _order(at: np.ndarray) -> np.ndarray:
     """Stable order of whole numbers from 0, by 16 bits at a time (numpy sorts those by radix)."""
@@ -285,25 +346,34 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.tables = model.tables()
-        self.seen = [np.full(x.shape, FIRST_SQUARES, np.float32) for x in self.tables]
         self.log_q = [np.log(q).astype(np.float32) for q in model.noise]
-        self.leaf_q = self.log_q[-1] + np.float32(math.log(NOISE_EACH))
+        # one row for each leaf, so that it is read and changed at once: embedding, bias, and what the noise takes off the score (fixed)
+        self.leaf = np.concatenate([model.target[-1], model.bias[-1][:, None], (self.log_q[-1] + np.float32(math.log(NOISE_EACH)))[:, None]], axis=1)
+        model.target[-1], model.bias[-1] = self.leaf[:, :DIM], self.leaf[:, DIM]
+        self.tables = model.tables()
+        self.seen = [np.full(x.shape, FIRST_SQUARES, np.float32) for x in (*self.tables[: 1 + LEVELS], self.leaf, *self.tables[2 + LEVELS : -1])]
+        # one value for each row, so that a row is moved at once
+        self.rows, self.seen_rows = ([x.view(f"V{x[0].nbytes}")[:, 0] if x.shape[1] > 1 else x[:, 0] for x in held] for held in ([*self.tables[: 1 + LEVELS], self.leaf, *self.tables[2 + LEVELS : -1]], self.seen))
+        leaf_seen = self.seen[1 + LEVELS]
+        self.seen = [*self.seen[: 1 + LEVELS], leaf_seen[:, :DIM], *self.seen[2 + LEVELS :], leaf_seen[:, DIM : DIM + 1]]
         self.sums = np.append(model.cumulative[-1], np.full(2 * model.fan, np.inf))  # a search may look beyond the last leaf
+        if graphs.usable():
+            self.slot = np.zeros(model.context.shape[0], np.int64)
+            sizes = [-(-len(t) // model.fan) * model.fan if level else len(t) for level, t in enumerate(model.target[:-1])]
+            self.padded, self.scaled = [np.zeros((n, DIM + 1), np.float32) for n in sizes], [np.zeros((n, DIM), np.float32) for n in sizes]
+            self.times = [(q * -(NOISE_EACH if level else NOISE)).astype(np.float32) for level, q in enumerate(model.noise[:-1])]
 
     def _add(self, which: int, at: np.ndarray, gradient: np.ndarray) -> None:
         """An Adagrad step of the rows ``at`` (distinct)."""
-        x, seen = self.tables[which], self.seen[which]
-        if x.shape[1] == 1:  # one number a row: as plain arrays
-            x, seen, gradient = x[:, 0], seen[:, 0], gradient[:, 0]
+        x, seen = self.rows[which], self.seen_rows[which]
         held = gradient * gradient
-        held += seen.take(at, axis=0)
-        seen[at] = held
+        held += seen.take(at).view(np.float32).reshape(held.shape)
+        np.put(seen, at, np.ascontiguousarray(held).view(seen.dtype)[:, 0])
         np.sqrt(held, out=held)
         step = np.divide(gradient, held, out=held)
         step *= RATE
-        step += x.take(at, axis=0)
-        x[at] = step
+        step += x.take(at).view(np.float32).reshape(held.shape)
+        np.put(x, at, np.ascontiguousarray(step).view(x.dtype)[:, 0])
 
     def _upper(self, level: int, ra: np.ndarray, node: np.ndarray) -> np.ndarray:
         """A step of a level above the leaves, returning its part of the gradient of the predictions (``ra``: with
@@ -344,47 +414,107 @@ class Trainer:
         out[order] = dr
         return out
 
-    def _leaves(self, r: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """A step of the leaves, returning its part of the gradient of the predictions; the noise of a token are siblings of its leaf."""
-        level, n = LEVELS - 1, len(node)
-        t, sums, first = self.m.target[level], self.sums, node // self.m.fan * self.m.fan
-        last = np.minimum(first + self.m.fan, len(t))
-        low = sums[first]
-        u = low + self.rng.random((NOISE_EACH, n)) * (sums[last] - low)
+    def _upper_graph(self, level: int, r: np.ndarray, ra: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The same step as ``_upper`` by a graph, for tokens in the order of their nodes (``r`` and ``ra``: with a last row of zeros)."""
+        m, table, k, n = self.m, self.m.target[level], NOISE_EACH if level else NOISE, len(node)
+        width = m.fan if level else len(table)
+        times, t, rows = self.times[level], self.padded[level], self.scaled[level]
+        t[: len(table), :DIM] = table
+        t[: len(table), DIM] = m.bias[level] - self.log_q[level] - np.float32(math.log(k))
+        np.multiply(table, times[: len(table), None], out=rows[: len(table)])
+        per = 1 / times.take(node)
+        t, rows = t.reshape(-1, width, DIM + 1), rows.reshape(-1, width, DIM)
+        if level:
+            parent = node // width
+            at, held, parents, first = graphs.chunks(parent, CHUNK_TOKENS)
+            own = held * width + (node - parent * width)
+            ra, r, t, rows, mask = ra.take(at, axis=0), r.take(at, axis=0), t.take(parents, axis=0), rows.take(parents, axis=0), at < n
+        else:
+            ra, r, own, mask = ra[None, :-1], r[None, :-1], np.arange(n) * width + node, np.ones((1, n))
+        dr, total, total_bias = graphs.upper(ra, r, t, rows, own, per, mask.astype(np.float32)[:, None, :])
+        if not level:
+            self._add(2, np.arange(width), total[0] * times[:, None])
+            self._add(2 + LEVELS, np.arange(width), total_bias[0].T * times[:, None])
+            return dr[0]
+        some, family = (parents[first, None] * width + np.arange(width)).ravel(), np.repeat(np.arange(len(first)), np.diff(first, append=len(parents)))
+        total, total_bias = graphs.sums(total.reshape(len(parents), -1), family, len(first)).reshape(-1, DIM), graphs.sums(total_bias[:, 0], family, len(first)).reshape(-1, 1)
+        if some[-1] >= len(table):  # the last parent may lack some
+            some = some[some < len(table)]
+            total, total_bias = total[: len(some)], total_bias[: len(some)]
+        times = times.take(some)[:, None]
+        total *= times
+        self._add(2 + level, some, total)
+        self._add(2 + LEVELS + level, some, total_bias * times)
+        return dr.reshape(-1, DIM).take(held, axis=0)
+
+    def _distinct(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct places, and the number of each one's place among them."""
+        number = np.arange(len(at))
+        self.slot[at] = number
+        places = at[self.slot.take(at) == number]
+        self.slot[places] = number[: len(places)]
+        return places, self.slot.take(at)
+
+    def _leaves(self, r: np.ndarray, node: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """A step of the leaves, returning its part of the gradient of the predictions; the noise of a token are siblings of its leaf,
+        chosen by the numbers ``drawn`` from 0 to 1."""
+        sums, first = self.sums, node // self.m.fan * self.m.fan
+        last = np.minimum(first + self.m.fan, len(self.leaf))
+        low = sums.take(first)
+        u = drawn * (sums.take(last) - low) + low
         noise, jump = np.repeat(first[None], NOISE_EACH, axis=0), 1 << (self.m.fan - 1).bit_length()
+        at, mass = np.empty_like(noise), np.empty_like(u)
         while jump := jump >> 1:
-            noise += jump * (sums.take(noise + jump) <= u)
+            np.add(noise, jump, out=at)
+            np.multiply(sums.take(at, out=mass, mode="clip") <= u, jump, out=at)
+            noise += at
         at = np.concatenate([node[None], np.minimum(noise, last - 1)])
-        rows = t.take(at, axis=0)
-        s = np.einsum("kij,ij->ki", rows, r)
-        s += self.m.bias[level].take(at)
-        s -= self.leaf_q.take(at)
+        rows = self.leaf.take(at, axis=0)
+        wide = np.ones((len(r), DIM + 2), np.float32)
+        wide[:, :DIM], wide[:, -1] = r, -1
+        s = ((rows * wide).reshape(-1, DIM + 2) @ np.ones(DIM + 2, np.float32)).reshape(at.shape)
         s[1:] *= -1
         np.clip(s, -30, 30, out=s)
         g = 1 / (1 + np.exp(s, out=s))
         g[1:] *= -1
-        dr = np.einsum("ki,kij->ij", g, rows)
-        at, order, first = _runs(at.ravel())
-        g = g.ravel()[order]
-        gradient = r.take(order % n, axis=0)
-        gradient *= g[:, None]
-        self._add(2 + level, at, _sum_runs(gradient, first))
-        self._add(2 + LEVELS + level, at, np.add.reduceat(g, first)[:, None])
+        wide[:, -1] = 0
+        factor = np.repeat(g.ravel(), DIM + 2).reshape(rows.shape)
+        rows *= factor
+        dr = np.ascontiguousarray(rows.sum(0)[:, :DIM])
+        if graphs.usable():
+            places, number = self._distinct(at.ravel())
+            factor *= wide
+            gradient = graphs.sums(factor.reshape(-1, DIM + 2), number, len(places))
+        else:
+            places, order, first = _runs(at.ravel())
+            gradient = wide.take(order % len(r), axis=0)
+            gradient *= g.ravel()[order, None]
+            gradient = _sum_runs(gradient, first)
+        self._add(1 + LEVELS, places, gradient)
         return dr
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
         m = self.m
+        order = _order(m.place_of.take(word))  # tables are read from begin to end, and siblings lie together
+        one, two, word = one.take(order), two.take(order), word.take(order)
         c1, c2 = m.context.take(one, axis=0), m.context.take(two, axis=0)
-        r = c1 * m.place[0] + c2 * m.place[1]
+        r = c1 * m.place[0]
+        r += c2 * m.place[1]
         *upper, leaf = m.nodes(word)
-        dr = self._leaves(r, leaf)
-        ra = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1)
+        dr = self._leaves(r, leaf, self.rng.random((NOISE_EACH, len(word))).take(order, axis=1))
+        ra = np.ones((len(r) + 1, DIM + 1), np.float32)
+        ra[:-1, :DIM], ra[-1] = r, 0
         for level, node in enumerate(upper):
-            dr += self._upper(level, ra, node)
-        at, order, first = _runs(np.concatenate([one, two]))
-        both = np.concatenate([dr * m.place[0], dr * m.place[1]])
+            dr += self._upper_graph(level, np.ascontiguousarray(ra[:, :DIM]), ra, node) if graphs.usable() else self._upper(level, ra[:-1], node)
+        at, both = np.concatenate([one, two]), np.concatenate([dr * m.place[0], dr * m.place[1]])
         dplace = np.stack([np.einsum("ij,ij->j", dr, c1), np.einsum("ij,ij->j", dr, c2)])
-        self._add(0, at, _sum_runs(both.take(order, axis=0), first))
+        if graphs.usable():
+            at, number = self._distinct(at)
+            gradient = graphs.sums(both, number, len(at))
+        else:
+            at, order, first = _runs(at)
+            gradient = _sum_runs(both.take(order, axis=0), first)
+        self._add(0, at, gradient)
         self._add(1, np.arange(2), dplace)
 
 
@@ -396,11 +526,21 @@ def contexts(classes: list[np.ndarray], stop: int) -> tuple[np.ndarray, np.ndarr
     return joined[at - 1], joined[at - 2], joined[at]
 
 
+def units_of(blobs: list[bytes], classes: Classes) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """The place, the words and their units of each dictionary.  Some are looked up together, as a lookup
+    goes over the whole vocabulary first."""
+    for a in range(0, len(blobs), LOOKUP_BLOCKS):
+        words = [word_column(blob) for blob in blobs[a : a + LOOKUP_BLOCKS]]
+        units = np.split(classes.numbers(pa.concat_arrays(words)), np.cumsum([len(w) for w in words])[:-1])
+        for k, (word, unit) in enumerate(zip(words, units)):
+            yield a + k, word, unit
+
+
 class Block:
     """A stored row: texts as word numbers, and the units of its words."""
 
-    def __init__(self, row: dict, classes: Classes):
-        self.unit, self.stop = classes.numbers(word_column(row["words"])), classes.stop
+    def __init__(self, row: dict, unit: np.ndarray, stop: int):
+        self.unit, self.stop = unit, stop
         self.folds, self.sizes, self.ids = _unpack(row["folds"], np.int8), _unpack(row["sizes"], np.int64), _unpack(row["ids"], np.int32)
 
     def sequences(self, of: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -418,9 +558,9 @@ class Block:
 
 def block_rows(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[tuple[dict, Block]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-            yield row, Block(row, classes)
+        for i, _, unit in units_of(batch.column("words").to_pylist(), classes):
+            row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names) if name != "words"}
+            yield row, Block(row, unit, classes.stop)
 
 
 def average(table: pa.Table) -> pa.Table:
@@ -481,9 +621,9 @@ def rare_words(coded: DataFrame, units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = units.value
         for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_column(blob)
-                rare = words.filter(pa.array(classes.numbers(words) >= len(classes.words)))
+            blocks = batch.column(0).to_pylist()
+            for i, words, unit in units_of(batch.column(1).to_pylist(), classes):
+                block, rare = blocks[i], words.filter(pa.array(unit >= len(classes.words)))
                 for a in range(0, len(rare), ROWS):
                     part = rare[a : a + ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), part], names=["block", "k", "word"])
@@ -500,6 +640,7 @@ def score_blocks(coded: DataFrame, shared, units, floor: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, classes = shared.value, units.value
+        model.keep()
         alone, stop = len(classes.words), classes.stop
         for row, block in block_rows(batches, classes):
             n = len(block.sizes)

@@ -281,6 +281,59 @@ def test_rare_words_of_several_blocks(spark):
         assert math.isclose(got[i]["base_score"], sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in s), rel_tol=1e-9)
 
 
+def test_dictionary_numbers_follow_split():
+    from envspark.llm.neural_lm import coded_words
+
+    rnd = random.Random(4)
+    for n in range(300):
+        texts = [bytes(rnd.choice(b"aAbZ \t\n\x0b\x0c\r\x1c\x85\x00\xc3\xa9") for _ in range(rnd.randrange(12))) for _ in range(n % 5 + 1)]
+        split = [t.lower().split() for t in texts]
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
+        sizes, ids, words = coded_words(texts)
+        assert (sizes.tolist(), ids.tolist(), words.to_pylist()) == ([len(s) for s in split], [known[w] for s in split for w in s], list(known))
+
+
+@pytest.mark.parametrize("units", [2, 9, 700])
+def test_graphs_train_and_score_as_numpy(monkeypatch, units):
+    """The graphs do the whole step: all levels, all tokens and their noise, as numpy does."""
+    from envspark.llm import graphs
+    from envspark.llm import neural_lm as N
+
+    if not graphs.usable():
+        pytest.skip("no ONNX Runtime")
+    rng, found = np.random.default_rng(3), []
+    one, two, word = (np.minimum(rng.pareto(0.7, (3, 6000)), units - 1).astype(np.int64)).reshape(3, -1)
+    for graph in (True, False):
+        monkeypatch.setattr(graphs, "usable", lambda graph=graph: graph)
+        m = N.Model(N.Classes([b"w%d" % i for i in range(units - 2)], [], np.append(np.full(units - 1, 5.0), 3)))
+        before, start = [x.copy() for x in m.tables()], m.log_p(one, two, word).sum()
+        trainer = N.Trainer(m, 1)
+        for a in range(0, 6000, 1500):
+            trainer.step(one[a : a + 1500], two[a : a + 1500], word[a : a + 1500])
+        p = m.log_p(one, two, word)
+        assert p.sum() > start + 100
+        m.target = [np.ascontiguousarray(t) * 1000 for t in m.target]  # scores beyond the range of exp
+        far = m.log_p(one, two, word)
+        m.keep()
+        assert np.array_equal(far, m.log_p(one, two, word))
+        found.append([*trainer.tables, *trainer.seen, p, far, *[x - y for x, y in zip(trainer.tables, before)]])
+    for x, y in zip(*found):
+        assert np.allclose(x, y, rtol=1e-3, atol=1e-4)
+
+
+def test_units_of_several_dictionaries():
+    import pyarrow as pa
+    import zstandard
+
+    from envspark.llm import neural_lm as N
+
+    classes = N.Classes([b"one", b"two"], [b"ree"], np.ones(5))
+    blocks = [[b"two", b"three"], [], [b"x", b"one", b"free"], [b"two"], [b"three", b"x"], [b"one"]]
+    got = list(N.units_of([zstandard.compress(b" ".join(b)) for b in blocks], classes))
+    assert [(i, w.to_pylist()) for i, w, _ in got] == list(enumerate(blocks))
+    assert all(np.array_equal(u, classes.numbers(pa.array(b, pa.binary()))) for (_, _, u), b in zip(got, blocks))
+
+
 # --- 7 and 9 tokenizers --------------------------------------------------------------
 def odd_texts():
     rnd = random.Random(7)
